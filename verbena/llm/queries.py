@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .leaks import find_leaks
+from .ngramjoin import near_classes
 from .quality import quality_measures
 from .tokencount import token_counts
 from .tokenfile import read_token_blocks, write_token_blocks
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
@@ -37,6 +42,7 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_join": op3_ngram_join,
     "op6_leaks": op6_leaks,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
