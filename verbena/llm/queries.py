@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .leaks import find_leaks
+from .mixing import mix_report
 from .ngramjoin import near_classes
 from .quality import quality_measures
 from .tokencount import token_counts
 from .tokenfile import read_token_blocks, write_token_blocks
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_ngram_join": op3_ngram_join,
     "op6_leaks": op6_leaks,
     "op7_token_counts": op7_token_counts,
