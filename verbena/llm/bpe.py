@@ -3,22 +3,23 @@
 A text is cut at the special strings, then into pre-tokens. A pre-token that is a vocabulary string proven to encode alone as
 one token needs no merging; any other is merged by the library's model and remembered in a bounded table.
 
-The cut into pre-tokens uses the regex module inside SAFE, blocks of characters over which its classes equal the library's; a
-text with any other character goes to the library whole. Both ways give the library's ids.
+The cut into pre-tokens uses Python's re inside SAFE, blocks of characters over which its classes equal the library's; a text
+with any other character goes to the library whole. Both ways give the library's ids.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
-import regex
 
-#: Fixed value: the pattern of the vocabulary's pre-tokenizer.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SAFE = r"\x00-\u0530\u1E00-\u1FFF\u2010-\u205F\u20A0-\u20BF\u3000-\u312F\u4E00-\u9FA5\uAC00-\uD7A3\U0001F300-\U0001F5FF"
+#: Fixed value: the pattern of the vocabulary's pre-tokenizer, in terms of re's classes. Within SAFE, letters are what is in \w but
+#: neither digit nor underscore, and numbers are \d.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+SAFE = r"\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u0530\u1E00-\u1FFF\u2010-\u205F\u20A0-\u20BF\u3040-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3\U0001F300-\U0001F5FF"
 #: Pre-tokens remembered by a worker at most, and the longest one that is.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
 
 
 @functools.cache
@@ -57,9 +58,11 @@ class Encoder:
         self.letters = byte_letters()
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = special
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.pieces = regex.compile(PRE_TOKEN).findall
-        self.odd = regex.compile(f"[^{SAFE}]").search
+        #: Ids as encode() gives them: two bytes where the vocabulary allows.
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.pieces = re.compile(PRE_TOKEN).findall
+        self.odd = re.compile(f"[^{SAFE}]").search
 
     @functools.cached_property
     def whole(self) -> dict[str, int]:
@@ -81,7 +84,8 @@ class Encoder:
 
     @functools.cached_property
     def packed(self) -> Remembered:
-        return Remembered(self.model, self.letters, lambda ids: np.array(ids, "<u4").tobytes(), {p: np.array([i], "<u4").tobytes() for p, i in self.whole.items()})
+        size = 2 if self.kind == "<u2" else 4
+        return Remembered(self.model, self.letters, lambda ids: b"".join([i.to_bytes(size, "little") for i in ids]), {p: i.to_bytes(size, "little") for p, i in self.whole.items()})
 
     def parts(self, text: str) -> list[str]:
         return self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
@@ -94,10 +98,10 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         if self.odd(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         table, special = self.packed, self.special
-        out = [np.array([special[p]], "<u4").tobytes() if p in special else b"".join(map(table.__getitem__, self.pieces(p))) for p in self.parts(text)]
-        return np.frombuffer(b"".join(out), "<u4")
+        out = [np.array([special[p]], self.kind).tobytes() if p in special else b"".join(map(table.__getitem__, self.pieces(p))) for p in self.parts(text)]
+        return np.frombuffer(b"".join(out), self.kind)
 
 
 @functools.lru_cache(maxsize=2)

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -48,14 +48,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it again.
 
     A lost executor then costs a reread, not the plan above. release() removes the folder when its readers are done.
     """
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/verbena-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.parquet(place, compression=compression)
     out = spark.read.schema(df.schema).parquet(place)
     out._verbena_place = place
     return out
@@ -72,6 +72,11 @@ def release(*frames: DataFrame) -> None:
             df._verbena_place = None
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once for the row, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def text_bytes(column: str = "text"):
     """The text as UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

@@ -8,8 +8,8 @@ Files: Parquet with a row for each block, so that any store Spark can write will
 executors. A block holds whole documents in ascending order of their key (equal keys by their ids): part and block numbers,
 the ids of its part before it, its own number of ids, the documents' keys and numbers of ids, the control bytes and the data bytes. The ranks are a table beside them.
 
-Style: free (mapInArrow). Texts are range-partitioned once by key; only counts of ids (a row for each id in the vocabulary and
-task) and totals of parts go through other shuffles.
+Style: free (mapInArrow). Texts are range-partitioned once by key and encoded once, into plain ids on disk; these are counted and
+then recoded, both without a shuffle of ids. Only counts (a row for each id and task at most) and totals of parts are shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .common import free_name, ship, written
+from .common import free_name, release, ship, written
 
 #: A block is closed when it holds so many ids.
 BLOCK_IDS = 1 << 19
@@ -65,28 +65,55 @@ def _bodies(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(body)), body
 
 
-def id_counts(docs: DataFrame, path: str, text: str = "text", end_id: int | None = 0) -> DataFrame:
-    """token, n: how often each id occurs in all texts, an end id for each text included."""
-    ship(docs.sparkSession)
+def _encoded(docs: DataFrame, path: str, key: str, text: str, end_id: int | None, parts: int, block_ids: int) -> DataFrame:
+    """The blocks with plain ids (little-endian, as wide as the vocabulary needs), written."""
+    bodies, body = _bodies(docs, key, text)
+    kind = docs.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, part, block, before, size = encoder(path), TaskContext.get().partitionId(), 0, 0, 0
+        tail = np.array([] if end_id is None else [end_id], e.kind)
+        keys: list[pa.Scalar] = []
+        lengths: list[int] = []
+        ids: list[np.ndarray] = []
+
+        def closed() -> pa.RecordBatch:
+            columns = [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([[k.as_py() for k in keys]], pa.list_(keys[0].type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([np.concatenate(ids).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for b in batches:
+            for k, x in zip(b.column(0), b.column(1), strict=True):
+                new = e.encode(x.as_py())
+                keys.append(k)
+                ids += [new, tail]
+                lengths.append(len(new) + len(tail))
+                size += lengths[-1]
+                if size >= block_ids:
+                    yield closed()
+                    block, before, size, keys, lengths, ids = block + 1, before + size, 0, [], [], []
+        if keys:
+            yield closed()
+
+    # rows with equal keys and equal texts are alike, so any order among them gives the same files
+    placed = bodies.repartitionByRange(parts, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64(body), body)
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("block", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("ids", T.BinaryType())])
+    return written(placed.mapInArrow(run, schema), "ids", "zstd")
+
+
+def id_counts(blocks: DataFrame, kind: str) -> DataFrame:
+    """token, n: how often each id occurs in all blocks. A task sends a row for each id it has seen at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
         total = np.zeros(1, np.int64)
         for b in batches:
             for x in b.column(0):
-                new = np.bincount(encode(x.as_py())) if x.as_py() else np.zeros(0, np.int64)
-                if len(new) > len(total):
-                    total = np.pad(total, (0, len(new) - len(total)))
+                new = np.bincount(np.frombuffer(x.as_buffer(), kind))
+                total = np.pad(total, (0, max(0, len(new) - len(total))))
                 total[: len(new)] += new
-            if end_id is not None:
-                if end_id >= len(total):
-                    total = np.pad(total, (0, end_id + 1 - len(total)))
-                total[end_id] += b.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["token", "n"])
 
-    counts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("body")).mapInArrow(run, "token long, n long")
-    return counts.groupBy("token").agg(F.sum("n").alias("n"))
+    return blocks.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def ranks(counts: DataFrame) -> np.ndarray:
@@ -103,42 +130,21 @@ def write_token_blocks(docs: DataFrame, path: str, key: str = "doc_id", text: st
     """
     spark = docs.sparkSession
     ship(spark)
-    order = ranks(id_counts(docs, path, text, end_id))
+    plain = _encoded(docs, path, key, text, end_id, parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), block_ids)
+    kind = encoder(path).kind
+    order = ranks(id_counts(plain, kind))
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    bodies, body = _bodies(docs, key, text)
-    kind = docs.schema[key].dataType
-    arrow_key = pa.int64() if isinstance(kind, T.LongType) else None
-    tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, block = encoder(path).encode, TaskContext.get().partitionId(), 0
-        before = 0
-        keys: list = []
-        ids: list[np.ndarray] = []
-        size = 0
-
-        def closed() -> pa.RecordBatch:
-            control, data = pack(rank[np.concatenate(ids)])
-            columns = [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([keys], pa.list_(arrow_key) if arrow_key else None), pa.array([[len(x) for x in ids]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=schema.names)
-
         for b in batches:
-            for k, x in zip(b.column(0), b.column(1), strict=True):
-                keys.append(k.as_py())
-                ids.append(np.concatenate([encode(x.as_py()), tail]))
-                size += len(ids[-1])
-                if size >= block_ids:
-                    yield closed()
-                    block, before, keys, ids, size = block + 1, before + size, [], [], 0
-        if keys:
-            yield closed()
+            packed = [pack(rank[np.frombuffer(x.as_buffer(), kind)]) for x in b.column(6)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], names=schema.names)
 
-    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # rows with equal keys and equal texts are alike, so any order among them gives the same files
-    placed = bodies.repartitionByRange(n, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64(body), body)
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("block", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
-    return written(placed.mapInArrow(run, schema), "tokens"), order
+    schema = T.StructType([*plain.schema.fields[:6], T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
+    blocks = written(plain.mapInArrow(run, schema), "tokens", "zstd")
+    release(plain)
+    return blocks, order
 
 
 def read_token_blocks(blocks: DataFrame, order: np.ndarray, key: str = "doc_id") -> DataFrame:
