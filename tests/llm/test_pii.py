@@ -1,0 +1,66 @@
+"""Personal data against Python's patterns, the trees on invented sentences, and odd rows."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from verbena.llm.pii import KINDS, find_personal, span_text, trained
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(2 * int(x) - 9 * (int(x) > 4) if i % 2 else int(x) for i, x in enumerate(d[::-1])) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for k in KINDS:
+        for m in re.finditer(PLAIN[k], text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if k == "card" and not (13 <= len(d) <= 19 and luhn(d)):
+                continue
+            if k == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append(f"{k}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def texts():
+    r = random.Random(2)
+    pieces = ["a@b.cc", "x.y+z@mail5.example.com", "a@b.c_d@e.f", "@", "é@b.cc", "1.2.3.4", "300.1.2.3.4", "0001.2.3.255", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 555-0100", "+49 30 123456", "+1", "+12", "5500005555555559", "😀", "ñ", "..", "--", " ", "\n", "+", "9" * 30, "a" * 40]
+    out = ["".join(r.choice(pieces) + r.choice(["", " ", " ", "."]) for _ in range(r.randrange(0, 9))) for _ in range(300)]
+    return out + [None, "", "1" * 50000, "a" * 100000, "1 " * 30000, "1.2.3.4 " * 3000, "a@" * 5000 + "b.c", "+" * 5000, "+1" + "(" * 20000, "😀 ip 10.0.0.1 😀 mail a@b.cc"]
+
+
+def test_base_spans_equal_the_patterns(spark):
+    data = texts()
+    d = spark.createDataFrame([(i, x, "clash", 1) for i, x in enumerate(data)], "doc_id long, text string, base string, k int")
+    got = {x.doc_id: x.s for x in find_personal(d).select("doc_id", span_text(F.col("base")).alias("s")).collect()}
+    for i, x in enumerate(data):
+        assert got[i] == brute(x), (data[i] or "")[:200]
+    assert find_personal(d.limit(0)).count() == 0
+
+
+def test_added_spans_come_from_candidates(spark):
+    rows = [
+        "please mail anna.smith (at) example (dot) org today", "call us: (555) 123-4567 now", "phone 0301/2345678 works", "card number 4111.1111.1111.1111 on file",
+        "host 10[.]0[.]0[.]8 is down", "we walked on and on", "order number 1234567 shipped", "the number 2123465659789240 de le", "in 2019-04-12 10 we left", "section 1.2.3 of it", None,
+    ]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: [(s.kind, rows[x.doc_id][s.start : s.end] == s.match) for s in x.added] for x in find_personal(d).collect()}
+    assert [got[i] for i in range(5)] == [[("email", True)], [("phone", True)], [("phone", True)], [("card", True)], [("ip", True)]]
+    assert all(got[i] == [] for i in range(5, len(rows)))
+
+
+def test_trees_fit_the_invented_sentences(spark):
+    model, limits, accuracy = trained(spark)
+    assert accuracy > 0.95 and all(0.5 <= v <= 1 for v in limits.values())

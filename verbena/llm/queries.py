@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .langid import predict_languages, train_languages
 from .leaks import find_leaks
 from .licenses import TEMPLATES, _template_words, scan_licenses
 from .linededup import dedup_lines
 from .mixing import mix_report
 from .ngramjoin import near_classes
+from .pii import KINDS, find_personal, span_text
 from .quality import quality_measures
 from .tokencount import token_counts
 from .tokenfile import read_token_blocks, write_token_blocks
@@ -21,6 +23,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = train_languages(docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")))
+    return predict_languages(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
@@ -64,8 +73,16 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_blocks(blocks, order)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(table(spark, sf_dir, "documents"))
+    both = F.concat("base", F.transform("added", lambda c: c.dropFields("score")))
+    count = lambda k: F.size(F.filter("base", lambda c: c["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(both).alias("spans"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language": op2_language,
     "op3_ngram_join": op3_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_licenses": op5_licenses,
@@ -73,6 +90,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_token_file": op9_token_file,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
