@@ -16,7 +16,7 @@ from .common import release, written
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
@@ -26,16 +26,20 @@ def _small(e: DataFrame) -> DataFrame:
     return across.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, label: each node of links and the least node of its class. Loops and repeated links don't matter."""
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
+    """node, label: each node of links and the least node of its class. Loops and repeated links don't matter.
+
+    With rounds, it stops after so many: labels are then of the same class, but a class may still have several.
+    """
     e = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    state = None
-    while True:
+    state, done = None, 0
+    while done != rounds:
         after = written(_small(_large(e)), "links")
         release(e)
         e = after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or now[0] == 0:
             break
-        state = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        state, done = now, done + 1
+    down = e.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("label"))
+    return down.union(down.select(F.col("label").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))

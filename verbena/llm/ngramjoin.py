@@ -3,12 +3,17 @@
 1. Texts with equal gram sets are one node (the least id stands for them): copies are never paired with each other.
 2. Each node gets MinHash values; bands of them put nodes into buckets. With 40 bands of 6 values a pair at 0.8 shares no bucket
    with a probability of 5e-6.
-3. Star rounds: in each bucket, the classes found so far are compared with one of them, by one member each, not all pairs. A
-   candidate's MinHash values are compared a few at a time; it is dropped as soon as the posterior probability that its
-   similarity reaches the threshold (uniform prior, binomial likelihood) is under the tolerance. The rest are verified exactly.
-4. Last round: all pairs of different classes within a bucket that the stars did not join, by the same pruning and
-   verification. Two nodes that share a bucket are thus in one class by links found, or have been compared with each other:
-   pairs inside a class add nothing to it and are not enumerated.
+3. Star round: in each bucket the node with the most company over all its buckets (an original among edited copies) is the centre;
+   each node is compared with the one centre it shares the most buckets with, so there are no more candidates than
+   nodes. A candidate's MinHash values are compared a few at a time; it is dropped as soon as the posterior probability that
+   its similarity reaches the threshold (uniform prior, binomial likelihood) is under the tolerance. The rest are verified
+   exactly.
+4. Peeling: of the nodes in buckets that then hold several classes, those with too many grams of their own go, grams that no
+   other such node has: they can't reach the threshold with any. This is exact, repeated while nodes go, and linear.
+5. Last round: of the nodes left, pairs of different classes that share a gram in both prefixes (each node's rarest grams, so many that
+   a partner must share one), by the same pruning and verification. Two nodes that share a bucket are thus in one
+   class by links found, or ruled out exactly, or have been compared with each other: pairs inside a class add nothing to it
+   and are not enumerated.
 
 A document's n_links counts the links kept: a verified set of links that connects each class.
 
@@ -40,7 +45,6 @@ class JoinParams:
     rows: int = 6
     step: int = 24
     tolerance: float = 1e-7
-    star_rounds: int = 2
 
     @property
     def size(self) -> int:
@@ -156,8 +160,49 @@ def _gram_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, params:
             grams = [gram_set(x.as_py(), params.words).tobytes() for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary())], names=["id", "grams"])
 
+    # always by a shuffle: how many are wanted grows with the corpus
     bodies = docs.select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("body"))
-    return bodies.join(wanted.distinct(), "id", "left_semi").mapInArrow(run, "id long, grams binary")
+    return bodies.join(wanted.distinct().hint("merge"), "id", "left_semi").mapInArrow(run, "id long, grams binary")
+
+
+def _peeled(open_: DataFrame, sets: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """What of open_ (id, n_grams, least: the fewest grams of a node it shares a bucket with) is not ruled out: id and most, the grams
+    it may have to itself; and the grams of these nodes, a row each.
+
+    To reach t with a partner of least grams or more, a node must share t / (1 + t) * (n_grams + least) of its grams, and with any
+    partner t * n_grams: it may have no more than the rest to itself.
+    """
+    t = params.threshold - 1e-9
+    bounds = open_.groupBy("id").agg(F.min("least").alias("least"), F.first("n_grams").alias("n_grams"))
+    bounds = bounds.select("id", (F.col("n_grams") - F.greatest(F.lit(t) * F.col("n_grams"), F.lit(t / (1 + t)) * (F.col("n_grams") + F.col("least")))).alias("most"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                grams = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), i)), pa.array(grams)], names=["id", "gram"])
+
+    nodes = written(bounds, "bounds")
+    spread = written(sets.join(nodes.select("id"), "id", "left_semi").mapInArrow(run, "id long, gram long").distinct(), "grams")
+    while True:
+        alive = spread.join(nodes.select("id"), "id", "left_semi")
+        own = alive.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+        rest = written(nodes.join(own, "id", "left").where(F.coalesce("own", F.lit(0)) <= F.col("most")).select("id", "most"), "bounds")
+        before, after = nodes.count(), rest.count()
+        release(nodes)
+        nodes = rest
+        if after >= 0.95 * before:  # what little more would go costs less to compare
+            break
+    return nodes, spread.join(nodes.select("id"), "id", "left_semi")
+
+
+def _prefixes(nodes: DataFrame, grams: DataFrame) -> DataFrame:
+    """id, gram: each node's most + 1 rarest grams among these nodes. A partner that reaches the threshold shares one of them with it, in
+    its own prefix too, as both follow one order."""
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("id").orderBy("n", "gram")
+    ranked = grams.join(often, "gram").withColumn("k", F.row_number().over(order))
+    return ranked.join(nodes, "id").where(F.col("k") <= F.floor("most") + 1).select("id", "gram")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
@@ -179,7 +224,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", params: JoinParams | None = None) -> DataFrame:
-    """key, class_id, n_links, class_size, n_grams for each row of docs.
+    """key, class_id, n_links, n_grams for each row of docs.
 
     class_id is the least id of the class; a class holds equal gram sets and what links connect. The key is cast to long; rows that
     share a key are one document, linked if any of their texts is. Null keys and texts without words are classes of
@@ -190,62 +235,34 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", param
     signed = written(signatures(docs, key, text, params), "signatures")
     real = signed.where("n_grams > 0 AND id IS NOT NULL")
     nodes = written(real.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n_grams").alias("n_grams"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
-    spread = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-    members = written(spread.join(shared, "bucket").distinct(), "members")
-
-    labels = spark.createDataFrame([], "node long, label long")
-    links: list[DataFrame] = []
-    sets: DataFrame | None = None
-    for turn in range(params.star_rounds + 1):
-        placed = members.join(labels, members["id"] == labels["node"], "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        placed = placed.join(open_.select("bucket", "low"), "bucket")
-        if turn < params.star_rounds:
-            # of each class in a bucket one member, another in each round; each but the least class's is compared with that one's
-            one = placed.groupBy("bucket", "low", "label").agg(F.min_by("id", F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("id"))
-            centre = one.where("label = low").select("bucket", F.col("id").alias("a"))
-            pairs = one.where("label > low").join(centre, "bucket").select("a", F.col("id").alias("b"), "low", "label")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "label").where("a < b").distinct()
-            likely = _likely(pairs.select("a", "b").distinct(), nodes, params).join(pairs, ["a", "b"])
-            # the likeliest partner of each class is enough here: the last round takes up what stays apart
-            chosen = likely.groupBy("label").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        else:
-            left, right = placed.select("bucket", F.col("id").alias("x"), F.col("label").alias("lx")), placed.select("bucket", F.col("id").alias("y"), F.col("label").alias("ly"))
-            pairs = left.join(right, "bucket").where("lx < ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-            for done in links:
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
-            chosen = _likely(pairs, nodes, params).select("a", "b").distinct()
-        chosen = written(chosen, "candidates")
-        if chosen.isEmpty():
-            if turn < params.star_rounds:
-                continue
-            break
-        wanted = chosen.select(F.col("a").alias("id")).union(chosen.select(F.col("b").alias("id"))).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("id").distinct(), "id", "left_anti")
-        new = written(_gram_sets(docs, key, text, wanted, params), "sets")
-        sets = new if sets is None else sets.union(new)
-        found = written(_verified(chosen, sets, params), "verified")
-        links.append(found)
-        joined = links[0]
-        for more in links[1:]:
-            joined = joined.union(more)
-        labels = written(components(joined), "labels")
-
-    if links:
-        joined = links[0]
-        for more in links[1:]:
-            joined = joined.union(more)
-        degree = joined.select(F.col("a").alias("node")).union(joined.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    else:
-        degree = spark.createDataFrame([], "node long, n_links long")
+    spread = nodes.select("id", "n_grams", F.explode("bands").alias("bucket"))
+    company = spread.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
+    shared = written(spread.join(company, "bucket"), "shared")
+    members = written(shared.join(shared.groupBy("id").agg(F.sum("n").alias("weight")), "id").select("bucket", "id", "n_grams", "weight"), "members")
+    release(shared)
+    sets = written(_gram_sets(docs, key, text, members.select("id"), params), "sets")
+
+    # star round
+    centres = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("centre"), F.col("c.weight").alias("weight"))
+    near = members.select("bucket", "id").join(centres, "bucket").where("id != centre").groupBy("id", "centre").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
+    best = near.groupBy("id").agg(F.max_by("centre", F.struct("n", "weight", "centre")).alias("centre"))
+    pairs = best.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+    links = written(_verified(_likely(pairs, nodes, params), sets, params), "links")
+    labels = components(links, rounds=2)
+
+    # what the star left apart
+    placed = members.join(labels, members["id"] == labels["node"], "left").select("bucket", "id", "n_grams", F.coalesce("label", "id").alias("label"))
+    placed = written(placed, "placed")
+    several = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n_grams").alias("least")).where("low < high").select("bucket", "least")
+    nodes_left, grams = _peeled(written(placed.join(several, "bucket"), "open"), sets, params)
+    prefixes = written(_prefixes(nodes_left, grams).join(labels, F.col("id") == F.col("node"), "left").select("gram", "id", F.coalesce("label", "id").alias("label")), "prefixes")
+    pairs = prefixes.join(prefixes.select("gram", F.col("id").alias("y"), F.col("label").alias("other")), "gram").where("label < other").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+    links = written(_verified(_likely(pairs, nodes, params), sets, params).union(links).distinct(), "links")
+    labels = components(links)
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     classed = nodes.select("hi", "lo", F.col("id").alias("node")).join(labels, "node", "left").join(degree, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = signed.select("id", "n_grams", F.when((F.col("n_grams") > 0) & F.col("id").isNotNull(), F.col("hi")).alias("hi"), "lo").join(classed, ["hi", "lo"], "left")
-    rows = rows.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams")
-    sizes = rows.where("class_id IS NOT NULL").groupBy(F.col("class_id").alias("class")).agg(F.count("*").alias("size"))
-    out = rows.join(sizes, F.col("class_id") == F.col("class"), "left").select(F.col("id").alias(key), "class_id", "n_links", F.coalesce("size", F.lit(1)).cast("long").alias("class_size"), "n_grams")
-    return out
+    return rows.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", params: JoinParams | None = None) -> DataFrame:
