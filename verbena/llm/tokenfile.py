@@ -47,16 +47,13 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values behind pack()'s result."""
-    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    end = np.cumsum(size)
+    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    start = np.zeros(n, np.int64)
+    np.cumsum(size[:-1], out=start[1:])
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    start = end - size
-    out = np.zeros(n, np.uint32)
-    for j in range(4):
-        more = size > j
-        if not more.any():
-            break
-        out[more] |= raw[start[more] + j].astype(np.uint32) << np.uint32(8 * j)
+    out = raw[start].astype(np.uint32)
+    for j in range(1, int(size.max(initial=1))):
+        out |= (raw[start + j] * (size > j)).astype(np.uint32) << np.uint32(8 * j)
     return out
 
 
