@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from verbena.plans import core_queries, text_queries
+from verbena.plans.base import Query
+
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+for _module in (core_queries, text_queries):
+    QUERIES.update(_module.R.queries)
+    ORACLE.update(_module.R.oracle)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return core_queries.ingest_outcomes(spark, sf_dir)
