@@ -1,83 +1,23 @@
-"""What the corpus operators share: tables, written intermediate results, and shipping this package to executors."""
+"""What the corpus operators share: tables, texts as bytes, values worked out once, free column names."""
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import uuid
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+from verbena.session import release, shared_folder, ship, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package as a zip, once for each Spark context, so that workers need no shared source folder."""
-    sc = spark.sparkContext
-    if getattr(sc, "_verbena_shipped", False):
-        return
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for folder, _, files in os.walk(PACKAGE):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
-    place = os.path.join(tempfile.mkdtemp(), "verbena_package.zip")
-    with open(place, "wb") as out:  # the driver's own folder: Spark serves the file to the executors
-        out.write(buffer.getvalue())
-    sc.addPyFile(place)
-    sc._verbena_shipped = True
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        own = getattr(spark.sparkContext, "_verbena_own_folder", None)
-        if own is None:
-            own = spark.sparkContext._verbena_own_folder = "file://" + tempfile.mkdtemp(prefix="verbena-")
-        named = own
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it again.
-
-    A lost executor then costs a reread, not the plan above. release() removes the folder when its readers are done.
-    """
-    spark = df.sparkSession
-    place = f"{shared_folder(spark)}/verbena-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place, compression=compression)
-    out = spark.read.schema(df.schema).parquet(place)
-    out._verbena_place = place
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Remove the files behind frames from written(). Only call it when nothing that is still to run reads them."""
-    for df in frames:
-        place = getattr(df, "_verbena_place", None)
-        if place:
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            path = jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-            df._verbena_place = None
-
-
-def let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:  # noqa: ANN001
     """body(value), with value worked out once for the row, also inside lambdas."""
     return F.transform(F.array(value), body)[0]
 
 
-def text_bytes(column: str = "text"):
+def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
@@ -88,3 +28,6 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish += "_"
     return wish
+
+
+__all__ = ["free_name", "let", "release", "shared_folder", "ship", "table", "text_bytes", "written"]

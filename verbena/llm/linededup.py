@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 
 _SPACE = " \t\x0b\x0c\r"
 
@@ -44,13 +44,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     gone = covered.groupBy(F.col("k").alias("k2"), F.col("r").alias("r2")).agg(F.collect_set("p").alias("gone"))
     both = rows.join(gone, (F.col("r") == F.col("r2")) & F.col("k").eqNullSafe(F.col("k2")), "left")
     numbers = F.transform(_solid(F.col("t")), lambda x: x["number"])
-    lines = F.split("t", "\n", -1)
-    dropped = F.transform("gone", lambda p: F.get(numbers, p))
-    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    kept = F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n")
+
+    def kept(v: Column) -> Column:
+        stays = F.array_except(F.sequence(F.lit(0), F.size(v["lines"]) - 1), F.transform(v["gone"], lambda p: F.get(v["numbers"], p)))
+        return F.array_join(F.transform(stays, lambda i: F.get(v["lines"], i)), "\n")
+
     return both.select(
         F.col("k").alias(key),
         F.when(F.col("t").isNull(), 0).otherwise(F.size(numbers)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept).alias(text),
+        F.when(F.col("gone").isNull(), F.col("t")).otherwise(let(F.struct(F.split("t", "\n", -1).alias("lines"), numbers.alias("numbers"), "gone"), kept)).alias(text),
     )

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, let, written
 
 #: Words are runs of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,11 +29,6 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """source, source_size, target from source, source_size.
 
@@ -74,7 +69,7 @@ def _meet(state: Column, x: Column, unit: str) -> Column:
             part_b = F.when(to_a, F.when(have_b <= room_a, 0.0).otherwise(b["part"] - m["up"] / b["size"])).otherwise(F.when(room_b <= have_a, 1.0).otherwise(b["part"] + m["down"] / b["size"]))
             return F.struct(a.withField("part", part_a).alias("a"), b.withField("part", part_b).alias("b"))
 
-        return _let(F.struct(F.least(room_a, have_b).alias("up"), F.least(have_a, room_b).alias("down")), moved)
+        return let(F.struct(F.least(room_a, have_b).alias("up"), F.least(have_a, room_b).alias("down")), moved)
 
     def settle(v: Column) -> Column:
         open_a, open_b = ((v[k]["part"] > 1e-9) & (v[k]["part"] < 1 - 1e-9) for k in "ab")
@@ -82,7 +77,7 @@ def _meet(state: Column, x: Column, unit: str) -> Column:
         shut = F.concat(F.when(open_a, none).otherwise(F.array(v["a"])), F.when(open_b, none).otherwise(F.array(v["b"])))
         return F.struct(F.when(open_a, v["a"]).when(open_b, v["b"]).cast(unit).alias("cur"), F.concat(state["done"], shut).alias("done"))
 
-    return F.when(state["cur"].isNull(), F.struct(x.alias("cur"), state["done"].alias("done"))).otherwise(_let(_let(F.struct(state["cur"].alias("a"), x.alias("b")), pivot), settle))
+    return F.when(state["cur"].isNull(), F.struct(x.alias("cur"), state["done"].alias("done"))).otherwise(let(let(F.struct(state["cur"].alias("a"), x.alias("b")), pivot), settle))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
