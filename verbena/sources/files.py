@@ -14,7 +14,10 @@ EXCLUDED = ("node_modules", "__pycache__", "venv", "site-packages")
 
 
 def read_tree(spark: SparkSession, root: str, contents: bool = True) -> DataFrame:
-    """path, name, folder, size, modified and content of the files under a root that Spark's file systems reach."""
+    """path, name, folder, size, modified and content of the files under a root that Spark's file systems reach.
+
+    Spark leaves out empty files and names with a dot or underscore in front; TreeSource lists all.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     f = f.select(F.col("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.regexp_replace("path", r"/[^/]+$", "").alias("folder"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     return f if contents else f.drop("content")
