@@ -42,7 +42,7 @@ def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogues.scan_report(d, d.where("file_id % 3 = 0"))
 
 
-@R.query("""WITH p AS (SELECT user_id AS transfer, CAST(epoch(ts) AS BIGINT) // 3600 AS "at", max(event_id) AS bytes FROM events GROUP BY ALL),
+@R.query("""WITH p AS (SELECT user_id AS transfer, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS "at", max(event_id) AS bytes FROM events GROUP BY ALL),
 w AS (SELECT transfer, "at", bytes, "at" - min("at") OVER o AS span, bytes - min(bytes) OVER o AS gained FROM p WINDOW o AS (PARTITION BY transfer ORDER BY "at" RANGE BETWEEN 5 PRECEDING AND CURRENT ROW))
 SELECT transfer, "at", CASE WHEN span > 0 THEN round(gained / span, 6) END AS rate FROM w""")
 def transfer_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
