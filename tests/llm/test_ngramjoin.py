@@ -73,10 +73,12 @@ def test_classes_equal_all_pairs(spark, seed):
     got = {r.doc_id: r for r in near_classes(d).collect()}
     want = brute_classes(rows)
     assert {k: r.class_id for k, r in got.items()} == want
-    sizes = {}
-    for c in want.values():
-        sizes[c] = sizes.get(c, 0) + 1
-    assert sum(r.n_links for r in got.values()) > 0 and all(r.n_links == 0 for r in got.values() if sizes[r.class_id] == 1)
+    different = {frozenset(grams(x)) for _, x in rows if grams(x)}
+    near = lambda a, b: a != b and len(a & b) >= 0.8 * len(a | b) - 1e-9
+    links = {a: sum(near(a, b) for b in different) for a in different}
+    assert {k: got[k].n_links for k, _ in rows} == {k: links.get(frozenset(grams(x)), 0) for k, x in rows} and max(links.values()) > 20
+    small = near_classes(d, params=JoinParams(block=7)).collect()  # classes of many blocks
+    assert {r.doc_id: r.n_links for r in small} == {k: r.n_links for k, r in got.items()}
 
 
 def test_odd_rows(spark):

@@ -15,7 +15,11 @@
    class by links found, or ruled out exactly, or have been compared with each other: pairs inside a class add nothing to it
    and are not enumerated.
 
-A document's n_links counts the links kept: a verified set of links that connects each class.
+A document's n_links counts the nodes, that is different gram sets, that reach the threshold with it; all of them are in its class. They are
+counted within each class, block by block: a class is cut into blocks of `block` nodes, and a task has two blocks at most, whose
+shared grams a matrix product counts; pairs are counted there and never become rows. That work grows with the square of a
+class, so keep_one(), which needs no counts, leaves it out (exact_links=False: then n_links counts the links found above, which
+connect each class).
 
 Style: free (mapInArrow for signatures, pruning and verification; all grouping by joins and aggregations). Nothing is collected.
 """
@@ -45,6 +49,7 @@ class JoinParams:
     rows: int = 6
     step: int = 24
     tolerance: float = 1e-7
+    block: int = 256
 
     @property
     def size(self) -> int:
@@ -223,7 +228,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", params: JoinParams | None = None) -> DataFrame:
+def _links_in_block(a: list[np.ndarray], b: list[np.ndarray], t: float, columns: int = 4096) -> np.ndarray:
+    """For each pair of gram sets, whether it reaches the threshold. Shared grams are counted some columns at a time."""
+    every = np.concatenate([*a, *b])
+    sizes = np.array([len(x) for x in [*a, *b]])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, inverse, often = np.unique(every, return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1
+    some = often[inverse] > 1
+    owner, column = owner[some], place[inverse[some]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        low, high = np.searchsorted(column, [start, start + columns])
+        has = np.zeros((len(sizes), columns), np.float32)
+        has[owner[low:high], column[low:high] - start] = 1
+        shared += has[: len(a)] @ has[len(a) :].T
+    total = sizes[: len(a), None] + sizes[None, len(a) :]
+    return shared >= t * (total - shared)
+
+
+def _link_counts(labels: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
+    """node, n_links: for each node of labels, how many others of its class reach the threshold with it."""
+    ship(labels.sparkSession)
+    t, block = params.threshold - 1e-9, params.block
+    placed = labels.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("node")) - 1).withColumn("own", F.floor(F.col("place") / block))
+    blocks = placed.groupBy(F.col("label").alias("of")).agg((F.max("own") + 1).alias("blocks"))
+    # each block meets itself and every other one once; a group holds the nodes of two blocks at most
+    spread = placed.join(blocks, F.col("label") == F.col("of")).select("label", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("label", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    one = sets.groupBy("id").agg(F.first("grams").alias("grams"))
+    wide = spread.join(one, F.col("node") == F.col("id")).select("label", "i", "j", "node", "own", "grams")
+
+    def count(group: pa.Table) -> pa.Table:
+        nodes, own = group.column("node").to_numpy(), group.column("own").to_numpy()
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("grams")]
+        first = np.flatnonzero(own == own.min())
+        second = first if own.min() == own.max() else np.flatnonzero(own == own.max())
+        met = _links_in_block([grams[k] for k in first], [grams[k] for k in second], t)
+        found = np.zeros(len(nodes), np.int64)
+        if second is first:
+            np.fill_diagonal(met, False)
+            found[first] = met.sum(axis=1)
+        else:
+            found[first], found[second] = met.sum(axis=1), met.sum(axis=0)
+        return pa.table({"node": nodes, "n": found})
+
+    counted = wide.groupBy("label", "i", "j").applyInArrow(count, "node long, n long")
+    return counted.groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", params: JoinParams | None = None, exact_links: bool = True) -> DataFrame:
     """key, class_id, n_links, n_grams for each row of docs.
 
     class_id is the least id of the class; a class holds equal gram sets and what links connect. The key is cast to long; rows that
@@ -259,7 +315,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", param
     pairs = prefixes.join(prefixes.select("gram", F.col("id").alias("y"), F.col("label").alias("other")), "gram").where("label < other").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
     links = written(_verified(_likely(pairs, nodes, params), sets, params).union(links).distinct(), "links")
     labels = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    if exact_links:
+        degree = _link_counts(written(labels, "labels"), sets, params)
+    else:
+        degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     classed = nodes.select("hi", "lo", F.col("id").alias("node")).join(labels, "node", "left").join(degree, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = signed.select("id", "n_grams", F.when((F.col("n_grams") > 0) & F.col("id").isNotNull(), F.col("hi")).alias("hi"), "lo").join(classed, ["hi", "lo"], "left")
     return rows.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams")
@@ -268,7 +327,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", param
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", params: JoinParams | None = None) -> DataFrame:
     """The rows of docs, all columns, without those whose class has a document of a lower key; of rows that share a key and are in
     a class, the one with the least text stays. Rows with a null key stay."""
-    classes = near_classes(docs, key, text, params)
+    classes = near_classes(docs, key, text, params, exact_links=False)
     name, mark = free_name(docs, "class_key"), free_name(docs, "class_rank")
     gone = classes.where(F.col("class_id") != F.col(key)).select(F.col(key).alias(name)).distinct()
     kept = docs.join(gone, docs[key].cast("long") == gone[name], "left_anti")
