@@ -70,9 +70,34 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     df.write.parquet(place, compression=compression)
     out = spark.read.schema(df.schema).parquet(place)
     out._verbena_place = place
+    for s in _scratches:
+        s.frames.append(out)
     return out
 
 
+_scratches: list[Scratch] = []
+
+
+class Scratch:
+    """Removes, at its end, what written() has made inside it, but for what keep() is given: no lazy result may still need the rest."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def __enter__(self) -> Scratch:
+        _scratches.append(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _scratches.remove(self)
+        release(*(f for f in self.frames if not any(f is k for k in self.kept)))
+
+
 def release(*frames: DataFrame) -> None:
     """Remove the files behind frames from written(). Only call it when nothing that is still to run reads them."""
     for df in frames:
