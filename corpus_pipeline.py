@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the columns of
 documents. run() writes each stage's rows as Parquet in the shared folder and reads them again for the next one, so a lost executor
-never costs more than the stage it worked on.
+never costs more than the stage it worked on; what a stage wrote for itself goes when it ends.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verbena.llm.common import release, table, written
+from verbena.llm.common import Scratch, release, table, written
 from verbena.llm.leaks import keep_clean
 from verbena.llm.mixing import take_mix
 from verbena.llm.ngramjoin import keep_one
@@ -59,9 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        after = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            after = written(after, f"stage{i}")
-            release(docs)
+        with Scratch() as scratch:
+            after = scratch.keep(written(stage(spark, docs, sf_dir), f"stage{i}"))
+        release(docs)
         docs = after
     return docs

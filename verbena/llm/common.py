@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbena.session import release, shared_folder, ship, written
+from verbena.session import Scratch, release, shared_folder, ship, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,4 +30,4 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-__all__ = ["free_name", "let", "release", "shared_folder", "ship", "table", "text_bytes", "written"]
+__all__ = ["Scratch", "free_name", "let", "release", "shared_folder", "ship", "table", "text_bytes", "written"]
