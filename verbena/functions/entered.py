@@ -23,9 +23,9 @@ def speakers(text: Column) -> Column:
     near, low, high = F.regexp_extract(t, r"^~\s*(\d+)$", 1), F.regexp_extract(t, r"^(\d+)\s*[-–]\s*(\d+)$", 1), F.regexp_extract(t, r"^(\d+)\s*[-–]\s*(\d+)$", 2)
     return (
         F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("string"))
-        .when(near != "", F.to_json(F.struct(near.cast("long").alias("value"), F.lit(True).alias("approximate"))))
-        .when(low != "", F.to_json(F.struct(low.cast("long").alias("min"), high.cast("long").alias("max"))))
-        .when(t.rlike(r"^\d+$"), t.cast("long").cast("string"))
+        .when(near != "", F.to_json(F.struct(near.try_cast("long").alias("value"), F.lit(True).alias("approximate"))))
+        .when(low != "", F.to_json(F.struct(low.try_cast("long").alias("min"), high.try_cast("long").alias("max"))))
+        .when(t.rlike(r"^\d+$"), t.try_cast("long").cast("string"))
         .otherwise(F.to_json(F.struct(text.alias("text"))))
     )
 

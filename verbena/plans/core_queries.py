@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbena.functions import entered
-from verbena.functions.text import fold
 from verbena.operators import classify, crawl, discover, facts, ingest, neardup, profile, registry, relevance, state
 from verbena.plans.base import Register, sql_fold, table
 from verbena.streaming import flows
@@ -418,5 +417,3 @@ def term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda t, k: table(spark, sf_dir, t).select(k, F.explode(F.array_distinct(shingle_hashes(tokens(F.col("text"))))).alias("h"))
     return side("documents", "doc_id").join(side("benchmark", "item_id"), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
-
-__all__ = ["R", "fold"]
