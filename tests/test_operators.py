@@ -204,3 +204,43 @@ def test_state_does_not_depend_on_order(spark, order):
     assert tuple(state.resource_languages(d).first()) == (1, "a", 90, "very_high", "confirmed", "r4")
     pairs = spark.createDataFrame([(1, 2, 0.9, 1), (1, 2, 0.95, 2)], "resource_id int, other_id int, similarity double, seq int")
     assert {tuple(r) for r in state.near_duplicates(pairs).collect()} == {(1, 2, 0.95), (2, 1, 0.95)}
+
+
+def test_enrichment_from_registries(spark):
+    columns = "language_id string, family string, classification string, parent string, parent_name string, script string, script_name string, dialects array<string>, region string, macroarea string, documentation string, endangerment string"
+    rows = [("nst", "Sino-Tibetan", "Sino-Tibetan/Naga", "zha", "Zhuang", "Latn", "Latin", ["Hakhun"], "India / Myanmar", "Eurasia", "grammar", "threatened"), ("x", "", "", "", None, "", None, [], "", "", "", "odd")]
+    got = {(r.language_id, r.field): (json.loads(r.value_json), r.confidence, r.note) for r in registry.enrich(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {
+        ("nst", "family"): ("Sino-Tibetan", 0.85, "Sino-Tibetan/Naga"), ("nst", "parent"): ({"value": "Zhuang", "type": "macrolanguage", "code": "zha"}, 0.9, None),
+        ("nst", "scripts"): ([{"code": "Latn", "name": "Latin", "as_entered": "Latn"}], 0.7, "likely script; not a claim that the language is written in it"),
+        ("nst", "varieties"): (["Hakhun"], 0.75, None), ("nst", "region"): ("India / Myanmar", 0.8, "macroarea: Eurasia"),
+        ("nst", "studies"): ({"state": "reported", "detail": "most extensive description: grammar"}, 0.6, None),
+        ("nst", "transmission"): ({"value": "declining", "detail": "Glottolog AES: threatened"}, 0.5, None),
+    }
+
+
+def test_queries_for_a_language(spark):
+    rows = [("nst", "Tangsa", "name", None, 0), ("nst", "Tangsa", "alternate_name", "Zhuang, Yongnan", 0), ("nst", "Tangsa", "alternate_name", "Tase", 1), ("nst", "Tangsa", "alternate_name", "Tangshang", 2), ("nst", "Tangsa", "written", None, 0)]
+    t = spark.createDataFrame(rows, "language_id string, name string, kind string, term string, seq int")
+    got = [(r.query, r.basis) for r in discover.search_queries(t).orderBy("rank").collect()]
+    assert got[:2] == [('"Tangsa" language', "name"), ('"Tangsa" dictionary', "name")] and ('"Tangsa" primer', "written") in got
+    assert ('"Tangshang" language', "alternate_name") in got and not any("Tase" in q or "Yongnan" in q for q, _ in got)
+    assert len(got) == len({q for q, _ in got})
+    d = spark.createDataFrame([("a b", "Ünï", "nst")], "q string, n string, c string")
+    assert d.select(discover.render_url("http://x/?q={query}&c={code}&n={raw_name}", F.col("q"), F.col("n"), F.col("c"))).first()[0] == "http://x/?q=a+b&c=nst&n=Ünï"
+
+
+def test_sinks_of_catalogues(spark, tmp_path):
+    from verbena.sources import sinks
+
+    r = spark.createDataFrame([("S1", "elar", "Look up", "http://e", "q", "lookup", 0), ("S1", "zenodo", "A Title", "http://z", "q", "record", 0), ("S1", "zenodo", "B", "http://y", "q", "record", 2)], "session_id string, provider string, title string, url string, query string, kind string, n_files int")
+    assert json.loads(sinks.lookup_manifest(r).first().json) == [{"provider": "elar", "title": "Look up", "url": "http://e", "query": "q"}]
+    made = {x.name: json.loads(x.json) for x in sinks.metadata_records(r.where("kind = 'record'")).collect()}
+    assert made == {"a-title.metadata.json": {"synthetic": True, "provider": "zenodo", "title": "A Title", "url": "http://z"}}
+    sinks.append_log(r, f"{tmp_path}/log")
+    sinks.append_log(r, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 6
+    sinks.write_json_texts(sinks.lookup_manifest(r), f"{tmp_path}/m")
+    assert spark.read.text(f"{tmp_path}/m").count() == 1
+    bytes_ = spark.createDataFrame([(bytearray(b"x"), "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"), (bytearray(b"y"), "0")], "content binary, sha256 string")
+    assert [x.intact for x in sinks.verified(bytes_).collect()] == [True, False]
