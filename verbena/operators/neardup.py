@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbena.functions.text import signature, sketch_shared, sketch_union, tokens
+from verbena.session import written
 
 
 def prefix_length(k: int, threshold: str | float) -> int:
@@ -25,6 +26,7 @@ def near_pairs(sketches: DataFrame, threshold: float = 0.85, k: int = 128) -> Da
     sketches: id, sketch, one row for each different sketch (see sketch_classes). Integers are compared, not quotients.
     """
     p = prefix_length(k, threshold)
+    sketches = written(sketches, "sketches")  # read four times below
     spread = sketches.select("id", F.explode(F.slice("sketch", 1, p)).alias("h"))
     pairs = spread.select(F.col("id").alias("a"), "h").join(spread.select(F.col("id").alias("b"), "h"), "h").where("a < b").select("a", "b").distinct()
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
@@ -36,5 +38,6 @@ def near_pairs(sketches: DataFrame, threshold: float = 0.85, k: int = 128) -> Da
 
 def sketch_classes(sketches: DataFrame) -> DataFrame:
     """id, class: texts with equal sketches, each class named by its least id; near_pairs() then needs one of each."""
+    sketches = written(sketches, "sketches")  # making sketches is the costly part
     classes = sketches.groupBy("sketch").agg(F.min("id").alias("class"))
     return sketches.join(classes, "sketch").select("id", "class", "sketch")
