@@ -206,6 +206,13 @@ def test_state_does_not_depend_on_order(spark, order):
     assert {tuple(r) for r in state.near_duplicates(pairs).collect()} == {(1, 2, 0.95), (2, 1, 0.95)}
 
 
+def test_session_ids_stay_whole_and_unique_beyond_999_a_day(spark):
+    d = spark.range(1, 1051).select(F.col("id").alias("seq"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("started_at"))
+    got = {r.seq: r.session_id for r in state.session_ids(d).collect()}
+    assert got[1].endswith("-001") and got[999].endswith("-999") and got[1000].endswith("-1000") and got[1009].endswith("-1009")
+    assert len(set(got.values())) == 1050
+
+
 def test_enrichment_from_registries(spark):
     columns = "language_id string, family string, classification string, parent string, parent_name string, script string, script_name string, dialects array<string>, region string, macroarea string, documentation string, endangerment string"
     rows = [("nst", "Sino-Tibetan", "Sino-Tibetan/Naga", "zha", "Zhuang", "Latn", "Latin", ["Hakhun"], "India / Myanmar", "Eurasia", "grammar", "threatened"), ("x", "", "", "", None, "", None, [], "", "", "", "odd")]

@@ -50,10 +50,10 @@ def near_duplicates(pairs: DataFrame) -> DataFrame:
 
 
 def session_ids(sessions: DataFrame) -> DataFrame:
-    """sessions with id COL-YYYYMMDD-NNN, numbered by start within a day."""
+    """sessions with id COL-YYYYMMDD-NNN, numbered by start within a day, with more digits after the 999th."""
     day = F.date_format("started_at", "yyyyMMdd")
     number = F.row_number().over(Window.partitionBy(day).orderBy("started_at", "seq"))
-    return sessions.withColumn("session_id", F.concat(F.lit("COL-"), day, F.lit("-"), F.lpad(number.cast("string"), 3, "0")))
+    return sessions.withColumn("session_id", F.concat(F.lit("COL-"), day, F.lit("-"), F.format_string("%03d", number)))
 
 
 #: What each outcome adds to its session's counters.
