@@ -31,6 +31,15 @@ def test_relevance_of_shared_names_and_authors(spark):
     assert one_score(spark, "Yongnan Zhuang wordlist collected in Long An county", terms=terms).score >= 90
 
 
+def test_registered_relevance_reads_whole_texts(spark, tmp_path):
+    from verbena.plans import core_queries
+
+    rows = [(1, "x " * 300 + "Elle", "de", "s"), (2, "x " * 300, "de", "s"), (3, "Elle " + "x " * 300, "de", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in core_queries.relevance_scores(spark, str(tmp_path)).collect()}
+    assert got == {1: 30, 2: 0, 3: 30}
+
+
 def test_relevance_signals(spark):
     tangsa = ("nst", "nst", "Tangsa")
     assert one_score(spark, "nothing", tangsa).score == 0

@@ -28,7 +28,7 @@ _TERMS = ", ".join(f"('{s}', {q}, '{t}', {str(w).lower()})" for s, q, t, w in [(
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    c = d.select(F.col("doc_id").alias("candidate_id"), F.lit("tho").alias("language_id"), F.substring("text", 1, 400).alias("text"), F.col("text").alias("contents"), F.when(F.col("lang") == "en", "Erheon").otherwise(F.col("lang")).alias("metadata_language"))
+    c = d.select(F.col("doc_id").alias("candidate_id"), F.lit("tho").alias("language_id"), "text", F.col("text").alias("contents"), F.when(F.col("lang") == "en", "Erheon").otherwise(F.col("lang")).alias("metadata_language"))
     languages = spark.createDataFrame(LANGUAGE, "language_id string, iso string, name string")
     terms = spark.createDataFrame([("tho", *t) for t in TERMS], "language_id string, signal string, seq int, term string, weak boolean")
     return relevance.score(c, languages, terms)
