@@ -137,6 +137,25 @@ def test_compression_bands_reject_both_ends():
     assert quality.measure(bytes(r.choice(range(33, 127)) if i % 7 else 32 for i in range(9000)), rules, packer)[9] == "incompressible"
 
 
+def test_chunks_of_junk_within_prose_are_seen():
+    import base64
+
+    import zstandard
+
+    packer, rules = zstandard.ZstdCompressor(level=3), quality.QualityRules()
+    r = random.Random(3)
+    syllables = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+    prose = " ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 5))) for _ in range(9000)).encode()
+    parts = [prose[i : i + 4096] for i in range(0, 10 * 4096, 4096)]
+    assert quality.measure(b"".join(parts), rules, packer)[6:10:2] == (True, 0.0)
+    for i in (1, 4, 6):
+        parts[i] = b" ".join(base64.b64encode(r.randbytes(30)) for _ in range(100))[:4096]
+    mixed = quality.measure(b"".join(parts), rules, packer)
+    assert mixed[8:] == (0.3, "uneven chunks")
+    short = b"".join(parts[7:9]) + base64.b64encode(r.randbytes(2250))
+    assert quality.measure(short, rules, packer)[9] == "uneven chunks"
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
 def test_packing_round_trip(n):
     v = np.random.default_rng(n).integers(0, 2 ** np.random.default_rng(n + 1).integers(1, 33, n), dtype=np.uint64).astype("<u4") if n else np.zeros(0, "<u4")
