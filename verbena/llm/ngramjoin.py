@@ -325,8 +325,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", param
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", params: JoinParams | None = None) -> DataFrame:
-    """The rows of docs, all columns, without those whose class has a document of a lower key; of rows that share a key and are in
-    a class, the one with the least text stays. Rows with a null key stay."""
+    """The rows of docs, all columns, without those whose class has a document of a lower key; of rows that share a key, the one
+    with the least text stays, even where their texts are unrelated: keys are to be unique. Rows with a null key stay."""
     classes = near_classes(docs, key, text, params, exact_links=False)
     name, mark = free_name(docs, "class_key"), free_name(docs, "class_rank")
     gone = classes.where(F.col("class_id") != F.col(key)).select(F.col(key).alias(name)).distinct()
