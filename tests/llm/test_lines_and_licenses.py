@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+import pytest
+
 from verbena.llm.licenses import PHRASES, TEMPLATES, _template_words, scan_licenses
 from verbena.llm.linededup import dedup_lines
 
@@ -76,3 +78,11 @@ def test_license_scan_equals_brute_force(spark):
     same = scan_licenses(spark.createDataFrame([(1, TEMPLATES[0][0]), (1, TEMPLATES[0][0]), (None, "MIT license")], "doc_id long, text string")).collect()
     assert sorted((str(x.doc_id), len(x.places), len(x.found)) for x in same) == [("1", 0, 1), ("1", 0, 1), ("None", 1, 0)]
     assert scan_licenses(d.limit(0)).count() == 0
+
+
+def test_templates_that_a_block_may_cut_are_refused(spark):
+    d = spark.createDataFrame([(1, "filler " * 31 + " ".join(f"t{i}" for i in range(34)))], "doc_id long, text string")
+    with pytest.raises(ValueError, match="34 words"):
+        scan_licenses(d, templates=((" ".join(f"t{i}" for i in range(34)), "own"),))
+    longer = scan_licenses(d, templates=((" ".join(f"t{i}" for i in range(34)), "own"),), block_words=66, threshold=1.0)
+    assert [f.label for f in longer.first().found] == ["own"]

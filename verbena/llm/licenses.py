@@ -77,11 +77,15 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     """key, n_words, places (of phrases: label and word, from 0), found (label, block and score of met templates) for each row.
 
     Null and empty texts have no words and nothing in them. Rows alike in key and text have the same result each; null keys are
-    keys like others. Other columns are left out.
+    keys like others. Other columns are left out. Blocks start every half block_words, so any notice of up to half of them and one
+    more lies whole in one; a longer template is an error, as it could be missed.
     """
     spark = docs.sparkSession
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"at most {MOST_TEMPLATES} templates")
+    longest = max((len("".join(c if c.isalnum() else " " for c in t).split()) for t, _ in templates), default=0)
+    if longest > block_words - block_words // 2 + 1:
+        raise ValueError(f"a template of {longest} words needs block_words of {2 * longest - 2} or more")
     sets = [(i, label, _template_words(t)) for i, (t, label) in enumerate(templates)]
     ranks = word_ranks(docs, sorted({w for _, _, s in sets for w in s}), text)
     need = {i: math.ceil(threshold * len(s) - 1e-9) for i, _, s in sets}
