@@ -50,9 +50,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = getattr(spark.sparkContext, "_verbena_own_folder", None)
         if own is None:
             own = spark.sparkContext._verbena_own_folder = "file://" + tempfile.mkdtemp(prefix="verbena-")
@@ -63,11 +65,14 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it again.
 
-    A lost executor then costs a reread, not the plan above. release() removes the folder when its readers are done.
+    A lost executor then costs a reread, not the plan above. release() removes the folder when its readers are done; what is
+    still there when the driver's JVM ends goes then.
     """
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/verbena-{name}-{uuid.uuid4().hex}"
     df.write.parquet(place, compression=compression)
+    path, files = _hadoop(spark, place)
+    files.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(place)
     out._verbena_place = place
     for s in _scratches:
@@ -75,6 +80,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def _hadoop(spark: SparkSession, place: str):  # noqa: ANN202
+    """The place as a path, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 _scratches: list[Scratch] = []
 
 
@@ -103,7 +114,7 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         place = getattr(df, "_verbena_place", None)
         if place:
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            path = jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            path, files = _hadoop(df.sparkSession, place)
+            files.delete(path, True)
+            files.cancelDeleteOnExit(path)
             df._verbena_place = None
