@@ -6,6 +6,7 @@ import re
 import pytest
 
 from verbena.llm.classes import components
+from verbena.llm.common import dealt_join
 from verbena.llm.ngramjoin import JoinParams, keep_one, least_matches, near_classes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -85,11 +86,40 @@ def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(40))
     d = spark.createDataFrame([(1, long, 0), (1, long, 0), (2, None, 0), (3, "", 0), (None, long, 0), (4, long + " end", 0), (2, None, 1)], "doc_id long, text string, class_id int")
     got = sorted((str(r.doc_id), str(r.class_id)) for r in near_classes(d).collect())
-    assert got == [("1", "1"), ("1", "1"), ("2", "2"), ("2", "2"), ("3", "3"), ("4", "1"), ("None", "None")]
+    assert got == [("1", "1"), ("1", "1"), ("2", "2"), ("2", "2"), ("3", "3"), ("4", "1"), ("None", "1")]
     kept = keep_one(d)
     assert kept.columns == d.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "None"]
-    assert near_classes(d.limit(0)).count() == 0
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "2", "3"]
+    assert near_classes(d.limit(0)).count() == 0 and keep_one(d.limit(0)).count() == 0
+
+
+def test_keys_play_no_part_in_what_stays(spark):
+    text = lambda s, n=40: " ".join(f"{s}{i}" for i in range(n))
+    rows = [
+        (1, text("a"), "x"), (1, text("b"), "x"), (1, text("b") + " end", "y"),  # unrelated texts under one key, and a near copy under it
+        (None, text("c"), "x"), (None, text("c"), "y"), (None, text("d"), "x"),  # copies under null keys
+        (7, text("c"), "x"), (8, text("e"), "b"), (8, text("e"), "a"), (8, text("e"), None),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string, r1 string")
+    got = sorted(((r.doc_id, r.text[0], r.r1) for r in keep_one(d).collect()), key=str)
+    assert [x for x in got if x[1] not in "b"] == [(1, "a", "x"), (7, "c", "x"), (8, "e", None), (None, "d", "x")]
+    assert len([x for x in got if x[1] == "b"]) == 1
+    named = spark.createDataFrame([(f"k{k}", t, r) for k, t, r in rows], "doc_id string, text string, r1 string")
+    assert sorted(r.text[0] for r in keep_one(named).collect()) == list("abcde")
+    assert {(r.doc_id, r.class_id) for r in near_classes(named).collect()} == {("k1", "k1"), ("kNone", "k7"), ("kNone", "kNone"), ("k7", "k7"), ("k8", "k8")}
+
+
+def test_hot_keys_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr("verbena.llm.common.LEAST_HOT", 3)
+    left = [(i % 5 if i % 2 else 1, i) for i in range(200)] + [(99, 1)]
+    right = [(k, f"v{k}") for k in range(6)]
+    a, b = spark.createDataFrame(left, "k long, x long"), spark.createDataFrame(right, "k long, v string")
+    want = sorted((k, x, dict(right).get(k)) for k, x in left if k in dict(right))
+    assert sorted(map(tuple, dealt_join(a, b, "k", len(left)).collect())) == want
+    assert dealt_join(a, b, "k", len(left), "left").count() == len(left)
+    rows = corpus(3)
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():

@@ -2,7 +2,8 @@
 
 Alternating star contraction: each node points its larger neighbours to the least node it knows, then its smaller ones; the
 number of rounds grows with the logarithm of a class's diameter, chains of copies included. No links reach the driver; each
-round is written, so a lost executor costs one round at most.
+round is written, so a lost executor costs one round at most. The centre of a large class has a row for each of its members: such
+keys are counted, and dealt_join() spreads them.
 """
 
 from __future__ import annotations
@@ -10,19 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import dealt_join, release, written
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, rows: int) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    known = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = known.select("u", F.least("u", "m").alias("m"))
+    return dealt_join(both, least, "u", 2 * rows, counts=known).where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, rows: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    across = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    known = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = known.select("u", "m")
+    across = dealt_join(down, least, "u", rows, counts=known).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return across.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,14 +35,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None
     With rounds, it stops after so many: labels are then of the same class, but a class may still have several.
     """
     e = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    rows = e.count()
     state, done = None, 0
     while done != rounds:
-        after = written(_small(_large(e)), "links")
+        after = written(_small(_large(e, rows), rows), "links")
         release(e)
         e = after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or now[0] == 0:
             break
-        state, done = now, done + 1
+        state, done, rows = now, done + 1, now[0]
     down = e.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("label"))
     return down.union(down.select(F.col("label").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))

@@ -30,4 +30,29 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-__all__ = ["Scratch", "free_name", "let", "release", "shared_folder", "ship", "table", "text_bytes", "written"]
+#: A key is hot if more than one in so many of all rows have it. There are no more such keys than this, so a list of them is small.
+HOT_KEYS = 10_000
+#: No key with fewer rows than this is hot.
+LEAST_HOT = 64
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left.join(right, on, how), for a left side of so many rows of which a few keys may hold a large share.
+
+    The rows of a hot key are dealt by hash into parts, and the rows that right has for it are given to each part. counts has the
+    keys and how many rows of left have each, n; without it they are counted. how is inner, left or left_semi. Only the list of
+    hot keys is broadcast, which HOT_KEYS bounds.
+    """
+    on = [on] if isinstance(on, str) else on
+    counts = left.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts
+    most = max(LEAST_HOT, -(-rows // HOT_KEYS))
+    hot = counts.where(F.col("n") > most).select(*(F.col(c).alias(f"hot_{c}") for c in on), F.ceil(F.col("n") / most).alias("hot_parts"))
+    hot = F.broadcast(hot)
+    same = lambda side: [side[c] == hot[f"hot_{c}"] for c in on]
+    part = F.when(F.col("hot_parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(F.lit("part"), *left.columns), F.col("hot_parts")))
+    dealt = left.join(hot, same(left), "left").select(*left.columns, part.alias("hot_part"))
+    given = right.join(hot, same(right), "left").select(*right.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("hot_parts", F.lit(1)) - 1)).alias("hot_part"))
+    return dealt.join(given, [*on, "hot_part"], how).drop("hot_part")
+
+
+__all__ = ["Scratch", "dealt_join", "free_name", "let", "release", "shared_folder", "ship", "table", "text_bytes", "written"]

@@ -1,6 +1,6 @@
 """N-gram Jaccard join: links between texts whose sets of word grams have a Jaccard similarity of a threshold or more.
 
-1. Texts with equal gram sets are one node (the least id stands for them): copies are never paired with each other.
+1. Texts with equal gram sets are one node, numbered: copies are never paired with each other, and keys play no part.
 2. Each node gets MinHash values; bands of them put nodes into buckets. With 40 bands of 6 values a pair at 0.8 shares no bucket
    with a probability of 5e-6.
 3. Star round: in each bucket the node with the most company over all its buckets (an original among edited copies) is the centre;
@@ -11,15 +11,19 @@
 4. Peeling: of the nodes in buckets that then hold several classes, those with too many grams of their own go, grams that no
    other such node has: they can't reach the threshold with any. This is exact, repeated while nodes go, and linear.
 5. Last round: of the nodes left, pairs of different classes that share a gram in both prefixes (each node's rarest grams, so many that
-   a partner must share one), by the same pruning and verification. Two nodes that share a bucket are thus in one
-   class by links found, or ruled out exactly, or have been compared with each other: pairs inside a class add nothing to it
-   and are not enumerated.
+   a partner must share one), whose sizes are near enough and whose shared gram stands early enough, by the same pruning and
+   verification. Two nodes that share a bucket are thus in one class by links found, or ruled out exactly, or have been compared
+   with each other: pairs inside a class add nothing to it and are not enumerated.
 
 A document's n_links counts the nodes, that is different gram sets, that reach the threshold with it; all of them are in its class. They are
-counted within each class, block by block: a class is cut into blocks of `block` nodes, and a task has two blocks at most, whose
-shared grams a matrix product counts; pairs are counted there and never become rows. That work grows with the square of a
-class, so keep_one(), which needs no counts, leaves it out (exact_links=False: then n_links counts the links found above, which
-connect each class).
+counted within each class, block by block: a class is dealt by hash into blocks, bounded by nodes and by grams, and a task has two
+blocks at most, whose shared grams matrix products count; pairs are counted there and never become rows. A class of N nodes
+in blocks of B sends N / B copies of each gram set, and the counting itself grows with the square of the class, as any exact count
+must where all are near each other. keep_one(), which needs no counts, leaves it out (exact_links=False: then n_links counts the links
+found above, which connect each class).
+
+Keys that many rows share, a common bucket, the centre of a large class, a text with many copies, are counted before each join and dealt
+to several tasks (dealt_join).
 
 Style: free (mapInArrow for signatures, pruning and verification; all grouping by joins and aggregations). Nothing is collected.
 """
@@ -33,11 +37,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .classes import components
-from .common import free_name, release, ship, text_bytes, written
+from .common import Scratch, dealt_join, free_name, release, ship, text_bytes, written
 from .wordhash import ALNUM, gram_hashes, mix, word_hashes
 
 
@@ -50,6 +55,7 @@ class JoinParams:
     step: int = 24
     tolerance: float = 1e-7
     block: int = 256
+    block_grams: int = 2_000_000
 
     @property
     def size(self) -> int:
@@ -62,6 +68,10 @@ def gram_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(gram_hashes(words, min(k, len(words)))) if len(words) else words
 
 
+def _set_hash(grams: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), "<i8")
+
+
 def _constants(n: int) -> tuple[np.ndarray, ...]:
     r = np.random.Generator(np.random.PCG64(77))
     draw = lambda: r.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
@@ -102,19 +112,25 @@ def least_matches(params: JoinParams) -> list[int]:
     return out
 
 
+def _row_ids(key: str, text: str) -> list[Column]:
+    """r1, r2: two hashes that stand for a row's key and text. Rows alike in both are one row."""
+    return [F.xxhash64(F.lit(mark), F.col(key), F.lit("text"), F.col(text)).alias(mark) for mark in ("r1", "r2")]
+
+
 def signatures(docs: DataFrame, key: str, text: str, params: JoinParams) -> DataFrame:
-    """id, n_grams, hi, lo (a 128-bit hash of the gram set), sig (a byte of each MinHash value), bands."""
+    """r1, r2, key, n_grams, hi, lo (a 128-bit hash of the gram set), sig (a byte of each MinHash value), bands."""
     ship(docs.sparkSession)
+    names = ["r1", "r2", "key", "n_grams", "hi", "lo", "sig", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         constants = _constants(params.size)
         salt = mix(np.arange(1, params.bands + 1, dtype=np.uint64))
         for b in batches:
             sizes, halves, least = [], [], np.zeros((b.num_rows, params.size), np.uint32)
-            for i, x in enumerate(b.column(1)):
+            for i, x in enumerate(b.column(3)):
                 grams = gram_set(x.as_py(), params.words)
                 sizes.append(len(grams))
-                halves.append(np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), "<i8"))
+                halves.append(_set_hash(grams))
                 if len(grams):
                     least[i] = min_hashes(grams, constants)
             wide = least.reshape(b.num_rows, params.bands, params.rows).astype(np.uint64)
@@ -125,20 +141,29 @@ def signatures(docs: DataFrame, key: str, text: str, params: JoinParams) -> Data
             both = np.array(halves, np.int64).reshape(-1, 2)
             offsets = pa.array(np.arange(0, b.num_rows * params.bands + 1, params.bands, dtype=np.int32))
             low = least.astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([row.tobytes() for row in low], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel()))],
-                names=["id", "n_grams", "hi", "lo", "sig", "bands"],
-            )
+            made = [pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([row.tobytes() for row in low], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=names)
 
-    narrow = docs.select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("body"))
-    return narrow.mapInArrow(run, "id long, n_grams long, hi long, lo long, sig binary, bands array<long>")
+    narrow = docs.select(*_row_ids(key, text), F.col(key).alias("key"), text_bytes(text).alias("body"))
+    made = [T.StructField(n, T.LongType()) for n in names[3:6]] + [T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:3], *made]))
+
+
+def _with_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b, written) with these columns of table for either side, named column_a and column_b. A node may be in many pairs."""
+    rows = pairs.count()
+    for x in "ab":
+        counts = pairs.groupBy(x).agg(F.count("*").alias("n"))
+        side = table.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        out = dealt_join(pairs if x == "a" else out, side, x, rows, counts=counts)
+    return out
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
-    """a, b, matches of the candidate pairs that sizes and MinHash values leave."""
+    """a, b, matches of the candidate pairs (written) that sizes and MinHash values leave."""
     ship(pairs.sparkSession)
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n_grams").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= F.lit(params.threshold - 1e-9) * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b")
+    wide = _with_sides(pairs, nodes, "n_grams", "sig")
+    wide = wide.where(F.least("n_grams_a", "n_grams_b") >= F.lit(params.threshold - 1e-9) * F.greatest("n_grams_a", "n_grams_b")).select("a", "b", "sig_a", "sig_b")
     floors = least_matches(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,16 +183,25 @@ def _likely(pairs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame
 
 
 def _gram_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, params: JoinParams) -> DataFrame:
-    """id, grams of the documents in wanted, written."""
+    """id, grams of the nodes in wanted (id, r1, r2, hi, lo); what repeated rows give twice may come twice."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the join leaves rows alike next to each other
         for b in batches:
-            grams = [gram_set(x.as_py(), params.words).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary())], names=["id", "grams"])
+            ids, sets = [], []
+            for i, hi, lo, x in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3), strict=True):
+                if i != last:
+                    grams = gram_set(x.as_py(), params.words)
+                    if tuple(_set_hash(grams)) == (hi, lo):
+                        ids.append(i)
+                        sets.append(grams.tobytes())
+                        last = i
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "grams"])
 
     # always by a shuffle: how many are wanted grows with the corpus
-    bodies = docs.select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("body"))
-    return bodies.join(wanted.distinct().hint("merge"), "id", "left_semi").mapInArrow(run, "id long, grams binary")
+    bodies = docs.select(*_row_ids(key, text), text_bytes(text).alias("body"))
+    return bodies.join(wanted.hint("merge"), ["r1", "r2"]).select("id", "hi", "lo", "body").mapInArrow(run, "id long, grams binary")
 
 
 def _peeled(open_: DataFrame, sets: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
@@ -201,13 +235,39 @@ def _peeled(open_: DataFrame, sets: DataFrame, params: JoinParams) -> tuple[Data
     return nodes, spread.join(nodes.select("id"), "id", "left_semi")
 
 
-def _prefixes(nodes: DataFrame, grams: DataFrame) -> DataFrame:
-    """id, gram: each node's most + 1 rarest grams among these nodes. A partner that reaches the threshold shares one of them with it, in
-    its own prefix too, as both follow one order."""
+def _prefixes(nodes: DataFrame, grams: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, label, gram, k (its place), n_grams, size: each node's most + 1 rarest grams among these nodes, for those grams that nodes of several
+    classes have there. A partner that reaches the threshold shares one of them with it, in its own prefix too, as both follow one
+    order."""
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
     order = Window.partitionBy("id").orderBy("n", "gram")
-    ranked = grams.join(often, "gram").withColumn("k", F.row_number().over(order))
-    return ranked.join(nodes, "id").where(F.col("k") <= F.floor("most") + 1).select("id", "gram")
+    ranked = grams.join(often, "gram").withColumn("k", F.row_number().over(order)).withColumn("n_grams", F.count("*").over(Window.partitionBy("id")))
+    some = ranked.join(nodes, "id").where(F.col("k") <= F.floor("most") + 1).select("gram", "id", "k", "n_grams")
+    return some.join(labels, F.col("id") == F.col("node"), "left").select("gram", "id", "k", "n_grams", F.coalesce("label", "id").alias("label"))
+
+
+def _prefix_pairs(prefixes: DataFrame, params: JoinParams) -> DataFrame:
+    """a, b: nodes of different classes that share a gram of both prefixes and whose sizes, and places of that gram, let them reach t.
+
+    Rows meet by gram and by size: a partner has at least t and at most 1 / t times as many grams, so its size class is the same or
+    the next. Within a gram and size class, the class with most rows never meets itself: a gram that a large class has costs a
+    row of it for each row of another class, not the square.
+    """
+    t = params.threshold - 1e-9
+    step = -math.log(t)
+    sized = prefixes.withColumn("size", F.floor(F.log("n_grams") / F.lit(step)).cast("long"))
+    # in (gram, size) stand the rows of that size class, own, and those of the one below
+    rows = sized.withColumn("own", F.lit(True)).union(sized.withColumn("size", F.col("size") + 1).withColumn("own", F.lit(False)))
+    counts = rows.groupBy("gram", "size", "label").agg(F.count("*").alias("n"), F.max("own").alias("own"))
+    counts = counts.groupBy("gram", "size").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("classes"), F.max("own").alias("own")).where("classes > 1 AND own").select("gram", "size", "major")
+    met = written(rows.join(counts, ["gram", "size"]), "met")
+    x = met.where("label != major").select("gram", "size", *(F.col(c).alias(f"{c}_x") for c in ("id", "label", "k", "n_grams", "own")), "major")
+    y = met.select("gram", "size", *(F.col(c).alias(f"{c}_y") for c in ("id", "label", "k", "n_grams", "own")))
+    # both not major: each pair once; both of the class below: met there
+    apart = "label_x != label_y AND (label_y = major OR label_x < label_y) AND (own_x OR own_y)"
+    sizes = F.least("n_grams_x", "n_grams_y") >= F.lit(t) * F.greatest("n_grams_x", "n_grams_y")
+    places = 1 + F.least(F.col("n_grams_x") - F.col("k_x"), F.col("n_grams_y") - F.col("k_y")) >= F.lit(t / (1 + t)) * (F.col("n_grams_x") + F.col("n_grams_y"))
+    return x.join(y, ["gram", "size"]).where(F.expr(apart) & sizes & places).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
@@ -224,8 +284,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
                 good.append(shared >= t * (len(x) + len(y) - shared))
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long").distinct()
+    wide = _with_sides(written(pairs.select("a", "b"), "pairs"), sets, "grams")
+    return wide.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long").distinct()
+
+
+#: Nodes of two blocks that a matrix product compares at once.
+_TILE = 256
 
 
 def _links_in_block(a: list[np.ndarray], b: list[np.ndarray], t: float, columns: int = 4096) -> np.ndarray:
@@ -250,86 +314,131 @@ def _links_in_block(a: list[np.ndarray], b: list[np.ndarray], t: float, columns:
 
 
 def _link_counts(labels: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
-    """node, n_links: for each node of labels, how many others of its class reach the threshold with it."""
+    """node, n_links: for each node of labels (node, label, n_grams), how many others of its class reach the threshold with it.
+
+    A class is dealt by hash into blocks; each block meets itself and every other one once, in a task that holds these two. A
+    block holds a sixteenth of its class, but params.block nodes at least, and no more grams than block_grams, one node at least.
+    """
     ship(labels.sparkSession)
-    t, block = params.threshold - 1e-9, params.block
-    placed = labels.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("node")) - 1).withColumn("own", F.floor(F.col("place") / block))
-    blocks = placed.groupBy(F.col("label").alias("of")).agg((F.max("own") + 1).alias("blocks"))
-    # each block meets itself and every other one once; a group holds the nodes of two blocks at most
-    spread = placed.join(blocks, F.col("label") == F.col("of")).select("label", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    t = params.threshold - 1e-9
+    classes = labels.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
+    wanted = F.greatest(F.ceil(F.col("n") / F.greatest(F.lit(params.block), F.ceil(F.col("n") / 16))), F.ceil(F.col("grams") / params.block_grams))
+    blocks = classes.select("label", F.greatest(F.lit(1), F.least("n", wanted)).cast("long").alias("blocks"))
+    placed = dealt_join(labels.select("label", "node"), blocks, "label", labels.count(), counts=classes.select("label", "n"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    spread = placed.select("label", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("label", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     one = sets.groupBy("id").agg(F.first("grams").alias("grams"))
     wide = spread.join(one, F.col("node") == F.col("id")).select("label", "i", "j", "node", "own", "grams")
 
     def count(group: pa.Table) -> pa.Table:
         nodes, own = group.column("node").to_numpy(), group.column("own").to_numpy()
-        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("grams")]
-        first = np.flatnonzero(own == own.min())
-        second = first if own.min() == own.max() else np.flatnonzero(own == own.max())
-        met = _links_in_block([grams[k] for k in first], [grams[k] for k in second], t)
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group.column("grams").chunks for x in chunk]
+        first, second = np.flatnonzero(own == group.column("i")[0].as_py()), np.flatnonzero(own == group.column("j")[0].as_py())
+        alone = group.column("i")[0] == group.column("j")[0]
         found = np.zeros(len(nodes), np.int64)
-        if second is first:
-            np.fill_diagonal(met, False)
-            found[first] = met.sum(axis=1)
-        else:
-            found[first], found[second] = met.sum(axis=1), met.sum(axis=0)
+        for p in range(0, len(first), _TILE):
+            for q in range(p if alone else 0, len(second), _TILE):
+                a, b = first[p : p + _TILE], second[q : q + _TILE]
+                met = _links_in_block([grams[k] for k in a], [grams[k] for k in b], t)
+                if alone and p == q:
+                    np.fill_diagonal(met, False)
+                    found[a] += met.sum(axis=1)
+                else:
+                    found[a] += met.sum(axis=1)
+                    found[b] += met.sum(axis=0)
         return pa.table({"node": nodes, "n": found})
 
     counted = wide.groupBy("label", "i", "j").applyInArrow(count, "node long, n long")
     return counted.groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", params: JoinParams | None = None, exact_links: bool = True) -> DataFrame:
-    """key, class_id, n_links, n_grams for each row of docs.
-
-    class_id is the least id of the class; a class holds equal gram sets and what links connect. The key is cast to long; rows that
-    share a key are one document, linked if any of their texts is. Null keys and texts without words are classes of
-    their own (class_id is the key). An empty table gives an empty result. Other columns are left out.
-    """
-    params = params or JoinParams()
-    spark = docs.sparkSession
+def _classed(docs: DataFrame, key: str, text: str, params: JoinParams, exact_links: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (r1, r2, key, n_grams, hi, lo) and what is known of each gram set: hi, lo, n (its rows), n_links, least (the row of its
+    class with the least key, nulls last, then the least r1, r2)."""
     signed = written(signatures(docs, key, text, params), "signatures")
-    real = signed.where("n_grams > 0 AND id IS NOT NULL")
-    nodes = written(real.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n_grams").alias("n_grams"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    first = lambda c: F.first(c).alias(c)
+    own = F.struct(F.col("key").isNull().alias("none"), "key", "r1", "r2")
+    nodes = signed.where("n_grams > 0").groupBy("hi", "lo").agg(F.min(own).alias("least"), F.count("*").alias("n"), *map(first, ("n_grams", "sig", "bands")))
+    # numbered after a sort, so that reruns number alike
+    nodes = written(nodes.sortWithinPartitions("hi", "lo").withColumn("id", F.monotonically_increasing_id()), "nodes")
     spread = nodes.select("id", "n_grams", F.explode("bands").alias("bucket"))
-    company = spread.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
-    shared = written(spread.join(company, "bucket"), "shared")
+    in_all = params.bands * nodes.count()
+    company = written(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "company")
+    shared = written(dealt_join(spread, company, "bucket", in_all, counts=company), "shared")
     members = written(shared.join(shared.groupBy("id").agg(F.sum("n").alias("weight")), "id").select("bucket", "id", "n_grams", "weight"), "members")
     release(shared)
-    sets = written(_gram_sets(docs, key, text, members.select("id"), params), "sets")
+    wanted = nodes.select("id", "least.r1", "least.r2", "hi", "lo").join(members.select("id").distinct(), "id", "left_semi")
+    sets = written(_gram_sets(docs, key, text, wanted, params), "sets")
 
     # star round
     centres = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("centre"), F.col("c.weight").alias("weight"))
-    near = members.select("bucket", "id").join(centres, "bucket").where("id != centre").groupBy("id", "centre").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
+    near = dealt_join(members.select("bucket", "id"), centres, "bucket", in_all, counts=company).where("id != centre").groupBy("id", "centre").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
     best = near.groupBy("id").agg(F.max_by("centre", F.struct("n", "weight", "centre")).alias("centre"))
-    pairs = best.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+    pairs = written(best.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct(), "pairs")
     links = written(_verified(_likely(pairs, nodes, params), sets, params), "links")
-    labels = components(links, rounds=2)
+    labels = written(components(links, rounds=2), "labels")
 
     # what the star left apart
     placed = members.join(labels, members["id"] == labels["node"], "left").select("bucket", "id", "n_grams", F.coalesce("label", "id").alias("label"))
     placed = written(placed, "placed")
     several = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n_grams").alias("least")).where("low < high").select("bucket", "least")
-    nodes_left, grams = _peeled(written(placed.join(several, "bucket"), "open"), sets, params)
-    prefixes = written(_prefixes(nodes_left, grams).join(labels, F.col("id") == F.col("node"), "left").select("gram", "id", F.coalesce("label", "id").alias("label")), "prefixes")
-    pairs = prefixes.join(prefixes.select("gram", F.col("id").alias("y"), F.col("label").alias("other")), "gram").where("label < other").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+    open_ = written(dealt_join(placed, several, "bucket", in_all, counts=company), "open")
+    nodes_left, grams = _peeled(open_, sets, params)
+    pairs = written(_prefix_pairs(written(_prefixes(nodes_left, grams, labels), "prefixes"), params), "pairs")
     links = written(_verified(_likely(pairs, nodes, params), sets, params).union(links).distinct(), "links")
-    labels = components(links)
+    labels = written(components(links).join(nodes.select(F.col("id").alias("node"), "n_grams"), "node"), "labels")
     if exact_links:
-        degree = _link_counts(written(labels, "labels"), sets, params)
+        degree = _link_counts(labels, sets, params)
     else:
         degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    classed = nodes.select("hi", "lo", F.col("id").alias("node")).join(labels, "node", "left").join(degree, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = signed.select("id", "n_grams", F.when((F.col("n_grams") > 0) & F.col("id").isNotNull(), F.col("hi")).alias("hi"), "lo").join(classed, ["hi", "lo"], "left")
-    return rows.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams")
+    linked = nodes.select("hi", "lo", "n", "id", "least").join(labels.select(F.col("node").alias("id"), "label"), "id").join(degree.withColumnRenamed("node", "id"), "id")
+    linked = written(linked.drop("id"), "linked")
+    best = linked.groupBy("label").agg(F.min("least").alias("least"), F.count("*").alias("n"))
+    linked = dealt_join(linked.drop("least"), best.drop("n"), "label", in_all // params.bands, counts=best.select("label", "n")).drop("label")
+    alone = nodes.join(labels.select(F.col("node").alias("id")), "id", "left_anti").select("hi", "lo", "n", F.lit(0).cast("long").alias("n_links"), "least")
+    return signed, written(linked.select("hi", "lo", "n", "n_links", "least").union(alone), "classed")
+
+
+def _rows_classed(signed: DataFrame, classed: DataFrame) -> DataFrame:
+    """The rows with words, each with n_links and least of its class."""
+    rows = signed.where("n_grams > 0").select("r1", "r2", "key", "n_grams", "hi", "lo")
+    return dealt_join(rows, classed.drop("n"), ["hi", "lo"], signed.count(), counts=classed.select("hi", "lo", "n"))
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", params: JoinParams | None = None, exact_links: bool = True) -> DataFrame:
+    """key, class_id, n_links, n_grams for each row of docs.
+
+    A class holds the rows with equal gram sets and those that links connect; class_id is its least key, of any type that can be ordered. Null
+    keys count last, so class_id is null only if a class has no other. Rows that share a key are told apart by their texts: unrelated
+    ones are in different classes, though both may be named by that key. A row without words (null, empty, marks only) is alone:
+    its class_id is its key. An empty table gives an empty result. Other columns are left out, whatever their names.
+    """
+    with Scratch() as scratch:
+        signed, classed = _classed(docs, key, text, params or JoinParams(), exact_links)
+        rows = _rows_classed(signed, classed).select(F.col("key").alias(key), F.col("least.key").alias("class_id"), "n_links", "n_grams")
+        wordless = signed.where("n_grams = 0").select(F.col("key").alias(key), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_grams")
+        return scratch.keep(written(rows.union(wordless), "classes"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", params: JoinParams | None = None) -> DataFrame:
-    """The rows of docs, all columns, without those whose class has a document of a lower key; of rows that share a key, the one
-    with the least text stays, even where their texts are unrelated: keys are to be unique. Rows with a null key stay."""
-    classes = near_classes(docs, key, text, params, exact_links=False)
-    name, mark = free_name(docs, "class_key"), free_name(docs, "class_rank")
-    gone = classes.where(F.col("class_id") != F.col(key)).select(F.col(key).alias(name)).distinct()
-    kept = docs.join(gone, docs[key].cast("long") == gone[name], "left_anti")
-    ranked = kept.withColumn(mark, F.row_number().over(Window.partitionBy(F.col(key)).orderBy(F.col(text).asc_nulls_last())))
-    return ranked.where((F.col(mark) == 1) | F.col(key).isNull()).drop(mark)
+    """The rows of docs, all columns, of each class the one with the least key (nulls last; then by hashes of key and text).
+
+    Only rows of one class stand for each other, whatever their keys: unrelated texts under one key all stay, and copies under null
+    keys leave one. Of rows alike in key and text one stays, the one with the least other columns. Rows without words all stay.
+    """
+    with Scratch() as scratch:
+        signed, classed = _classed(docs, key, text, params or JoinParams(), exact_links=False)
+        gone = _rows_classed(signed, classed).where("r1 != least.r1 OR r2 != least.r2").select("r1", "r2").distinct()
+        gone = scratch.keep(written(gone, "gone"))
+        again = signed.where("n_grams > 0").groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").select("r1", "r2")
+        again = scratch.keep(written(again, "again"))
+    names = [free_name(docs, "r1"), free_name(docs, "r2")]
+    ids = lambda d: d.withColumnsRenamed(dict(zip(["r1", "r2"], names, strict=True)))
+    kept = docs.select("*", *(c.alias(n) for c, n in zip(_row_ids(key, text), names, strict=True))).join(ids(gone), names, "left_anti")
+    if not again.isEmpty():
+        order = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+        whole = F.struct(*(F.col(c) for c in docs.columns))
+        repeated = kept.join(ids(again), names, "left_semi").groupBy(*names).agg(F.min_by(whole, F.struct(*order)).alias("row"))
+        kept = kept.join(ids(again), names, "left_anti").select(*docs.columns).union(repeated.select("row.*"))
+    return kept.select(*docs.columns)
