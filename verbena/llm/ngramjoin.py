@@ -54,7 +54,7 @@ class JoinParams:
     rows: int = 6
     step: int = 24
     tolerance: float = 1e-7
-    block: int = 256
+    block: int = 64
     block_grams: int = 2_000_000
 
     @property
