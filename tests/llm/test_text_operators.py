@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -53,31 +54,42 @@ def brute_leaks(text, items, window=10):
     return len(words), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("block_words", [10, 4_000_000])
-def test_leaks_equal_brute_force(spark, block_words):
+def test_leaks_equal_brute_force(spark):
     docs = list(enumerate(random_texts(60, 1) + ODD)) + [(3, "ab cd ef"), (None, "ab cd ef gh ij kl mn ab cd ef gh")]
     items = [(str(i), t) for i, t in enumerate(random_texts(25, 2, most=24))] + [("x", None), ("y", ""), (None, "ef ef gh"), ("7", "gh mn"), ("7", "gh mn")]
-    d = spark.createDataFrame([(k, t, "clash") for k, t in docs], "doc_id long, text string, body string")
+    d = spark.createDataFrame([(k, t, "clash", 0) for k, t in docs], "doc_id long, text string, body string, t1 int")
     b = spark.createDataFrame(items, "item_id string, text string")
-    rows = leaks.find_leaks(d, b, block_words=block_words).collect()
+    rows = leaks.find_leaks(d, b).collect()
     got = sorted((str(r.doc_id), r.n_words, sum(s.end - s.start for s in r.hit_spans), r.hit_items) for r in rows)
     assert got == sorted((str(k), *brute_leaks(t, items)) for k, t in docs)
-    kept = leaks.keep_clean(d, b, block_words=block_words)
+    kept = leaks.keep_clean(d, b)
     assert kept.columns == d.columns
     assert sorted(str(r.doc_id) + str(r.text) for r in kept.collect()) == sorted(str(k) + str(t) for k, t in docs if not brute_leaks(t, items)[1])
     assert leaks.find_leaks(d, b.limit(0)).where("size(hit_items) > 0").count() == 0
     assert leaks.find_leaks(d.limit(0), b).count() == 0
 
 
+def test_leaks_in_texts_that_repeat_themselves(spark):
+    items = [("a", "spam " * 1000), ("b", "spam " * 12 + "end"), ("c", "ham egg " * 300)]
+    docs = [(1, "spam " * 100_000), (2, "x " * 50 + "spam " * 9), (3, "egg ham " * 50_000 + "spam " * 10), (4, "spam " * 9 + "end")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    began = time.monotonic()
+    got = {r.doc_id: ([(s.start, s.end) for s in r.hit_spans], r.hit_items) for r in leaks.find_leaks(d, b).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {1: ([(0, 100_000)], ["a", "b"]), 2: ([], []), 3: ([(0, 100_010)], ["a", "b", "c"]), 4: ([(0, 10)], ["b"])}
+
+
 def test_winnowing_misses_no_span_of_a_window():
     r = np.random.default_rng(5)
-    for _ in range(200):
-        item, doc = r.integers(0, 6, 30).astype(np.uint64), r.integers(0, 6, 80).astype(np.uint64)
-        index = leaks.LeakIndex([], 10, 5)
-        index = leaks.LeakIndex([("i", b" ".join(b"w%d" % x for x in item))], 10, 5)
-        spans, _ = index.search(word_hashes(b" ".join(b"w%d" % x for x in doc), ALNUM, True))
-        want = {q for p in range(71) for i in range(21) if (doc[p : p + 10] == item[i : i + 10]).all() for q in range(p, p + 10)}
-        assert {q for s, e in spans for q in range(s, e)} == want
+    hashes = lambda x: word_hashes(x, ALNUM, True)
+    for n, gram in ((10, 5), (7, 5), (3, 5), (4, 2)):
+        for _ in range(100):
+            item, doc = (b" ".join(b"w%d" % x for x in r.integers(0, 4, size)) for size in (30, 80))
+            a, b = item.split(), doc.split()
+            shared = np.intersect1d(leaks.prints(hashes(item), [n], gram), leaks.prints(hashes(doc), [n], gram))
+            left, right = (leaks.seeded_windows(x, shared, [n], gram) for x in (item, doc))
+            got = {q for w in right.keys() & left.keys() for s, e in right[w] for q in range(s, e)}
+            assert got == {q for p in range(len(b) - n + 1) for i in range(len(a) - n + 1) if b[p : p + n] == a[i : i + n] for q in range(p, p + n)}
 
 
 def test_token_counts_equal_the_library(spark):

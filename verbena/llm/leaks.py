@@ -2,27 +2,40 @@
 
 Both sides are cut into grams of `gram` words; of each window of `window - gram + 1` consecutive grams the smallest hash is
 a fingerprint. A span of at least `window` words that both sides share holds such a window whole, so both sides keep the same
-fingerprint of it: no such span can be missed. Fingerprints found in both are seeds; each is extended word by word as far as
-both sides agree, and counts if it reaches `window` words. Items of fewer words are looked up as one gram of their length.
-
-Style: free. The benchmark is the stated query set: it is held in blocks of at most `block_words` words, each of which goes to
-the workers with the code; documents stream past, with no shuffle. A lost executor costs its tasks alone.
+fingerprint of it: no such span can be missed. Items of fewer words are one window of their own length; for each such length that the
+benchmark has (there are window - 1 at most) the same is done with grams of at most that length.
+
+1. The fingerprints of both sides are joined. Only documents with a fingerprint of the benchmark, the seeds, go on.
+2. Each seed is extended: every window that holds it is taken from the document's words, and likewise from the items', and these windows
+   are joined by a 128-bit hash of the words themselves. Runs of windows found make the spans, of any length. A document or item that
+   repeats itself has few different fingerprints and windows, with places as runs, so the work stays linear in the texts.
+
+Style: free (mapInArrow cuts and hashes; joins and aggregations do the rest). Nothing of the benchmark or the documents reaches the driver but
+the distinct lengths of short items. No side is broadcast by order: Spark does so where the benchmark's fingerprints, or the seeds, are
+small by its own threshold, and shuffles otherwise; whole texts are shuffled at most once, and only where the documents with seeds are
+too many to broadcast their hashes. What is found is written, so a lost executor costs tasks of one step.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, ship, text_bytes
+from .common import Scratch, free_name, ship, text_bytes, written
 from .wordhash import ALNUM, gram_hashes, word_hashes
 
+#: The words of bytes whose A-Z are lower case, and of a string as it is.
+_WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
 
 def fingerprints(grams: np.ndarray, width: int) -> np.ndarray:
     """Places of the grams that are the least of some window of that width; ties all count."""
@@ -38,142 +51,128 @@ def fingerprints(grams: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-class LeakIndex:
-    """A block of items, ready to be searched for."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int, gram: int):
-        self.window, self.gram, self.width = window, gram, window - gram + 1
-        self.names = [name for name, _ in items]
-        self.words = [word_hashes(text, ALNUM, lower=True) for _, text in items]
-        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        places = []
-        for i, w in enumerate(self.words):
-            if 0 < len(w) < window:
-                short[len(w)][int(gram_hashes(w, len(w))[0])].append(i)
-            elif len(w):
-                g = gram_hashes(w, gram)
-                at = fingerprints(g, self.width)
-                places.append(np.stack([g[at], np.full(len(at), i, np.uint64), at.astype(np.uint64)]))
-        rows = np.concatenate(places, axis=1) if places else np.zeros((3, 0), np.uint64)
-        rows = rows[:, np.argsort(rows[0], kind="stable")]
-        self.prints, self.first = np.unique(rows[0], return_index=True)
-        self.last = np.append(self.first[1:], rows.shape[1])
-        self.item, self.at = rows[1].astype(np.int64), rows[2].astype(np.int64)
-        self.short = {n: (np.array(sorted(t), np.uint64), {h: list(v) for h, v in t.items()}) for n, t in short.items()}
-
-    def search(self, words: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans of words (end exclusive) inside occurrences of items' windows, and the items."""
-        spans: list[tuple[int, int]] = []
-        found: set[int] = set()
-        for n, (sought, owners) in self.short.items():
-            grams = gram_hashes(words, n)
-            if len(grams):
-                for p in np.flatnonzero(np.isin(grams, sought)).tolist():
-                    spans.append((p, p + n))
-                    found.update(owners[int(grams[p])])
-        if len(self.prints) and len(words) >= self.window:
-            grams = gram_hashes(words, self.gram)
-            places = fingerprints(grams, self.width)
-            slot = np.minimum(np.searchsorted(self.prints, grams[places]), len(self.prints) - 1)
-            match = self.prints[slot] == grams[places]
-            done: dict[tuple[int, int], int] = {}
-            for p, s in zip(places[match].tolist(), slot[match].tolist(), strict=True):
-                for k in range(self.first[s], self.last[s]):
-                    item, q = int(self.item[k]), int(self.at[k])
-                    if done.get((item, p - q), -1) > p:
-                        continue
-                    start, end = self.extend(words, self.words[item], p, q)
-                    done[item, p - q] = end
-                    if end - start >= self.window:
-                        spans.append((start, end))
-                        found.add(item)
-        return spans, found
-
-    def extend(self, a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[int, int]:
-        back = min(p, q)
-        unlike = np.flatnonzero(a[p - back : p][::-1] != b[q - back : q][::-1])
-        start = p - (int(unlike[0]) if len(unlike) else back)
-        ahead = min(len(a) - p, len(b) - q)
-        unlike = np.flatnonzero(a[p : p + ahead] != b[q : q + ahead])
-        return start, p + (int(unlike[0]) if len(unlike) else ahead)
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
+def prints(words: np.ndarray, lengths: list[int], gram: int) -> np.ndarray:
+    """The distinct fingerprints of the words, for windows of each of these lengths."""
+    parts = [np.zeros(0, np.uint64)]
+    for n in lengths:
+        if len(words) >= n:
+            grams = gram_hashes(words, min(gram, n))
+            parts.append(grams[fingerprints(grams, n - min(gram, n) + 1)])
+    return np.unique(np.concatenate(parts))
+
+
+def seeded_windows(text: bytes, seeds: np.ndarray, lengths: list[int], gram: int) -> dict[bytes, list[tuple[int, int]]]:
+    """A hash of the words of each window that holds a seed, and the spans of words, end exclusive, that its occurrences cover."""
+    hashes = word_hashes(text, ALNUM, lower=True)
+    words = _WORDS.findall(text.translate(_LOWER))
+    out: dict[bytes, list[tuple[int, int]]] = {}
+    for n in lengths:
+        g = min(gram, n)
+        if len(words) < n:
+            continue
+        edge = np.zeros(len(words) - n + 2, np.int64)
+        at = np.flatnonzero(np.isin(gram_hashes(hashes, g), seeds))
+        np.add.at(edge, np.maximum(at - (n - g), 0), 1)
+        np.add.at(edge, np.minimum(at, len(words) - n) + 1, -1)
+        for p in np.flatnonzero(np.cumsum(edge[:-1]) > 0).tolist():
+            spans = out.setdefault(hashlib.blake2b(b" ".join(words[p : p + n]), digest_size=16).digest(), [])
+            if spans and spans[-1][1] >= p:
+                spans[-1] = (spans[-1][0], p + n)
+            else:
+                spans.append((p, p + n))
     return out
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, window: int, gram: int, block_words: int) -> Iterator[LeakIndex]:
-    """Indexes of blocks of items; one block's texts at a time are on the driver. Equal rows count once."""
-    rows = benchmark.select(F.col(item).cast("string"), text_bytes(text)).distinct()
-    block: list[tuple[str | None, bytes]] = []
-    size = 0
-    for name, body in rows.toLocalIterator():
-        block.append((name, bytes(body)))
-        size += len(body) // 2  # a word and its gap take two bytes at least
-        if size >= block_words:
-            yield LeakIndex(block, window, gram)
-            block, size = [], 0
-    if block:
-        yield LeakIndex(block, window, gram)
+def _text_ids(text: str) -> list[Column]:
+    """t1, t2: two hashes that stand for a text. Texts alike are judged once."""
+    return [F.xxhash64(F.lit(mark), F.col(text)).alias(mark) for mark in ("t1", "t2")]
 
 
-_FOUND = [
-    T.StructField("n_words", T.LongType()),
-    T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-    T.StructField("hit_items", T.ArrayType(T.StringType())),
-]
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _windows_of(sides: DataFrame, gram: int) -> DataFrame:
+    """The columns of sides but the last three (text, seeds, lengths of windows), then window and spans, a row for each window that holds a seed."""
+    schema = T.StructType([*sides.schema.fields[:-3], T.StructField("window", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (text, seeds, lengths) in enumerate(zip(*b.columns[-3:], strict=True)):
+                found = seeded_windows(text.as_py(), np.array(seeds.as_py(), np.int64).view(np.uint64), lengths.as_py(), gram)
+                if found:
+                    own = [c.take(pa.array([i] * len(found))) for c in b.columns[:-3]]
+                    spans = [[{"start": s, "end": e} for s, e in x] for x in found.values()]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(list(found), pa.binary()), pa.array(spans, span)], names=schema.names)
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5, block_words: int = 4_000_000) -> DataFrame:
-    """key, n_words, hit_spans (merged, by word) and hit_items (distinct ids, sorted) for each row of docs.
+    return sides.mapInArrow(run, schema)
 
-    Null and empty texts have no words and no hits. An item with a null id marks words but is not listed. Repeated rows and keys
-    are judged each alone; an empty benchmark leaves every document clean. Other columns are left out.
-    """
-    ship(docs.sparkSession)
-    body = free_name(docs.select(key), "body")
-    out = docs.select(F.col(key), text_bytes(text).alias(body))
-    schema = T.StructType([docs.schema[key], *_FOUND, T.StructField(body, T.BinaryType())])
-    for index in [*item_blocks(benchmark, item, item_text, window, gram, block_words)] or [LeakIndex([], window, gram)]:
-
-        def run(batches: Iterator[pa.RecordBatch], index: LeakIndex = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                before = b.num_columns == 5  # an earlier block has found something already
-                n_words, spans, items = [], [], []
-                for k, x in enumerate(b.column(b.num_columns - 1)):
-                    words = word_hashes(x.as_py(), ALNUM, lower=True)
-                    new, found = index.search(words)
-                    names = {index.names[i] for i in found} - {None}
-                    if before:
-                        new += [(s["start"], s["end"]) for s in b.column(2)[k].as_py()]
-                        names |= set(b.column(3)[k].as_py())
-                    n_words.append(len(words))
-                    spans.append([{"start": s, "end": e} for s, e in merged(new)])
-                    items.append(sorted(names))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), b.column(b.num_columns - 1)], names=schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out.drop(body)
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5, block_words: int = 4_000_000) -> DataFrame:
-    """The rows of docs, all columns, in whose text no item's window occurs."""
+
+def _hits(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Of the texts in which a window of an item occurs: t1, t2, start, end of the spans; and t1, t2, item, a row for each item."""
     ship(docs.sparkSession)
-    body = free_name(docs, "body")
-    out = docs
-    for index in item_blocks(benchmark, item, item_text, window, gram, block_words):
 
-        def run(batches: Iterator[pa.RecordBatch], index: LeakIndex = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                clean = pa.array([not index.search(word_hashes(x.as_py(), ALNUM, lower=True))[0] for x in b.column(b.num_columns - 1)], pa.bool_())
-                yield b.select(range(b.num_columns - 1)).filter(clean)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, found = [], []
+            for x in b.column(1):
+                words = word_hashes(x.as_py(), ALNUM, lower=True)
+                sizes.append(min(window, len(words)))
+                found.append(prints(words, [sizes[-1]], gram).view(np.int64) if sizes[-1] else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["item", "body", "size", "prints"])
+
+    items = benchmark.select(F.col(item).cast("string").alias("item"), text_bytes(item_text).alias("body"))
+    items = written(items.mapInArrow(cut, "item string, body binary, size long, prints array<long>").where("size > 0"), "items")
+    lengths = sorted(r["size"] for r in items.select("size").distinct().collect())
+    sought = items.select(F.explode("prints").alias("print")).distinct()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [prints(word_hashes(x.as_py(), ALNUM, lower=True), lengths, gram).view(np.int64) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["t1", "t2", "prints"])
+
+    bodies = docs.select(*_text_ids(text), text_bytes(text).alias("body"))
+    met = bodies.mapInArrow(search, "t1 long, t2 long, prints array<long>").select("t1", "t2", F.explode("prints").alias("print")).join(sought, "print")
+    seeds = written(met.groupBy("t1", "t2").agg(F.collect_set("print").alias("seeds")), "seeds")
+    sizes = F.array(*(F.lit(n).cast("long") for n in lengths)).cast("array<bigint>")
+    windows = _windows_of(bodies.join(seeds, ["t1", "t2"]).withColumn("lengths", sizes), gram).select("t1", "t2", "window", F.explode("spans").alias("s"))
+    windows = windows.select("t1", "t2", "window", "s.start", "s.end").distinct()
+
+    # windows that the same items have share a set of items
+    by_window = _windows_of(items.select("item", "body", F.col("prints").alias("seeds"), F.array("size").alias("lengths")), gram).select("window", "item").distinct()
+    by_window = by_window.groupBy("window").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    by_window = written(by_window.withColumn("shared", F.md5(F.to_json("items").cast("binary"))), "windows")
+    hits = written(windows.join(by_window.select("window", "shared"), "window").select("t1", "t2", "start", "end", "shared").distinct(), "hits")
+    sets = by_window.groupBy("shared").agg(F.first("items").alias("items"))
+    named = hits.select("t1", "t2", "shared").distinct().join(sets, "shared").select("t1", "t2", F.explode("items").alias("item")).distinct()
+    return hits.select("t1", "t2", "start", "end").distinct(), named
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
+    """key, n_words, hit_spans (merged, by word) and hit_items (distinct ids, sorted) for each row of docs.
 
-        out = out.select("*", text_bytes(text).alias(body)).mapInArrow(run, docs.schema)
-    return out
+    Null and empty texts have no words and no hits. An item with a null id marks words but is not listed. Repeated rows and keys
+    are judged each alone; an empty benchmark leaves every document clean. Other columns are left out. A document's spans and
+    items are gathered in one row: no more than its words, and than the benchmark's items.
+    """
+    with Scratch() as scratch:
+        spans, named = _hits(docs, benchmark, text, item, item_text, window, gram)
+        # gaps between the spans of a text: a span opens an island where it starts after all before it have ended
+        by_place = Window.partitionBy("t1", "t2").orderBy("start", "end")
+        spans = spans.withColumn("before", F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1)))
+        spans = spans.withColumn("island", F.sum(F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)).over(by_place))
+        islands = spans.groupBy("t1", "t2", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        islands = islands.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hit_spans"))
+        items = named.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("item")).alias("hit_items"))
+        found = scratch.keep(written(islands.join(items, ["t1", "t2"], "left"), "leaks"))
+    count = F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(key), count.alias("n_words"), *_text_ids(text)).join(found, ["t1", "t2"], "left")
+    none = F.array().cast(found.schema["hit_spans"].dataType)
+    return rows.select(F.col(key), "n_words", F.coalesce("hit_spans", none).alias("hit_spans"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
+    """The rows of docs, all columns, in whose text no item's window occurs. Null and empty texts stay; an empty benchmark takes nothing."""
+    with Scratch() as scratch:
+        spans, _ = _hits(docs, benchmark, text, item, item_text, window, gram)
+        gone = scratch.keep(written(spans.select("t1", "t2").distinct(), "gone"))
+    names = [free_name(docs, "t1"), free_name(docs, "t2")]
+    marked = docs.select("*", *(c.alias(n) for c, n in zip(_text_ids(text), names, strict=True)))
+    return marked.join(gone.toDF(*names), names, "left_anti").select(*docs.columns)
