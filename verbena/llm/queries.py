@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .langid import predict_languages, train_languages
 from .leaks import find_leaks
-from .licenses import TEMPLATES, _template_words, scan_licenses
+from .licenses import TEMPLATES, _template_words, block_size, scan_licenses
 from .linededup import dedup_lines
 from .mixing import mix_report
 from .ngramjoin import near_classes
@@ -114,10 +114,10 @@ WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM docume
 numbered AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM lines WHERE text IS NOT NULL),
 solid AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p
           FROM (SELECT doc_id, i, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM numbered) WHERE t <> ''),
-win AS (SELECT doc_id, p, t || chr(10) || b || chr(10) || c AS w
-        FROM (SELECT doc_id, p, t, lead(t, 1) OVER o AS b, lead(t, 2) OVER o AS c FROM solid WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE c IS NOT NULL),
-later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM later)),
+win AS (SELECT doc_id, p, least(n, 3) AS lines, CASE n WHEN 1 THEN t WHEN 2 THEN t || chr(10) || b ELSE t || chr(10) || b || chr(10) || c END AS w
+        FROM (SELECT doc_id, p, t, lead(t, 1) OVER o AS b, lead(t, 2) OVER o AS c, count(*) OVER (PARTITION BY doc_id) AS n FROM solid WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE p <= greatest(n, 3) - 3),
+later AS (SELECT doc_id, p, lines FROM (SELECT doc_id, p, lines, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + lines)) AS q FROM later)),
 dropped AS (SELECT solid.doc_id, solid.i FROM solid JOIN gone ON solid.doc_id = gone.doc_id AND solid.p = gone.q),
 kept AS (SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.i) AS body FROM numbered n ANTI JOIN dropped d ON n.doc_id = d.doc_id AND n.i = d.i GROUP BY n.doc_id),
 ns AS (SELECT doc_id, count(*) AS n FROM solid GROUP BY doc_id),
@@ -128,13 +128,14 @@ FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN ns ON ns.doc_id = d.doc
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 phrases AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) t(p, label)),
 places AS (SELECT doc_id, label, i - 1 AS spot FROM (SELECT doc_id, w, p, label, unnest(range(1, len(w) + 1)) AS i FROM w, phrases WHERE list_contains(w, p[1])) WHERE w[i : i + len(p) - 1] = p),
-templates AS (SELECT * FROM (VALUES TEMPLATE_ROWS) t(s, label)),
-blocks AS (SELECT doc_id, w[b * 32 + 1 : b * 32 + 64] AS own FROM (SELECT doc_id, w, unnest(range(0, greatest(0, CAST(floor((len(w) - 33) / 32) AS BIGINT)) + 1)) AS b FROM w)),
-met AS (SELECT doc_id, label, len(list_intersect(own, s)) / len(s) AS score FROM blocks, templates WHERE list_has_any(own, s) AND len(list_intersect(own, s)) >= ceil(0.8 * len(s) - 1e-9)),
+templates AS (SELECT * FROM (VALUES TEMPLATE_ROWS) t(s, label, wide)),
+sizes AS (SELECT DISTINCT wide, wide // 2 AS half FROM templates),
+blocks AS (SELECT doc_id, wide, w[b * half + 1 : b * half + wide] AS own FROM (SELECT doc_id, w, wide, half, unnest(range(0, greatest(0, CAST(floor((len(w) - half - 1) / half) AS BIGINT)) + 1)) AS b FROM w, sizes)),
+met AS (SELECT doc_id, label, len(list_intersect(own, s)) / len(s) AS score FROM blocks JOIN templates USING (wide) WHERE list_has_any(own, s) AND len(list_intersect(own, s)) >= ceil(0.8 * len(s) - 1e-9)),
 a AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM met) GROUP BY doc_id),
 s AS (SELECT doc_id, max(score) AS score FROM met GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        greatest(CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, coalesce(score, 0.0::DOUBLE)) AS score
-FROM w LEFT JOIN a ON a.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN s ON s.doc_id = w.doc_id""".replace("TEMPLATE_ROWS", ", ".join(f"({_template_words(t)}, '{label}')" for t, label in TEMPLATES)),
+FROM w LEFT JOIN a ON a.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN s ON s.doc_id = w.doc_id""".replace("TEMPLATE_ROWS", ", ".join(f"({_template_words(t)}, '{label}', {block_size(t)})" for t, label in TEMPLATES)),
 }
