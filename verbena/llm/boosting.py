@@ -54,18 +54,18 @@ class Boosted:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.start + sum(tree_value(t, x) for t in self.trees)
 
-    def column(self, features: list[Column]) -> Column:
-        """The probability of the second class."""
+    def column(self, features: Column) -> Column:
+        """The margin, from an array of the features."""
 
         def value(t: Tree) -> Column:
             if t.low is None:
                 return F.lit(t.value)
-            return F.when(features[t.feature] <= F.lit(t.cut), value(t.low)).otherwise(value(t.high))
+            return F.when(F.get(features, F.lit(t.feature)) <= F.lit(t.cut), value(t.low)).otherwise(value(t.high))
 
         total = F.lit(self.start)
         for t in self.trees:
             total = total + value(t)
-        return 1.0 / (1.0 + F.exp(-total))
+        return total
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: float = 0.4, ridge: float = 1.0) -> Boosted:
@@ -88,6 +88,21 @@ def _scale(tree: Tree, rate: float) -> None:
         _scale(tree.high, rate)
 
 
+def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """a, b with which 1 / (1 + exp(-(a * margin + b))) is the chance of the second class, by Newton steps on smoothed targets."""
+    good = y.sum()
+    target = np.where(y > 0.5, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
+        w, r = p * (1 - p) + 1e-9, p - target
+        slope = np.array([(r * margin).sum() + 1e-3 * (a - 1), r.sum()])
+        curve = np.array([[(w * margin * margin).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-3]])
+        step = np.linalg.solve(curve, slope)
+        a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
+    return max(a, 1e-3), b
+
+
 def least_threshold(chance: np.ndarray, y: np.ndarray, precision: float, floor: float = 0.5) -> float:
     """The lowest probability, floor at least, from which on the share of the second class reaches precision; 2 if none does."""
     order = np.argsort(-chance, kind="stable")

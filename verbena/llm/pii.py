@@ -1,11 +1,14 @@
 """Personal data: patterns that always count, and candidates that boosted trees choose from.
 
 Base spans come from four patterns and their checks. Generators of high recall propose more spans, overlapping each other and the
-base ones: obscured addresses, numbers written without a country code, with dots, or failing a check. Boosted trees score each by its
-format and by the words around it; those above their kind's calibrated threshold are added where they overlap no base span.
+base ones: obscured addresses, numbers written without a country code, with dots, or failing a check, account and identity numbers,
+keys, tokens and passwords. Boosted trees score each by its format and by the words around it; a logistic curve for each kind turns the
+score into a probability, and those above their kind's threshold are added where they overlap no base span. Local parts of addresses
+are sought up to 64 characters, labels of hosts up to 63, four of them; runs that may be secrets from 16 to 256 characters.
 
 No table labels personal data, so the trees are fitted on invented sentences (EXAMPLES of them, drawn with a fixed seed), whose
-features the same expressions work out that score the corpus; half of them set the thresholds.
+features the same expressions work out that score the corpus: half of them fit the trees, half the curves and thresholds. Half of all are
+no personal data but look like it: hashes, runs of base64, versions, dates, ISBNs, order numbers.
 
 Style: native. Each row is worked on alone by column expressions; nothing is shuffled. Possessive quantifiers and a look-behind keep
 the patterns linear in the text and without recursion; they match what the plain ones match.
@@ -19,10 +22,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .boosting import Boosted, fit, least_threshold
+from .boosting import Boosted, fit, least_threshold, platt
 from .common import let
 
+#: Kinds with base patterns, and all kinds: an account number, an identity number, and a key, token or password.
 KINDS = ("email", "ip", "card", "phone")
+EVERY_KIND = (*KINDS, "iban", "id", "secret")
 #: The base patterns, possessive; a match starts where a run of its first characters does, or where the last one ended.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -37,8 +42,14 @@ GENERATORS = (
     ("ip", r":", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){3,7}+:?[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])"),
     ("card", r"[0-9]", r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){12,18}+(?![0-9])"),
     ("phone", r"[0-9]", r"(?<![0-9A-Za-z.,+-])\(?[0-9][0-9 ()./-]{5,20}[0-9](?![0-9A-Za-z])"),
+    ("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
+    ("id", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
+    ("secret", r"[A-Za-z0-9+/_-]{16}", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,256}+={0,2}(?![A-Za-z0-9+/_-])"),
+    ("secret", r"(?i)(?:passw|pwd|secret|token|key)[a-z]{0,4}[\"']? ?[:=]", r"(?i)(?<=(?:password|passwd|pwd|secret|token|key)[\"']{0,1}\s{0,2}[:=]\s{0,2}[\"']{0,1})[^\s\"',;:=]{6,64}"),
+    ("secret", r"://[^/\s]*@", r"(?<=://)[^\s/@:]{1,64}+:[^\s/@]{1,64}+(?=@)"),
+    ("secret", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
 )
-EXAMPLES = 5000
+EXAMPLES = 8000
 PRECISION = 0.97
 CONTEXT = 40
 
@@ -63,7 +74,7 @@ def _running(steps: Column) -> Column:
 
 def matches(text: Column, kind: str, pattern: str) -> Column:
     """All matches, leftmost first, not overlapping: kind, start and end in code points, the match, and what is around it."""
-    number = KINDS.index(kind)
+    number = EVERY_KIND.index(kind)
 
     def build(v: Column) -> Column:
         return F.zip_with(
@@ -137,24 +148,41 @@ HINTS = {
     "ip": r"(?i)(?:\bip|host|server|address|login|from|ping|gateway)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
     "card": r"(?i)(?:card|visa|mastercard|amex|credit|karte|carte|tarjeta)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
     "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|telefon|t[eé]l[eé]fono?|whatsapp|sms)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
+    "iban": r"(?i)(?:iban|account|konto|cuenta|compte|bank|transfer|wire)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
+    "id": r"(?i)(?:ssn|social|security|identity|passport|national|tax|insurance)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|key|auth|bearer|credentials?)[^A-Za-z0-9]*(?:is[^A-Za-z0-9]*)?$",
+    "digest": r"(?i)(?:sha-?[0-9]*|md5|hash|commit|checksum|digest|etag|uuid|revision|blob|data)[^A-Za-z0-9]*(?:is[^A-Za-z0-9]*)?$",
     "other": r"(?i)(?:order|invoice|isbn|version|build|page|total|id|serial|ref|section|chapter|model|sku|ticket)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
 }
 
 
+def mod_97(m: Column) -> Column:
+    """Whether an account number passes the check of ISO 7064."""
+
+    def rest(s: Column) -> Column:
+        def step(a: Column, c: Column) -> Column:
+            return F.when(c.rlike("[0-9]"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97
+
+        return F.aggregate(F.split(F.concat(F.substr(s, F.lit(5)), F.substr(s, F.lit(1), F.lit(4))), ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c)).cast("int"))
+
+    return let(F.regexp_replace(m, "[^0-9A-Z]", ""), rest) == 1
+
+
 def features(c: Column) -> list[Column]:
     """Format and context of a candidate as numbers."""
     m, before, after = c["match"], c["before"], c["after"]
     digits = _digits(m)
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
+    count = lambda unlike: F.length(F.regexp_replace(m, unlike, "")).cast("double")
     return [
         c["kind"].cast("double"),
         F.length(digits).cast("double"),
         F.length(m).cast("double"),
-        F.length(F.regexp_replace(m, r"[^ ()./-]", "")).cast("double"),
+        count(r"[^ ()./-]"),
         F.size(F.split(m, "[^0-9]+")).cast("double"),
         flag(F.length(digits).between(13, 19) & luhn(digits)),
         flag(m.startswith("(")),
-        F.length(F.regexp_replace(m, "[^:]", "")).cast("double"),
+        count("[^:]"),
         flag(m.rlike(r"(?i)[(\[{] ?at")),
         flag(m.rlike(r"(?i)[(\[{] ?dot|[\[(]\.")),
         flag(m.rlike(r"^(?:19|20)[0-9]{2}\b")),
@@ -163,19 +191,35 @@ def features(c: Column) -> list[Column]:
         flag(before.rlike(r"[A-Za-z0-9]$")),
         flag(after.rlike(r"^[A-Za-z0-9%]")),
         flag(m.rlike(r" @|@ ")),
+        flag((c["kind"] == EVERY_KIND.index("iban")) & mod_97(m)),
+        count("[^A-Z]"),
+        count("[^a-z]"),
+        F.size(F.array_distinct(F.split(m, ""))).cast("double"),
+        flag(m.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")),
+        flag(m.rlike(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-")),
+        flag(m.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk[-_]|pk_live|AIza|eyJ|-----BEGIN)")),
+        flag(before.rlike(r"[:=] ?[\"']?$")),
+        flag(before.rlike("://$")),
+        flag(m.rlike(r"^(?:000|666|9[0-9]{2})-|-00-|-0000$")),
     ]
 
 
+_HEX, _LOW, _UP, _BASE64 = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
 def _example(r: random.Random) -> tuple[str, int, str]:
     """A sentence with one thing in it that a generator finds: its text, whether it is personal, and the kind."""
-    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    digits = lambda n: some("0123456789", n)
     word = lambda: r.choice("the of and with from on we they he she said then after before house river green order under".split())
     name = lambda: r.choice("anna li omar jean kim paul eva".split()) + r.choice(["", ".", "_"]) + r.choice("smith wu roy diaz kurz".split()) + r.choice(["", digits(2)])
     host = lambda: r.choice("mail example uni-town corp shop".split()) + r.choice(["", digits(1)])
     tld = r.choice("com org net de fr es edu".split())
-    kind = r.choice(KINDS)
-    good = r.random() < 0.5
-    hint = {"email": "email mail contact write to", "ip": "ip host server address", "card": "card visa credit card", "phone": "phone tel call mobile fax"}[kind]
+    kind, good = r.choice(EVERY_KIND), r.random() < 0.5
+    hint = {
+        "email": "email mail contact write to", "ip": "ip host server address", "card": "card visa credit card", "phone": "phone tel call mobile fax",
+        "iban": "iban account konto bank transfer", "id": "ssn social security identity passport", "secret": "token secret password pwd api_key auth bearer",
+    }[kind]
     hint = r.choice(hint.split()) + r.choice([": ", " ", " is ", " number "])
     other = r.choice("order invoice isbn version page total id serial ref section model ticket".split()) + r.choice([" ", ": ", " number ", " no. "])
     plain = word() + " "
@@ -196,49 +240,100 @@ def _example(r: random.Random) -> tuple[str, int, str]:
         thing = r.choice([d, ".".join(d[i : i + 4] for i in range(0, len(d), 4)), "/".join(d[i : i + 4] for i in range(0, len(d), 4)), " ".join(d[i : i + 4] for i in range(0, len(d), 4))])
         lead = hint if good else r.choice([other, plain, plain])
         good = lead == hint or (passes and lead == plain)
-    else:
+    elif kind == "phone":
         a, b, c = digits(3), digits(3), digits(4)
         if good:
             thing, lead = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a}/{b}{c}", f"{a}.{b}.{c}", f"0{a[:2]} {b[:2]} {c[:2]} {c[2:]} {b[1:]}"]), hint
         else:
             thing = r.choice([f"20{a[:2]}-0{b[0]}-{c[:2]} {c[2:]}", f"{a} {b} {c}", f"{a}.{b}{c}", digits(r.randrange(7, 13)), f"{a}-{c}-{b}", f"19{a[:2]}-20{b[:2]}", f"978-{a}-{c}-{b[0]}"])
             lead = r.choice([other, plain, plain])
-    text = " ".join(word() for _ in range(r.randrange(3, 9))) + " " + lead + thing + r.choice([" ", ". ", ", "]) + " ".join(word() for _ in range(r.randrange(3, 9)))
+    elif kind == "iban":
+        country, bban = r.choice("DE FR ES GB NL CH IT".split()), r.choice([digits(18), some(_UP, 4) + digits(14), digits(20)])
+        value = lambda s: int("".join(str(int(c, 36)) for c in s))
+        check = 98 - value(bban + country + "00") % 97
+        if not good:
+            country, check, bban = r.choice([(some(_UP, 2), check + 1 if check < 98 else 2, bban), (some(_UP, 2), int(digits(2)) or 7, some(_UP + "0123456789", 16))])
+        thing = f"{country}{check:02d}{bban}"
+        good = value(bban + country + f"{check:02d}") % 97 == 1
+        thing = r.choice([thing, " ".join(thing[i : i + 4] for i in range(0, len(thing), 4))])
+        lead = r.choice([hint, plain]) if good else r.choice([other, plain])
+    elif kind == "id":
+        thing = f"{r.randrange(1, 899):03d}-{r.randrange(1, 99):02d}-{r.randrange(1, 9999):04d}" if good or r.random() < 0.5 else f"{r.choice(['000', '666', '9' + digits(2)])}-{digits(2)}-{digits(4)}"
+        lead = hint if good else r.choice([other, other, "part ", "code "])
+    else:
+        opened = r.choice([' = "', "=", ": ", ' "', " ", " = ", ":'"])
+        key = r.choice([some(_HEX, r.choice([32, 40, 64])), some(_LOW + _UP + "0123456789", r.randrange(18, 50)), "AKIA" + some(_UP + "0123456789", 16), "ghp_" + some(_LOW + _UP + "0123456789", 36), "sk-" + some(_LOW + _UP + "0123456789", 40)])
+        if good:
+            url = r.random() < 0.1
+            famous = key.startswith(("AKIA", "ghp_", "sk-"))
+            thing = f"{name()}:{some(_LOW + '0123456789', 9)}" if url else r.choice([key, key, some(_LOW + "0123456789!#", r.randrange(8, 14))])
+            lead = "https://" if url else r.choice("token secret password pwd api_key access_key auth_token".split()) + (opened if thing == key else r.choice([": ", "=", ' = "']))
+            if famous and thing == key and r.random() < 0.3:
+                lead = plain
+            if url:
+                thing, tail = thing, "@host.example/path"
+                return " ".join(word() for _ in range(5)) + " " + lead + thing + tail, 1, kind
+        else:
+            thing = r.choice([some(_HEX, r.choice([32, 40, 64])), "-".join(some(_HEX, n) for n in (8, 4, 4, 4, 12)), some(_BASE64, 40) + " " + some(_BASE64, 40), f"{word()}-{word()}-{digits(4)}-{word()}-{word()}", f"{word()}/{word()}/{digits(4)}/{digits(2)}/{word()}", f"{word()}_{word()}_{word()}_{digits(3)}"])
+            lead = r.choice([r.choice("commit sha256 md5 hash checksum uuid etag data".split()) + opened, plain, other])
+    text = " ".join(word() for _ in range(r.randrange(3, 9))) + " " + lead + thing + r.choice([" ", ". ", ", ", '" ']) + " ".join(word() for _ in range(r.randrange(3, 9)))
     return text, int(good), kind
 
 
-def trained(spark: SparkSession, examples: int = EXAMPLES, seed: int = 11) -> tuple[Boosted, dict[str, float], float]:
-    """The trees, a threshold for each kind, and the accuracy on the half that set the thresholds."""
+class Detector:
+    """Trees, and for each kind a curve and the least probability that counts."""
+
+    def __init__(self, model: Boosted, curves: list[tuple[float, float]], limits: list[float], accuracy: float):
+        self.model, self.curves, self.limits, self.accuracy = model, curves, limits, accuracy
+
+    def chance(self, c: Column) -> Column:
+        """The probability that a candidate is personal, from an array of its features; the first of them is its kind."""
+
+        def curve(f: Column) -> Column:
+            a, b = (F.get(F.array(*(F.lit(float(x[i])) for x in self.curves)), f[0].cast("int")) for i in (0, 1))
+            return 1.0 / (1.0 + F.exp(-(a * self.model.column(f) + b)))
+
+        return let(F.array(*features(c)), curve)
+
+
+def trained(spark: SparkSession, examples: int = EXAMPLES, seed: int = 11) -> Detector:
+    """The detector; its accuracy is that of the trees on the half of the examples that set the curves and thresholds."""
     r = random.Random(seed)
     made = [_example(r) for _ in range(examples)]
     d = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(made)], "i int, text string").repartition(2)
     found = d.select("i", F.explode(candidates(F.col("text"))).alias("c"))
     rows = found.select("i", "c.kind", F.array(*features(F.col("c"))).alias("x")).collect()
-    rows = [(q.x, made[q.i][1] and made[q.i][2] == KINDS[q.kind], q.i, q.kind) for q in sorted(rows, key=lambda q: (q.i, q.kind, q.x))]
+    rows = [(q.x, made[q.i][1] and made[q.i][2] == EVERY_KIND[q.kind], q.i, q.kind) for q in sorted(rows, key=lambda q: (q.i, q.kind, q.x))]
     x, y = np.array([q[0] for q in rows]), np.array([float(q[1]) for q in rows])
     half, kind = np.array([q[2] % 2 for q in rows]) == 0, np.array([q[3] for q in rows])
     model = fit(x[half], y[half])
-    chance = 1 / (1 + np.exp(-model.margin(x)))
-    limits = {k: least_threshold(chance[~half & (kind == i)], y[~half & (kind == i)], PRECISION) for i, k in enumerate(KINDS)}
-    return model, limits, float(((chance[~half] >= 0.5) == y[~half]).mean())
+    margin = model.margin(x)
+    curves, limits = [], []
+    for k in range(len(EVERY_KIND)):
+        some = ~half & (kind == k)
+        a, b = platt(margin[some], y[some])
+        curves.append((a, b))
+        limits.append(least_threshold(1 / (1 + np.exp(-(a * margin[some] + b))), y[some], PRECISION))
+    return Detector(model, curves, limits, float(((margin[~half] >= 0) == y[~half]).mean()))
 
 
-_models: dict[str, tuple] = {}
+_detectors: dict[str, Detector] = {}
 
 
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, base and added for each row of docs: arrays of kind, start, end (code points, end exclusive) and match; added has a score.
 
-    Null counts as empty: no spans. Rows are judged each alone, whatever their key. Other columns are left out.
+    Null counts as empty: no spans. Rows are judged each alone, whatever their key; of candidates that start at one place the most likely stays,
+    of equally likely ones the shorter. Other columns are left out.
     """
-    model, limits, _ = _models.setdefault(docs.sparkSession.sparkContext.applicationId, None) or trained(docs.sparkSession)
-    _models[docs.sparkSession.sparkContext.applicationId] = (model, limits, _)
-    limit = F.create_map(*(F.lit(v) for i, k in enumerate(KINDS) for v in (i, limits[k])))
-    names = F.array(*map(F.lit, KINDS))
+    app = docs.sparkSession.sparkContext.applicationId
+    detector = _detectors[app] = _detectors.get(app) or trained(docs.sparkSession)
+    limit = F.create_map(*(F.lit(v) for i, x in enumerate(detector.limits) for v in (i, x)))
+    names = F.array(*map(F.lit, EVERY_KIND))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.select("k", base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("c"))
     apart = F.filter("c", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    scored = F.transform(apart, lambda c: F.struct(c["start"].alias("start"), (-model.column(features(c))).alias("minus"), c["end"].alias("end"), c["kind"].alias("kind"), c["match"].alias("match")))
+    scored = F.transform(apart, lambda c: F.struct(c["start"].alias("start"), (-detector.chance(c)).alias("minus"), c["end"].alias("end"), c["kind"].alias("kind"), c["match"].alias("match")))
     rows = rows.select("k", "base", F.when(F.size("c") > 0, scored).alias("scored"))
     chosen = F.array_sort(F.filter("scored", lambda c: -c["minus"] >= limit[c["kind"]]))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,minus:double,end:bigint,kind:int,match:string>>").alias("out"))
@@ -251,6 +346,6 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def span_text(spans: Column) -> Column:
-    """kind:start:end by kind as listed, then start, comma-joined."""
+    """kind:start:end by kind as in EVERY_KIND, then start, comma-joined."""
     shown = lambda k: F.transform(F.array_sort(F.transform(F.filter(spans, lambda c: c["kind"] == k), lambda c: F.struct(c["start"], c["end"]))), lambda s: F.concat(F.lit(f"{k}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
-    return F.array_join(F.concat(*map(shown, KINDS)), ",")
+    return F.array_join(F.concat(*map(shown, EVERY_KIND)), ",")
