@@ -29,6 +29,8 @@ from .common import free_name, release, ship, written
 
 #: A block is closed when it holds so many ids.
 BLOCK_IDS = 1 << 19
+#: Text of a part, about, as it lies in the input's files, and the parts there may be: a row for each is broadcast when they are read.
+PART_BYTES, MOST_PARTS = 128 << 20, 1_000_000
 
 _LENGTHS = np.array([[(c >> 2 * j & 3) + 1 for j in range(4)] for c in range(256)], np.uint8)
 
@@ -119,6 +121,16 @@ def ranks(counts: DataFrame) -> np.ndarray:
     return np.array([r["token"] for r in sorted(rows, key=lambda r: (-r["n"], r["token"]))], np.int64)
 
 
+def _part_count(docs: DataFrame, text: str) -> int:
+    """A part for each PART_BYTES of text, MOST_PARTS at most, but as many as Spark shuffles into by default at least. The size is Spark's own
+    estimate of its input; where it has none, the texts are measured."""
+    size = int(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 60:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, min(MOST_PARTS, -(-size // PART_BYTES)))
+
+
 def write_token_blocks(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, parts: int | None = None, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, np.ndarray]:
     """Encode all texts and write them; returns the written blocks, as read back, and the ids by rank.
 
@@ -127,7 +139,7 @@ def write_token_blocks(docs: DataFrame, path: str, key: str = "doc_id", text: st
     """
     spark = docs.sparkSession
     ship(spark)
-    plain = _encoded(docs, path, key, text, end_id, parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), block_ids)
+    plain = _encoded(docs, path, key, text, end_id, parts or _part_count(docs, text), block_ids)
     kind = encoder(path).kind
     order = ranks(id_counts(plain, kind))
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
