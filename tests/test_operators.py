@@ -104,7 +104,8 @@ def test_near_pairs_lose_nothing(spark):
                 if shared * 100 >= len(union) * 85:
                     want.add((a, b))
     assert {(x.a, x.b) for x in neardup.near_pairs(sketches).collect()} == want and want
-    assert neardup.prefix_length(128, 0.85) == 20 and neardup.prefix_length(100, 0.9) == 11
+    fresh = spark.createDataFrame([(i,) for i in list(held)[:5]], "id int")
+    assert {(x.a, x.b) for x in neardup.near_pairs(sketches, fresh=fresh).collect()} == {p for p in want if {*p} & {*list(held)[:5]}}
 
 
 def test_registry(spark):

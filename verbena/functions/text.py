@@ -192,6 +192,28 @@ def path_get(json: Column, path: str) -> Column:
     return F.get_json_object(json, "$." + path.replace("[]", "[*]"))
 
 
+def safe_text(data: Column) -> Column:
+    """Bytes as text that any encoder takes: what is no UTF-8, a lone surrogate for one, becomes the replacement character."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
+def display_value(value_json: Column) -> Column:
+    """A value of a profile for people: a list with commas, a name or value with its detail in brackets, ranges, true and false as words."""
+    one = lambda x, k: F.nullif(F.get_json_object(x, f"$.{k}"), F.lit(""))
+
+    def item(x: Column) -> Column:
+        main = F.coalesce(one(x, "name"), one(x, "title"), one(x, "value"), one(x, "text"), F.replace(one(x, "state"), F.lit("_"), F.lit(" ")))
+        span = F.when(one(x, "min").isNotNull(), F.concat_ws("–", one(x, "min"), one(x, "max")))
+        main = F.concat(F.when(one(x, "approximate") == "true", "~").otherwise(""), F.coalesce(main, span))
+        detail = F.concat_ws(", ", one(x, "type"), one(x, "code"), one(x, "detail"))
+        shown = F.when(detail == "", main).otherwise(F.concat(main, F.lit(" ("), detail, F.lit(")")))
+        plain = F.when(x == "true", "yes").when(x == "false", "no").otherwise(F.btrim(x, F.lit('"')))
+        return F.when(x.startswith("{"), F.coalesce(shown, x)).otherwise(plain)
+
+    listed = F.when(value_json.startswith("["), F.from_json(value_json, "array<string>")).otherwise(F.array(value_json))
+    return F.array_join(F.transform(listed, item), ", ")
+
+
 def human_bytes(n: Column) -> Column:
     out = None
     for power, unit in ((1, "B"), (1024, "KB"), (1024**2, "MB"), (1024**3, "GB"), (1024**4, "TB")):

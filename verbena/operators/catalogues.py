@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbena.functions import match, web
-from verbena.functions.text import fold
+from verbena.functions.text import fold, let
+from verbena.operators.relevance import scan_terms
 
 
 def relevance_text(results: DataFrame) -> DataFrame:
@@ -66,12 +67,11 @@ def content_detection(texts: DataFrame, terms: DataFrame, most: int = 400_000) -
 
     texts: file_id, text of files whose names said nothing; terms: seq, term, kind, weight.
     """
-    t = terms.where("kind <> 'iso_code'").select("seq", "term", "kind", "weight", fold(F.col("term")).alias("folded")).where("length(folded) >= 3")
-    x = texts.select("file_id", fold(F.substring("text", 1, most)).alias("blob"))
-    strong = F.col("kind").isin("name", "alternate_name", "exonym", "variety", "title")
-    g = x.join(t, match.has_scan_term(F.col("blob"), F.col("folded"), F.col("kind"))).groupBy("file_id").agg(
-        F.max(F.when(strong, F.col("weight"))).alias("most"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "term"))), lambda r: r["term"]).alias("matched_terms"),
-    )
+    names = scan_terms(terms.where("kind <> 'iso_code'"))
+    found = let(fold(F.substring("text", 1, most)), lambda blob: F.filter(names, lambda t: match.has_scan_term(blob, t["folded"], t["kind"])))
+    g = texts.select("file_id", found.alias("h"))
+    strong = F.filter("h", lambda t: t["kind"].isin("name", "alternate_name", "exonym", "variety", "title"))
+    g = g.select("file_id", F.array_max(F.transform(strong, lambda t: t["weight"])).alias("most"), F.transform("h", lambda t: t["term"]).alias("matched_terms"))
     return g.where("most IS NOT NULL").select("file_id", F.bround(F.least(F.lit(0.9), F.col("most") * 0.75), 2).alias("detection_confidence"), "matched_terms")
 
 

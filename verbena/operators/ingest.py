@@ -28,7 +28,7 @@ def described(candidates: DataFrame) -> DataFrame:
     """candidates with text: path, title, matched terms and metadata that count as evidence."""
     texts = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*CONTEXT_KEYS) & v.isNotNull())
     parts = F.transform(F.array_sort(F.map_entries(texts)), lambda e: F.concat(e["key"], F.lit(" "), e["value"]))
-    return candidates.withColumn("text", F.concat_ws(" ", "path", "title", F.array_join("matched_terms", " "), F.array_join(parts, " ")))
+    return candidates.withColumn("text", F.concat_ws(" ", "path", "title", *(F.nullif(F.array_join(x, " "), F.lit("")) for x in ("matched_terms", parts))))
 
 
 def outcomes(candidates: DataFrame, languages: DataFrame, terms: DataFrame, stored: DataFrame | None = None, limits: Limits | None = None, word_names: list[str] | None = None) -> DataFrame:
@@ -43,10 +43,11 @@ def outcomes(candidates: DataFrame, languages: DataFrame, terms: DataFrame, stor
     for k, v in optional.items():
         if k not in c.columns:
             c = c.withColumn(k, F.lit(None).cast(v))
-    c = described(c).withColumn("metadata_language", F.col("metadata")["language"])
-    scored = relevance.score(c, languages, terms, word_names).select("candidate_id", "score", "band", "reasons")
-    c = c.select("candidate_id", "session_id", "language_id", "seq", "path", "title", F.length("content").alias("size"), F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 16).alias("head"), F.regexp_extract("path", r"([^/\\]+)$", 1).alias("name"))
-    c = classify.detect_format(c.join(scored, "candidate_id"))
+    c = described(c).withColumns({"metadata_language": F.col("metadata")["language"], "size": F.length("content"), "sha256": F.sha2("content", 256), "head": F.substring("content", 1, 16), "name": F.regexp_extract("path", r"([^/\\]+)$", 1)})
+    wanted = ("candidate_id", "session_id", "language_id", "seq", "path", "title", "size", "sha256", "head", "name")
+    scored = relevance.score(c.select(*wanted, "text", "metadata_language", "types", "user_asserted", "discovery_confidence"), languages, terms, word_names)
+    c = scored.drop("matched_terms")
+    c = classify.detect_format(c)
     fine = (F.col("score") >= limits.review_at) & F.col("size").isNotNull() & (F.col("size") <= limits.most_bytes)
     # bytes belong to the first candidate that may be stored
     owner = F.min(F.when(F.col("fine"), F.struct("seq", "candidate_id"))).over(Window.partitionBy("sha256"))

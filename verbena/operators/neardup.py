@@ -1,4 +1,4 @@
-"""Near duplicates by bottom-k sketches, losslessly: pairs that reach the threshold share a hash among the first few of both."""
+"""Near duplicates by bottom-k sketches, losslessly: pairs that reach the threshold share one of the rarest few hashes of both."""
 
 from __future__ import annotations
 
@@ -11,24 +11,38 @@ from verbena.functions.text import signature, sketch_shared, sketch_union, token
 from verbena.session import written
 
 
-def prefix_length(k: int, threshold: str | float) -> int:
-    """At most (1 - threshold) * k hashes of a union of k are not shared, so the least shared one is among the first of this many."""
-    return int((1 - Decimal(str(threshold))) * k) + 1
-
-
 def signatures(texts: DataFrame, key: str, text: str = "text", k: int = 128) -> DataFrame:
     return texts.select(F.col(key).alias("id"), signature(tokens(F.col(text)), k).alias("sketch")).where("sketch IS NOT NULL")
 
 
-def near_pairs(sketches: DataFrame, threshold: float = 0.85, k: int = 128) -> DataFrame:
-    """a, b (a's sketch not larger), shared, size: pairs of different sketches whose estimate shared / size reaches the threshold.
+def near_pairs(sketches: DataFrame, threshold: float = 0.85, k: int = 128, fresh: DataFrame | None = None) -> DataFrame:
+    """a, b (a before b), shared, size: pairs of different sketches whose estimate shared / size reaches the threshold.
+
+    sketches: id, sketch, one row for each different sketch (see sketch_classes). fresh (id): only pairs with one of these are sought.
+    Integers are compared, not quotients.
 
-    sketches: id, sketch, one row for each different sketch (see sketch_classes). Integers are compared, not quotients.
+    What a pair shares of the union's first k hashes is in both sketches, so a pair that reaches the threshold shares that share of the larger
+    sketch at least, and one of the first n - ceil(threshold * n) + 1 of its n hashes, in any common order. The order is by how many sketches have a hash, rarest
+    first: a hash of a passage that very many texts hold is in few prefixes, and meets only sketches of a size that fits.
     """
-    p = prefix_length(k, threshold)
-    sketches = written(sketches, "sketches")  # read four times below
-    spread = sketches.select("id", F.explode(F.slice("sketch", 1, p)).alias("h"))
-    pairs = spread.select(F.col("id").alias("a"), "h").join(spread.select(F.col("id").alias("b"), "h"), "h").where("a < b").select("a", "b").distinct()
+    sketches = written(sketches, "sketches")  # read several times below
+    keep = Decimal(str(threshold))
+    spread = sketches.select("id", F.size("sketch").alias("n"), F.explode("sketch").alias("h"))
+    often = spread.groupBy("h").agg(F.count("*").alias("often"))
+    order = F.transform(F.sort_array(F.collect_list(F.struct("often", "h"))), lambda x: x["h"])
+    first = spread.join(often.where("often > 1"), "h").groupBy("id", "n").agg(order.alias("hs"))
+    # hashes that no other sketch has come first in the order, and need no row
+    alone = F.col("n") - F.size("hs")
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(keep)) + 1
+    prefix = first.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("hs", 1, F.greatest(F.lit(0), length - alone).cast("int"))).alias("at", "h"))
+    prefix = written(prefix.select("id", "n", (F.col("at") + F.col("alone") + 1).alias("at"), "h"), "prefixes")
+    x, y = (prefix.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at"))) for s in "xy")
+    most = F.greatest("n_x", "n_y") * F.lit(keep)
+    ordered = F.col("id_x") < F.col("id_y") if fresh is None else F.col("id_x") != F.col("id_y")
+    if fresh is not None:
+        x = x.join(fresh.select(F.col("id").alias("id_x")), "id_x", "left_semi")
+    met = x.join(y, "h").where(ordered & (F.least("n_x", "n_y") >= most) & (1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= most))
+    pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
     wide = pairs.join(side("a"), "a").join(side("b"), "b")
     measured = wide.select("a", "b", sketch_shared(F.col("sa"), F.col("sb"), k).cast("long").alias("shared"), F.size(sketch_union(F.col("sa"), F.col("sb"), k)).cast("long").alias("size"))

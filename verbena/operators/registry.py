@@ -31,7 +31,8 @@ def find(queries: DataFrame, index: DataFrame, languages: DataFrame, retired: Da
     """query_id, code, name, matched_on, matched_text, score, rank: the best candidates of each query.
 
     queries: query_id, query; languages: code, name; retired: code, change_to. A code counts once for a query, with its best match.
-    Whole names are an equi-join; parts of names compare each (short) list of queries with the keys.
+    Whole names are an equi-join. So are parts: names that start with a query share its first three characters, names that hold one, from
+    five characters on, have its first five somewhere.
     """
     q = queries.select("query_id", F.lower(F.btrim("query")).alias("q"), fold(F.col("query")).alias("fq"))
     stripped = F.array_join(F.filter(F.split("fq", " "), lambda w: ~w.isin(*LANGUAGE_WORDS)), " ")
@@ -46,8 +47,13 @@ def find(queries: DataFrame, index: DataFrame, languages: DataFrame, retired: Da
     named = lambda on, off: q.where(on != "").join(index, on == F.col("key")).select("query_id", "code", "kind", "text", (base[F.col("kind")] - off).alias("score"))
     hits.append(named(F.col("fq"), 0.0))
     hits.append(q.where("stripped <> '' AND stripped <> fq").join(index, F.col("stripped") == F.col("key")).select("query_id", "code", "kind", "text", (base[F.col("kind")] - SPELLED_OUT).alias("score")))
-    part = F.startswith("key", "fq") | ((F.length("fq") >= 5) & F.contains("key", "fq"))
-    hits.append(q.where(F.length("fq") >= 3).join(index, part).select("query_id", "code", "kind", "text", (base[F.col("kind")] - PART).alias("score")))
+    parts = q.where(F.length("fq") >= 3)
+    heads = parts.join(index, (F.substring("fq", 1, 3) == F.substring("key", 1, 3)) & F.startswith("key", "fq"))
+    runs = F.transform(F.sequence(F.lit(1), F.length("key") - 4), lambda i: F.substr("key", i, F.lit(5)))
+    inside = index.where(F.length("key") >= 5).select("*", F.explode(F.array_distinct(runs)).alias("run"))
+    inside = parts.where(F.length("fq") >= 5).join(inside, (F.substring("fq", 1, 5) == F.col("run")) & F.contains("key", "fq"))
+    for met in (heads, inside):
+        hits.append(met.select("query_id", "code", "kind", "text", (base[F.col("kind")] - PART).alias("score")))
     every = hits[0]
     for h in hits[1:]:
         every = every.union(h)
@@ -75,7 +81,7 @@ def resolve(queries: DataFrame, local: DataFrame, bundled: DataFrame, identity:
 
     local and bundled as from find_local() and find(); identity: language_id, code of stored profiles.
     """
-    mine = local.join(identity, "language_id", "left").select("query_id", F.coalesce("code", "language_id").alias("code"), "matched_on", "score", F.lit(0).alias("source"))
+    mine = local.join(identity, "language_id", "left").select("query_id", F.coalesce("code", F.col("language_id").cast("string")).alias("code"), "matched_on", "score", F.lit(0).alias("source"))
     rest = bundled.select("query_id", "code", "matched_on", "score", F.lit(1).alias("source")).join(mine.select("query_id", "code"), ["query_id", "code"], "left_anti")
     every = mine.union(rest)
     g = every.groupBy("query_id").agg(

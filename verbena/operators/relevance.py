@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbena.functions import match
-from verbena.functions.text import fold
+from verbena.functions.text import fold, let
+from verbena.session import written
 
 #: Signals in their order, with their weights.
 WEIGHTS = {
@@ -51,67 +52,112 @@ def linguistic_type(kind: Column) -> Column:
     return F.when(f.isin(*LANGUAGE_TYPES), True).when(f.isin(*OTHER_TYPES), False).otherwise(fold(kind).rlike(LANGUAGE_PARTS))
 
 
+_HIT = "array<struct<ord:int,folded:string,term:string,weak:boolean,force:double,hit:boolean,read:boolean>>"
+
+
+def _hits(texts: Column, terms: Column, word_names: list[str]) -> Column:
+    """Of the terms of a row, those that its texts (text, blob, inside) hit or whose contents tell of them. Costly tests run on hits alone."""
+
+    def one(t: Column) -> Column:
+        is_name = t["signal"] == "exact_name"
+        context = match.language_context(texts["text"], t["term"])
+        plain = match.has_term(texts["blob"], t["folded"])
+        named = plain | F.when(F.length(t["folded"]) < 3, context).otherwise(False)
+        by_author = F.when(t["signal"].isin("alternate_name", "exonym", "variety", "parent"), match.only_author(texts["text"], t["term"])).otherwise(False)
+        by_words = F.when(match.common_words_only(t["folded"]), ~match.proper_noun(texts["text"], t["term"])).otherwise(False)
+        hit = F.coalesce(F.when(is_name, named).when(plain, ~by_author & ~by_words), F.lit(False))
+        read = F.coalesce(F.when(t["signal"].isin("exact_name", "alternate_name", "variety"), match.has_term(texts["inside"], t["folded"])), F.lit(False))
+
+        def told(h: Column) -> Column:
+            unclear = F.when(h & match.ambiguous_name(t["folded"], word_names), ~context).otherwise(False)
+            base = F.when(is_name, 1.0).otherwise(strength(t["folded"]) * F.when(t["weak"], 0.5).otherwise(1.0))
+            return F.struct(t["ord"].alias("ord"), t["folded"].alias("folded"), t["term"].alias("term"), t["weak"].alias("weak"), (base * F.when(unclear, 0.3).otherwise(1.0)).alias("force"), h.alias("hit"), read.alias("read"))
+
+        return let(hit, told)
+
+    return F.filter(F.transform(terms, one), lambda h: h["hit"] | h["read"]).cast(_HIT)
+
+
+def _summed(hits: Column) -> Column:
+    """gain, read, signals (the reason each gives) and terms of a row's hits. A folded term counts for the first signal that it hits; within
+    one signal equal folded terms all count."""
+    names, weights = F.array(*map(F.lit, WEIGHTS)), F.array(*(F.lit(float(w)) for w in WEIGHTS.values()))
+    counts = lambda h: h["hit"] & ~F.exists(hits, lambda g: g["hit"] & (g["folded"] == h["folded"]) & (g["ord"] < h["ord"]))
+
+    def of(counted: Column) -> Column:
+        def signal(i: Column) -> Column:
+            return let(F.filter(counted, lambda h: h["ord"] == i), lambda own: F.struct(i.alias("ord"), F.size(own).alias("n"), F.array_max(F.transform(own, lambda h: h["force"])).alias("force"), F.forall(own, lambda h: h["weak"]).alias("all_weak")))
+
+        def total(signals: Column) -> Column:
+            gain = F.aggregate(signals, F.lit(0.0), lambda a, x: a + F.get(weights, x["ord"]) * (x["force"] + F.when(x["n"] > 1, 0.25).otherwise(0.0)))
+            said = F.transform(signals, lambda x: F.concat(F.replace(F.get(names, x["ord"]), F.lit("_"), F.lit(" ")), F.when(x["all_weak"], " (shared name, weak)").otherwise("")))
+            terms = F.concat(F.transform(counted, lambda h: h["term"]), F.transform(F.filter(hits, lambda h: h["read"]), lambda h: h["term"]))
+            return F.struct(gain.alias("gain"), F.exists(hits, lambda h: h["read"]).alias("read"), said.alias("signals"), F.array_distinct(terms).alias("terms"))
+
+        return let(F.filter(F.transform(F.array(*map(F.lit, range(len(WEIGHTS)))), signal), lambda x: x["n"] > 0), total)
+
+    return let(F.filter(hits, counts), of)
+
+
 def score(candidates: DataFrame, languages: DataFrame, terms: DataFrame, word_names: list[str] | None = None) -> DataFrame:
-    """candidate_id, score, band, reasons (signals in order), matched_terms.
+    """candidates' candidate_id, language_id, then score, band, reasons (signals in order), matched_terms; extra columns of candidates stay in front.
 
     candidates: candidate_id, language_id, text and, where known, metadata_language, types, user_asserted, discovery_confidence,
-    contents. languages: language_id, iso, name. word_names: folded names that are ordinary words as well.
+    contents. languages: language_id, iso, name. word_names: folded names that are ordinary words as well (match.WORD_NAMES).
+
+    A language's name and terms are one row, with the terms as an array, and each candidate is matched in its own row: texts never
+    meet terms in a join. The table of languages is written first, so that Spark knows its size and sends it to the candidates if small.
     """
+    word_names = list(match.WORD_NAMES) if word_names is None else word_names
     optional = {"metadata_language": "string", "types": "array<string>", "user_asserted": "boolean", "discovery_confidence": "double", "contents": "string"}
-    c = candidates.select("candidate_id", "language_id", "text", *(F.col(k).cast(v) if k in candidates.columns else F.lit(None).cast(v).alias(k) for k, v in optional.items()))
-    c = c.withColumn("blob", fold(F.col("text"))).withColumn("inside", fold(F.substring("contents", 1, CONTENTS_READ)))
+    own = [c for c in candidates.columns if c not in ("text", *optional)]
+    c = candidates.select(*own, "text", *(F.col(k).cast(v) if k in candidates.columns else F.lit(None).cast(v).alias(k) for k, v in optional.items()))
     lang = languages.select("language_id", F.lower("iso").alias("iso"), F.col("name").alias("language"))
     order = F.create_map(*(F.lit(x) for i, s in enumerate(WEIGHTS) for x in (s, i)))
-    weight = F.create_map(*(F.lit(x) for s, w in WEIGHTS.items() for x in (s, float(w))))
     names = lang.select("language_id", F.lit("exact_name").alias("signal"), F.lit(0).alias("seq"), F.col("language").alias("term"), F.lit(False).alias("weak"))
     every = names.unionByName(terms.select("language_id", "signal", "seq", "term", "weak")).where(F.col("term").isNotNull())
-    every = every.withColumn("folded", fold(F.col("term"))).withColumn("ord", order[F.col("signal")])
-
-    met = c.select("candidate_id", "language_id", "text", "blob", "inside").join(every, "language_id")
-    met = met.withColumn("unclear", match.ambiguous_name(F.col("folded"), word_names or []) & ~match.language_context(F.col("text"), F.col("term")))
-    is_name = F.col("signal") == "exact_name"
-    plain = match.has_term(F.col("blob"), F.col("folded"))
-    named = plain | ((F.length("folded") < 3) & match.language_context(F.col("text"), F.col("term")))
-    by_author = F.col("signal").isin("alternate_name", "exonym", "variety", "parent") & match.only_author(F.col("text"), F.col("term"))
-    by_words = match.common_words_only(F.col("folded")) & ~match.proper_noun(F.col("text"), F.col("term"))
-    hit = F.when(is_name, named).otherwise(plain & ~by_author & ~by_words)
-    read = F.col("signal").isin("exact_name", "alternate_name", "variety") & match.has_term(F.col("inside"), F.col("folded"))
-    met = met.withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("read", F.coalesce(read, F.lit(False))).where("hit OR read")
-    # within one signal equal folded terms all count as hits; only earlier signals use a term up
-    used = F.min(F.when(F.col("hit"), F.col("ord"))).over(Window.partitionBy("candidate_id", "folded"))
-    met = met.withColumn("counts", F.col("hit") & (F.col("ord") == used))
-    force = F.when(is_name, F.when(F.col("unclear"), 0.3).otherwise(1.0)).otherwise(strength(F.col("folded")) * F.when(F.col("weak"), 0.5).otherwise(1.0) * F.when(F.col("unclear"), 0.3).otherwise(1.0))
-    by_signal = met.groupBy("candidate_id", "signal", "ord").agg(
-        F.max(F.when(F.col("counts"), force)).alias("force"), F.count_if("counts").alias("n"), F.bool_or("read").alias("read"),
-        F.bool_and(F.when(F.col("counts"), F.col("weak"))).alias("all_weak"), F.collect_set(F.when(F.col("counts") | F.col("read"), F.col("term"))).alias("terms"),
-    )
-    gain = F.when(F.col("n") > 0, weight[F.col("signal")] * F.col("force") + F.when(F.col("n") > 1, 0.25 * weight[F.col("signal")]).otherwise(0.0)).otherwise(0.0)
-    reason = F.when(F.col("n") > 0, F.concat(F.replace("signal", F.lit("_"), F.lit(" ")), F.when(F.col("all_weak"), " (shared name, weak)").otherwise("")))
-    sums = by_signal.withColumn("gain", gain).groupBy("candidate_id").agg(
-        F.sum("gain").alias("gain"), F.bool_or("read").alias("read"), F.transform(F.sort_array(F.collect_list(F.when(reason.isNotNull(), F.struct("ord", reason.alias("reason"))))), lambda x: x["reason"]).alias("signals"), F.flatten(F.collect_list("terms")).alias("terms"),
-    )
-
-    # what needs no terms but the language itself and its alternates
-    alternates = every.where("signal = 'alternate_name'").groupBy("language_id").agg(F.collect_set("folded").alias("alternates"))
-    whole = c.drop("text", "inside", "contents").join(lang, "language_id", "left").join(alternates, "language_id", "left").join(sums, "candidate_id", "left")
-    words = F.split("blob", " ")
-    iso_hit = F.coalesce(F.array_contains(words, F.col("iso")) | F.contains("blob", F.concat(F.lit("iso "), "iso")), F.lit(False))
+    every = every.select("language_id", F.struct(order[F.col("signal")].alias("ord"), "seq", "signal", "term", F.coalesce("weak", F.lit(False)).alias("weak"), fold(F.col("term")).alias("folded")).alias("t"))
+    every = every.groupBy("language_id").agg(F.sort_array(F.collect_list("t")).alias("terms"))
+    known = written(lang.join(every, "language_id", "left"), "terms")
+
+    none = F.array().cast(known.schema["terms"].dataType)
+    texts = F.struct("text", fold(F.col("text")).alias("blob"), fold(F.substring("contents", 1, CONTENTS_READ)).alias("inside"))
+    met = c.join(known, "language_id", "left")
+    iso_hit = lambda blob: F.coalesce(F.array_contains(F.split(blob, " "), F.col("iso")) | F.contains(blob, F.concat(F.lit("iso "), "iso")), F.lit(False))
+    found = let(texts, lambda v: F.struct(let(_hits(v, F.coalesce("terms", none), word_names), _summed).alias("sums"), iso_hit(v["blob"]).alias("iso")))
+    met = met.withColumn("found", found).drop("text", "contents")
+
     ml = fold(F.col("metadata_language"))
-    field_hit = F.coalesce((F.col("metadata_language") != "") & ((ml == F.col("iso")) | (ml == fold(F.col("language"))) | F.array_contains(F.coalesce("alternates", F.array().cast("array<string>")), ml)), F.lit(False))
+    alternates = F.transform(F.filter(F.coalesce("terms", none), lambda t: t["signal"] == "alternate_name"), lambda t: t["folded"])
+    field_hit = F.coalesce((F.col("metadata_language") != "") & ((ml == F.col("iso")) | (ml == fold(F.col("language"))) | F.array_contains(alternates, ml)), F.lit(False))
     typed = F.coalesce(F.exists("types", linguistic_type), F.lit(False))
-    asserted = F.coalesce("user_asserted", F.lit(False))
-    read_hit = F.coalesce("read", F.lit(False))
-    total = F.coalesce("gain", F.lit(0.0))
-    for flag, points in ((asserted, ASSERTED), (iso_hit, ISO), (field_hit, LANGUAGE_FIELD), (read_hit, CONTENTS), (typed, LINGUISTIC)):
-        total = total + F.when(flag, float(points)).otherwise(0.0)
+    met = met.select(*own, "discovery_confidence", F.col("found.sums").alias("sums"), F.col("found.iso").alias("iso_hit"), field_hit.alias("field_hit"), typed.alias("typed"), F.coalesce("user_asserted", F.lit(False)).alias("asserted"))
+    total = F.col("sums.gain")
+    for flag, points in (("asserted", ASSERTED), ("iso_hit", ISO), ("field_hit", LANGUAGE_FIELD), ("sums.read", CONTENTS), ("typed", LINGUISTIC)):
+        total = total + F.when(F.col(flag), float(points)).otherwise(0.0)
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("discovery_confidence")))
     total = F.when(F.col("discovery_confidence").isNotNull() & (total > 0), total * F.least(F.lit(1.0), 0.5 + 0.75 * sure)).otherwise(total)
-    out = whole.withColumn("score", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))).cast("int"))
-    note = lambda flag, text: F.when(flag, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
-    reasons = F.concat(note(asserted, "user assigned"), note(iso_hit, "iso code"), F.coalesce("signals", F.array().cast("array<string>")), note(field_hit, "metadata language"), note(read_hit, "document contents"), note(typed, "catalogue classification"))
-    matched = F.array_distinct(F.concat(F.when(iso_hit, F.array("iso")).otherwise(F.array().cast("array<string>")), F.coalesce("terms", F.array().cast("array<string>"))))
+    out = met.withColumn("score", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))).cast("int"))
+    note = lambda flag, text: F.when(F.col(flag), F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    reasons = F.concat(note("asserted", "user assigned"), note("iso_hit", "iso code"), "sums.signals", note("field_hit", "metadata language"), note("sums.read", "document contents"), note("typed", "catalogue classification"))
+    matched = F.array_distinct(F.concat(note("iso_hit", "iso"), "sums.terms"))
     matched = F.transform(F.array_sort(F.transform(matched, lambda x: F.struct(F.lower(x).alias("k"), x.alias("t")))), lambda x: x["t"])
-    return out.select("candidate_id", "language_id", "score", band(F.col("score")).alias("band"), reasons.alias("reasons"), matched.alias("matched_terms"))
+    return out.select(*own, "score", band(F.col("score")).alias("band"), reasons.alias("reasons"), matched.alias("matched_terms"))
+
+
+#: The terms of a profile are entered by people: more than this are refused, so they can stand in the plan as constants.
+MOST_TERMS = 10_000
+
+
+def scan_terms(terms: DataFrame) -> Column:
+    """The terms (seq, term, kind, weight) with their folded forms as a constant array: those of three letters or more, each form once, the first."""
+    t = terms.select("seq", "term", "kind", F.col("weight").cast("double").alias("weight"), fold(F.col("term")).alias("folded")).where("length(folded) >= 3")
+    t = t.withColumn("k", F.row_number().over(Window.partitionBy("folded").orderBy("seq"))).where("k = 1").drop("k")
+    rows = sorted(t.limit(MOST_TERMS + 1).collect(), key=lambda r: r.seq)
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"at most {MOST_TERMS} terms")
+    shape = "array<struct<seq:bigint,term:string,kind:string,weight:double,folded:string>>"
+    return F.array(*(F.struct(F.lit(r.seq).cast("long").alias("seq"), F.lit(r.term).alias("term"), F.lit(r.kind).alias("kind"), F.lit(r.weight).alias("weight"), F.lit(r.folded).alias("folded")) for r in rows)).cast(shape)
 
 
 def detection(paths: DataFrame, terms: DataFrame) -> DataFrame:
@@ -119,15 +165,21 @@ def detection(paths: DataFrame, terms: DataFrame) -> DataFrame:
 
     paths: file_id, name, folder. terms: seq, term, kind, weight. A hit in the folder counts 0.8 of its weight, both together 0.05 more.
     """
-    t = terms.select("seq", "term", "kind", "weight", fold(F.col("term")).alias("folded")).where("length(folded) >= 3")
-    t = t.withColumn("k", F.row_number().over(Window.partitionBy("folded").orderBy("seq"))).where("k = 1").drop("k")
-    p = paths.select("file_id", fold(F.col("name")).alias("n"), fold(F.col("folder")).alias("f"))
-    by = lambda x: match.has_scan_term(F.col(x), F.col("folded"), F.col("kind"))
-    met = p.join(t, by("n") | by("f")).withColumn("in_name", by("n"))
-    g = met.groupBy("file_id").agg(
-        F.max(F.when(F.col("in_name"), F.col("weight")).otherwise(F.col("weight") * 0.8)).alias("most"), F.bool_or("in_name").alias("named"), F.bool_or(~F.col("in_name")).alias("placed"),
-        F.transform(F.sort_array(F.collect_list(F.struct(~F.col("in_name"), F.col("seq"), F.col("term")))), lambda x: x["term"]).alias("matched_terms"),
-    )
+    names = scan_terms(terms)
+    texts = F.struct(fold(F.col("name")).alias("n"), fold(F.col("folder")).alias("f"))
+
+    def of(v: Column) -> Column:
+        def one(t: Column) -> Column:
+            by = lambda x: F.coalesce(match.has_scan_term(x, t["folded"], t["kind"]), F.lit(False))
+            return F.struct(t["seq"].alias("seq"), t["term"].alias("term"), t["weight"].alias("weight"), by(v["n"]).alias("named"), by(v["f"]).alias("placed"))
+
+        return F.filter(F.transform(names, one), lambda h: h["named"] | h["placed"])
+
+    g = paths.select("file_id", let(texts, of).alias("h")).where(F.size("h") > 0)
+    most = F.array_max(F.transform("h", lambda h: F.when(h["named"], h["weight"]).otherwise(h["weight"] * 0.8)))
+    named, placed = F.exists("h", lambda h: h["named"]), F.exists("h", lambda h: ~h["named"])
+    ordered = F.array_sort(F.transform("h", lambda h: F.struct((~h["named"]).alias("later"), h["seq"].alias("seq"), h["term"].alias("term"))))
+    g = g.select("file_id", most.alias("most"), named.alias("named"), placed.alias("placed"), F.transform(ordered, lambda x: x["term"]).alias("matched_terms"))
     sure = F.when(F.col("named") & F.col("placed"), F.least(F.lit(1.0), F.col("most") + 0.05)).otherwise(F.col("most"))
     how = F.when(F.col("named") & F.col("placed"), "filename+path").when(F.col("named"), "filename").otherwise("path")
     return g.select("file_id", how.alias("detection_method"), F.bround(sure, 2).alias("detection_confidence"), "matched_terms")

@@ -56,6 +56,12 @@ def session_ids(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("session_id", F.concat(F.lit("COL-"), day, F.lit("-"), F.format_string("%03d", number)))
 
 
+def sessions(facts: DataFrame) -> DataFrame:
+    """session_id, language_id, mode, started_at and the last status of each session."""
+    given = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("language_id", "mode", "started_at")]
+    return facts.groupBy("session_id").agg(*given, F.max_by("status", "seq").alias("status"))
+
+
 #: What each outcome adds to its session's counters.
 COUNTERS = {
     "relevant": ("stored", "duplicate_linked", "uncertain_review"), "downloaded": ("stored", "uncertain_review"), "duplicates": ("duplicate_linked",),
@@ -91,3 +97,26 @@ def session_bytes(resources: DataFrame, sources: DataFrame) -> DataFrame:
     """session_id, n, bytes: the distinct resources that a session found."""
     found = sources.select("session_id", "resource_id").distinct()
     return found.join(resources.select("resource_id", "size"), "resource_id").groupBy("session_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def review_sources(items: DataFrame, resources: DataFrame, texts: DataFrame, start: int = 400) -> DataFrame:
+    """Items about a resource (item_id, sha256) with its name, size and the start of its text, if it has one; of several texts the longest."""
+    best = texts.groupBy("sha256").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    held = resources.select("sha256", "name", "size")
+    return items.join(held, "sha256").join(best, "sha256", "left").select("item_id", "sha256", "name", "size", F.substring("text", 1, start).alias("sample"))
+
+
+def home(resources: DataFrame, items: DataFrame, languages_: DataFrame) -> DataFrame:
+    """One row: languages, resources, bytes, pending resources and pending facts (items with status)."""
+    held = resources.agg(F.count("*").alias("resources"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    pending = items.where("status = 'pending'").agg(F.count_if(F.col("kind") == "resource").alias("pending_resources"), F.count_if(F.col("kind") != "resource").alias("pending_facts"))
+    return languages_.agg(F.count("*").alias("languages")).join(held).join(pending)
+
+
+def catalogue_totals(results: DataFrame) -> DataFrame:
+    """session_id and what its catalogues gave: discovered (lookups left out), lookups, relevant, metadata, files to load; results have an action."""
+    is_ = lambda *a: F.count_if(F.col("action").isin(*a))
+    return results.groupBy("session_id").agg(
+        is_("skip", "metadata", "download").alias("discovered"), is_("lookup").alias("lookups"), is_("metadata", "download").alias("relevant"), is_("metadata").alias("metadata"),
+        F.coalesce(F.sum(F.when(F.col("action") == "download", F.col("n_files"))), F.lit(0)).cast("long").alias("files"),
+    )

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbena.functions import entered
 from verbena.operators import classify, crawl, discover, facts, ingest, neardup, profile, registry, relevance, state
 from verbena.plans.base import Register, sql_fold, table
+from verbena.session import written
 from verbena.streaming import flows
 
 R = Register()
@@ -26,9 +26,9 @@ _WEIGHTS = ", ".join(f"('{s}', {w}, {i})" for i, (s, w) in enumerate(relevance.W
 _TERMS = ", ".join(f"('{s}', {q}, '{t}', {str(w).lower()})" for s, q, t, w in [("exact_name", 0, "Thonin", False), *TERMS])
 
 
-def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_documents(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    c = d.select(F.col("doc_id").alias("candidate_id"), F.lit("tho").alias("language_id"), "text", F.col("text").alias("contents"), F.when(F.col("lang") == "en", "Erheon").otherwise(F.col("lang")).alias("metadata_language"))
+    c = d.select(F.col("doc_id").alias("candidate_id"), "source", F.lit("tho").alias("language_id"), "text", F.col("text").alias("contents"), F.when(F.col("lang") == "en", "Erheon").otherwise(F.col("lang")).alias("metadata_language"), *more)
     languages = spark.createDataFrame(LANGUAGE, "language_id string, iso string, name string")
     terms = spark.createDataFrame([("tho", *t) for t in TERMS], "language_id string, signal string, seq int, term string, weak boolean")
     return relevance.score(c, languages, terms)
@@ -37,7 +37,7 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORES = rf"""
 w AS (SELECT * FROM (VALUES {_WEIGHTS}) t(signal, weight, ord)),
 t AS (SELECT x.*, weight, ord, {sql_fold('term')} AS f FROM (VALUES {_TERMS}) x(signal, seq, term, weak) JOIN w USING (signal)),
-d AS (SELECT doc_id, lang, {sql_fold('substr(text, 1, 400)')} AS blob, {sql_fold('substr(text, 1, 200000)')} AS inside FROM documents),
+d AS (SELECT doc_id, lang, {sql_fold('text')} AS blob, {sql_fold('substr(text, 1, 200000)')} AS inside FROM documents),
 m AS (SELECT doc_id, signal, weight, ord, weak, f, CASE WHEN signal = 'exact_name' THEN 1.0 ELSE CASE WHEN len(replace(f, ' ', '')) <= 4 THEN 0.6 WHEN len(replace(f, ' ', '')) = 5 THEN 0.8 ELSE 1.0 END * CASE WHEN weak THEN 0.5 ELSE 1.0 END END AS force,
   contains(' ' || blob || ' ', ' ' || f || ' ') OR (len(f) >= 8 AND contains(blob, f)) AS hit,
   signal IN ('exact_name', 'alternate_name', 'variety') AND (contains(' ' || inside || ' ', ' ' || f || ' ') OR (len(f) >= 8 AND contains(inside, f))) AS inside_hit FROM d CROSS JOIN t),
@@ -54,8 +54,7 @@ def relevance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"WITH {_SCORES} SELECT source, CASE WHEN score < 30 THEN 'rejected' WHEN score < 70 THEN 'uncertain' ELSE 'confirmed' END AS status, count(*) AS n FROM scores JOIN documents USING (doc_id) GROUP BY ALL")
 def relevance_status_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored_documents(spark, sf_dir).select(F.col("candidate_id").alias("doc_id"), relevance.status(F.col("score")).alias("status"))
-    return s.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "status").agg(F.count("*").alias("n"))
+    return scored_documents(spark, sf_dir).groupBy("source", relevance.status(F.col("score")).alias("status")).agg(F.count("*").alias("n"))
 
 
 @R.query(rf"""WITH {_SCORES},
@@ -64,12 +63,15 @@ o AS (SELECT *, min(CASE WHEN score >= 30 THEN doc_id END) OVER (PARTITION BY sh
 SELECT source, CASE WHEN score < 30 THEN 'rejected' WHEN owner <> doc_id THEN 'duplicate_linked' WHEN score < 70 THEN 'uncertain_review' ELSE 'stored' END AS status, count(*) AS n FROM o GROUP BY ALL""")
 def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: documents scored, deduplicated by their bytes and sorted into outcomes, counted by source."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    s = scored_documents(spark, sf_dir).select(F.col("candidate_id").alias("doc_id"), "score")
-    c = d.select("doc_id", "source", F.sha2("text", 256).alias("sha")).join(s, "doc_id")
-    owner = F.min(F.when(F.col("score") >= 30, F.col("doc_id"))).over(W.partitionBy("sha"))
-    status = F.when(F.col("score") < 30, "rejected").when(F.col("owner") != F.col("doc_id"), "duplicate_linked").when(F.col("score") < 70, "uncertain_review").otherwise("stored")
-    return c.withColumn("owner", owner).groupBy("source", status.alias("status")).agg(F.count("*").alias("n"))
+    c = scored_documents(spark, sf_dir, F.sha2("text", 256).alias("sha")).where("sha IS NOT NULL")
+    kind = F.when(F.col("score") < 30, "rejected").when(F.col("score") < 70, "uncertain_review").otherwise("stored")
+    # of the copies of one text that may be stored the first is; counted by text first, so a text with many copies is no hot key
+    held = c.groupBy("sha", "source", kind.alias("kind")).agg(F.count("*").alias("n"), F.min("candidate_id").alias("low"))
+    fine = F.col("kind") != "rejected"
+    owner = held.where(fine).groupBy("sha").agg(F.min("low").alias("owner"))
+    held = held.join(owner, "sha", "left").withColumn("own", F.when(fine & (F.col("low") == F.col("owner")), 1).otherwise(0))
+    status = F.explode(F.array(F.struct(F.col("kind").alias("status"), F.when(fine, F.col("own")).otherwise(F.col("n")).alias("k")), F.struct(F.lit("duplicate_linked").alias("status"), F.when(fine, F.col("n") - F.col("own")).otherwise(0).alias("k"))))
+    return held.select("source", status.alias("s")).where("s.k > 0").groupBy("source", F.col("s.status").alias("status")).agg(F.sum("s.k").alias("n"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +95,7 @@ out AS (SELECT doc_id, source, sha, octet_length(encode(text)) AS size, score, f
 
 @R.query(f"WITH {_OUTCOMES} SELECT doc_id AS candidate_id, status, score, format, category, duplicate_of, size FROM out")
 def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _outcomes(spark, sf_dir).select("candidate_id", "status", "score", F.when(F.col("format") == "unknown", "text").otherwise(F.col("format")).alias("format"), F.when(F.col("category") == "other", "text").otherwise(F.col("category")).alias("category"), "duplicate_of", F.col("size").cast("long").alias("size"))
+    return _outcomes(spark, sf_dir).select("candidate_id", "status", "score", "format", "category", "duplicate_of", F.col("size").cast("long").alias("size"))
 
 
 @R.query(f"""WITH {_OUTCOMES} SELECT 'S' || source AS session_id, count(*) AS discovered, count(*) AS relevant, count(*) FILTER (WHERE status <> 'duplicate_linked') AS downloaded,
@@ -118,8 +120,8 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("SELECT doc_id, sha256(text) AS sha, min(doc_id) OVER (PARTITION BY text) AS owner, count(*) OVER (PARTITION BY text) AS copies FROM documents")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    g = d.groupBy("sha").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies"))
-    return d.join(g, "sha").select("doc_id", "sha", "owner", "copies")
+    g = d.groupBy(F.col("sha").alias("own")).agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies"))
+    return d.join(g, d["sha"].eqNullSafe(g["own"])).select("doc_id", "sha", "owner", "copies")
 
 
 _SKETCH = r"""
@@ -377,22 +379,21 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
+def _drained(spark: SparkSession, stream: DataFrame, name: str, mode: str, *keys: str) -> DataFrame:
     from verbena.session import shared_folder
 
-    name = f"{name}_{tempfile.mktemp(dir='').strip('/')}"
-    out = flows.drain(stream, name, f"{shared_folder(spark)}/{name}", mode)
+    out = flows.drain(stream, f"{shared_folder(spark)}/verbena-{name}-{uuid.uuid4().hex}", mode, keys)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in out.dtypes if kind == "timestamp"})
 
 
 @R.query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(spark, flows.tumbling(_stream(spark, sf_dir), "ts", "1 hour", "event_type", late="3650 days"), "tumbling", "complete").withColumn("total", F.round("total", 6))
+    return _drained(spark, flows.tumbling(_stream(spark, sf_dir), "ts", "1 hour", "event_type"), "tumbling", "update", "start", "event_type").withColumn("total", F.round("total", 6))
 
 
 @R.query("""SELECT start, event_type, count(*) AS n FROM (SELECT event_type, ts, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY ALL""")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(spark, flows.sliding(_stream(spark, sf_dir), "ts", "1 hour", "30 minutes", "event_type", late="3650 days"), "sliding", "complete")
+    return _drained(spark, flows.sliding(_stream(spark, sf_dir), "ts", "1 hour", "30 minutes", "event_type"), "sliding", "update", "start", "event_type")
 
 
 @R.query("""WITH g AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events))
@@ -415,5 +416,7 @@ def term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbena.functions.text import shingle_hashes, tokens
 
     side = lambda t, k: table(spark, sf_dir, t).select(k, F.explode(F.array_distinct(shingle_hashes(tokens(F.col("text"))))).alias("h"))
-    return side("documents", "doc_id").join(side("benchmark", "item_id"), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-
+    # each run once on the side of the passages, so a run that many documents have meets one row; those of the same passages are counted first
+    items = written(side("benchmark", "item_id").groupBy("h").agg(F.sort_array(F.collect_list("item_id")).alias("items")), "runs")
+    met = side("documents", "doc_id").join(items, "h").groupBy("doc_id", "items").agg(F.count("*").alias("n"))
+    return met.select("doc_id", F.explode("items").alias("item_id"), "n").groupBy("doc_id", "item_id").agg(F.sum("n").alias("shared"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from verbena.operators import extract, ingest, neardup, profile, registry, state
 from verbena.session import ship
 from verbena.sources import files
 
-#: The tables and their columns; every one also has seq, growing with each write.
+#: The tables and their columns; every one also has seq, which grows with each write and differs within it.
 TABLES = {
     "language": "id string, name string, iso string, created_at timestamp",
     "value": "language_id string, grp string, field string, value_json string, source_type string, confidence double, recorded_at string, preferred boolean, status string",
@@ -23,8 +25,14 @@ TABLES = {
     "near": "resource_id string, other_id string, similarity double",
     "item": "item_id string, language_id string, session_id string, kind string, payload string, confidence double",
     "decision": "item_id string, decision string, decided_by string",
+    "sketch": "sha256 string, language_id string, sketch array<string>",
     "session": "session_id string, language_id string, mode string, status string, started_at timestamp",
-}
+    "event": "session_id string, level string, message string, at timestamp",
+}
+SEQ = "decimal(38,0)"
+#: An archive in an archive in an archive is opened, one within that is not.
+ARCHIVE_DEPTH = 3
+MODES = ("offline", "import", "catalogue", "agent", "import-member")
 
 
 @dataclass
@@ -34,24 +42,30 @@ class Collection:
     review_at: int = 30
     confirmed_at: int = 70
     near_at: float = 0.85
+    open_archives: bool = False
+    on_message: Callable[[str], None] | None = None
+    on_outcome: Callable[[DataFrame], None] | None = None
 
     def __post_init__(self) -> None:
         ship(self.spark)
 
     # ------------------------------------------------------------ tables
+    def _path(self, name: str):  # noqa: ANN202
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
     def table(self, name: str) -> DataFrame:
         """All rows of a table so far; none before the first write."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        there = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
-        schema = TABLES[name] + ", seq long"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
+        path, files_ = self._path(name)
+        schema = f"{TABLES[name]}, seq {SEQ}"
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if files_.exists(path) else self.spark.createDataFrame([], schema)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows; their seq is the time of the write and a number within it."""
-        base = int(datetime.now(UTC).timestamp() * 1000) << 20
+        """Add rows; their seq is the time of the write, then a number that no other row of the write has."""
+        base = Decimal(int(datetime.now(UTC).timestamp() * 1_000_000) << 63)
         columns = [c.split()[0] for c in TABLES[name].split(", ")]
-        rows.select(*columns, (F.lit(base) + F.monotonically_increasing_id() % (1 << 20)).alias("seq")).write.mode("append").parquet(f"{self.root}/{name}")
+        number = F.monotonically_increasing_id().cast("decimal(20,0)")
+        rows.select(*columns, (F.lit(base).cast(SEQ) + number).cast(SEQ).alias("seq")).write.mode("append").parquet(f"{self.root}/{name}")
 
     # ------------------------------------------------------------ languages and profiles
     def open_language(self, name: str, iso: str | None = None) -> str:
@@ -93,38 +107,99 @@ class Collection:
     def _terms(self) -> DataFrame:
         return profile.terms(self.values()).withColumn("weak", F.lit(False))
 
-    def take_in(self, candidates: DataFrame, language: str, mode: str) -> DataFrame:
-        """A session: candidates (path, content, method and what else is known) to outcomes, texts, near duplicates and review items."""
+    def open_session(self, language: str, mode: str) -> str:
+        """A new session, running. Its number is taken by making a file that nobody else can make again, so two writers never get the same."""
+        if mode not in MODES:
+            raise ValueError(f"unknown mode {mode}")
         started = datetime.now(UTC)
-        number = self.table("session").where(F.to_date("started_at") == F.lit(started.date())).count() + 1
-        session = f"COL-{started:%Y%m%d}-{number:03d}"
+        number = 1
+        while True:
+            session = f"COL-{started:%Y%m%d}-{number:03d}"
+            path, files_ = self._path(f"_sessions/{session}")
+            if not files_.exists(path) and files_.createNewFile(path):
+                break
+            number += 1
+        self.append("session", self.spark.createDataFrame([(session, language, mode, "running", started)], TABLES["session"]))
+        return session
+
+    def finish(self, session: str, status: str = "finished") -> None:
+        """A session's last state: finished, interrupted or failed."""
+        self.append("session", self.spark.createDataFrame([(session, None, None, status, None)], TABLES["session"]))
+
+    def event(self, session: str, message: str, level: str = "info") -> None:
+        self.append("event", self.spark.createDataFrame([(session, level, message, datetime.now(UTC))], TABLES["event"]))
+        if self.on_message:
+            self.on_message(message)
+
+    def take_in(self, candidates: DataFrame, language: str, mode: str) -> DataFrame:
+        """A session: candidates (path, content, method and what else is known) to outcomes, texts, near duplicates and review items.
+
+        The session is there, running, before anything else is; it ends as finished, interrupted or failed. What an unfinished one has
+        written stays: taking the same candidates in again links what is held and adds the rest.
+        """
+        session = self.open_session(language, mode)
+        try:
+            mine = self._taken(candidates, language, session)
+            if self.open_archives:
+                self._members_taken(candidates, mine, language, session)
+            self.append("near", self._near(language, session))
+        except KeyboardInterrupt:
+            self.finish(session, "interrupted")
+            raise
+        except Exception as e:
+            self.event(session, f"{type(e).__name__}: {str(e)[:300]}", "error")
+            self.finish(session, "failed")
+            raise
+        self.finish(session)
+        return self.table("outcome").where(F.col("session_id") == session)
+
+    def _taken(self, candidates: DataFrame, language: str, session: str) -> DataFrame:
         c = candidates.withColumns({"session_id": F.lit(session), "language_id": F.lit(language), "candidate_id": F.concat(F.lit(session + ":"), "path")})
         for k in ("url", "original_path"):
             if k not in c.columns:
                 c = c.withColumn(k, F.lit(None).cast("string"))
         c = c.withColumn("seq", F.xxhash64("path"))
-        held = self.resources()
-        out = ingest.outcomes(c, self._languages(), self._terms(), held.select("sha256"), ingest.Limits(self.review_at, self.confirmed_at))
+        before = self.table("outcome").where(F.col("session_id") == session).select("candidate_id")
+        out = ingest.outcomes(c, self._languages(), self._terms(), self.resources().select("sha256"), ingest.Limits(self.review_at, self.confirmed_at))
         self.append("outcome", out)
-        mine = self.table("outcome").where(F.col("session_id") == session)
+        mine = self.table("outcome").where(F.col("session_id") == session).join(before, "candidate_id", "left_anti")
         self.append("find", ingest.provenance(mine, c))
         self.append("item", ingest.review_items(mine.withColumn("title", F.lit(None).cast("string"))))
         fresh = mine.where(F.col("status").isin("stored", "uncertain_review"))
         bodies = c.select("candidate_id", "content").join(fresh.select("candidate_id", "sha256", "format", "category"), "candidate_id")
         texts = extract.extract_texts(bodies.select("sha256", "content", "format", "category"), "sha256").where("text <> ''")
         self.append("text", texts.withColumn("language_id", F.lit(language)))
-        self.append("near", self._near(language, session))
-        self.append("session", self.spark.createDataFrame([(session, language, mode, "finished", started)], TABLES["session"]))
+        texts = self.table("text").where(F.col("language_id") == language).join(fresh.select("sha256"), "sha256", "left_semi").dropDuplicates(["sha256"])
+        self.append("sketch", neardup.signatures(texts, "sha256").select(F.col("id").alias("sha256"), F.lit(language).alias("language_id"), "sketch"))
+        if self.on_outcome:
+            self.on_outcome(mine)
         return mine
 
+    def _members_taken(self, candidates: DataFrame, mine: DataFrame, language: str, session: str) -> None:
+        """The files in archives that were stored, taken in as candidates of the archive's method and terms; archives among them, too."""
+        known = [k for k in ("method", "user_asserted", "discovery_confidence", "matched_terms", "url") if k in candidates.columns]
+        held = candidates.select("path", "content", *known)
+        for _ in range(ARCHIVE_DEPTH):
+            new = mine.where("category = 'archives' AND status IN ('stored', 'uncertain_review')").select("path", "format")
+            archives = held.join(new, "path")
+            files_ = extract.archive_members(archives.select("path", "content", "format"), "path", contents=True).where("NOT is_folder AND content IS NOT NULL AND member IS NOT NULL")
+            name = F.concat("path", F.lit("!"), F.coalesce(extract.safe_path(F.col("member")), F.lit("member")))
+            held = files_.withColumnRenamed("content", "body").join(archives.drop("format", "content"), "path").select(name.alias("path"), F.col("body").alias("content"), *known).dropDuplicates(["path"])
+            if held.isEmpty():
+                return
+            mine = self._taken(held.withColumn("original_path", F.col("path")), language, session)
+
     def _near(self, language: str, session: str) -> DataFrame:
-        """Pairs of the language's texts of which at least one is new."""
-        sketches = neardup.sketch_classes(neardup.signatures(self.table("text").where(F.col("language_id") == language).dropDuplicates(["sha256"]), "sha256"))
-        new = self.table("outcome").where(F.col("session_id") == session).select(F.col("sha256").alias("id")).distinct().withColumn("new", F.lit(True))
+        """Pairs of the language's texts of which one at least is new: the new sketches against all, never the old against each other."""
+        held = self.table("sketch").where(F.col("language_id") == language).select(F.col("sha256").alias("id"), "sketch").dropDuplicates(["id"])
+        new = self.table("outcome").where((F.col("session_id") == session) & F.col("status").isin("stored", "uncertain_review")).select(F.col("sha256").alias("id")).distinct()
+        sketches = neardup.sketch_classes(held)
         equal = sketches.where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-        pairs = neardup.near_pairs(sketches.where("id = class").select("id", "sketch"), self.near_at).select("a", "b", (F.col("shared") / F.col("size")).alias("similarity")).union(equal)
-        fresh = pairs.join(new.select(F.col("id").alias("a"), F.col("new").alias("na")), "a", "left").join(new.select(F.col("id").alias("b"), F.col("new").alias("nb")), "b", "left").where("na OR nb")
-        return fresh.select(F.col("a").alias("resource_id"), F.col("b").alias("other_id"), "similarity")
+        equal = equal.join(new.select(F.col("id").alias("a"), F.lit(True).alias("na")), "a", "left").join(new.select(F.col("id").alias("b"), F.lit(True).alias("nb")), "b", "left").where("na OR nb").select("a", "b", "similarity")
+        one = sketches.join(new.withColumn("new", F.lit(True)), "id", "left").groupBy("class").agg(F.first("sketch").alias("sketch"), F.max("new").alias("new"))
+        one = one.select(F.col("class").alias("id"), "sketch", F.coalesce("new", F.lit(False)).alias("new"))
+        pairs = neardup.near_pairs(one.select("id", "sketch"), self.near_at, fresh=one.where("new").select("id")).select("a", "b", (F.col("shared") / F.col("size")).alias("similarity"))
+        return pairs.union(equal).select(F.col("a").alias("resource_id"), F.col("b").alias("other_id"), "similarity")
 
     def import_folder(self, root: str, language: str) -> DataFrame:
         """Everything under a folder belongs to the language: the user says so."""
@@ -146,8 +221,15 @@ class Collection:
         return state.new_resources(ingest.resources(self.table("outcome")), self.spark.createDataFrame([], "sha256 string"))
 
     def sessions(self) -> DataFrame:
+        """Sessions with their last state, the name of their language and their counters, the latest first."""
         counters = state.session_counters(self.table("outcome"))
-        return self.table("session").drop("seq").join(counters, "session_id", "left").orderBy(F.desc("started_at"), F.desc("session_id"))
+        rows = state.sessions(self.table("session")).join(counters, "session_id", "left")
+        names = self.languages().select(F.col("id").alias("language_id"), F.col("name").alias("language"))
+        return rows.join(names, "language_id", "left").orderBy(F.desc("started_at"), F.desc("session_id"))
+
+    def unfinished(self) -> DataFrame:
+        """Sessions that never ended well: taking their candidates in again completes them."""
+        return state.sessions(self.table("session")).where("status <> 'finished'")
 
     def near_duplicates(self) -> DataFrame:
         return state.near_duplicates(self.table("near"))
@@ -165,5 +247,15 @@ class Collection:
 
     def home(self) -> dict[str, int]:
         """Counts for an overview."""
-        held = self.resources().agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-        return {"languages": self.languages().count(), "resources": held.n, "bytes": int(held.bytes), "pending": self.reviews().where("status = 'pending'").count()}
+        row = state.home(self.resources(), self.reviews(), self.languages()).first()
+        return {"languages": row.languages, "resources": row.resources, "bytes": int(row.bytes), "pending": row.pending_resources + row.pending_facts}
+
+    def listing(self, language: str) -> DataFrame:
+        """A language's resources with types, the largest score first."""
+        best = self.table("outcome").where((F.col("language_id") == language) & F.col("status").isin("stored", "uncertain_review", "duplicate_linked")).groupBy("sha256").agg(F.max("score").alias("score"))
+        return self.resources().select("sha256", "name", "size", "format", "category").join(best, "sha256").orderBy(F.desc("score"), "sha256")
+
+    def review_sources(self) -> DataFrame:
+        """What lies behind the items that a person has to decide."""
+        items = self.reviews().where("kind = 'resource'").select("item_id", F.get_json_object("payload", "$.sha256").alias("sha256"))
+        return state.review_sources(items, self.resources(), self.table("text"))

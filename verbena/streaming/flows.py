@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -39,9 +40,23 @@ def ingest_stream(stream: DataFrame, take_in: Callable[[DataFrame, int], None],
     return stream.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and give its result as a table; for tests and reports."""
-    spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def drain(stream: DataFrame, place: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over what is there now; its result as a table under place.
+
+    Each micro-batch is a folder of its own, written anew if the batch comes again. Of a stream in complete mode the last batch is the
+    result, in update mode the last row of each of keys, in append mode everything.
+    """
+    spark, fields = stream.sparkSession, stream.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/result/batch={number}")
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*fields.fields, T.StructField("batch", T.LongType())])).parquet(f"{place}/result")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == F.lit(last))
+    elif mode == "update":
+        rest = [c for c in fields.names if c not in keys]
+        rows = rows.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in rest))
+    return rows.select(*fields.names)
