@@ -105,3 +105,40 @@ def write_key(path: str, section: str, key: str, value: Any) -> None:
     with open(f"{path}.new", "w", encoding="utf-8") as f:
         f.write(to_toml(current) + "\n")
     os.replace(f"{path}.new", path)
+
+
+def listing(entries: dict[str, dict], order: list[str], keys: dict[str, str], environment: dict[str, str] | None = None) -> list[dict]:
+    """Engines for people: those in use first, in the order set, then the others by name, with what each lacks."""
+    place = {n: i for i, n in enumerate(order)}
+    rows = [{"name": n, "kind": e.get("kind"), "enabled": n in place and e.get("enabled", True), "why": usable(e, keys, environment) or "", "order": place.get(n)} for n, e in entries.items()]
+    return sorted(rows, key=lambda r: (r["order"] is None, r["order"] or 0, r["name"]))
+
+
+def add_entry(path: str, kind: str, entry: dict) -> None:
+    """Write a user's entry to its registry's file; one that can't be used is refused."""
+    if found := problems(entry, kind):
+        raise ValueError("; ".join(found))
+    write_key(path, kind, entry["name"], {k: v for k, v in entry.items() if k != "name"})
+
+
+def remove_entry(path: str, kind: str, name: str) -> bool:
+    """Take a user's entry out of its file; whether it was there."""
+    if not os.path.exists(path):
+        return False
+    with open(path, "rb") as f:
+        current = tomllib.load(f)
+    if name not in current.get(kind, {}):
+        return False
+    del current[kind][name]
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        f.write(to_toml(current) + "\n")
+    os.replace(f"{path}.new", path)
+    return True
+
+
+def entries_of(path: str, kind: str) -> list[dict]:
+    """A user's entries, as registry() takes them."""
+    if not os.path.exists(path):
+        return []
+    with open(path, "rb") as f:
+        return [{"name": n, **e} for n, e in tomllib.load(f).get(kind, {}).items()]

@@ -198,20 +198,34 @@ def safe_text(data: Column) -> Column:
 
 
 def display_value(value_json: Column) -> Column:
-    """A value of a profile for people: a list with commas, a name or value with its detail in brackets, ranges, true and false as words."""
-    one = lambda x, k: F.nullif(F.get_json_object(x, f"$.{k}"), F.lit(""))
+    """A value of a profile for people: a dash for nothing, lists with commas, objects by what they hold, true and false as words."""
 
     def item(x: Column) -> Column:
-        main = F.coalesce(one(x, "name"), one(x, "title"), one(x, "value"), one(x, "text"), F.replace(one(x, "state"), F.lit("_"), F.lit(" ")))
-        span = F.when(one(x, "min").isNotNull(), F.concat_ws("–", one(x, "min"), one(x, "max")))
-        main = F.concat(F.when(one(x, "approximate") == "true", "~").otherwise(""), F.coalesce(main, span))
-        detail = F.concat_ws(", ", one(x, "type"), one(x, "code"), one(x, "detail"))
-        shown = F.when(detail == "", main).otherwise(F.concat(main, F.lit(" ("), detail, F.lit(")")))
+        one = lambda k: F.nullif(F.get_json_object(x, f"$.{k}"), F.lit(""))
+        extra = lambda *keys: F.concat_ws(", ", *map(one, keys))
+        noted = lambda main, note: F.when(note == "", main).otherwise(F.concat(main, F.lit(" ("), note, F.lit(")")))
+        approximate = F.when(one("approximate") == "true", " (approx.)").otherwise("")
+        shown = (
+            F.when(one("state").isNotNull(), noted(one("state"), extra("detail")))
+            .when(one("name").isNotNull(), noted(one("name"), extra("type", "region", "country", "role")))
+            .when(one("value").isNotNull(), noted(F.concat(one("value"), approximate), extra("type", "detail", "code")))
+            .when(one("min").isNotNull() & one("max").isNotNull(), F.concat(one("min"), F.lit("–"), one("max")))
+            .when(one("title").isNotNull() | one("kind").isNotNull(), F.concat_ws(" · ", *map(one, ("kind", "title", "date", "organisation", "url"))))
+        )
+        entries = F.filter(F.map_entries(F.from_json(x, "map<string,string>")), lambda e: e["value"].isNotNull() & ~e["value"].isin("", "[]", "{}"))
+        rest = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
         plain = F.when(x == "true", "yes").when(x == "false", "no").otherwise(F.btrim(x, F.lit('"')))
-        return F.when(x.startswith("{"), F.coalesce(shown, x)).otherwise(plain)
+        return F.when(x.startswith("{"), F.coalesce(shown, rest)).otherwise(plain)
 
     listed = F.when(value_json.startswith("["), F.from_json(value_json, "array<string>")).otherwise(F.array(value_json))
-    return F.array_join(F.transform(listed, item), ", ")
+    nothing = value_json.isNull() | F.btrim(value_json).isin("null", "[]", "{}")
+    return F.when(nothing, "—").otherwise(F.array_join(F.transform(listed, item), ", "))
+
+
+def clean_name(name: Column) -> Column:
+    """A name without footnote marks, a gloss in brackets at its end, and marks around."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"\[\d+\]", ""), r"\s*\([^)]*\)\s*$", "")
+    return F.btrim(bare, F.lit(" .,;:"))
 
 
 def human_bytes(n: Column) -> Column:

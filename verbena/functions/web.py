@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from verbena.functions.text import let
+
 #: Extensions of files worth downloading.
 FILE_EXTENSIONS = (
     "pdf|docx?|odt|rtf|txt|csv|tsv|json|xml|zip|tar|tgz|gz|7z|rar|wav|mp3|flac|ogg|m4a|mp4|mkv|webm|mov|"
@@ -30,11 +32,14 @@ def url_parts(url: Column) -> Column:
 
 def normalise_url(url: Column) -> Column:
     """Scheme and host in lower case, no tracking parameters, no slash at the end, no fragment. Parameters without a value go."""
-    p = url_parts(url)
-    kept = F.filter(F.split(p["query"], "&"), lambda x: x.rlike(r"^[^=]+=.") & ~x.rlike(r"^(?:utm_|fbclid|ref)"))
-    path = F.regexp_replace(p["path"], r"/+$", "")
-    query = F.array_join(kept, "&")
-    return F.concat(F.lower(p["scheme"]), F.when(p["scheme"] == "", "").otherwise("://"), F.lower(p["host"]), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+    def of(p: Column) -> Column:
+        kept = F.filter(F.split(p["query"], "&"), lambda x: x.rlike(r"^[^=]+=.") & ~x.rlike(r"^(?:utm_|fbclid|ref)"))
+        path = F.regexp_replace(p["path"], r"/+$", "")
+        query = F.array_join(kept, "&")
+        return F.concat(F.lower(p["scheme"]), F.when(p["scheme"] == "", "").otherwise("://"), F.lower(p["host"]), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+    return let(url, lambda u: let(url_parts(u), of))
 
 
 def host(url: Column) -> Column:
@@ -42,17 +47,12 @@ def host(url: Column) -> Column:
 
 
 def looks_like_file(url: Column) -> Column:
-    p = url_parts(url)
-    whole = F.concat(p["path"], F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])))
-    return whole.rlike(rf"(?i)\.(?:{FILE_EXTENSIONS})(?:$|\?)")
+    whole = lambda p: F.concat(p["path"], F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])))
+    return let(url, lambda u: let(url_parts(u), lambda p: whole(p).rlike(rf"(?i)\.(?:{FILE_EXTENSIONS})(?:$|\?)")))
 
 
 def skip_host(url: Column) -> Column:
-    h = host(url)
-    skipped = F.lit(False)
-    for s in SKIPPED_HOSTS:
-        skipped = skipped | F.contains(h, F.lit(s))
-    return skipped
+    return let(host(url), lambda h: F.exists(F.array(*map(F.lit, SKIPPED_HOSTS)), lambda s: F.contains(h, s)))
 
 
 def repository_kind(url: Column) -> Column:
@@ -61,16 +61,19 @@ def repository_kind(url: Column) -> Column:
 
 def resolve_url(base: Column, link: Column) -> Column:
     """An absolute URL for a link on a page: absolute links, //host, /path and plain relative ones."""
-    p = url_parts(base)
-    site = F.concat(p["scheme"], F.lit("://"), p["host"])
-    folder = F.regexp_replace(p["path"], r"[^/]*$", "")
-    return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(p["scheme"], F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .when(link.startswith("#") | (link == ""), F.concat(site, p["path"], link))
-        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), link))
-    )
+
+    def of(p: Column) -> Column:
+        site = F.concat(p["scheme"], F.lit("://"), p["host"])
+        folder = F.regexp_replace(p["path"], r"[^/]*$", "")
+        return (
+            F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+            .when(link.startswith("//"), F.concat(p["scheme"], F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(site, link))
+            .when(link.startswith("#") | (link == ""), F.concat(site, p["path"], link))
+            .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), link))
+        )
+
+    return let(base, lambda u: let(url_parts(u), of))
 
 
 def response_filename(url: Column, disposition: Column) -> Column:

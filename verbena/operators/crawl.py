@@ -20,7 +20,7 @@ def crawl(seeds: DataFrame, fetch, names: list[str], depth: int = 2, per_host: i
     visited: DataFrame | None = None
     for level in range(1, depth + 1):
         new = frontier.where(F.col("url").rlike("^https?://") & ~web.skip_host(F.col("url"))).withColumn("key", web.normalise_url(F.col("url"))).withColumn("host", web.host(F.col("url")))
-        new = new.groupBy("key").agg(F.min("url").alias("url"), F.first("host").alias("host"), F.lit(level).alias("depth"))
+        new = new.groupBy("key").agg(F.min("url").alias("url"), F.min("host").alias("host"), F.lit(level).alias("depth"))
         if visited is not None:
             new = new.join(visited.select("key"), "key", "left_anti").join(visited.groupBy("host").agg(F.count("*").alias("been")), "host", "left")
         else:
@@ -38,6 +38,13 @@ def crawl(seeds: DataFrame, fetch, names: list[str], depth: int = 2, per_host: i
     return visited.limit(most_pages * depth)
 
 
+def found_files(visited: DataFrame) -> DataFrame:
+    """seq, url, anchor, page_key of the links of visited pages, in the order in which they were found, as discover.file_actions() takes them."""
+    links = visited.select("depth", "key", F.col("url").alias("base"), F.posexplode("links").alias("n", "l"))
+    order = F.struct("depth", "key", "n")
+    return links.select(order.alias("seq"), web.resolve_url(F.col("base"), F.col("l.url")).alias("url"), F.col("l.anchor").alias("anchor"), F.col("key").alias("page_key"))
+
+
 def learned_queries(facts: DataFrame, asked: DataFrame, name: str, most: int = 16) -> DataFrame:
     """query, basis for names learned (field, value), without queries asked already (query)."""
     from verbena.functions.text import fold

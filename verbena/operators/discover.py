@@ -136,3 +136,42 @@ def relevant_links(links: DataFrame, names: list[str], most: int = 6) -> DataFra
     kept = links.where(said)
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("n"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def file_actions(links: DataFrame, scores: DataFrame, review_at: int = 30, page_loss: int = 20, most: int = 40) -> DataFrame:
+    """url, key, kind, score, action, rank for the files that pages link to: each once, however written, in the order in which they were found.
+
+    links: seq, url, page_score (may be null); scores: url, score, what address and anchor say. A file is worth what it says itself, or
+    its page less page_loss. Repositories' records are expanded (see record_requests), files of code hosts are asked for as
+    they are; action is record, download, or skip under review_at. No more than `most` are downloaded in all.
+    """
+    l = links.where(web.looks_like_file(F.col("url")) | web.repository_kind(F.col("url")).isNotNull()).withColumn("key", web.normalise_url(F.col("url")))
+    first = l.groupBy("key").agg(F.min(F.struct("seq", "url")).alias("f"), F.max("page_score").alias("page_score")).select("key", "f.seq", "f.url", "page_score")
+    met = first.join(scores.groupBy("url").agg(F.max("score").alias("own")), "url", "left").withColumn("kind", web.repository_kind(F.col("url")))
+    score = F.greatest(F.coalesce("own", F.lit(0)), F.coalesce("page_score", F.lit(0)) - page_loss)
+    raw = F.regexp_replace("url", r"github\.com/([^/]+/[^/]+)/blob/", "raw.githubusercontent.com/$1/")
+    met = met.withColumn("score", score).withColumn("action", F.when(F.col("kind").isin("zenodo", "internet_archive"), "record").when(score < review_at, "skip").otherwise("download"))
+    rank = F.row_number().over(Window.partitionBy("action").orderBy("seq", "key"))
+    out = met.select(F.when(F.col("kind") == "github_blob", raw).otherwise(F.col("url")).alias("url"), "key", "kind", "score", "action", rank.alias("rank"))
+    return out.where((F.col("action") != "download") | (F.col("rank") <= most))
+
+
+def record_requests(urls: DataFrame) -> DataFrame:
+    """url, kind, request: where a repository's record (url) lists its files."""
+    zenodo, archive = F.regexp_extract("url", r"/records?/(\d+)", 1), F.regexp_extract("url", r"archive\.org/(?:details|download)/([^/?#]+)", 1)
+    kind = web.repository_kind(F.col("url"))
+    request = F.when(kind == "zenodo", F.concat(F.lit("https://zenodo.org/api/records/"), zenodo)).when(kind == "internet_archive", F.concat(F.lit("https://archive.org/metadata/"), archive))
+    return urls.select("url", kind.alias("kind"), request.alias("request")).where("request IS NOT NULL")
+
+
+def record_files(responses: DataFrame, most: int = 10) -> DataFrame:
+    """url, title, licence, file, size: the first files of records (url, kind, body as JSON)."""
+    links = F.from_json(F.get_json_object("body", "$.files"), "array<struct<size:string,links:struct<self:string>>>")
+    names = F.from_json(F.get_json_object("body", "$.files"), "array<struct<name:string,size:string>>")
+    ident = F.regexp_extract("url", r"archive\.org/(?:details|download)/([^/?#]+)", 1)
+    files = F.when(F.col("kind") == "zenodo", F.transform(links, lambda f: F.struct(f["links"]["self"].alias("file"), f["size"].try_cast("long").alias("size")))).otherwise(
+        F.transform(names, lambda f: F.struct(F.concat(F.lit("https://archive.org/download/"), ident, F.lit("/"), F.replace(f["name"], F.lit(" "), F.lit("%20"))).alias("file"), f["size"].try_cast("long").alias("size")))
+    )
+    title = F.coalesce(F.get_json_object("body", "$.metadata.title"), F.get_json_object("body", "$.title"))
+    listed = F.slice(F.filter(files, lambda f: f["file"].isNotNull()), 1, most)
+    return responses.select("url", title.alias("title"), F.get_json_object("body", "$.metadata.license.id").alias("licence"), F.explode(listed).alias("f")).select("url", "title", "licence", "f.file", "f.size")

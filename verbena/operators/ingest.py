@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbena.operators import classify, relevance
@@ -17,6 +17,21 @@ from verbena.operators import classify, relevance
 CONTEXT_KEYS = ("query", "found_on", "page_title", "agent", "snippet")
 
 
+#: The ways in which a candidate may be found.
+METHODS = ("offline", "import", "catalogue", "agent")
+
+
+def checked(candidates: DataFrame) -> DataFrame:
+    """candidates; one whose method is none of METHODS fails the job that reads it."""
+    bad = F.raise_error(F.concat(F.lit("unknown method "), F.coalesce("method", F.lit("null"))))
+    return candidates.withColumn("method", F.when(F.col("method").isin(*METHODS), F.col("method")).otherwise(bad))
+
+
+def file_state(size: Column, most_bytes: int) -> Column:
+    """missing, too large, empty or fine: what validation says of a file by its size (null: there is none)."""
+    return F.when(size.isNull(), "missing").when(size > most_bytes, "too large").when(size == 0, "empty").otherwise("fine")
+
+
 @dataclass(frozen=True)
 class Limits:
     review_at: int = 30
@@ -63,7 +78,7 @@ def outcomes(candidates: DataFrame, languages: DataFrame, terms: DataFrame, stor
     )
     message = F.when(F.col("size").isNull(), "no local file").when(F.col("score") < limits.review_at, "below relevance threshold").when(F.col("size") > limits.most_bytes, "exceeds the size limit")
     first = F.when(status == "duplicate_linked", F.col("owner.candidate_id"))
-    return c.select("candidate_id", "session_id", "language_id", "seq", "path", "title", "sha256", "size", status.alias("status"), "score", "band", "reasons", "format", "category", first.alias("duplicate_of"), message.alias("message"))
+    return c.select("candidate_id", "session_id", "language_id", "seq", "path", "title", "sha256", "size", status.alias("status"), "score", "band", "reasons", "format", "category", first.alias("duplicate_of"), message.alias("message"), (file_state(F.col("size"), limits.most_bytes) == "empty").alias("empty_file"))
 
 
 def resources(outcomes_: DataFrame) -> DataFrame:

@@ -55,3 +55,15 @@ def sketch_classes(sketches: DataFrame) -> DataFrame:
     sketches = written(sketches, "sketches")  # making sketches is the costly part
     classes = sketches.groupBy("sketch").agg(F.min("id").alias("class"))
     return sketches.join(classes, "sketch").select("id", "class", "sketch")
+
+
+def sketch_notes(resources: DataFrame, k: int = 128) -> DataFrame:
+    """id, sketch, note from id, category, text: why a resource has no sketch. Images and sound would need decoders."""
+    from pyspark.sql import Column
+
+    s: Column = signature(tokens(F.col("text")), k)
+    note = (
+        F.when(F.col("category") == "images", "image signatures need an image decoder").when(F.col("category").isin("audio", "video"), "audio signatures need a decoder")
+        .when(F.coalesce("text", F.lit("")) == "", "no text").when(s.isNull(), "too little text for a signature").otherwise("")
+    )
+    return resources.select("id", F.when(~F.col("category").isin("images", "audio", "video"), s).alias("sketch"), note.alias("note"))

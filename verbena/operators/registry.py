@@ -137,3 +137,18 @@ def enrich(languages: DataFrame, names: DataFrame | None = None) -> DataFrame:
         value("community_status", "transmission", F.to_json(F.struct(level.alias("value"), F.concat(F.lit("Glottolog AES: "), "endangerment").alias("detail"))), 0.5, known=level.isNotNull()),
     ))
     return languages.select("language_id", F.explode(values).alias("v")).select("language_id", "v.grp", "v.field", "v.value_json", F.lit("local_database").alias("source_type"), "v.confidence", "v.note")
+
+
+def display_records(found: DataFrame, names: DataFrame, regions: DataFrame, most: int = 8) -> DataFrame:
+    """query_id, code, name, others (alternate names, so many at most), region of what find() gave, as it is shown.
+
+    A language found by an alternate name is led by that name, and its own comes first among the others. names: code, kind, text, seq; regions:
+    code, region.
+    """
+    alternates = names.where("kind = 'alternate_name'").groupBy("code").agg(F.transform(F.sort_array(F.collect_set(F.struct("seq", "text"))), lambda x: x["text"]).alias("alternates"))
+    met = found.join(alternates, "code", "left").join(regions, "code", "left")
+    listed = F.coalesce("alternates", F.array().cast("array<string>"))
+    by_alternate = F.col("matched_on") == "alternate_name"
+    rest = F.filter(listed, lambda a: F.lower(a) != F.lower("matched_text"))
+    others = F.when(by_alternate, F.concat(F.array("name"), rest)).otherwise(listed)
+    return met.select("query_id", "code", F.when(by_alternate, F.col("matched_text")).otherwise(F.col("name")).alias("name"), F.slice(others, 1, most).alias("others"), F.coalesce("region", F.lit("")).alias("region"))

@@ -114,9 +114,12 @@ def home(resources: DataFrame, items: DataFrame, languages_: DataFrame) -> DataF
 
 
 def catalogue_totals(results: DataFrame) -> DataFrame:
-    """session_id and what its catalogues gave: discovered (lookups left out), lookups, relevant, metadata, files to load; results have an action."""
+    """session_id and what its catalogues gave: discovered (lookups counted, too), lookups, relevant, metadata, files to load, failed.
+
+    results: session_id, action, n_files, error (null: none).
+    """
     is_ = lambda *a: F.count_if(F.col("action").isin(*a))
     return results.groupBy("session_id").agg(
-        is_("skip", "metadata", "download").alias("discovered"), is_("lookup").alias("lookups"), is_("metadata", "download").alias("relevant"), is_("metadata").alias("metadata"),
-        F.coalesce(F.sum(F.when(F.col("action") == "download", F.col("n_files"))), F.lit(0)).cast("long").alias("files"),
+        F.count("*").alias("discovered"), is_("lookup").alias("lookups"), is_("metadata", "download").alias("relevant"), is_("metadata").alias("metadata"),
+        F.coalesce(F.sum(F.when(F.col("action") == "download", F.col("n_files"))), F.lit(0)).cast("long").alias("files"), F.count("error").alias("failed"),
     )

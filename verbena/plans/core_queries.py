@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbena.functions import entered
-from verbena.operators import classify, crawl, discover, facts, ingest, neardup, profile, registry, relevance, state
+from verbena.operators import classify, discover, facts, ingest, neardup, profile, registry, relevance, state
 from verbena.plans.base import Register, sql_fold, table
 from verbena.session import written
 from verbena.streaming import flows
@@ -352,19 +352,6 @@ def catalogue_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.catalogue_actions(r).select("seq", "action", F.col("rank").cast("long").alias("rank"))
 
 
-@R.query()
-def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds from the first pages, over the table of pages as the web. No SQL form: each round depends on the one before."""
-    from verbena.functions.text import html_links, html_title, page_text
-    from verbena.functions.web import normalise_url
-
-    pages = table(spark, sf_dir, "pages").select(normalise_url(F.col("url")).alias("key"), html_title(F.col("html")).alias("title"), page_text(F.col("html")).alias("text"), html_links(F.col("html")).alias("links"))
-    pages = pages.groupBy("key").agg(F.first("title").alias("title"), F.first("text").alias("text"), F.first("links").alias("links"))
-    seeds = table(spark, sf_dir, "pages").where("page_id < 20").select("url")
-    visited = crawl.crawl(seeds, lambda asked: asked.join(pages, "key"), ["a", "e"])
-    return visited.select("key", "depth", "host", "title")
-
-
 @R.query()
 def conversation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts in conversations, with made-up sentences put in. No SQL form: patterns look ahead, and sentences depend on those before."""

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from verbena import agents, config
 from verbena.functions import match, web
-from verbena.functions.text import display_value, fold, html_links, html_title, safe_text, tokens
+from verbena.functions.text import clean_name, display_value, html_links, html_title, human_time, safe_text, tokens
 from verbena.operators import catalogues, crawl, discover, extract, facts, ingest, profile, registry, relevance, state
 from verbena.plans.base import Register, sql_clean, sql_fold, sql_strip, table
 from verbena.plans.core_queries import _OUTCOMES, _SCORES, _VALUES, _candidates, _outcomes, _values, scored_documents
 from verbena.plans.state_queries import _LINK
 from verbena.plans.text_queries import _PARTS, _TOKENS
-from verbena.sources import sinks
+from verbena.session import shared_folder
+from verbena.sources import registries, sinks
 
 R = Register()
 
@@ -334,11 +337,11 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         i.alias("seq"), F.col("p_brand").alias("session_id"), F.concat(F.lit("cat"), (i % 3).cast("string")).alias("provider"), F.col("p_name").alias("title"), F.concat(F.lit("http://c.org/"), i.cast("string")).alias("url"),
         F.when(i % 7 == 0, "lookup").otherwise("record").alias("kind"), ((i * 37) % 101).alias("score"), (i % 4).alias("n_files"), F.col("p_type").alias("description"), F.lit("Thonin").alias("language"),
-        F.array("p_type", F.lit("dictionary")).alias("types"), F.create_map(F.lit("by"), "p_brand", F.lit("long"), F.repeat(F.lit("x"), F.lit(600))).alias("metadata"), F.lit("cc").alias("licence"), F.when(i % 2 == 0, "q").alias("query"),
+        F.array("p_type", F.lit("dictionary")).alias("types"), F.create_map(F.lit("by"), "p_brand", F.lit("long"), F.repeat(F.lit("x"), F.lit(600))).alias("metadata"), F.lit("cc").alias("licence"), F.when(i % 2 == 0, "q").alias("query"), F.when(i % 10 == 0, "timeout").alias("error"),
     )
 
 
-@R.query(f"""WITH r AS ({_RECORD}) SELECT session_id, count(*) FILTER (WHERE a <> 'lookup') AS discovered, count(*) FILTER (WHERE a = 'lookup') AS lookups, count(*) FILTER (WHERE a IN ('metadata', 'download')) AS relevant,
+@R.query(f"""WITH r AS ({_RECORD}) SELECT session_id, count(*) AS discovered, count(*) FILTER (WHERE seq % 10 = 0) AS failed, count(*) FILTER (WHERE a = 'lookup') AS lookups, count(*) FILTER (WHERE a IN ('metadata', 'download')) AS relevant,
 count(*) FILTER (WHERE a = 'metadata') AS metadata, coalesce(sum(n_files) FILTER (WHERE a = 'download'), 0)::BIGINT AS files FROM (SELECT *, {_ACTION} AS a FROM r) GROUP BY session_id""")
 def catalogue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.catalogue_totals(discover.catalogue_actions(_records(spark, sf_dir)))
@@ -570,12 +573,206 @@ def profile_scan_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.scan_terms(v, languages).select("language_id", F.col("seq").cast("long").alias("seq"), "term", "kind", "weight")
 
 
-@R.query("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'A, ' || c_name WHEN 1 THEN c_name || ' (town)' WHEN 2 THEN c_custkey || '–' || (c_custkey + 5) WHEN 3 THEN '~' || c_custkey WHEN 4 THEN 'yes' WHEN 5 THEN c_name WHEN 6 THEN 'not known (' || c_name || ')' ELSE c_custkey::VARCHAR END AS shown FROM customer""")
+@R.query("""SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'A, ' || c_name WHEN 1 THEN c_name || ' (town, R1)' WHEN 2 THEN c_custkey || '–' || (c_custkey + 5) WHEN 3 THEN c_custkey || ' (approx.)' WHEN 4 THEN 'yes' WHEN 5 THEN c_name
+WHEN 6 THEN 'limited (' || c_name || ')' WHEN 7 THEN '—' ELSE 'book · ' || c_name END AS shown FROM customer""")
 def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of profiles as people read them."""
-    c, k, i = table(spark, sf_dir, "customer"), F.col("c_custkey") % 8, F.col("c_custkey")
+    c, k, i = table(spark, sf_dir, "customer"), F.col("c_custkey") % 9, F.col("c_custkey")
     json = (
-        F.when(k == 0, F.to_json(F.array(F.lit("A"), F.col("c_name")))).when(k == 1, F.to_json(F.struct(F.col("c_name").alias("name"), F.lit("town").alias("type")))).when(k == 2, F.to_json(F.struct(i.alias("min"), (i + 5).alias("max"))))
-        .when(k == 3, F.to_json(F.struct(i.alias("value"), F.lit(True).alias("approximate")))).when(k == 4, "true").when(k == 5, F.concat(F.lit('"'), "c_name", F.lit('"'))).when(k == 6, F.to_json(F.struct(F.lit("not_known").alias("state"), F.col("c_name").alias("detail")))).otherwise(i.cast("string"))
+        F.when(k == 0, F.to_json(F.array(F.lit("A"), F.col("c_name")))).when(k == 1, F.to_json(F.struct(F.col("c_name").alias("name"), F.lit("town").alias("type"), F.lit("R1").alias("region")))).when(k == 2, F.to_json(F.struct(i.alias("min"), (i + 5).alias("max"))))
+        .when(k == 3, F.to_json(F.struct(i.alias("value"), F.lit(True).alias("approximate")))).when(k == 4, "true").when(k == 5, F.concat(F.lit('"'), "c_name", F.lit('"'))).when(k == 6, F.to_json(F.struct(F.lit("limited").alias("state"), F.col("c_name").alias("detail"))))
+        .when(k == 7, "[]").otherwise(F.to_json(F.struct(F.lit("book").alias("kind"), F.col("c_name").alias("title"))))
     )
     return c.select("c_custkey", display_value(json).alias("shown"))
+
+
+@R.query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_name || '–Tai' ELSE 'the ' || c_name END AS name FROM customer")
+def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without footnote marks and glosses."""
+    k = F.col("c_custkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit(" "), "c_name", F.lit("[12] (a gloss) "))).when(k == 1, F.concat("c_name", F.lit("[1]–Tai[2];"))).otherwise(F.concat(F.lit("the "), "c_name", F.lit(" (x).")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.when(k == 2, F.regexp_replace(clean_name(raw), r" \(x\)$", "")).otherwise(clean_name(raw)).alias("name"))
+
+
+@R.query("""SELECT c_custkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' ELSE (s // 3600) || 'h ' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || 'm' END AS shown FROM (SELECT c_custkey, c_custkey * 7 AS s FROM customer)""")
+def human_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", human_time(F.col("c_custkey") * 7).alias("shown"))
+
+
+@R.query(rf"""SELECT doc_id, 'f' || doc_id || {_sql_pick('doc_id', '.txt', '.json', '.eaf', '.pdf')} AS filename, CASE doc_id % 4 WHEN 1 THEN coalesce(lang, 'no') WHEN 2 THEN 'l' || doc_id || ', x' WHEN 3 THEN 'en' END AS language,
+CASE WHEN doc_id % 4 = 3 THEN source END AS title, CASE WHEN doc_id % 4 = 3 THEN '1' END AS pages_seen, CASE WHEN doc_id % 4 <> 3 THEN 'utf-8' END AS encoding FROM documents""")
+def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What files say of themselves: PDF heads, JSON keys, languages of annotations, encodings."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    body = (
+        F.when(k == 0, F.concat(F.lit("text of "), "source")).when(k == 1, F.to_json(F.struct(F.coalesce("lang", F.lit("no")).alias("lang"), F.lit(1).alias("n"))))
+        .when(k == 2, F.concat(F.lit('<T LANG_REF="x"/><T LANG_REF="l'), i, F.lit('"/>'))).otherwise(F.concat(F.lit("%PDF-1.4 /Title ("), "source", F.lit(") /Lang (en) <</Type /Page>> <</Type /Pages>>")))
+    )
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), i, _pick(F.col("doc_id"), ".txt", ".json", ".eaf", ".pdf")).alias("name"), body.cast("binary").alias("content"), _pick(F.col("doc_id"), "text", "json", "elan", "pdf").alias("format"), F.when(k == 3, "documents").otherwise("text").alias("category"), F.lit("extension").alias("detected_by"))
+    m = extract.basic_metadata(files, "doc_id")
+    return m.select("doc_id", *(F.col("metadata")[c].alias(c) for c in ("filename", "language", "title", "pages_seen", "encoding")))
+
+
+@R.query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'empty' ELSE CASE WHEN octet_length(encode(text)) > 2000 THEN 'too large' WHEN text = '' THEN 'empty' ELSE 'fine' END END AS state FROM documents WHERE text IS NOT NULL")
+def file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = table(spark, sf_dir, "documents").where("text IS NOT NULL"), F.col("doc_id") % 4
+    size = F.when(k == 1, 0).when(k > 1, F.octet_length("text"))
+    return d.select("doc_id", ingest.file_state(size, 2000).alias("state"))
+
+
+@R.query(rf"""WITH {_TARGETS},
+a AS (SELECT page_id, n, CASE page_id % 5 WHEN 0 THEN target || '.pdf' WHEN 1 THEN 'https://zenodo.org/records/' || page_id % 50 WHEN 2 THEN 'https://github.com/a/b/blob/main/' || page_id || '/' || n WHEN 3 THEN 'https://archive.org/details/i' || page_id ELSE target END AS u, (page_id * 7) % 90 AS page_score FROM g WHERE regexp_matches(target, '^https?://')),
+f AS (SELECT *, CASE WHEN contains(u, 'zenodo.org/records/') THEN 'zenodo' WHEN contains(u, 'archive.org/details/') THEN 'internet_archive' WHEN contains(u, '/blob/') THEN 'github_blob' END AS kind FROM a),
+w AS (SELECT page_id, n, u, page_score, kind, regexp_matches(path || CASE WHEN query = '' THEN '' ELSE '?' || query END, '(?i)\.({web.FILE_EXTENSIONS})($|\?)') AS file, {_NORMAL} AS key FROM (SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND NOT regexp_matches(x, '^(utm_|fbclid|ref)')), '&') AS kept FROM (SELECT page_id, n, u, page_score, kind{_PARTS} FROM f))),
+o AS (SELECT key, min(struct_pack(s := page_id * 1000 + n, u := u)) AS f, max(page_score) AS page_score, any_value(kind) AS kind FROM w WHERE file OR kind IS NOT NULL GROUP BY key),
+s AS (SELECT key, f.s AS seq, f.u AS u, kind, greatest(CASE WHEN contains(f.u, 'th') THEN 50 ELSE 0 END, page_score - 20) AS score FROM o),
+r AS (SELECT *, CASE WHEN kind IN ('zenodo', 'internet_archive') THEN 'record' WHEN score < 30 THEN 'skip' ELSE 'download' END AS action FROM s)
+SELECT * FROM (SELECT replace(replace(u, 'github.com/a/b/blob/', 'raw.githubusercontent.com/a/b/'), '\', '\') AS url, key, kind, score, action, row_number() OVER (PARTITION BY action ORDER BY seq, key) AS rank FROM r) WHERE action <> 'download' OR rank <= 40""")
+def crawled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that pages link to: worth what they say themselves or their page less 20 points, skipped, loaded, or expanded as records."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.btrim("url").alias("base"), F.posexplode(html_links(F.col("html"))).alias("n", "l"))
+    i, k = F.col("page_id").cast("string"), F.col("page_id") % 5
+    p = p.select("page_id", "n", web.resolve_url(F.col("base"), F.col("l.url")).alias("target")).where(F.col("target").rlike("^https?://"))
+    url = F.when(k == 0, F.concat("target", F.lit(".pdf"))).when(k == 1, F.concat(F.lit("https://zenodo.org/records/"), (F.col("page_id") % 50).cast("string"))).when(k == 2, F.concat(F.lit("https://github.com/a/b/blob/main/"), i, F.lit("/"), F.col("n").cast("string"))).when(k == 3, F.concat(F.lit("https://archive.org/details/i"), i)).otherwise(F.col("target"))
+    links = p.select((F.col("page_id") * 1000 + F.col("n")).alias("seq"), url.alias("url"), ((F.col("page_id") * 7) % 90).alias("page_score"))
+    scores = links.select("url", F.when(F.contains("url", F.lit("th")), 50).otherwise(0).alias("score"))
+    return discover.file_actions(links, scores).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _sql_resolve(base: str, link: str) -> str:
+    scheme, host, path = f"regexp_extract({base}, '^([a-z]+)://', 1)", f"regexp_extract({base}, '^[a-z]+://([^/?#]*)', 1)", f"regexp_extract({base}, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+    folder = f"CASE WHEN regexp_replace({path}, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace({path}, '[^/]*$', '') END"
+    return (
+        f"CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {link} WHEN starts_with({link}, '//') THEN {scheme} || ':' || {link} WHEN starts_with({link}, '/') THEN {scheme} || '://' || {host} || {link} "
+        f"WHEN starts_with({link}, '#') OR {link} = '' THEN {scheme} || '://' || {host} || {path} || {link} ELSE {scheme} || '://' || {host} || {folder} || {link} END"
+    )
+
+
+def _sql_addresses(raws: str, name: str) -> str:
+    """CTEs: the distinct addresses u of raws with key, host and what they are."""
+    kept = "array_to_string(list_filter(string_split(query, '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND NOT regexp_matches(x, '^(utm_|fbclid|ref)')), '&') AS kept"
+    skipped = " OR ".join(f"contains(lower(host), '{s}')" for s in web.SKIPPED_HOSTS)
+    return rf"""{name} AS (SELECT u, {_NORMAL} AS key, lower(host) AS host, regexp_matches(path || CASE WHEN query = '' THEN '' ELSE '?' || query END, '(?i)\.({web.FILE_EXTENSIONS})($|\?)') AS file, regexp_matches(u, '^https?://') AND NOT ({skipped}) AS fit FROM (SELECT *, {kept} FROM (SELECT u{_PARTS} FROM ({raws}))))"""
+
+
+_ANCHOR = _LINK.replace(".*?</a>", "(.*?)</a>")
+
+
+@R.query(rf"""WITH {_sql_addresses("SELECT DISTINCT url AS u FROM pages", "n1")},
+pg AS (SELECT key, min(page_id) AS page_id FROM pages JOIN n1 ON u = url GROUP BY key),
+s1 AS (SELECT min(url) AS url FROM pages JOIN n1 ON u = url GROUP BY host),
+c1 AS (SELECT key, min(url) AS url, min(host) AS host FROM s1 JOIN n1 ON u = url WHERE fit GROUP BY key),
+f1 AS (SELECT key, url, host FROM (SELECT c1.*, row_number() OVER (PARTITION BY c1.host ORDER BY c1.key) AS k FROM c1 JOIN n1 ON u = url WHERE NOT file) WHERE k <= 6 ORDER BY k, key LIMIT 40),
+v1 AS (SELECT f1.*, page_id FROM f1 JOIN pg USING (key)),
+l AS (SELECT v1.key AS from_key, v1.url AS base, unnest(range(0, len(regexp_extract_all(html, '{_LINK}')))) AS n, trim(unnest(regexp_extract_all(html, '{_LINK}', 1))) AS link, substr({sql_strip(f"unnest(regexp_extract_all(html, '{_ANCHOR}', 2))")}, 1, 200) AS anchor FROM v1 JOIN pages USING (page_id)),
+t AS (SELECT from_key, n, anchor, {_sql_resolve('base', 'link')} AS u FROM l),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_key ORDER BY n) AS k FROM t WHERE contains({sql_fold("anchor || ' ' || u")}, 'the') OR contains({sql_fold("anchor || ' ' || u")}, 'example')) WHERE k <= 6),
+{_sql_addresses("SELECT DISTINCT u FROM w", "n2")},
+c2 AS (SELECT key, min(w.u) AS url, min(host) AS host FROM w JOIN n2 ON n2.u = w.u WHERE fit AND key NOT IN (SELECT key FROM v1) GROUP BY key),
+been AS (SELECT host, count(*) AS been FROM v1 GROUP BY host),
+f2 AS (SELECT key, url, host FROM (SELECT c2.*, row_number() OVER (PARTITION BY c2.host ORDER BY c2.key) + coalesce(been, 0) AS k, row_number() OVER (PARTITION BY c2.host ORDER BY c2.key) AS r FROM c2 JOIN n2 ON n2.u = c2.url LEFT JOIN been ON been.host = c2.host WHERE NOT file) WHERE k <= 6 ORDER BY r, key LIMIT 40),
+v AS (SELECT key, host, page_id, 1 AS depth FROM v1 UNION ALL SELECT key, host, page_id, 2 FROM f2 JOIN pg USING (key))
+SELECT key, depth, host, substr({_TITLE}, 1, 300) AS title FROM v JOIN pages USING (page_id)""")
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds from the first page of each host, over the table of pages as the web, with the caps for a host and a round."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", web.normalise_url(F.col("url")).alias("key"), web.host(F.col("url")).alias("host"), html_title(F.col("html")).alias("title"), html_links(F.col("html")).alias("links"))
+    web_ = p.groupBy("key").agg(F.min_by(F.struct("title", "links"), "page_id").alias("p")).select("key", "p.*")
+    seeds = p.groupBy("host").agg(F.min("url").alias("url"))
+    return crawl.crawl(seeds, lambda asked: asked.join(web_, "key"), ["the", "example"]).select("key", "depth", "host", "title")
+
+
+@R.query("""SELECT 'https://zenodo.org/records/' || p_size AS url, 'https://zenodo.org/api/records/' || p_size AS request, 'T' || p_size AS title, 'cc-by' AS licence, 'http://z/' || p_partkey AS file, p_partkey AS size FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part WHERE p_size % 2 = 0) WHERE k <= 10
+UNION ALL SELECT 'https://archive.org/details/i' || p_size, 'https://archive.org/metadata/i' || p_size, 'T' || p_size, NULL, 'https://archive.org/download/i' || p_size || '/' || p_partkey || '%20a.pdf', p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part WHERE p_size % 2 = 1) WHERE k <= 10""")
+def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of repositories: where their files are listed, and the first of them."""
+    p, i, even = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string"), F.col("p_size") % 2 == 0
+    n = F.col("p_size").cast("string")
+    files = F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("order"), F.concat(i, F.lit(" a.pdf")).alias("name"), i.alias("size"), F.struct(F.concat(F.lit("http://z/"), i).alias("self")).alias("links"))))
+    title, licence = F.concat(F.lit("T"), n), F.when(even, F.struct(F.lit("cc-by").alias("id")))
+    bodies = p.groupBy("p_size").agg(files.alias("files")).select(F.when(even, F.concat(F.lit("https://zenodo.org/records/"), n)).otherwise(F.concat(F.lit("https://archive.org/details/i"), n)).alias("url"), F.to_json(F.struct(F.struct(title.alias("title"), licence.alias("license")).alias("metadata"), F.col("files"))).alias("body"))
+    asked = discover.record_requests(bodies.select("url"))
+    return discover.record_files(bodies.join(asked, "url")).join(asked.select("url", "request"), "url")
+
+
+@R.query(rf"""WITH n AS (SELECT {_CODED} AS code, n_name AS name, r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
+q AS (SELECT n_nationkey AS query_id, code, name, 'Land ' || n_nationkey AS alt FROM n)
+SELECT query_id, code, CASE WHEN query_id % 2 = 0 THEN alt ELSE name END AS name, CASE WHEN query_id % 2 = 0 THEN name || ',Isle ' || query_id ELSE alt || ',Isle ' || query_id END AS others, r_name AS region FROM q JOIN n USING (code)""".replace("FROM q JOIN n USING (code)", "FROM q JOIN (SELECT code AS c2, r_name FROM n) x ON c2 = code"))
+def display_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages found, as they are shown: led by the name that was asked for, with other names and region."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    k = F.col("n_nationkey")
+    l = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(k, _letters(k).alias("code"), F.col("n_name").alias("name"), F.col("r_name").alias("region"))
+    i = k.cast("string")
+    one = lambda kind, text, seq: l.select("code", F.lit(kind).alias("kind"), text.alias("text"), F.lit(seq).alias("seq"))
+    names = one("name", F.col("name"), 0).union(one("alternate_name", F.concat(F.lit("Land "), i), 1)).union(one("alternate_name", F.concat(F.lit("Isle "), i), 2))
+    q = l.select(k.alias("query_id"), F.when(k % 2 == 0, F.concat(F.lit("LAND "), i)).otherwise(F.col("name")).alias("query"))
+    found = registry.find(q, registry.name_index(names), l.select("code", "name")).where("score >= 0.9")
+    return registry.display_records(found, names, l.select("code", "region")).withColumn("others", F.array_join("others", ","))
+
+
+@R.query(rf"""WITH l AS (SELECT {_CODED} AS code, n_name AS name, n_nationkey FROM nation)
+SELECT code, 'name' AS kind, name AS text FROM l UNION ALL SELECT code, 'alternate_name', 'Land ' || n_nationkey FROM l UNION ALL SELECT code, 'alternate_name', name || ', Old' FROM l
+UNION ALL SELECT code, 'retired', 'z' || right(code, 2) FROM l UNION ALL SELECT code, 'parent', 'mac' FROM l WHERE n_nationkey % 2 = 0 UNION ALL SELECT code, 'dialects', 'Hakhun|' || n_nationkey FROM l""")
+def code_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code tables as files: names, alternates without the primary name, retirements, macrolanguages, details with lists."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    i, code = k.cast("string"), _letters(k)
+    place = f"{shared_folder(spark)}/verbena-codes-{uuid.uuid4().hex}"
+    tabbed = lambda d, name: d.write.csv(f"{place}/{name}", sep="\t", header=True, quote="", emptyValue="")
+    old = F.concat(F.lit("z"), F.substring(code, 2, 2))
+    tabbed(n.select(code.alias("Id"), F.lit("I").alias("Scope"), F.lit("L").alias("Language_Type"), F.col("n_name").alias("Ref_Name")), "iso-639-3.tab")
+    tabbed(n.select(code.alias("Id"), F.concat(F.lit("Land "), i).alias("Print_Name"), F.concat("n_name", F.lit(", Old")).alias("Inverted_Name")).union(n.select(code, "n_name", F.lit(""))), "iso-639-3_Name_Index.tab")
+    tabbed(n.select(old.alias("Id"), code.alias("Change_To"), F.lit("C").alias("Ret_Reason")), "iso-639-3_Retirements.tab")
+    tabbed(n.where(k % 2 == 0).select(F.lit("mac").alias("M_Id"), code.alias("I_Id")), "iso-639-3-macrolanguages.tab")
+    empty = [F.lit("x").alias(c) for c in ("glottocode", "name", "family", "classification", "macroarea", "countries")]
+    n.select(code.alias("iso"), *empty, F.concat(F.lit("Hakhun|"), i).alias("dialects"), *(F.lit("y").alias(c) for c in ("names", "likely_script", "aes", "med"))).write.csv(f"{place}/reference.csv", header=True)
+    named = registries.language_names(spark, place).select("code", "kind", "text")
+    gone = registries.retirements(spark, place).select(F.col("change_to").alias("code"), F.lit("retired"), F.col("code"))
+    parents = registries.macrolanguages(spark, place).select("code", F.lit("parent"), "parent")
+    more = registries.details(spark, f"{place}/reference.csv").select("code", F.lit("dialects"), F.array_join("dialects", "|"))
+    return named.union(gone).union(parents).union(more)
+
+
+@R.query("SELECT event_id, event_type AS level, value FROM events")
+def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of JSON lines, written in two goes and read back."""
+    place = f"{shared_folder(spark)}/verbena-log-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("level"), "value")
+    for part in (0, 1):
+        sinks.append_log(e.where(F.col("event_id") % 2 == part), place)
+    return spark.read.schema("event_id long, level string, value double").json(place)
+
+
+@R.query("""SELECT conv_id, turn, '{"n": ' || (conv_id * 100 + turn) || ', "role": "' || role || '"}' AS answer FROM conversations""")
+def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a command-line tool answers to prompts, asked on the executors; the tool here repeats what it is told."""
+    c = table(spark, sf_dir, "conversations")
+    prompt = F.concat(F.lit('Say {this}: {"n": '), (F.col("conv_id") * 100 + F.col("turn")).cast("string"), F.lit(', "role": "'), "role", F.lit('"} now'))
+    return agents.answers(c.select(F.struct("conv_id", "turn").alias("key"), prompt.alias("prompt")), "cat").select("key.conv_id", "key.turn", "answer")
+
+
+@R.query(rf"""WITH e AS (SELECT lower(n_name) || CASE WHEN n_nationkey % 6 = 5 THEN '!' ELSE '' END AS name, {_sql_pick('n_nationkey', 'json', 'rss', 'soap', 'html')} AS kind, n_nationkey % 5 > 0 AS url, n_nationkey FROM nation)
+SELECT name, kind, n_nationkey % 7 < 3 AS enabled, CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 1 THEN 'needs a key' ELSE '' END AS why, row_number() OVER (ORDER BY n_nationkey % 7 >= 3, CASE WHEN n_nationkey % 7 < 3 THEN n_nationkey END, name) AS place FROM e WHERE kind <> 'soap' AND url AND NOT contains(name, '!')""")
+def engine_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search engines from a registry: those that can be used, those in use first."""
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # a registry's entries are on the driver: files of a user
+    kinds = ("json", "rss", "soap", "html")
+    entries = [{"name": r.n_name.lower() + "!" * (r.n_nationkey % 6 == 5), "kind": kinds[r.n_nationkey % 4], "needs_key": r.n_nationkey % 3 == 0} | ({"url": "u"} if r.n_nationkey % 5 else {}) for r in rows]
+    good, _ = config.registry("engine", entries)
+    shown = config.listing(good, [r.n_name.lower() for r in rows if r.n_nationkey % 7 < 3], {r.n_name.lower(): "k" for r in rows if r.n_nationkey % 2 == 0}, {})
+    return spark.createDataFrame([(e["name"], e["kind"], e["enabled"], e["why"], i + 1) for i, e in enumerate(shown)], "name string, kind string, enabled boolean, why string, place long")
+
+
+@R.query("""WITH d AS (SELECT text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL)
+SELECT 'duplicate_linked' AS status, count(*) AS n FROM d WHERE k > 1 HAVING count(*) > 0 UNION ALL SELECT 'stored', count(*) FROM d WHERE k = 1 UNION ALL SELECT 'session finished', 1 UNION ALL SELECT 'finds', count(*) FROM d""")
+def collected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents taken in by a collection of their own, as a user's import: outcomes, finds and the session's state."""
+    from verbena.service import Collection
+
+    c = Collection(spark, f"{shared_folder(spark)}/verbena-collection-{uuid.uuid4().hex}")
+    language = c.open_language("Thonin", "tho")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    c.take_in(d.select(F.concat(F.lit("/data/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"), F.lit("import").alias("method"), F.lit(True).alias("user_asserted")), language, "import")
+    statuses = c.table("outcome").groupBy("status").agg(F.count("*").alias("n"))
+    sessions = c.sessions().groupBy(F.concat(F.lit("session "), "status").alias("status")).agg(F.count("*").alias("n"))
+    return statuses.union(sessions).union(c.table("find").agg(F.lit("finds").alias("status"), F.count("*").alias("n")).select("status", "n"))

@@ -42,6 +42,36 @@ def metadata_records(results: DataFrame) -> DataFrame:
     return results.where("n_files = 0").select(name.alias("name"), F.to_json(F.struct(F.lit(True).alias("synthetic"), "provider", "title", "url")).alias("json"))
 
 
+class Layout:
+    """Where everything of a collection lies below its root, on a user's own disk."""
+
+    SHARED = ("config", "catalogues", "search-engines", "database", "languages", "cache", "temp", "logs")
+    OF_A_LANGUAGE = ("extracted", "metadata", "manifests")
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def shared(self, name: str) -> str:
+        if name not in self.SHARED:
+            raise ValueError(f"unknown folder {name}")
+        return os.path.join(self.root, name)
+
+    def of(self, language_id: str, name: str = "", category: str = "") -> str:
+        """A language's folder, one of its own folders, or that of a category of its resources."""
+        if category and category not in CATEGORIES:
+            raise ValueError(f"unknown category {category}")
+        below = os.path.join("resources", category) if category else name
+        return os.path.join(self.shared("languages"), language_id, below).rstrip("/")
+
+    def ensure(self, language_id: str | None = None) -> None:
+        """Make the folders that are not there yet."""
+        wanted = [self.shared(n) for n in self.SHARED]
+        if language_id:
+            wanted += [self.of(language_id, n) for n in self.OF_A_LANGUAGE] + [self.of(language_id, category=c) for c in CATEGORIES]
+        for folder in wanted:
+            os.makedirs(folder, exist_ok=True)
+
+
 class ContentStore:
     """Files of a user's own disk, kept once under their hash. For single machines; tables on a cluster go through write_resources()."""
 
