@@ -1,6 +1,15 @@
-"""A collection from import to review, on a sample folder, and the command line."""
+"""A collection from import to review, on a sample folder, its sessions and archives, agents, jobs, and the command line."""
+
+import io
+import threading
+import zipfile
 
 import pytest
+from pyspark.sql import functions as F
+
+from verbena import agents, config
+from verbena.progress import Jobs, Progress
+from verbena.sources.sinks import Layout
 
 from verbena import cli
 from verbena.service import Collection
@@ -48,6 +57,122 @@ def test_import_is_asserted_and_reviews_are_decided(spark, sample):
     assert d.reviews().where("status = 'accepted'").count() == 1 and d.review_summary().first().resources == 3
 
 
+def test_sessions_end_in_a_state(spark, sample):
+    c = Collection(spark, f"{sample}/root5")
+    c.open_language("Tangsa", "nst")
+    a, b = c.open_session("nst", "agent"), c.open_session("nst", "agent")
+    assert a[-3:] == "001" and b[-3:] == "002" and c.unfinished().count() == 2
+    c.finish(a)
+    heard = []
+    c.on_outcome, c.on_message = lambda rows: heard.append(rows.count()), heard.append
+    broken = spark.createDataFrame([("p",)], "path string").withColumn("content", F.raise_error(F.lit("gone")).cast("binary")).withColumn("method", F.lit("import"))
+    with pytest.raises(Exception, match="gone"):
+        c.take_in(broken, "nst", "import")
+    assert {r.session_id[-3:]: r.status for r in c.sessions().collect()} == {"001": "finished", "002": "running", "003": "failed"}
+    assert [h for h in heard if isinstance(h, str)] and c.table("event").count() == 1
+    c.import_folder(f"{sample}/home", "nst")
+    row = c.sessions().where("session_id LIKE '%004'").first()
+    assert (row.status, row.language, row.discovered) == ("finished", "Tangsa", 5) and heard[-1] == 5
+    with pytest.raises(ValueError):
+        c.open_session("nst", "magic")
+
+
+def test_numbers_are_given_once(spark, sample):
+    c = Collection(spark, f"{sample}/root6")
+    got = []
+    workers = [threading.Thread(target=lambda: got.append(c.open_session("nst", "import"))) for _ in range(6)]
+    [w.start() for w in workers]
+    [w.join() for w in workers]
+    assert len(got) == 6 == len({*got})
+    rows = c.table("session").select("seq").collect()
+    assert len({r.seq for r in rows}) == 6
+
+
+def test_members_of_archives_are_taken_in(spark, sample):
+    def packed(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n, x in files.items():
+                z.writestr(n.replace("_dot_", "."), x)
+        return out.getvalue()
+
+    inner = packed(deep_dot_txt="a text deep down in the archive")
+    (sample / "home" / "box.zip").write_bytes(packed(one_dot_txt="grammar text\n", two_dot_txt="something new", inner_dot_zip=inner))
+    c = Collection(spark, f"{sample}/root7", open_archives=True)
+    c.open_language("Tangsa", "nst")
+    out = {r.path.rsplit("/", 1)[1]: r.status for r in c.import_folder(f"{sample}/home", "nst").collect()}
+    assert out["box.zip"] == "stored" and out["box.zip!two.txt"] == "stored" and out["box.zip!one.txt"] == "duplicate_linked"
+    assert out["box.zip!inner.zip"] == "stored" and out["box.zip!inner.zip!deep.txt"] == "stored"
+    assert {r.text for r in c.table("text").collect()} >= {"something new", "a text deep down in the archive"}
+    assert c.listing("nst").count() == c.resources().count()
+
+
+def test_agents(spark, tmp_path):
+    known = {"echo": {"command": "cat", "what": "says it again"}, "none": {"command": "no-such-tool {prompt}"}}
+    assert agents.build({}).name == "rule_based" and agents.build({"provider": "echo"}, known).available() == (True, "")
+    assert not agents.build({"provider": "none"}, known).available()[0] and agents.installed(known) == [("echo", True, "says it again"), ("none", False, "")]
+    with pytest.raises(ValueError):
+        agents.build({"provider": "other"}, known)
+    agents.choose(f"{tmp_path}/c.toml", "echo", known)
+    assert config.load(f"{tmp_path}/c.toml")["agent"]["provider"] == "echo"
+    with pytest.raises(ValueError):
+        agents.choose(f"{tmp_path}/c.toml", "other", known)
+    assert agents.ask("cat", 'x {"a": 1}') == ('{"a": 1}', None) and agents.ask("no-such-tool", "x")[0] is None and agents.ask("cat", "no answer") == (None, "no JSON in the answer")
+    assert agents.ask("sleep 5", "x", seconds=1)[1].startswith("TimeoutExpired")
+    tool = agents.ToolAgent("fixed", """sh -c 'cat > /dev/null; echo "{\\"score\\": 90}"'""", agents.RuleAgent())
+    c = spark.createDataFrame([(1, "nst", "nothing to see"), (2, "nst", "Tangsa grammar")], "candidate_id long, language_id string, text string")
+    lang = spark.createDataFrame([("nst", "nst", "Tangsa")], "language_id string, iso string, name string")
+    terms = spark.createDataFrame([], "language_id string, signal string, seq int, term string, weak boolean")
+    rules = {r.candidate_id: r.score for r in agents.RuleAgent().analyse(c, lang, terms).collect()}
+    moved = {r.candidate_id: r.score for r in tool.analyse(c, lang, terms).collect()}
+    assert rules[1] == 0 and moved == {1: 25, 2: min(90, rules[2] + 25)}
+    asked = spark.createDataFrame([("nst", "Tangsa", "name", None, 0)], "language_id string, name string, kind string, term string, seq int")
+    more = agents.ToolAgent("q", """sh -c 'cat > /dev/null; echo "[{\\"query\\": \\"Tase songs\\"}, {\\"query\\": \\"\\"}]"'""", agents.RuleAgent()).queries(asked)
+    assert [r.query for r in more.where("basis = 'agent:q'").collect()] == ["Tase songs"] and more.where("basis = 'name'").count() == 6
+
+
+def test_progress_and_jobs():
+    now, heard = [0.0], []
+    p = Progress(heard.append, interval=1.0, clock=lambda: now[0])
+    p.step(stage="a")
+    p.step(record=1)
+    p.start("k", "f.pdf", 10)
+    assert len(heard) == 1
+    now[0] = 2.0
+    p.moved("k", 5)
+    p.step(stage="b")
+    p.done("k", ok=False, message="lost")
+    assert len(heard) == 4 and heard[-1]["transfers"]["k"] == {"name": "f.pdf", "size": 10, "done": 5, "status": "failed", "message": "lost"} and heard[-1]["record"] == 1
+    jobs, go = Jobs(), threading.Event()
+
+    def work(job):
+        job.say("began")
+        go.wait(5)
+        return "cancelled" if job.cancelled() else 42
+
+    first, second = jobs.start("one", work), jobs.start("two", lambda job: 1 / 0)
+    assert jobs.wait(second).status == "failed" and "ZeroDivisionError" in jobs.poll(second)["error"]
+    assert jobs.poll(first)["status"] == "running"
+    jobs.cancel(first)
+    go.set()
+    assert jobs.wait(first).result == "cancelled" and jobs.poll(first, since=1)["messages"] == [] and [j["status"] for j in jobs.list()] == ["cancelled", "failed"]
+
+
+def test_folders_and_registries(tmp_path):
+    layout = Layout(str(tmp_path))
+    layout.ensure("nst")
+    assert (tmp_path / "languages/nst/resources/audio").is_dir() and (tmp_path / "search-engines").is_dir() and layout.of("nst", "metadata").endswith("languages/nst/metadata")
+    for bad in (lambda: layout.shared("x"), lambda: layout.of("nst", category="x")):
+        with pytest.raises(ValueError):
+            bad()
+    path = f"{tmp_path}/e.toml"
+    config.add_entry(path, "engine", {"name": "own", "kind": "json", "url": "http://x"})
+    with pytest.raises(ValueError):
+        config.add_entry(path, "engine", {"name": "bad", "kind": "soap"})
+    assert config.entries_of(path, "engine") == [{"name": "own", "kind": "json", "url": "http://x"}]
+    assert config.remove_entry(path, "engine", "own") and not config.remove_entry(path, "engine", "own") and config.entries_of(path, "engine") == []
+
+
 def test_command_line(spark, sample, capsys):
     root = f"{sample}/root4"
     assert cli.main(["--root", root, "languages"]) == 10

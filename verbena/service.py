@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from decimal import Decimal
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +61,15 @@ class Collection:
         """All rows of a table so far; none before the first write."""
         path, files_ = self._path(name)
         schema = f"{TABLES[name]}, seq {SEQ}"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if files_.exists(path) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.root}/{name}") if files_.exists(path) else self.spark.createDataFrame([], schema)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows; their seq is the time of the write, then a number that no other row of the write has."""
+        """Add rows; their seq is the time of the write, then a number that no other row of the write has. Each write is a folder of its own, so
+        that several may go on at once."""
         base = Decimal(int(datetime.now(UTC).timestamp() * 1_000_000) << 63)
         columns = [c.split()[0] for c in TABLES[name].split(", ")]
         number = F.monotonically_increasing_id().cast("decimal(20,0)")
-        rows.select(*columns, (F.lit(base).cast(SEQ) + number).cast(SEQ).alias("seq")).write.mode("append").parquet(f"{self.root}/{name}")
+        rows.select(*columns, (F.lit(base).cast(SEQ) + number).cast(SEQ).alias("seq")).write.parquet(f"{self.root}/{name}/{uuid.uuid4().hex}")
 
     # ------------------------------------------------------------ languages and profiles
     def open_language(self, name: str, iso: str | None = None) -> str:
@@ -107,6 +111,27 @@ class Collection:
     def _terms(self) -> DataFrame:
         return profile.terms(self.values()).withColumn("weak", F.lit(False))
 
+    def _taken_first(self, name: str) -> bool:
+        """Make an empty file that nobody has made yet; whether that worked. Local disks and Hadoop's stores each have one atomic way."""
+        path, files_ = self._path(name)
+        if files_.getScheme() == "file":
+            local = path.toUri().getPath()
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            try:
+                os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        if files_.exists(path):
+            return False
+        try:
+            files_.create(path, False).close()
+        except Py4JJavaError as e:
+            if not files_.exists(path):
+                raise e
+            return False
+        return True
+
     def open_session(self, language: str, mode: str) -> str:
         """A new session, running. Its number is taken by making a file that nobody else can make again, so two writers never get the same."""
         if mode not in MODES:
@@ -115,8 +140,7 @@ class Collection:
         number = 1
         while True:
             session = f"COL-{started:%Y%m%d}-{number:03d}"
-            path, files_ = self._path(f"_sessions/{session}")
-            if not files_.exists(path) and files_.createNewFile(path):
+            if self._taken_first(f"_sessions/{session}"):
                 break
             number += 1
         self.append("session", self.spark.createDataFrame([(session, language, mode, "running", started)], TABLES["session"]))
@@ -181,10 +205,10 @@ class Collection:
         held = candidates.select("path", "content", *known)
         for _ in range(ARCHIVE_DEPTH):
             new = mine.where("category = 'archives' AND status IN ('stored', 'uncertain_review')").select("path", "format")
-            archives = held.join(new, "path")
-            files_ = extract.archive_members(archives.select("path", "content", "format"), "path", contents=True).where("NOT is_folder AND content IS NOT NULL AND member IS NOT NULL")
-            name = F.concat("path", F.lit("!"), F.coalesce(extract.safe_path(F.col("member")), F.lit("member")))
-            held = files_.withColumnRenamed("content", "body").join(archives.drop("format", "content"), "path").select(name.alias("path"), F.col("body").alias("content"), *known).dropDuplicates(["path"])
+            archives = held.join(new, "path").withColumnRenamed("path", "archive")
+            files_ = extract.archive_members(archives.select("archive", "content", "format"), "archive", contents=True).where("NOT is_folder AND content IS NOT NULL AND path IS NOT NULL")
+            name = F.concat("archive", F.lit("!"), "path")
+            held = files_.withColumnRenamed("content", "body").join(archives.drop("format", "content"), "archive").select(name.alias("path"), F.col("body").alias("content"), *known).dropDuplicates(["path"])
             if held.isEmpty():
                 return
             mine = self._taken(held.withColumn("original_path", F.col("path")), language, session)
