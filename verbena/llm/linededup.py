@@ -46,7 +46,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     covered = later.select("k", "r", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("lines") - 1)).alias("p"))
     gone = written(covered.groupBy(F.col("k").alias("k2"), F.col("r").alias("r2")).agg(F.collect_set("p").alias("gone")), "gone")
     release(windows)
-    both = rows.join(gone, (F.col("r") == F.col("r2")) & F.col("k").eqNullSafe(F.col("k2")), "left")
+    # always by a shuffle: how many texts lose lines grows with the corpus
+    both = rows.join(gone.hint("merge"), (F.col("r") == F.col("r2")) & F.col("k").eqNullSafe(F.col("k2")), "left")
     numbers = F.transform(_solid(F.col("t")), lambda x: x["number"])
 
     def kept(v: Column) -> Column:
