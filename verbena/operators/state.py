@@ -123,3 +123,8 @@ def catalogue_totals(results: DataFrame) -> DataFrame:
         F.count("*").alias("discovered"), is_("lookup").alias("lookups"), is_("metadata", "download").alias("relevant"), is_("metadata").alias("metadata"),
         F.coalesce(F.sum(F.when(F.col("action") == "download", F.col("n_files"))), F.lit(0)).cast("long").alias("files"), F.count("error").alias("failed"),
     )
+
+
+def ranked(rows: DataFrame, key: str, *order) -> DataFrame:  # noqa: ANN002
+    """rows with place: from 1 within each key, in that order."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

@@ -352,12 +352,24 @@ def catalogue_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.catalogue_actions(r).select("seq", "action", F.col("rank").cast("long").alias("rank"))
 
 
-@R.query()
+@R.query("""WITH c AS (SELECT conv_id, turn, 'V' || chr((97 + conv_id % 26)::INTEGER) || 'sang' AS v, 'A' || chr((97 + turn % 26)::INTEGER) || 'ta' AS a, conv_id % 4 AS k FROM conversations),
+f AS (SELECT 'orthography_location' AS grp, 'varieties' AS field, v AS value, 0.65 AS confidence FROM c UNION ALL SELECT 'identity', 'alternate_names', a, 0.55 FROM c UNION ALL SELECT 'identity', 'alternate_names', 'Tangshang', 0.55 FROM c
+UNION ALL SELECT 'orthography_location', 'places', CASE k WHEN 0 THEN 'Changlang/district' WHEN 1 THEN 'Miao/town' ELSE 'Assam' END, 0.5 FROM c UNION ALL SELECT 'identity', 'family', 'Sino-Tibetan', 0.5 FROM c WHERE k <> 2
+UNION ALL SELECT 'identity', 'scripts', 'Latin', 0.55 FROM c WHERE k = 2 UNION ALL SELECT 'resources', 'speakers', (8000 + conv_id)::VARCHAR, 0.4 FROM c)
+SELECT grp, field, value, confidence::DOUBLE AS confidence, count(*) AS n FROM f GROUP BY ALL""")
 def conversation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts in conversations, with made-up sentences put in. No SQL form: patterns look ahead, and sentences depend on those before."""
+    """Facts in conversations, with made-up sentences put before what is said: some about the language, some about another."""
     c = table(spark, sf_dir, "conversations")
-    said = F.concat(F.lit("Mossang is a Tangsa variety. It is also known as Tase and Tangshang. It is spoken in Changlang district. It has about 8,500 speakers. "), F.col("text"))
-    return facts.extract_facts(c.select("conv_id", said.alias("text")), "conv_id", name="Tangsa").groupBy("grp", "field", "value").agg(F.count("*").alias("n"))
+    k = F.col("conv_id") % 4
+    letter = lambda x: F.char((F.lit(97) + x % 26).cast("int"))
+    place = F.when(k == 0, "Changlang district").when(k == 1, "the Miao town").otherwise("Assam")
+    more = F.when(k == 2, "It is written in the Latin script.").otherwise("It belongs to the Sino-Tibetan language family.")
+    said = F.concat(
+        F.lit("V"), letter(F.col("conv_id")), F.lit("sang is a Tangsa variety. It is also known as A"), letter(F.col("turn")), F.lit("ta and Tangshang. It is spoken in "), place, F.lit(". "), more,
+        F.lit(" It has about "), F.format_number(F.col("conv_id") + 8000, 0), F.lit(" speakers. Konyak Naga is spoken in Mon district. "), F.coalesce("text", F.lit("")),
+    )
+    found = facts.extract_facts(c.select(F.struct("conv_id", "turn").alias("key"), said.alias("text")), "key", name="Tangsa")
+    return found.groupBy("grp", "field", "value", "confidence").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- streams

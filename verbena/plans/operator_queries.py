@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType
 from verbena import agents, config
 from verbena.functions import match, web
 from verbena.functions.text import clean_name, display_value, html_links, html_title, human_time, safe_text, tokens
-from verbena.operators import catalogues, crawl, discover, extract, facts, ingest, profile, registry, relevance, state
+from verbena.operators import catalogues, crawl, discover, extract, facts, ingest, neardup, profile, registry, relevance, state
 from verbena.plans.base import Register, sql_clean, sql_fold, sql_strip, table
 from verbena.plans.core_queries import _OUTCOMES, _SCORES, _VALUES, _candidates, _outcomes, _values, scored_documents
 from verbena.plans.state_queries import _LINK
@@ -776,3 +776,37 @@ def collected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     statuses = c.table("outcome").groupBy("status").agg(F.count("*").alias("n"))
     sessions = c.sessions().groupBy(F.concat(F.lit("session "), "status").alias("status")).agg(F.count("*").alias("n"))
     return statuses.union(sessions).union(c.table("find").agg(F.lit("finds").alias("status"), F.count("*").alias("n")).select("status", "n"))
+
+
+@R.query("""WITH e AS (SELECT user_id AS a, user_id % 7 AS b, max(value) AS similarity FROM events WHERE user_id <> user_id % 7 GROUP BY ALL)
+SELECT a AS resource_id, b AS other_id, similarity, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS place FROM (SELECT a, b, similarity FROM e UNION SELECT b, a, similarity FROM e)""")
+def near_duplicate_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resource's near duplicates, the nearest first."""
+    e = table(spark, sf_dir, "events").where("user_id <> user_id % 7").groupBy(F.col("user_id").alias("resource_id"), (F.col("user_id") % 7).alias("other_id")).agg(F.max("value").alias("similarity"))
+    both = state.near_duplicates(e.withColumn("seq", F.col("similarity")))
+    return state.ranked(both, "resource_id", F.desc("similarity"), "other_id").withColumn("place", F.col("place").cast("long"))
+
+
+@R.query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'image signatures need an image decoder' WHEN doc_id % 5 = 1 THEN 'audio signatures need a decoder' WHEN coalesce(text, '') = '' THEN 'no text'
+WHEN len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) < 20 THEN 'too little text for a signature' ELSE '' END AS note FROM documents""".replace("\\\\", "\\"))
+def signature_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a resource has no signature."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").alias("id"), _pick(F.col("doc_id"), "images", "audio", "text", "documents", "text").alias("category"), "text")
+    return neardup.sketch_notes(rows).select(F.col("id").alias("doc_id"), "note")
+
+
+@R.query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'offline' WHEN 1 THEN 'import' WHEN 2 THEN 'catalogue' ELSE 'agent' END AS method FROM documents")
+def candidate_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose method is one of the four; any other fails the job (see tests)."""
+    return ingest.checked(table(spark, sf_dir, "documents").select("doc_id", _pick(F.col("doc_id"), *ingest.METHODS).alias("method")))
+
+
+@R.query("""SELECT source AS language_id, coalesce(lang, 'other') AS category, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents WHERE text IS NOT NULL GROUP BY ALL""")
+def stored_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents written by language and category, and what then lies there."""
+    place = f"{shared_folder(spark)}/verbena-resources-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    sinks.write_resources(d.select(F.sha2("text", 256).alias("sha256"), F.col("text").cast("binary").alias("content"), F.col("source").alias("language_id"), F.coalesce("lang", F.lit("other")).alias("category")), place)
+    held = spark.read.schema("sha256 string, content binary, language_id string, category string").parquet(place)
+    return sinks.verified(held).where("intact").groupBy("language_id", "category").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
