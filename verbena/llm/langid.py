@@ -3,8 +3,9 @@
 A text becomes a vector of hashed letter n-grams (one to three letters, borders of words included). Linear support vector machines,
 one against the rest, choose its language family; within the family, one for each pair of languages, they vote for the language.
 
-The model learns from a bounded sample: about `per_lang` labelled rows of each language, chosen by a hash of their key. The
-vectors of these rows alone come to the driver (a vector takes 4 * DIMENSIONS bytes). Prediction streams over all rows.
+The model learns from a bounded sample: about `per_lang` labelled rows of each language, chosen by a hash of their key, and about `most_rows`
+in all, so with many languages each gives fewer. What is not zero of these rows' vectors alone comes to the driver, where they
+take 4 * DIMENSIONS bytes each; labels are counted first, and more than MOST_LANGS of them are refused. Prediction streams over all rows.
 
 Style: free (mapInArrow; no shuffle but for counts of labels).
 """
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 from .common import free_name, ship
 
 DIMENSIONS = 4096
-#: Labelled rows of each language to learn from, about.
-PER_LANG = 400
+#: Labelled rows of each language to learn from, about, and of all languages; languages that a model may know.
+PER_LANG, MOST_ROWS, MOST_LANGS = 400, 24_000, 2000
+#: Rows whose margins are worked out at once.
+TOGETHER = 256
 SEGMENT = 1 << 20
 UNKNOWN = "und"
 
@@ -82,11 +85,16 @@ def scaled(counts: np.ndarray) -> np.ndarray:
     return v / np.sqrt(v @ v)
 
 
+def with_offset(x: np.ndarray) -> np.ndarray:
+    """Vectors with a one behind each."""
+    return np.hstack([x, np.ones((len(x), 1), x.dtype)])
+
+
 def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 300) -> np.ndarray:
-    """Weights, the offset last, of a linear support vector machine with squared hinge loss; both classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = ahead = np.zeros(x.shape[1])
+    """Weights, the offset last, of a linear support vector machine with squared hinge loss over with_offset() vectors; both classes weigh the same."""
+    y = y.astype(x.dtype)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
+    w = ahead = np.zeros(x.shape[1], x.dtype)
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ ahead))
         after = ahead - (ridge * ahead - 2 * x.T @ (share * y * slack)) / (4 + ridge)
@@ -102,34 +110,37 @@ class LanguageModel:
     by_family: np.ndarray
     pairs: dict[tuple[str, str], np.ndarray]
 
-    def predict(self, x: np.ndarray) -> tuple[str, float]:
-        """The language of a scaled vector, and how sure the machines are, from 0 to 1."""
+    def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
+        """The language of each of some scaled vectors, and how sure the machines are, from 0 to 1. Of equal margins the first family, of equal votes
+        and trust the first language by name counts."""
         if not self.families:
-            return UNKNOWN, 0.0
-        x = np.append(x, 1.0)
-        sure = 1.0
-        chosen = self.families[0]
-        if len(self.families) > 1:
-            margins = self.by_family @ x
-            best = int(np.argmax(margins))
-            chosen, sure = self.families[best], _chance(float(margins[best]))
-        langs = self.members[chosen]
-        votes, trust = dict.fromkeys(langs, 0.0), dict.fromkeys(langs, 0.0)
-        for a, b in combinations(langs, 2):
-            m = float(self.pairs[a, b] @ x)
-            votes[a if m > 0 else b] += 1
-            trust[a] += _chance(m)
-            trust[b] += _chance(-m)
-        lang = max(langs, key=lambda k: (votes[k], trust[k]))
-        return lang, sure * (trust[lang] / (len(langs) - 1) if len(langs) > 1 else 1.0)
-
-
-def _chance(margin: float) -> float:
-    return float(1 / (1 + np.exp(-3 * np.clip(margin, -30, 30))))
+            return [(UNKNOWN, 0.0)] * len(x)
+        x = with_offset(x)
+        margins = x @ self.by_family.T if len(self.families) > 1 else np.full((len(x), 1), np.inf)
+        best = margins.argmax(axis=1)
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(x)
+        for f in np.unique(best).tolist():
+            langs, rows = self.members[self.families[f]], np.flatnonzero(best == f)
+            sure = _chance(margins[rows, f])
+            votes, trust = np.zeros((2, len(rows), len(langs)))
+            for (i, a), (j, b) in combinations(enumerate(langs), 2):
+                m = x[rows] @ self.pairs[a, b]
+                votes[:, i] += m > 0
+                votes[:, j] += m <= 0
+                trust[:, i] += _chance(m)
+                trust[:, j] += _chance(-m)
+            for k, row in enumerate(rows.tolist()):
+                i = max(range(len(langs)), key=lambda c: (votes[k, c], trust[k, c], -c))
+                out[row] = langs[i], float(sure[k] * (trust[k, i] / (len(langs) - 1) if len(langs) > 1 else 1.0))
+        return out
+
+
+def _chance(margins: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-3 * np.clip(margins, -30, 30).astype(float)))
 
 
 def fit_languages(x: np.ndarray, langs: list[str]) -> LanguageModel:
-    labels = np.array(langs, dtype=object)
+    x, labels = with_offset(x), np.array(langs, dtype=object)
     known = sorted(set(langs))
     members: dict[str, list[str]] = {}
     for k in known:
@@ -145,11 +156,15 @@ def fit_languages(x: np.ndarray, langs: list[str]) -> LanguageModel:
     return LanguageModel(families, members, by_family, pairs)
 
 
-def train_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> LanguageModel:
-    """Learn from the rows of docs with a text and a label. Rows without a letter teach nothing; no rows give a model that knows no language."""
+def train_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, most_rows: int = MOST_ROWS) -> LanguageModel:
+    """Learn from the rows of docs with a text and a label. Rows without a letter teach nothing; no rows give a model that knows no language. Null keys
+    and repeated rows are rows like others; columns may have any names."""
     ship(docs.sparkSession)
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.length(text)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"at most {MOST_LANGS} languages")
+    per_lang = min(per_lang, most_rows // max(1, len(counts)))
     if not counts:
         return LanguageModel([], {}, np.zeros((1, DIMENSIONS + 1)), {})
     share = F.create_map(*(F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_lang / n))))
@@ -159,27 +174,35 @@ def train_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", la
         for b in batches:
             vectors = [vector(x.as_py()) for x in b.column(1)]
             good = [i for i, v in enumerate(vectors) if v is not None]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good, pa.int64())), b.column(2).take(pa.array(good, pa.int64())), pa.array([scaled(vectors[i]).astype("<f4").tobytes() for i in good], pa.binary())], names=["lang", "h", "v"])
-
-    rows = some.mapInArrow(run, "lang string, h long, v binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["h"], bytes(r["v"])))
-    x = np.array([np.frombuffer(r["v"], "<f4") for r in rows], dtype=float).reshape(-1, DIMENSIONS)
+            places = [np.flatnonzero(vectors[i]).astype("<u2") for i in good]
+            values = [scaled(vectors[i])[at].astype("<f4") for i, at in zip(good, places, strict=True)]
+            kept = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(2).take(kept), pa.array([p.tobytes() for p in places], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], names=["lang", "h", "p", "v"])
+
+    rows = some.mapInArrow(run, "lang string, h long, p binary, v binary").collect()
+    rows = sorted(rows, key=lambda r: (r["lang"], r["h"], bytes(r["p"]), bytes(r["v"])))
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["p"], "<u2")] = np.frombuffer(r["v"], "<f4")
     return fit_languages(x, [r["lang"] for r in rows])
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score for each row of docs, from its text alone: "und" and 0 where it is null or has no letter.
 
-    Rows alike get alike predictions. Other columns are left out.
+    Rows alike get alike predictions, null keys and repeated rows included. Other columns are left out, whatever their names.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.column(1):
-                v = vector(x.as_py() or "")
-                out.append((UNKNOWN, 0.0) if v is None else model.predict(scaled(v)))
+            out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * b.num_rows
+            for at in range(0, b.num_rows, TOGETHER):
+                vectors = {at + i: vector(x.as_py() or "") for i, x in enumerate(b.column(1).slice(at, TOGETHER))}
+                known = [i for i, v in vectors.items() if v is not None]
+                if known:
+                    for i, found in zip(known, model.predict(np.array([scaled(vectors[i]) for i in known], np.float32)), strict=True):
+                        out[i] = found
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=[key, "lang_pred", "score"])
 
     narrow = docs.select(F.col(key), F.col(text).alias(free_name(docs.select(key), "body")))
