@@ -58,3 +58,36 @@ def test_stages_equal_plain_ones(spark, tmp_path):
     got = sorted((x.doc_id, x.start, x.n_tokens, x.ids_crc32) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == expected and len(got) > 30
     assert corpus_pipeline.mix(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_odd_tables_go_through_all_stages(spark, tmp_path):
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(3000)]
+    text = [" ".join(r.choice(vocabulary) for _ in range(80)) for _ in range(8)]
+    rows = [
+        (1, text[0], "a"), (1, text[1], "a"), (1, text[1] + " end", "a"),  # unrelated texts under one key, and a near copy
+        (None, text[2], "b"), (None, text[2], None), (None, text[3], None),  # copies under null keys
+        (5, text[4], "b"), (5, text[4], "b"), (6, None, "b"), (7, "", None), (8, text[5] + " " + text[6][:200], "a"), (9, text[7], None),
+    ]
+    clash = "doc_id long, text string, source string, body string, r1 long, t1 int, mix_key string, own_size string, class_key int"
+    spark.createDataFrame([(*x, "x", 1, 2, "k", "s", 3) for x in rows], clash).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text[6][:200]), (None, text[7]), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = step.columns
+    step = corpus_pipeline.quality(spark, step, str(tmp_path))
+    assert step.columns == columns and step.count() == 10
+    step = corpus_pipeline.near_duplicates(spark, step, str(tmp_path))
+    kept = sorted(x.text[:30] for x in step.collect())
+    assert step.columns == columns and kept == sorted(t[:30] for t in (text[0], text[1], text[2], text[3], text[4], text[5], text[7]))
+    step = corpus_pipeline.decontaminate(spark, step, str(tmp_path))
+    assert step.columns == columns and sorted(x.text[:30] for x in step.collect()) == sorted(t[:30] for t in text[:5])
+    step = corpus_pipeline.mix(spark, step, str(tmp_path))
+    assert step.columns == columns and {x.text[:30] for x in step.collect()} <= {t[:30] for t in text[:5]}
+    got = corpus_pipeline.token_file(spark, step, str(tmp_path)).collect()
+    assert len(got) == step.count() > 0 and sorted(x.start for x in got)[0] == 0
+
+
+def test_empty_tables_go_through_run(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
