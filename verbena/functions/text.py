@@ -121,13 +121,14 @@ def html_text(html: Column) -> Column:
     return clean(unescape(F.regexp_replace(text, r"(?s)<[^>]+>", " ")))
 
 
-def page_text(html: Column, most: int = 200_000) -> Column:
-    """The text of a page from the web, its title included, up to so many characters."""
+def page_text(html: Column, most: int | None = 200_000) -> Column:
+    """The text of a page from the web, its title included, up to so many characters; None reads all."""
     text = F.coalesce(html, F.lit(""))
     for tag in PAGE_HIDDEN:
         text = F.regexp_replace(text, rf"(?is)<{tag}\b.*?</{tag}>", "")
     text = F.regexp_replace(text, r"(?i)<(?:p|br|li|h[1-4]|tr|div|td)\b[^>]*>", "\n")
-    return F.substring(clean(unescape(F.regexp_replace(text, r"(?s)<[^>]*>", ""))), 1, most)
+    whole = clean(unescape(F.regexp_replace(text, r"(?s)<[^>]*>", "")))
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def html_title(html: Column) -> Column:
@@ -162,10 +163,10 @@ def xml_text(xml: Column, element: str | None = None) -> Column:
     return clean(F.array_join(F.filter(F.transform(parts, strip_tags), lambda x: x != ""), "\n"))
 
 
-def text_quality(text: Column, sample: int = 20_000) -> Column:
-    """empty, low or ok, by the share of letters, by gaps and by words of three letters in the first characters."""
+def text_quality(text: Column, sample: int | None = 20_000) -> Column:
+    """empty, low or ok, by the share of letters, by gaps and by words of three letters in the first characters; None looks at all."""
     whole = F.coalesce(text, F.lit(""))
-    s = F.substring(whole, 1, sample)
+    s = whole if sample is None else F.substring(whole, 1, sample)
     letters = F.length(F.regexp_replace(s, r"[^\p{L}]", "")) / F.greatest(F.length(s), F.lit(1))
     words = F.regexp_count(s, F.lit(r"[A-Za-z]{3,}"))
     return F.when(F.btrim(whole, F.lit(" \t\n\r\x0b\x0c")) == "", "empty").when((letters < 0.4) | ~s.rlike("[ \n]") | (words <= 20), "low").otherwise("ok")

@@ -37,7 +37,7 @@ def classification(path: Column) -> Column:
 
 def newick_names(tree: Column) -> Column:
     """Names in a Newick tree such as ('Hakhun [hakh1234]-d-':1,...)'Nocte [noct1238]':1, in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(tree, F.lit("")), F.lit(r"'([^'\[]+?)\s*\[[a-z0-9]{8}\][^']*'"), F.lit(1)), F.btrim)
+    return F.transform(F.regexp_extract_all(F.coalesce(tree, F.lit("")), F.lit(r"'([^'\[]+?)\s*\[[a-z0-9]{8}\][^']*'"), F.lit(1)), lambda x: F.btrim(x))
 
 
 def bundle_files(items: DataFrame) -> DataFrame:
@@ -62,13 +62,13 @@ def other_languages(names: DataFrame, index: DataFrame, own: str) -> DataFrame:
     return names.withColumn("key", fold(F.col("value"))).join(keys, "key", "left_semi").drop("key")
 
 
-def content_detection(texts: DataFrame, terms: DataFrame, most: int = 400_000) -> DataFrame:
+def content_detection(texts: DataFrame, terms: DataFrame, most: int | None = 400_000) -> DataFrame:
     """file_id, detection_confidence, matched_terms of files whose contents have a name, alternate, exonym, variety or title (never a code alone).
 
-    texts: file_id, text of files whose names said nothing; terms: seq, term, kind, weight.
+    texts: file_id, text of files whose names said nothing; terms: seq, term, kind, weight. most: characters looked at; None: all.
     """
     names = scan_terms(terms.where("kind <> 'iso_code'"))
-    found = let(fold(F.substring("text", 1, most)), lambda blob: F.filter(names, lambda t: match.has_scan_term(blob, t["folded"], t["kind"])))
+    found = let(fold(F.col("text") if most is None else F.substring("text", 1, most)), lambda blob: F.filter(names, lambda t: match.has_scan_term(blob, t["folded"], t["kind"])))
     g = texts.select("file_id", found.alias("h"))
     strong = F.filter("h", lambda t: t["kind"].isin("name", "alternate_name", "exonym", "variety", "title"))
     g = g.select("file_id", F.array_max(F.transform(strong, lambda t: t["weight"])).alias("most"), F.transform("h", lambda t: t["term"]).alias("matched_terms"))

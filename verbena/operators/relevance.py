@@ -99,11 +99,12 @@ def _summed(hits: Column) -> Column:
     return let(F.filter(hits, counts), of)
 
 
-def score(candidates: DataFrame, languages: DataFrame, terms: DataFrame, word_names: list[str] | None = None) -> DataFrame:
+def score(candidates: DataFrame, languages: DataFrame, terms: DataFrame, word_names: list[str] | None = None, contents_read: int | None = CONTENTS_READ) -> DataFrame:
     """candidates' candidate_id, language_id, then score, band, reasons (signals in order), matched_terms; extra columns of candidates stay in front.
 
     candidates: candidate_id, language_id, text and, where known, metadata_language, types, user_asserted, discovery_confidence,
     contents. languages: language_id, iso, name. word_names: folded names that are ordinary words as well (match.WORD_NAMES).
+    contents_read: how many characters of the contents are looked at; None: all.
 
     A language's name and terms are one row, with the terms as an array, and each candidate is matched in its own row: texts never
     meet terms in a join. The table of languages is written first, so that Spark knows its size and sends it to the candidates if small.
@@ -121,7 +122,7 @@ def score(candidates: DataFrame, languages: DataFrame, terms: DataFrame, word_na
     known = written(lang.join(every, "language_id", "left"), "terms")
 
     none = F.array().cast(known.schema["terms"].dataType)
-    texts = F.struct("text", fold(F.col("text")).alias("blob"), fold(F.substring("contents", 1, CONTENTS_READ)).alias("inside"))
+    texts = F.struct("text", fold(F.col("text")).alias("blob"), fold(F.col("contents") if contents_read is None else F.substring("contents", 1, contents_read)).alias("inside"))
     met = c.join(known, "language_id", "left")
     iso_hit = lambda blob: F.coalesce(F.array_contains(F.split(blob, " "), F.col("iso")) | F.contains(blob, F.concat(F.lit("iso "), "iso")), F.lit(False))
     found = let(texts, lambda v: F.struct(let(_hits(v, F.coalesce("terms", none), word_names), _summed).alias("sums"), iso_hit(v["blob"]).alias("iso")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verbena.functions.text import PAGE_HIDDEN, html_title, page_text
 from verbena.operators import catalogues, registry
+from verbena.plans import core_queries
 from verbena.plans.base import Register, sql_clean, sql_fold, sql_strip, sql_unescape, table
 
 R = Register()
@@ -15,37 +16,42 @@ _CONTENT = [(0, "Thonin", "name", 0.9), (1, "en", "iso_code", 0.85), (2, "Erheon
 _TERMS = ", ".join(f"({s}, '{t}', '{k}', {w})" for s, t, k, w in _CONTENT if k != "iso_code")
 
 
-@R.query(rf"""WITH t AS (SELECT *, {sql_fold('term')} AS f FROM (VALUES {_TERMS}) x(seq, term, kind, weight)), d AS (SELECT doc_id, {sql_fold('substr(text, 1, 400000)')} AS blob FROM documents),
+@R.query(rf"""WITH t AS (SELECT *, {sql_fold('term')} AS f FROM (VALUES {_TERMS}) x(seq, term, kind, weight)), d AS (SELECT doc_id, {sql_fold('text')} AS blob FROM documents),
 m AS (SELECT doc_id, seq, term, kind, weight FROM d JOIN t ON contains(' ' || blob || ' ', ' ' || f || ' ') OR (len(f) >= 8 AND contains(blob, f)))
 SELECT doc_id, round_even(least(0.9, max(CASE WHEN kind <> 'place' THEN weight END) * 0.75), 2)::DOUBLE AS confidence, string_agg(term, ',' ORDER BY seq) AS terms FROM m GROUP BY doc_id HAVING bool_or(kind <> 'place')""")
 def content_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
-    found = catalogues.content_detection(texts, spark.createDataFrame(_CONTENT, "seq int, term string, kind string, weight double"))
+    found = catalogues.content_detection(texts, spark.createDataFrame(_CONTENT, "seq int, term string, kind string, weight double"), most=None)
     return found.select(F.col("file_id").alias("doc_id"), F.col("detection_confidence").alias("confidence"), F.array_join("matched_terms", ",").alias("terms"))
 
 
-@R.query(rf"""SELECT page_id, contains(' ' || b || ' ', ' ereding ') OR contains(' ' || b || ' ', ' that ') AS about FROM (SELECT page_id, {sql_fold(sql_strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS b FROM pages)""")
-def pages_about_a_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", html_title(F.col("html")).alias("title"), F.lit("").alias("text"))
-    return catalogues.about_us(p, ["Ereding", "That"]).select("page_id", "about")
-
-
 _PAGE = "coalesce(html, '')"
 for _tag in PAGE_HIDDEN:
     _PAGE = rf"regexp_replace({_PAGE}, '(?is)<{_tag}\b.*?</{_tag}>', '', 'g')"
 _PAGE = rf"regexp_replace({_PAGE}, '(?i)<(?:p|br|li|h[1-4]|tr|div|td)\b[^>]*>', chr(10), 'g')"
 
 
-@R.query(f"SELECT page_id, substr({sql_clean(sql_unescape(f'regexp_replace({_PAGE}, {chr(39)}(?s)<[^>]*>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})'))}, 1, 200000) AS text FROM pages")
+_WHOLE = sql_clean(sql_unescape(f"regexp_replace({_PAGE}, '(?s)<[^>]*>', '', 'g')"))
+_TITLE = sql_strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+
+
+@R.query(rf"""SELECT page_id, contains(' ' || b || ' ', ' ereding ') OR contains(' ' || b || ' ', ' that ') AS about FROM (SELECT page_id, {sql_fold(f"concat_ws(' ', substr({_TITLE}, 1, 300), left({_WHOLE}, 600))")} AS b FROM pages)""")
+def pages_about_a_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", html_title(F.col("html")).alias("title"), page_text(F.col("html"), most=None).alias("text"))
+    return catalogues.about_us(p, ["Ereding", "That"]).select("page_id", "about")
+
+
+@R.query(f"SELECT page_id, {sql_clean(sql_unescape(f'regexp_replace({_PAGE}, {chr(39)}(?s)<[^>]*>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})'))} AS text FROM pages")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of pages as a visit reads them."""
-    return table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html"), most=None).alias("text"))
 
 
-@R.query("""SELECT count(*) AS files_seen, count(*) FILTER (WHERE doc_id % 3 = 0) AS hits FROM documents""")
+@R.query(f"SELECT (SELECT count(*) FROM documents) AS files_seen, count(*) AS hits FROM ({core_queries.R.oracle['scan_detection']})")
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"))
-    return catalogues.scan_report(d, d.where("file_id % 3 = 0"))
+    """Files seen by a scan of names, and those that a term was found in."""
+    seen = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"))
+    return catalogues.scan_report(seen, core_queries.scan_detection(spark, sf_dir).select(F.col("doc_id").alias("file_id")))
 
 
 @R.query("""WITH p AS (SELECT user_id AS transfer, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS "at", max(event_id) AS bytes FROM events GROUP BY ALL),
@@ -72,10 +78,13 @@ def region_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.country_names(languages, n.select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("alpha_2"), F.col("n_name").alias("name")))
 
 
-@R.query("""SELECT r_regionkey AS id, 'F' || r_regionkey AS family, CASE WHEN r_regionkey > 1 THEN 'M' || r_regionkey END AS parent, 'Hakhun,' || r_name AS dialects FROM region""")
+@R.query(r"""WITH p AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'F' || c_nationkey WHEN 2 THEN 'F' || c_nationkey || ' > ' || c_name WHEN 3 THEN 'F' || c_nationkey || ', ' || c_mktsegment || ' / ' || c_name ELSE ' F' || c_nationkey || '/A,B>' || c_mktsegment || ',' || c_name END AS path FROM customer),
+l AS (SELECT c_custkey, list_filter(regexp_split_to_array(path, '\s*[,/>]\s*'), lambda x: x <> '') AS l FROM p)
+SELECT c_custkey AS id, l[1] AS family, CASE WHEN len(l) > 2 THEN l[len(l) - 1] END AS parent, 'Hakhun,Seg ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ',' || c_name ELSE '' END AS dialects FROM l JOIN customer USING (c_custkey)""")
 def classification_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("r_regionkey").cast("string")
-    path = F.when(F.col("r_regionkey") > 1, F.concat(F.lit("F"), k, F.lit(", M"), k, F.lit(", L"))).otherwise(F.concat(F.lit("F"), k))
-    tree = F.concat(F.lit("('Hakhun [hakh1234]-d-':1,'"), "r_name", F.lit(" [abcd1234]':1)"))
-    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), catalogues.classification(path).alias("c"), catalogues.newick_names(tree).alias("d"))
+    """Families and parents from paths however they are written, and dialects from trees."""
+    k, nation = F.col("c_custkey") % 5, F.concat(F.lit("F"), F.col("c_nationkey").cast("string"))
+    path = F.when(k == 0, "").when(k == 1, nation).when(k == 2, F.concat(nation, F.lit(" > "), "c_name")).when(k == 3, F.concat(nation, F.lit(", "), "c_mktsegment", F.lit(" / "), "c_name")).otherwise(F.concat(F.lit(" "), nation, F.lit("/A,B>"), "c_mktsegment", F.lit(","), "c_name"))
+    tree = F.concat(F.lit("('Hakhun [hakh1234]-d-':1,'Seg "), "c_mktsegment", F.lit(" [abcd1234]':1,'no code':2"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(",("), F.lit("'"), "c_name", F.lit(" [zzzz0000]-l-':1)x:3"))).otherwise(""), F.lit(")"))
+    r = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), catalogues.classification(path).alias("c"), catalogues.newick_names(tree).alias("d"))
     return r.select("id", "c.family", "c.parent", F.array_join("d", ",").alias("dialects"))

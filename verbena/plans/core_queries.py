@@ -31,13 +31,13 @@ def scored_documents(spark: SparkSession, sf_dir: str, *more: Column) -> DataFra
     c = d.select(F.col("doc_id").alias("candidate_id"), "source", F.lit("tho").alias("language_id"), "text", F.col("text").alias("contents"), F.when(F.col("lang") == "en", "Erheon").otherwise(F.col("lang")).alias("metadata_language"), *more)
     languages = spark.createDataFrame(LANGUAGE, "language_id string, iso string, name string")
     terms = spark.createDataFrame([("tho", *t) for t in TERMS], "language_id string, signal string, seq int, term string, weak boolean")
-    return relevance.score(c, languages, terms)
+    return relevance.score(c, languages, terms, contents_read=None)
 
 
 _SCORES = rf"""
 w AS (SELECT * FROM (VALUES {_WEIGHTS}) t(signal, weight, ord)),
 t AS (SELECT x.*, weight, ord, {sql_fold('term')} AS f FROM (VALUES {_TERMS}) x(signal, seq, term, weak) JOIN w USING (signal)),
-d AS (SELECT doc_id, lang, {sql_fold('text')} AS blob, {sql_fold('substr(text, 1, 200000)')} AS inside FROM documents),
+d AS (SELECT doc_id, lang, {sql_fold('text')} AS blob, {sql_fold('text')} AS inside FROM documents),
 m AS (SELECT doc_id, signal, weight, ord, weak, f, CASE WHEN signal = 'exact_name' THEN 1.0 ELSE CASE WHEN len(replace(f, ' ', '')) <= 4 THEN 0.6 WHEN len(replace(f, ' ', '')) = 5 THEN 0.8 ELSE 1.0 END * CASE WHEN weak THEN 0.5 ELSE 1.0 END END AS force,
   contains(' ' || blob || ' ', ' ' || f || ' ') OR (len(f) >= 8 AND contains(blob, f)) AS hit,
   signal IN ('exact_name', 'alternate_name', 'variety') AND (contains(' ' || inside || ' ', ' ' || f || ' ') OR (len(f) >= 8 AND contains(inside, f))) AS inside_hit FROM d CROSS JOIN t),
@@ -165,14 +165,21 @@ def resource_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify(spark, r, "page_id")
 
 
-@R.query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' WHEN 2 THEN 'tar-gzip' WHEN 3 THEN 'docx' WHEN 4 THEN 'png' ELSE 'unknown' END AS format,
-CASE doc_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'documents' WHEN 2 THEN 'archives' WHEN 3 THEN 'documents' WHEN 4 THEN 'images' ELSE 'other' END AS category,
-CASE doc_id % 6 WHEN 0 THEN 'extension' WHEN 1 THEN 'magic' WHEN 2 THEN 'extension+magic' WHEN 3 THEN 'extension' WHEN 4 THEN 'magic' ELSE 'unknown' END AS detected_by FROM documents""")
+_EXTENSIONS = classify.extension_table()
+_N_EXT, _N_MAGIC = len(_EXTENSIONS), len(classify.MAGIC)
+
+
+@R.query(f"""WITH e AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{e}', '{f}', '{c}')" for i, (e, f, c) in enumerate(_EXTENSIONS))}) t(i, ext, fmt, cat)), m AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{f}', '{c}')" for i, (_, f, c) in enumerate(classify.MAGIC))}) t(j, fmt, cat)),
+r AS (SELECT doc_id, ext, e.fmt AS xf, e.cat AS xc, CASE WHEN m.fmt = 'zip' AND ext IN ({", ".join(f"'{x}'" for x in classify.PACKAGES)}) THEN NULL ELSE m.fmt END AS mf, m.cat AS mc, (doc_id // 2) % {_N_MAGIC + 2} AS j FROM documents LEFT JOIN e ON i = doc_id % {_N_EXT + 1} LEFT JOIN m ON m.j = (doc_id // 2) % {_N_MAGIC + 2})
+SELECT doc_id, coalesce(xf, mf, CASE WHEN j = {_N_MAGIC} THEN 'text' END, 'unknown') AS format, coalesce(xc, CASE WHEN mf IS NOT NULL THEN mc END, CASE WHEN j = {_N_MAGIC} THEN 'text' END, 'other') AS category,
+CASE WHEN xf IS NOT NULL AND mf IS NOT NULL THEN 'extension+magic' WHEN xf IS NOT NULL THEN 'extension' WHEN mf IS NOT NULL THEN 'magic' WHEN j = {_N_MAGIC} THEN 'content' ELSE 'unknown' END AS detected_by FROM r""")
 def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = (F.col("doc_id") % 6 + 1).cast("int")
-    name = F.element_at(F.array(*map(F.lit, ("a/b.TXT", "noext", "x.tar.gz", "letter.docx", "pic.zzz", "data.qzx"))), k)
-    head = F.element_at(F.array(*(F.unhex(F.lit(x)) for x in ("6869", "255044462D312E34", "1F8B0800", "504B030414", "89504E470D0A", "0001026269"))), k)
-    d = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), head.alias("head"))
+    """Every extension, and none, with every sort of first bytes, plain text and none."""
+    i = F.col("doc_id")
+    ext = F.element_at(F.array(*(F.lit("." + e) for e, _, _ in _EXTENSIONS), F.lit("")), (i % (_N_EXT + 1) + 1).cast("int"))
+    heads = F.array(*(F.unhex(F.lit(x + "0001")) for x, _, _ in classify.MAGIC), F.lit("hello, text").cast("binary"), F.lit(None).cast("binary"))
+    name = F.concat(F.lit("a.b/f"), i.cast("string"), F.when(i % 3 == 0, F.upper(ext)).otherwise(ext))
+    d = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.get(heads, (F.floor(i / 2) % (_N_MAGIC + 2)).cast("int")).alias("head"))
     return classify.detect_format(d).select("doc_id", "format", "category", "detected_by")
 
 
@@ -368,7 +375,7 @@ def conversation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("V"), letter(F.col("conv_id")), F.lit("sang is a Tangsa variety. It is also known as A"), letter(F.col("turn")), F.lit("ta and Tangshang. It is spoken in "), place, F.lit(". "), more,
         F.lit(" It has about "), F.format_number(F.col("conv_id") + 8000, 0), F.lit(" speakers. Konyak Naga is spoken in Mon district. "), F.coalesce("text", F.lit("")),
     )
-    found = facts.extract_facts(c.select(F.struct("conv_id", "turn").alias("key"), said.alias("text")), "key", name="Tangsa")
+    found = facts.extract_facts(c.select(F.struct("conv_id", "turn").alias("key"), said.alias("text")), "key", name="Tangsa", most=None)
     return found.groupBy("grp", "field", "value", "confidence").agg(F.count("*").alias("n"))
 
 

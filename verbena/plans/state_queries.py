@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbena.functions import web
-from verbena.functions.text import html_links, html_meta, safe_name
+from verbena.functions.text import html_links, html_meta, html_title, safe_name
 from verbena.operators import discover, profile, state
-from verbena.plans.base import Register, table
+from verbena.plans.base import Register, sql_strip, sql_unescape, table
 from verbena.plans.core_queries import _VALUES, _values
 
 R = Register()
@@ -77,23 +77,40 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.col("n").cast("long").alias("n"), web.resolve_url(F.col("base"), F.col("l.url")).alias("target"))
 
 
-@R.query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'zenodo' WHEN 1 THEN 'internet_archive' WHEN 2 THEN 'github_blob' END AS kind FROM pages""")
+_HOSTS = ("https://zenodo.org/records/{n}", "https://zenodo.org/api/records/{n}/files", "https://zenodo.org/record/{n}", "https://zenodo.org/search?q={n}", "https://archive.org/details/x{n}/y", "http://archive.org/download/{n}?a=1", "https://archive.org/search/{n}", "https://github.com/a/b{n}/blob/main/c.txt", "https://github.com/a/b{n}/tree/main")
+
+
+@R.query(rf"""WITH u AS (SELECT page_id, replace(list_extract([{', '.join(repr(h) for h in _HOSTS)}, url], (page_id % {len(_HOSTS) + 1} + 1)::INTEGER), '{{n}}', page_id::VARCHAR) AS u FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(u, 'zenodo\.org/(records?|api/records)/\d+') THEN 'zenodo' WHEN regexp_matches(u, 'archive\.org/(details|download)/[^/?#]+') THEN 'internet_archive' WHEN regexp_matches(u, 'github\.com/[^/]+/[^/]+/blob/') THEN 'github_blob' END AS kind FROM u""")
 def repository_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("page_id").cast("string")
-    k = F.col("page_id") % 4
-    url = F.when(k == 0, F.concat(F.lit("https://zenodo.org/records/"), n)).when(k == 1, F.concat(F.lit("https://archive.org/details/x"), n)).when(k == 2, F.concat(F.lit("https://github.com/a/b/blob/main/"), n)).otherwise(F.col("url"))
+    url = F.replace(F.get(F.array(*map(F.lit, _HOSTS), F.col("url")), (F.col("page_id") % (len(_HOSTS) + 1)).cast("int")), F.lit("{n}"), F.col("page_id").cast("string"))
     return table(spark, sf_dir, "pages").select("page_id", web.repository_kind(url).alias("kind"))
 
 
-@R.query(r"""SELECT page_id, 'n' || page_id || '_' || CASE WHEN page_id % 2 = 0 THEN 'é' ELSE '_' END || '_x.pdf' AS name FROM pages""")
+_SAFE = r"regexp_replace(regexp_replace(regexp_replace(raw, '^.*[/\\]', ''), '[^\p{L}\p{N}_.\- ]+', '_', 'g'), '\s+', '_', 'g')"
+
+
+@R.query(rf"""WITH r AS (SELECT page_id, '/a b/' || page_id || '\' || substr({sql_strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, 1, 300) || repeat('x', (page_id % 4 * 40)::INTEGER) || CASE WHEN page_id % 5 > 0 THEN '.pdf' ELSE '' END AS raw FROM pages),
+b AS (SELECT page_id, CASE WHEN trim({_SAFE}, '._') = '' THEN 'file' ELSE trim({_SAFE}, '._') END AS base FROM r)
+SELECT page_id, CASE WHEN len(base) <= 120 THEN base ELSE left(base, 120 - len(regexp_extract(base, '(\.[^.]{{1,12}})$', 1))) || regexp_extract(base, '(\.[^.]{{1,12}})$', 1) END AS name FROM b""")
 def safe_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("/a/b\\n"), F.col("page_id").cast("string"), F.lit(" "), F.when(F.col("page_id") % 2 == 0, "é").otherwise("?!"), F.lit(" x.pdf"))
+    """Titles of pages as file names."""
+    raw = F.concat(F.lit("/a b/"), F.col("page_id").cast("string"), F.lit("\\"), html_title(F.col("html")), F.repeat(F.lit("x"), (F.col("page_id") % 4 * 40).cast("int")), F.when(F.col("page_id") % 5 > 0, ".pdf").otherwise(""))
     return table(spark, sf_dir, "pages").select("page_id", safe_name(raw).alias("name"))
 
 
-@R.query("""SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<meta\\b[^>]*?\\b(?:name|property)=["'']([^"'']+)["''][^>]*?\\bcontent=["'']([^"'']+)["'']')) > 0 AS BOOLEAN) AS has_meta FROM pages""")
+_META = "(?is)<meta\\b[^>]*?\\b(?:name|property)=[\"'']([^\"'']+)[\"''][^>]*?\\bcontent=[\"'']([^\"'']*)[\"'']"
+_SHOWN = "html || '<meta name=\"Page\" content=\"a &amp; ' || page_id || '\"><meta property=\"og:x\" content=\"one\"><META NAME=\"page\" content=\"b' || page_id || '\"><meta name=\"none\" content=\"\">'"
+
+
+@R.query(rf"""WITH p AS (SELECT page_id, {_SHOWN} AS h FROM pages),
+m AS (SELECT page_id, unnest(range(0, len(regexp_extract_all(h, '{_META}')))) AS n, lower(unnest(regexp_extract_all(h, '{_META}', 1))) AS key, substr({sql_unescape(f"unnest(regexp_extract_all(h, '{_META}', 2))")}, 1, 500) AS value FROM p)
+SELECT page_id, key, value FROM (SELECT *, row_number() OVER (PARTITION BY page_id, key ORDER BY n DESC) AS k FROM m WHERE value <> '') WHERE k = 1""")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", (F.size(html_meta(F.col("html"))) > 0).alias("has_meta"))
+    """What pages' meta elements say, the last of a name, with a few more of them put in."""
+    i = F.col("page_id").cast("string")
+    more = F.concat(F.lit('<meta name="Page" content="a &amp; '), i, F.lit('"><meta property="og:x" content="one"><META NAME="page" content="b'), i, F.lit('"><meta name="none" content="">'))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(html_meta(F.concat("html", more))).alias("key", "value"))
 
 
 @R.query("""WITH f AS (SELECT page_id % 9 AS record_id, url, CASE WHEN page_id % 5 > 0 THEN page_id * 7919 % 1000 END AS size, row_number() OVER (PARTITION BY page_id % 9 ORDER BY page_id) - 1 AS n FROM pages)

@@ -38,9 +38,9 @@ def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(r"""
 SELECT doc_id, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'empty'
 WHEN len(regexp_replace(s, '[^\p{L}]', '', 'g')) / greatest(len(s), 1) < 0.4 OR NOT regexp_matches(s, '[ \n]') OR len(regexp_extract_all(s, '[A-Za-z]{3,}')) <= 20 THEN 'low' ELSE 'ok' END AS quality
-FROM (SELECT doc_id, text, substr(coalesce(text, ''), 1, 20000) AS s FROM documents)""")
+FROM (SELECT doc_id, text, coalesce(text, '') AS s FROM documents)""")
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", t.text_quality(F.col("text")).alias("quality"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.text_quality(F.col("text"), sample=None).alias("quality"))
 
 
 @R.query(rf"""SELECT source, {sql_fold('name')} AS folded, name, CASE WHEN f = '' THEN 'language' ELSE f END AS id
