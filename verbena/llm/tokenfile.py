@@ -93,8 +93,9 @@ def _encoded(docs: DataFrame, path: str, key: str, text: str, end_id: int | None
         if keys:
             yield closed()
 
-    # rows with equal keys and equal texts are alike, so any order among them gives the same files
-    placed = bodies.repartitionByRange(parts, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64(body), body)
+    # rows with equal keys and equal texts are alike, so any order among them gives the same files; a key that many rows have is cut by hash
+    order = [F.col(key).asc_nulls_first(), F.col(free_name(bodies, "mark"))]
+    placed = bodies.withColumn(free_name(bodies, "mark"), F.xxhash64(body)).repartitionByRange(parts, *order).sortWithinPartitions(*order, body)
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("block", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("ids", T.BinaryType())])
     return written(placed.mapInArrow(run, schema), "ids", "zstd")
 
