@@ -188,3 +188,22 @@ def test_token_file_round_trip(spark):
     assert blocks.count() > 4
     empty, none = tokenfile.write_token_blocks(d.limit(0), PATH)
     assert tokenfile.read_token_blocks(empty, none).count() == 0
+
+
+def test_null_keys_repeated_rows_and_clashing_columns(spark):
+    r = random.Random(4)
+    text = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(80))
+    rows = [(None, text, "x", 1, 2), (None, text, "x", 1, 2), (None, None, "y", 1, 2), (1, text, "x", 1, 2), (1, text + " end", "x", 1, 2), (2, "", "x", 1, 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, body string, part int, mark int").withColumn("n_words", F.lit(5)).withColumn("kept", F.lit("no"))
+    counts = [(r.doc_id, r.n_bytes) for r in token_counts(d, PATH).collect()]
+    assert sorted(counts, key=str) == sorted([(k, len((t or "").encode())) for k, t, *_ in rows], key=str)
+    measured = quality.quality_measures(d).collect()
+    assert sorted(((r.doc_id, r.n_words) for r in measured), key=str) == sorted([(k, len((t or "").split())) for k, t, *_ in rows], key=str)
+    assert quality.keep_good(d).columns == d.columns and quality.keep_good(d).count() == sum(r.kept for r in measured) == 4
+    blocks, order = tokenfile.write_token_blocks(d, PATH, parts=3)
+    got = sorted(tokenfile.read_token_blocks(blocks, order).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, None, 1, 1, 2] and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    assert got[-1].n_tokens == 1 and sorted(r.n_tokens for r in got[:3])[0] == 1
+    many = spark.createDataFrame([(None, f"{text} {i}") for i in range(60)], "doc_id long, text string")
+    blocks, _ = tokenfile.write_token_blocks(many, PATH, parts=6)
+    assert blocks.select("part").distinct().count() > 3  # one key is no single part
