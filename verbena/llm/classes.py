@@ -37,7 +37,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None
     e = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     rows = e.count()
     state, done = None, 0
-    while done != rounds:
+    while rows and done != rounds:
         after = written(_small(_large(e, rows), rows), "links")
         release(e)
         e = after

@@ -353,6 +353,30 @@ def _link_counts(labels: DataFrame, sets: DataFrame, params: JoinParams) -> Data
     return counted.groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
+def _star_labels(star: DataFrame) -> DataFrame:
+    """node, label: of each node linked to a centre, the centre that its own centre is linked to, else its centre. Nodes of one label are of one
+    class, but a class may have several. star: a (the centre), b, each b once."""
+    up = star.select(F.col("b").alias("a"), F.col("a").alias("upper"))
+    met = dealt_join(star, up, "a", star.count(), "left")
+    label = F.when(F.col("upper").isNull(), F.col("a")).when(F.col("upper") == F.col("b"), F.least("a", "b")).otherwise(F.col("upper"))
+    return met.select(F.col("b").alias("node"), label.alias("label"))
+
+
+def _joined_labels(star: DataFrame, last: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label of each node with a link: labels that a link joins become one. Only these, few as they are, go through components()."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    edges = None
+    for links in (star, last):
+        rows = links.count()
+        met = dealt_join(dealt_join(links, of("a"), "a", rows, "left"), of("b"), "b", rows, "left")
+        met = met.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b")
+        edges = met if edges is None else edges.union(met)
+    joined = written(components(edges).select(F.col("node").alias("label"), F.col("label").alias("whole")), "joined")
+    every = star.union(last).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = written(every.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "every")
+    return dealt_join(every, joined, "label", every.count(), "left").select("node", F.coalesce("whole", "label").alias("label"))
+
+
 def _classed(docs: DataFrame, key: str, text: str, params: JoinParams, exact_links: bool) -> tuple[DataFrame, DataFrame]:
     """The rows (r1, r2, key, n_grams, hi, lo) and what is known of each gram set: hi, lo, n (its rows), n_links, least (the row of its
     class with the least key, nulls last, then the least r1, r2)."""
@@ -375,9 +399,9 @@ def _classed(docs: DataFrame, key: str, text: str, params: JoinParams, exact_lin
     centres = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("centre"), F.col("c.weight").alias("weight"))
     near = dealt_join(members.select("bucket", "id"), centres, "bucket", in_all, counts=company).where("id != centre").groupBy("id", "centre").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
     best = near.groupBy("id").agg(F.max_by("centre", F.struct("n", "weight", "centre")).alias("centre"))
-    pairs = written(best.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct(), "pairs")
-    links = written(_verified(_likely(pairs, nodes, params), sets, params), "links")
-    labels = written(components(links, rounds=2), "labels")
+    pairs = written(best.select(F.col("centre").alias("a"), F.col("id").alias("b")), "pairs")
+    star = written(_verified(_likely(pairs, nodes, params), sets, params), "links")
+    labels = written(_star_labels(star), "labels")
 
     # what the star left apart
     placed = members.join(labels, members["id"] == labels["node"], "left").select("bucket", "id", "n_grams", F.coalesce("label", "id").alias("label"))
@@ -386,8 +410,10 @@ def _classed(docs: DataFrame, key: str, text: str, params: JoinParams, exact_lin
     open_ = written(dealt_join(placed, several, "bucket", in_all, counts=company), "open")
     nodes_left, grams = _peeled(open_, sets, params)
     pairs = written(_prefix_pairs(written(_prefixes(nodes_left, grams, labels), "prefixes"), params), "pairs")
-    links = written(_verified(_likely(pairs, nodes, params), sets, params).union(links).distinct(), "links")
-    labels = written(components(links).join(nodes.select(F.col("id").alias("node"), "n_grams"), "node"), "labels")
+    last = written(_verified(_likely(pairs, nodes, params), sets, params), "links")
+    links = written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(last).distinct(), "links")
+    labels = _joined_labels(star, last, labels)
+    labels = written(labels.join(nodes.select(F.col("id").alias("node"), "n_grams"), "node"), "labels")
     if exact_links:
         degree = _link_counts(labels, sets, params)
     else:
