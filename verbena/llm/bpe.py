@@ -19,7 +19,7 @@ import numpy as np
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 SAFE = r"\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u0530\u1E00-\u1FFF\u2010-\u205F\u20A0-\u20BF\u3040-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3\U0001F300-\U0001F5FF"
 #: Pre-tokens remembered by a worker at most, and the longest one that is.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 
 @functools.cache

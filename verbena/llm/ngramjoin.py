@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, key: str, text: str, params: JoinParams) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         constants = _constants(params.size)
         salt = mix(np.arange(1, params.bands + 1, dtype=np.uint64))
-        for b in batches:
+        for b in _small(batches):
             sizes, halves, least = [], [], np.zeros((b.num_rows, params.size), np.uint32)
             for i, x in enumerate(b.column(3)):
                 grams = gram_set(x.as_py(), params.words)
@@ -188,7 +188,7 @@ def _gram_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, params:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the join leaves rows alike next to each other
-        for b in batches:
+        for b in _small(batches):
             ids, sets = [], []
             for i, hi, lo, x in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3), strict=True):
                 if i != last:
@@ -275,7 +275,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
     t = params.threshold - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches):
             good = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -290,6 +290,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
 
 #: Nodes of two blocks that a matrix product compares at once.
 _TILE = 256
+#: Rows that a worker turns into an output batch, so that what it holds does not depend on Spark's batches.
+_ROWS = 1024
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, _ROWS):
+            yield b.slice(at, _ROWS)
 
 
 def _links_in_block(a: list[np.ndarray], b: list[np.ndarray], t: float, columns: int = 4096) -> np.ndarray:
