@@ -181,3 +181,14 @@ def test_command_line(spark, sample, capsys):
     assert cli.main(["--root", root, "status"]) == 0 and "resources\t4" in capsys.readouterr().out
     assert cli.main(["--root", root, "nonsense"]) == 20
     assert cli.main(["--root", root, "import", "X", f"{sample}/missing"]) == 40
+
+
+def test_command_line_for_settings(tmp_path, capsys):
+    run = lambda *a: cli.main(["--root", f"{tmp_path}/r", *a])
+    assert run("registry", "engine", "list") == 10
+    assert run("registry", "engine", "add", "name=own", "kind=json", "url=http://x?q={q}") == 0 and run("registry", "engine", "add", "name=bad", "kind=soap") == 40
+    assert run("registry", "engine", "list") == 0 and "own\tkind=json" in capsys.readouterr().out
+    assert run("registry", "tool", "add", "name=echo", "command=cat") == 0 and run("registry", "tool", "add", "name=x") == 40
+    assert run("agent", "echo") == 0 and run("agent", "other") == 40 and run("agent") == 0
+    assert "*\techo\tinstalled" in capsys.readouterr().out
+    assert run("registry", "engine", "remove", "name=own") == 0 and run("registry", "engine", "remove", "name=own") == 10

@@ -6,10 +6,12 @@ Exit codes: 0 done, 10 nothing found, 20 bad use, 40 a failure, 70 interrupted.
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame
 
+from verbena import agents, config
 from verbena.service import Collection
 from verbena.session import session
 
@@ -30,6 +32,12 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("review")
     r.add_argument("--item")
     r.add_argument("--decision", choices=["accepted", "rejected", "skipped"])
+    g = sub.add_parser("agent", help="agents and which of them are installed, or the one to use")
+    g.add_argument("name", nargs="?")
+    e = sub.add_parser("registry", help="a user's catalogues, engines and tools")
+    e.add_argument("kind", choices=["catalogue", "engine", "tool"])
+    e.add_argument("action", choices=["list", "add", "remove"])
+    e.add_argument("pairs", nargs="*", metavar="key=value")
     v = sub.add_parser("set")
     for a in ("language", "group", "field", "json"):
         v.add_argument(a)
@@ -43,13 +51,43 @@ def _show(rows: DataFrame, *columns: str) -> int:
     return 0 if got else 10
 
 
+def _settings(a: argparse.Namespace) -> int | None:
+    """Commands on settings files below the root, which need no Spark; None for any other command."""
+    path = os.path.join(a.root, "config.toml")
+    if a.command == "agent":
+        tools = {e["name"]: e for e in config.entries_of(path, "tool")}
+        if a.name:
+            agents.choose(path, a.name, tools)
+            return 0
+        chosen = config.load(path)["agent"].get("provider", agents.RuleAgent.name)
+        for name, there, what in [(agents.RuleAgent.name, True, "rules only"), *agents.installed(tools)]:
+            print("\t".join(("*" if name == chosen else "", name, "installed" if there else "not installed", what)))
+        return 0
+    if a.command != "registry":
+        return None
+    entry = dict(p.partition("=")[::2] for p in a.pairs)
+    if a.action == "list":
+        held = config.entries_of(path, a.kind)
+        for e in held:
+            print("\t".join([e["name"], *(f"{k}={v}" for k, v in e.items() if k != "name")]))
+        return 0 if held else 10
+    os.makedirs(a.root, exist_ok=True)
+    if a.action == "remove":
+        return 0 if config.remove_entry(path, a.kind, entry.get("name", "")) else 10
+    config.add_entry(path, a.kind, entry)
+    return 0
+
+
 def main(args: list[str] | None = None) -> int:
     try:
         a = parser().parse_args(args)
     except SystemExit as e:
         return 0 if e.code == 0 else 20
     try:
-        c = Collection(session("verbena", a.master), a.root)
+        if (done := _settings(a)) is not None:
+            return done
+        s = config.load(os.path.join(a.root, "config.toml"))
+        c = Collection(session("verbena", a.master), a.root, s["relevance"]["review_at"], s["relevance"]["confirmed_at"], s["dedup"]["threshold"], s["archives"]["ingest_members"])
         if a.command in ("import", "scan"):
             language = c.open_language(a.language, a.iso)
             out = c.import_folder(a.folder, language) if a.command == "import" else c.scan_folder(a.folder, language)

@@ -37,7 +37,10 @@ def load(path: str | None = None) -> dict:
 
 
 def problems(entry: dict, kind: str) -> list[str]:
-    """What is wrong with an entry of a registry; nothing if it can be used."""
+    """What is wrong with an entry of a registry; nothing if it can be used. Tools need a name and a command alone."""
+    if kind == "tool":
+        good = re.fullmatch(r"[a-z0-9_-]+", str(entry.get("name", ""))) and entry.get("command")
+        return [] if good else ["a name of small letters, digits, _ and - and a command are required"]
     out = [] if re.fullmatch(r"[a-z0-9_-]+", str(entry.get("name", ""))) else ["a name of small letters, digits, _ and - is required"]
     mode = entry.get("mode" if kind == "catalogue" else "kind", "lookup" if kind == "catalogue" else "html")
     if mode not in KINDS[kind]:
