@@ -15,8 +15,10 @@ from .mixing import mix_report
 from .ngramjoin import near_classes
 from .pii import KINDS, find_personal, span_text
 from .quality import quality_measures
+from .sessions import session_versions
 from .tokencount import token_counts
 from .tokenfile import read_token_blocks, write_token_blocks
+from .yinyang import cluster_inertia, yinyang
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(both).alias("spans"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    first = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
+    found, centroids = yinyang(vectors, "vec_id", "embedding", dim=64, scale=64, k=16, rounds=3, first=first)
+    return cluster_inertia(found, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("turn IS NOT NULL").select("conv_id", "turn")
+    crc = lambda c: F.crc32(c.cast("binary"))
+    hashed = turns.select("conv_id", "turn", crc(F.col("conv_id").cast("string")).alias("c"), crc(F.concat_ws(":", "conv_id", "turn")).alias("h"))
+    timed = hashed.selectExpr("2 * floor(conv_id / 8) + c % 2 AS user", "(c div 2) % 7200 + 300 * turn + h % 600 AS second", "h div 600 AS g", "h AS value")
+    events = timed.selectExpr("user", "second", "value", "floor(second / 900) + if(g % 5 = 0, g % 4, 0) AS batch")
+    return session_versions(events, gap=600)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
@@ -91,8 +109,39 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_file": op9_token_file,
     "op10_pii": op10_pii,
+    "op11_clusters": op11_clusters,
+    "op12_sessions": op12_sessions,
 }
 
+#: CRC-32 of a string of digits and colons in DuckDB's SQL.
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT), lambda a, x: list_reduce(range(0, 8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, x)), 4294967295::BIGINT))"""
+
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds of op11_clusters one after another."""
+    nearest = """a{0} AS MATERIALIZED (SELECT r, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT k.r, k.v, m.c, list_sum(list_transform(list_zip(k.v, m.m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept k, m{0} m) GROUP BY r, v),
+"""
+    means = """m{1} AS MATERIALIZED (SELECT m.c, coalesce(n.m, m.m) AS m FROM m{0} m LEFT JOIN (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+    SELECT c, unnest(v) AS x, unnest(range(0, 64)) AS i FROM a{0}) GROUP BY c, i) GROUP BY c) n USING (c)),
+"""
+    return (
+        f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {k})),
+"""
+        + "".join(nearest.format(i) + means.format(i, i + 1) for i in range(rounds))
+        + nearest.format(rounds)
+        + f"""own AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY c)
+SELECT kept.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, own.cluster_inertia, CAST((SELECT sum(d) FROM a{rounds}) AS BIGINT) AS inertia,
+       sha256(array_to_string(m.m, ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} a USING (r) JOIN own ON own.c = a.c JOIN m{rounds} m ON m.c = a.c"""
+    )
+
+
 #: DuckDB SQL for the queries that SQL can express over whole tables.
 ORACLE: dict[str, str] = {
     "op6_leaks": r"""
@@ -124,6 +173,20 @@ ns AS (SELECT doc_id, count(*) AS n FROM solid GROUP BY doc_id),
 ng AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(ns.n, 0) AS n_lines, coalesce(ng.n, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.body, '') END AS text
 FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN ns ON ns.doc_id = d.doc_id LEFT JOIN ng ON ng.doc_id = d.doc_id""",
+    "op12_sessions": f"""
+WITH turns AS (SELECT conv_id, turn, {_CRC.format("CAST(conv_id AS VARCHAR)")} AS c, {_CRC.format("conv_id || ':' || turn")} AS h FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
+timed AS (SELECT 2 * CAST(floor(conv_id / 8) AS BIGINT) + c % 2 AS u, (c // 2) % 7200 + 300 * turn + h % 600 AS s, h // 600 AS g, h FROM turns),
+ev AS (SELECT row_number() OVER () AS id, u, s, h, CAST(floor(s / 900) AS BIGINT) + CASE WHEN g % 5 = 0 THEN g % 4 ELSE 0 END AS b FROM timed),
+upto AS (SELECT x.u, x.b, e.s, e.h, e.id, e.b = x.b AS fresh FROM (SELECT DISTINCT u, b FROM ev) x JOIN ev e ON e.u = x.u AND e.b <= x.b),
+cut AS (SELECT *, coalesce(s - lag(s) OVER (PARTITION BY u, b ORDER BY s, id) > 600, true) AS opens FROM upto),
+islands AS (SELECT *, sum(opens::INT) OVER (PARTITION BY u, b ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS k FROM cut),
+v AS (SELECT u, b, min(s) AS s, max(s) AS e, count(*) AS n, sum(fresh::INT) AS fresh, sum(h) AS h FROM islands GROUP BY u, b, k HAVING bool_or(fresh)),
+after AS (SELECT v.u, v.b, v.s, min(w.b) AS rb, arg_min(w.s, w.b) AS rs FROM v JOIN v w ON w.u = v.u AND w.b > v.b AND w.s <= v.s AND v.e <= w.e GROUP BY v.u, v.b, v.s),
+gone AS (SELECT u, rb, rs, count(*) AS n FROM after GROUP BY u, rb, rs)
+SELECT v.u AS user, v.b AS batch, v.s AS start_s, v.e AS end_s, v.n AS n_events, CAST(v.fresh AS BIGINT) AS n_new, coalesce(gone.n, 0) AS n_retracted,
+       CAST(v.h AS BIGINT) AS h_sum, after.rb AS retracted_batch, after.rs AS retracted_start_s
+FROM v LEFT JOIN after USING (u, b, s) LEFT JOIN gone ON gone.u = v.u AND gone.rb = v.b AND gone.rs = v.s""",
+    "op11_clusters": _clusters_sql(),
     "op5_licenses": """
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 phrases AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) t(p, label)),
