@@ -11,6 +11,7 @@ from .langid import predict_languages, train_languages
 from .leaks import find_leaks
 from .licenses import TEMPLATES, _template_words, block_size, scan_licenses
 from .linededup import dedup_lines
+from .maintext import main_texts
 from .mixing import mix_report
 from .ngramjoin import near_classes
 from .pii import KINDS, find_personal, span_text
@@ -98,6 +99,11 @@ def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_versions(events, gap=600)
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_texts(pages, out="text").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
@@ -111,6 +117,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_clusters": op11_clusters,
     "op12_sessions": op12_sessions,
+    "op13_main_text": op13_main_text,
 }
 
 #: CRC-32 of a string of digits and colons in DuckDB's SQL.
