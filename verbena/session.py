@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -75,7 +76,7 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     files.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(place)
     out._verbena_place = place
-    for s in _scratches:
+    for s in _open():
         s.frames.append(out)
     return out
 
@@ -86,11 +87,21 @@ def _hadoop(spark: SparkSession, place: str):  # noqa: ANN202
     return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-_scratches: list[Scratch] = []
+_threads = threading.local()
+
+
+def _open() -> list[Scratch]:
+    """The scratches that this thread is in."""
+    if not hasattr(_threads, "scratches"):
+        _threads.scratches = []
+    return _threads.scratches
 
 
 class Scratch:
-    """Removes, at its end, what written() has made inside it, but for what keep() is given: no lazy result may still need the rest."""
+    """Removes, at its end, what its thread has made by written() inside it, but for what keep() is given: no lazy result may still need the rest.
+
+    What other threads write meanwhile is theirs.
+    """
 
     def __init__(self) -> None:
         self.frames: list[DataFrame] = []
@@ -101,11 +112,11 @@ class Scratch:
         return df
 
     def __enter__(self) -> Scratch:
-        _scratches.append(self)
+        _open().append(self)
         return self
 
     def __exit__(self, *error: object) -> None:
-        _scratches.remove(self)
+        _open().remove(self)
         release(*(f for f in self.frames if not any(f is k for k in self.kept)))
 
 
