@@ -1,11 +1,14 @@
 """Personal data against Python's patterns, the trees on invented sentences, and odd rows."""
 
+import math
 import random
 import re
 
+import numpy as np
+import regex
 from pyspark.sql import functions as F
 
-from verbena.llm.pii import KINDS, find_personal, span_text, trained
+from verbena.llm.pii import EVERY_KIND, GENERATORS, HINTS, KINDS, _example, find_personal, span_text, trained
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -92,3 +95,82 @@ def test_repeated_rows_and_null_keys_and_ties(spark):
     spans = {str(x.doc_id): ([(s.start, s.end) for s in x.base], [(s.start, s.end) for s in x.added]) for x in got}
     assert len(got) == 4 and spans["1"] == spans["None"] and len(spans["2"][1]) == 2 * len(spans["1"][1]) == 4
     assert all(a[1] <= b[0] for _, added in spans.values() for a, b in zip(added, added[1:], strict=False))
+
+
+def test_whole_secrets_whatever_their_length(spark):
+    """A value is one span, whole: long ones, with odd characters inside, in quotes, of several parts; an address with a long local part."""
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(r.choice(letters) for _ in range(n))
+    values = [key(n) for n in (64, 65, 257, 300, 5000)] + [key(60) + x + key(60) for x in "!%~#$&*"] + [f"eyJ{key(40)}.{key(300)}.{key(43)}"]
+    rows = [(lead + v + tail, len(lead), v) for v in values for lead, tail in (('api_key = "', '" x'), ("token: ", " and more"), ("password='", "'"))]
+    rows += [(f"bearer eyJ{v} end", 7, f"eyJ{v}") for v in values[:5]]
+    rows += [(f"get https://omar:{values[0]}@localhost/x", 12, f"omar:{values[0]}"), (f"mail {key(90)}.x (at) example (dot) org", 5, None)]
+    d = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    for x in find_personal(d).collect():
+        text, at, value = rows[x.doc_id]
+        want = [("secret", at, at + len(value))] if value else [("email", at, len(text))]
+        assert [(s.kind, s.start, s.end) for s in x.added] == want, text[:100]
+
+
+def test_forms_that_no_example_has(spark):
+    rows = [
+        ("the host fe80::1ff:fe23:4567:890a is up", "ip"), ("host fe80:0:0:0:1:2:3:4", "ip"), ("mail jean at shop dot fr please", "email"), ("my number is 030/1234567", "phone"),
+        ("look at this dot com", None), ("meet at ten:30:45:12", None), ("call std::abc there", None), ("we ran from 10:20:30 to 11:20:30", None),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    assert {x.doc_id: [s.kind for s in x.added] for x in find_personal(d).collect()} == {i: [k] if k else [] for i, (_, k) in enumerate(rows)}
+
+
+def plain_added(text, detector, base):
+    """Candidates, trees, curve, threshold and union, by Python's loops."""
+    chosen = []
+    for kind, need, pattern in GENERATORS:
+        if not regex.search(need, text):
+            continue
+        for m in regex.finditer(pattern, text):
+            x = plain_features(EVERY_KIND.index(kind), m[0], text[: m.start()], text[m.end() :])
+            a, b = detector.curves[EVERY_KIND.index(kind)]
+            chance = 1 / (1 + math.exp(-(a * float(detector.model.margin(np.array([x]))[0]) + b)))
+            clash = [s for s in base if s[0] < m.end() and m.start() < s[1]]
+            held = kind == "secret" and all(m.start() <= s[0] and s[1] <= m.end() and m.end() - m.start() > s[1] - s[0] for s in clash)
+            if chance >= detector.limits[EVERY_KIND.index(kind)] and (not clash or held):
+                chosen.append((m.start(), m.end(), -chance, EVERY_KIND.index(kind)))
+    out = []
+    for c in sorted(chosen):
+        if out and c[0] < out[-1][1]:
+            last = out[-1]
+            out[-1] = (last[0], max(last[1], c[1]), min(last[2], c[2]), c[3] if c[2] < last[2] else last[3])
+        else:
+            out.append(c)
+    return [(EVERY_KIND[k], a, b) for a, b, _, k in out]
+
+
+def plain_features(kind, m, before, after):
+    before, after = before[-40:], after[:40]
+    digits = re.sub("[^0-9]", "", m)
+    count = lambda unlike: float(len(re.sub(unlike, "", m)))
+    flag = lambda x: 1.0 if x else 0.0
+    has = lambda p, s=m: flag(regex.search(p, s))
+    iban = re.sub("[^0-9A-Z]", "", m)
+    passes = kind == EVERY_KIND.index("iban") and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4]) or 0) % 97 == 1
+    return [
+        float(kind), float(len(digits)), float(len(m)), count(r"[^ ()./-]"), float(len(re.split("[^0-9]+", m))), flag(13 <= len(digits) <= 19 and luhn(digits)), flag(m.startswith("(")),
+        count("[^:]"), has(r"(?i)[(\[{] ?at"), has(r"(?i)[(\[{] ?dot|[\[(]\."), has(r"^(?:19|20)[0-9]{2}\b"), has(r"(?:^|\.)0*(?:25[6-9]|2[6-9][0-9]|[3-9][0-9]{2})(?:\.|$)"),
+        *(has(h, before) for h in HINTS.values()), has(r"[A-Za-z0-9]$", before), has(r"^[A-Za-z0-9%]", after), has(r" @|@ "), flag(passes), count("[^A-Z]"), count("[^a-z]"),
+        float(len(set(m))), has(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), has(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-"), has(r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk[-_]|pk_live|AIza|eyJ|-----BEGIN)"),
+        has(r"[:=] ?[\"']?$", before), has("://$", before), has(r"^(?:000|666|9[0-9]{2})-|-00-|-0000$"), flag("::" in m), has(r"(?i)(?:passw(?:or)?d|pwd|secret)[\"']?\s*[:=]\s*[\"']?$", before),
+        has("[G-Zg-z]"), count("[^ ]"), has(r"^[^ ]+ at "), has(r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|it|nl|uk|ch|at|eu)$"), count(r"[A-Za-z0-9 +/_=.-]"),
+    ]
+
+
+def test_added_spans_equal_a_plain_version(spark):
+    r = random.Random(8)
+    made = [_example(r)[0] for _ in range(700)]
+    rows = [" ".join(r.sample(made, r.randrange(1, 4))) for _ in range(700)] + [x or "" for x in texts()[:300]]
+    detector = trained(spark)
+    got = find_personal(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert len(got) == 1000
+    for x in got:
+        base = [(s.start, s.end) for s in x.base]
+        assert [(s.kind, s.start, s.end) for s in x.added] == plain_added(rows[x.doc_id], detector, base), rows[x.doc_id][:300]

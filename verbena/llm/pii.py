@@ -3,8 +3,9 @@
 Base spans come from four patterns and their checks. Generators of high recall propose more spans, overlapping each other and the
 base ones: obscured addresses, numbers written without a country code, with dots, or failing a check, account and identity numbers,
 keys, tokens and passwords. Boosted trees score each by its format and by the words around it; a logistic curve for each kind turns the
-score into a probability, and those above their kind's threshold are added where they overlap no base span. Local parts of addresses
-are sought up to 64 characters, labels of hosts up to 63, four of them; runs that may be secrets from 16 to 256 characters.
+score into a probability, and those above their kind's threshold count. Of these, those that overlap become one span from the least start to the greatest
+end, so that no part of a value stays; it is added where it overlaps no base span, and a secret also where it holds base spans whole.
+No candidate has an upper length: a value ends where its run, its quotes or its line end.
 
 No table labels personal data, so the trees are fitted on invented sentences (EXAMPLES of them, drawn with a fixed seed), whose
 features the same expressions work out that score the corpus: half of them fit the trees, half the curves and thresholds. Half of all are
@@ -35,19 +36,25 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Candidates: kind, what a text must have to be searched, pattern.
+_NAMED = r"(?i)(?<=(?:password|passwd|pwd|secret|token|key)[\"']{0,1}\s{0,2}[:=]\s{0,2}"
+#: Candidates: kind, what a text must have to be searched, pattern. Each ends where its value ends, never at a length: a run of
+#: unbounded length starts where its first character does, so that patterns stay linear.
 GENERATORS = (
-    ("email", r"@|[(\[{] ?at ?[)\]}]", r"[A-Za-z0-9._%+-]{1,64}+ ?(?:@|[(\[{] ?at ?[)\]}]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?[A-Za-z0-9-]{2,63}+){1,4}+"),
+    ("email", r"@|[(\[{] ?at ?[)\]}]", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[(\[{] ?at ?[)\]}]) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?[A-Za-z0-9-]{2,}+)++"),
+    ("email", r" at [^ ]+ dot ", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]{2,}+)++"),
     ("ip", r"[0-9]", r"(?<![0-9A-Za-z])[0-9]{1,3}+(?:[\[(]?\.[\])]?[0-9]{1,3}+){3}+(?![0-9A-Za-z])"),
-    ("ip", r":", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){3,7}+:?[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])"),
+    ("ip", r":", r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}+:){3,7}+[0-9A-Fa-f]{1,4}+|(?=[0-9A-Fa-f:]{0,38}::)[0-9A-Fa-f]{0,4}+(?:::?[0-9A-Fa-f]{1,4}+){1,7}+)(?![0-9A-Za-z:])"),
     ("card", r"[0-9]", r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){12,18}+(?![0-9])"),
     ("phone", r"[0-9]", r"(?<![0-9A-Za-z.,+-])\(?[0-9][0-9 ()./-]{5,20}[0-9](?![0-9A-Za-z])"),
     ("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("id", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    ("secret", r"[A-Za-z0-9+/_-]{16}", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,256}+={0,2}(?![A-Za-z0-9+/_-])"),
-    ("secret", r"(?i)(?:passw|pwd|secret|token|key)[a-z]{0,4}[\"']? ?[:=]", r"(?i)(?<=(?:password|passwd|pwd|secret|token|key)[\"']{0,1}\s{0,2}[:=]\s{0,2}[\"']{0,1})[^\s\"',;:=]{6,64}"),
-    ("secret", r"://[^/\s]*@", r"(?<=://)[^\s/@:]{1,64}+:[^\s/@]{1,64}+(?=@)"),
-    ("secret", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
+    ("secret", r"[A-Za-z0-9+/_-]{16}", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"),
+    ("secret", r"eyJ", r"(?<![A-Za-z0-9+/_=-])eyJ[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]++)++"),
+    ("secret", r"(?i)(?:passw|pwd|secret|token|key)[a-z]{0,4}[\"']? ?[:=]", _NAMED + r")[^\s\"',;]{5,}[^\s\"',;.)\]}>]"),
+    ("secret", r"(?i)(?:passw|pwd|secret|token|key)[a-z]{0,4}[\"']? ?[:=]\s{0,2}\"", _NAMED + r"\")[^\"\n]{6,}+(?=\")"),
+    ("secret", r"(?i)(?:passw|pwd|secret|token|key)[a-z]{0,4}[\"']? ?[:=]\s{0,2}'", _NAMED + r"')[^'\n]{6,}+(?=')"),
+    ("secret", r"://[^/\s]*@", r"(?<=://)[^\s/@:]++:[^\s/@]++(?=@)"),
+    ("secret", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-----BEGIN (?:[A-Z0-9]+ )*+PRIVATE KEY-----(?:[^-]++|-(?!----))*+-----END (?:[A-Z0-9]+ )*+PRIVATE KEY-----"),
 )
 EXAMPLES = 8000
 PRECISION = 0.97
@@ -147,7 +154,7 @@ HINTS = {
     "email": r"(?i)(?:e-?mail|mail|contact|kontakt|correo|courriel|write|address)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
     "ip": r"(?i)(?:\bip|host|server|address|login|from|ping|gateway)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
     "card": r"(?i)(?:card|visa|mastercard|amex|credit|karte|carte|tarjeta)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
-    "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|telefon|t[eé]l[eé]fono?|whatsapp|sms)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
+    "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|telefon|(?:my|his|her|our|their) number|reach (?:me|us)|ring|t[eé]l[eé]fono?|whatsapp|sms)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
     "iban": r"(?i)(?:iban|account|konto|cuenta|compte|bank|transfer|wire)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
     "id": r"(?i)(?:ssn|social|security|identity|passport|national|tax|insurance)[^A-Za-z0-9]*(?:[a-z]+[^A-Za-z0-9]*)?$",
     "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|key|auth|bearer|credentials?)[^A-Za-z0-9]*(?:is[^A-Za-z0-9]*)?$",
@@ -201,6 +208,13 @@ def features(c: Column) -> list[Column]:
         flag(before.rlike(r"[:=] ?[\"']?$")),
         flag(before.rlike("://$")),
         flag(m.rlike(r"^(?:000|666|9[0-9]{2})-|-00-|-0000$")),
+        flag(F.contains(m, F.lit("::"))),
+        flag(before.rlike(r"(?i)(?:passw(?:or)?d|pwd|secret)[\"']?\s*[:=]\s*[\"']?$")),
+        flag(m.rlike("[G-Zg-z]")),
+        count("[^ ]"),
+        flag(m.rlike(r"^[^ ]+ at ")),
+        flag(m.rlike(r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|it|nl|uk|ch|at|eu)$")),
+        count(r"[A-Za-z0-9 +/_=.-]"),
     ]
 
 
@@ -217,22 +231,29 @@ def _example(r: random.Random) -> tuple[str, int, str]:
     tld = r.choice("com org net de fr es edu".split())
     kind, good = r.choice(EVERY_KIND), r.random() < 0.5
     hint = {
-        "email": "email mail contact write to", "ip": "ip host server address", "card": "card visa credit card", "phone": "phone tel call mobile fax",
+        "email": "email mail contact write to", "ip": "ip host server address", "card": "card visa credit card", "phone": "phone,tel,call,mobile,fax,my number,reach me at,ring",
         "iban": "iban account konto bank transfer", "id": "ssn social security identity passport", "secret": "token secret password pwd api_key auth bearer",
     }[kind]
-    hint = r.choice(hint.split()) + r.choice([": ", " ", " is ", " number "])
+    hint = r.choice(hint.split("," if "," in hint else None)) + r.choice([": ", " ", " is ", " number "])
     other = r.choice("order invoice isbn version page total id serial ref section model ticket".split()) + r.choice([" ", ": ", " number ", " no. "])
     plain = word() + " "
     if kind == "email":
         thing = f"{name()}{r.choice([' (at) ', '(at)', ' [at] ', '[at]', '{at}'])}{host()}{r.choice(['.', ' (dot) ', '[dot]', ' [dot] '])}{tld}" if good else f"{word()}{r.choice([' @ ', '@ ', ' @'])}{word()}{r.choice(['. ', '.'])}{word()}"
         lead = r.choice([hint, plain]) if good else plain
+        if r.random() < 0.25:
+            lead = hint if good else plain
+            thing = f"{name()} at {host()} dot {tld}" if good else f"{r.choice([word(), 'look', 'arrive'])} at {r.choice([word(), 'this'])} dot {r.choice([word(), 'com', 'net'])}"
     elif kind == "ip":
         octets = lambda most: [str(r.randrange(r.choice([10, 100, most]))) for _ in range(4)]
         if good:
-            thing = r.choice(["[.]".join(octets(256)), "(.)".join(octets(256)), ":".join(f"{r.randrange(65536):x}" for _ in range(8))])
+            groups = [f"{r.randrange(r.choice([2, 16, 65536])):x}" for _ in range(8)]
+            groups[0] = r.choice(["fe80", "2001", "fd00", groups[0]])
+            at = r.randrange(1, 6)
+            thing = r.choice(["[.]".join(octets(256)), "(.)".join(octets(256)), ":".join(groups), ":".join(groups[:at]) + "::" + ":".join(groups[at + 1 + r.randrange(0, 6 - at) :])])
             lead = r.choice([hint, plain])
         else:
-            thing = r.choice([".".join([str(r.randrange(256, 999)), *octets(256)[1:]]), ":".join(f"{r.randrange(10, 60)}" for _ in range(4))])
+            code = f"{r.choice(['std', 'map', 'fade', 'abc', 'face'])}::{r.choice(['add', 'abc', 'be', 'dead'])}"
+            thing = r.choice([".".join([str(r.randrange(256, 999)), *octets(256)[1:]]), ":".join(f"{r.randrange(10, 60)}" for _ in range(r.randrange(4, 6))), code])
             lead = r.choice([other, plain])
     elif kind == "card":
         d = digits(r.choice([13, 15, 16, 16, 16]))
@@ -243,7 +264,7 @@ def _example(r: random.Random) -> tuple[str, int, str]:
     elif kind == "phone":
         a, b, c = digits(3), digits(3), digits(4)
         if good:
-            thing, lead = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a}/{b}{c}", f"{a}.{b}.{c}", f"0{a[:2]} {b[:2]} {c[:2]} {c[2:]} {b[1:]}"]), hint
+            thing, lead = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a}/{b}{c}", f"0{a[:2]}/{b}{c}", f"{a}.{b}.{c}", f"0{a[:2]} {b[:2]} {c[:2]} {c[2:]} {b[1:]}"]), hint
         else:
             thing = r.choice([f"20{a[:2]}-0{b[0]}-{c[:2]} {c[2:]}", f"{a} {b} {c}", f"{a}.{b}{c}", digits(r.randrange(7, 13)), f"{a}-{c}-{b}", f"19{a[:2]}-20{b[:2]}", f"978-{a}-{c}-{b[0]}"])
             lead = r.choice([other, plain, plain])
@@ -262,19 +283,31 @@ def _example(r: random.Random) -> tuple[str, int, str]:
         lead = hint if good else r.choice([other, other, "part ", "code "])
     else:
         opened = r.choice([' = "', "=", ": ", ' "', " ", " = ", ":'"])
-        key = r.choice([some(_HEX, r.choice([32, 40, 64])), some(_LOW + _UP + "0123456789", r.randrange(18, 50)), "AKIA" + some(_UP + "0123456789", 16), "ghp_" + some(_LOW + _UP + "0123456789", 36), "sk-" + some(_LOW + _UP + "0123456789", 40)])
+        key = r.choice([some(_HEX, r.choice([32, 40, 64])), some(_LOW + _UP + "0123456789", r.randrange(18, 50)), "AKIA" + some(_UP + "0123456789", 16), "ghp_" + some(_LOW + _UP + "0123456789", 36), "sk-" + some(_LOW + _UP + "0123456789", 40), some(_BASE64 if r.random() < 0.5 else _LOW + _UP + "0123456789", r.choice([70, 120, 300, 600])) + r.choice(["", "=", "=="])])
         if good:
             url = r.random() < 0.1
             famous = key.startswith(("AKIA", "ghp_", "sk-"))
-            thing = f"{name()}:{some(_LOW + '0123456789', 9)}" if url else r.choice([key, key, some(_LOW + "0123456789!#", r.randrange(8, 14))])
+            thing = f"{name()}:{some(_LOW + '0123456789', 9)}" if url else r.choice([key, key, some(_LOW + "0123456789!#", r.randrange(8, 14)), some(_LOW + _UP + "0123456789!#$%&()*+-./<>?@[]^_{|}~", r.choice([9, 20, 60, 130, 300]))])
             lead = "https://" if url else r.choice("token secret password pwd api_key access_key auth_token".split()) + (opened if thing == key else r.choice([": ", "=", ' = "']))
-            if famous and thing == key and r.random() < 0.3:
+            if famous and thing == key and r.random() < 0.6:
                 lead = plain
+            if r.random() < 0.1 and not url:
+                part = lambda n: some(_LOW + _UP + "0123456789_-", n)
+                thing, lead = f"eyJ{part(r.choice([20, 100, 400]))}.{part(r.choice([30, 200, 600]))}.{part(43)}", r.choice(["bearer ", "token: ", plain])
+            elif r.random() < 0.1 and not url:
+                thing, lead = "eyJ" + some(_LOW + _UP + "0123456789_-", r.choice([40, 150, 500])), "bearer "
+            elif r.random() < 0.1 and not url:
+                quote = r.choice(["'", '"'])
+                thing = " ".join(some(_LOW, r.randrange(4, 9)) for _ in range(r.randrange(3, 6)))
+                lead = r.choice(["password", "passwd", "pwd", "secret"]) + r.choice([" = ", ": ", "="]) + quote
+                return " ".join(word() for _ in range(5)) + " " + lead + thing + quote + " " + word(), 1, kind
             if url:
                 thing, tail = thing, "@host.example/path"
                 return " ".join(word() for _ in range(5)) + " " + lead + thing + tail, 1, kind
         else:
-            thing = r.choice([some(_HEX, r.choice([32, 40, 64])), "-".join(some(_HEX, n) for n in (8, 4, 4, 4, 12)), some(_BASE64, 40) + " " + some(_BASE64, 40), f"{word()}-{word()}-{digits(4)}-{word()}-{word()}", f"{word()}/{word()}/{digits(4)}/{digits(2)}/{word()}", f"{word()}_{word()}_{word()}_{digits(3)}"])
+            thing = r.choice([some(_HEX, r.choice([32, 40, 64])), "-".join(some(_HEX, n) for n in (8, 4, 4, 4, 12)), some(_BASE64, 40) + " " + some(_BASE64, 40), some(_BASE64, r.choice([80, 200, 500])), f"{word()}-{word()}-{digits(4)}-{word()}-{word()}", f"{word()}/{word()}/{digits(4)}/{digits(2)}/{word()}", f"{word()}_{word()}_{word()}_{digits(3)}"])
+            if r.random() < 0.15:
+                return " ".join(word() for _ in range(5)) + r.choice([" key: ", " the key = ", " token: "]) + '"' + " ".join(word() for _ in range(r.randrange(4, 12))) + '" ' + word(), 0, kind
             lead = r.choice([r.choice("commit sha256 md5 hash checksum uuid etag data".split()) + opened, plain, other])
     text = " ".join(word() for _ in range(r.randrange(3, 9))) + " " + lead + thing + r.choice([" ", ". ", ", ", '" ']) + " ".join(word() for _ in range(r.randrange(3, 9)))
     return text, int(good), kind
@@ -323,26 +356,41 @@ _detectors: dict[str, Detector] = {}
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, base and added for each row of docs: arrays of kind, start, end (code points, end exclusive) and match; added has a score.
 
-    Null counts as empty: no spans. Rows are judged each alone, whatever their key; of candidates that start at one place the most likely stays,
-    of equally likely ones the shorter. Other columns are left out.
+    Null counts as empty: no spans. Rows are judged each alone, whatever their key, so repeated ones are alike; an empty table stays empty; texts may be of
+    any length. Likely candidates that overlap are one span, with the kind and score of the likeliest (of equally likely ones the first). Other columns are left
+    out, whatever their names.
     """
     app = docs.sparkSession.sparkContext.applicationId
     detector = _detectors[app] = _detectors.get(app) or trained(docs.sparkSession)
     limit = F.create_map(*(F.lit(v) for i, x in enumerate(detector.limits) for v in (i, x)))
     names = F.array(*map(F.lit, EVERY_KIND))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.select("k", base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("c"))
-    apart = F.filter("c", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    scored = F.transform(apart, lambda c: F.struct(c["start"].alias("start"), (-detector.chance(c)).alias("minus"), c["end"].alias("end"), c["kind"].alias("kind"), c["match"].alias("match")))
-    rows = rows.select("k", "base", F.when(F.size("c") > 0, scored).alias("scored"))
+    rows = rows.select("k", "t", base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("c"))
+    secret = EVERY_KIND.index("secret")
+    meets = lambda c, b: (c["start"] < b["end"]) & (b["start"] < c["end"])
+    holds = lambda c, b: (c["kind"] == secret) & (c["start"] <= b["start"]) & (b["end"] <= c["end"]) & (c["end"] - c["start"] > b["end"] - b["start"])
+    apart = F.filter("c", lambda c: ~F.exists("base", lambda b: meets(c, b) & ~holds(c, b)))
+    scored = F.transform(apart, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), (-detector.chance(c)).alias("minus"), c["kind"].alias("kind")))
+    rows = rows.select("k", "t", "base", F.when(F.size("c") > 0, scored).alias("scored"))
     chosen = F.array_sort(F.filter("scored", lambda c: -c["minus"] >= limit[c["kind"]]))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,minus:double,end:bigint,kind:int,match:string>>").alias("out"))
-    # by start, then score: what begins before the last chosen one ends is left out
-    single = F.aggregate(chosen, start, lambda s, c: F.when(c["start"] >= s["at"], F.struct(c["end"].alias("at"), F.array_append(s["out"], c).alias("out"))).otherwise(s))["out"]
+    shape = "struct<start:bigint,end:bigint,minus:double,kind:int>"
+    none = F.lit(None).cast(shape)
+    start = F.struct(none.alias("last"), F.array().cast(f"array<{shape}>").alias("out"))
+
+    def union(s: Column, c: Column) -> Column:
+        last = s["last"]
+        likelier = c["minus"] < last["minus"]
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], c["end"]).alias("end"), F.least(last["minus"], c["minus"]).alias("minus"), F.when(likelier, c["kind"]).otherwise(last["kind"]).alias("kind"))
+        begun = F.struct(c.alias("last"), F.when(last.isNull(), s["out"]).otherwise(F.array_append(s["out"], last)).alias("out"))
+        return F.when(c["start"] < last["end"], F.struct(wider.alias("last"), s["out"].alias("out"))).otherwise(begun)
+
+    joined = F.aggregate(chosen, start, union, lambda s: F.when(s["last"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["last"])))
     kind = lambda c: F.get(names, c["kind"]).alias("kind")
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string,score:double>>")
-    added = F.transform(single, lambda c: F.struct(kind(c), c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), (-c["minus"]).alias("score")))
-    return rows.select(F.col("k").alias(key), F.transform("base", lambda c: F.struct(kind(c), c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"))).alias("base"), F.coalesce(added, none).alias("added"))
+    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string,score:double>>")
+    match = lambda c: F.substring(F.col("t"), (c["start"] + 1).cast("int"), (c["end"] - c["start"]).cast("int"))
+    added = F.transform(joined, lambda c: F.struct(kind(c), c["start"].alias("start"), c["end"].alias("end"), match(c).alias("match"), (-c["minus"]).alias("score")))
+    base = F.transform("base", lambda c: F.struct(kind(c), c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match")))
+    return rows.select(F.col("k").alias(key), base.alias("base"), F.coalesce(added, empty).alias("added"))
 
 
 def span_text(spans: Column) -> Column:
