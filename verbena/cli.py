@@ -12,6 +12,7 @@ import sys
 from pyspark.sql import DataFrame
 
 from verbena import agents, config
+from verbena.operators import search
 from verbena.service import Collection
 from verbena.session import session
 
@@ -26,6 +27,10 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("language")
         c.add_argument("folder")
         c.add_argument("--iso")
+    for name, what in (("search", "search engines in rounds, take in what is found"), ("enrich", "read about a language and propose facts")):
+        c = sub.add_parser(name, help=what)
+        c.add_argument("language")
+        c.add_argument("--iso")
     sub.add_parser("history")
     sub.add_parser("languages")
     sub.add_parser("status")
@@ -92,6 +97,19 @@ def main(args: list[str] | None = None) -> int:
             language = c.open_language(a.language, a.iso)
             out = c.import_folder(a.folder, language) if a.command == "import" else c.scan_folder(a.folder, language)
             return _show(out.orderBy("path"), "status", "score", "path")
+        if a.command in ("search", "enrich"):
+            usable, _ = config.registry("engine", config.entries_of(os.path.join(a.root, "config.toml"), "engine"))
+            entries = [e for e in usable.values() if config.usable(e, s["agent"]["search_keys"]) is None]
+            if not entries:
+                print("no usable search engine: registry engine add name=... kind=... url=...", file=sys.stderr)
+                return 20
+            language = c.open_language(a.language, a.iso)
+            ask = search.engines(entries, a.language, a.iso)
+            if a.command == "enrich":
+                print(n := c.enrich(language, ask))
+                return 0 if n else 10
+            limits = search.SearchLimits(*(s["agent"][k] for k in ("max_rounds", "max_queries", "hits_per_query", "max_pages", "max_depth", "per_host", "max_files")), review_at=c.review_at, confirmed_at=c.confirmed_at)
+            return _show(c.search(language, ask, limits=limits).orderBy("path"), "status", "score", "path")
         if a.command == "history":
             return _show(c.sessions(), "session_id", "language_id", "mode", "discovered", "downloaded", "duplicates", "failed", "pending_review")
         if a.command == "languages":

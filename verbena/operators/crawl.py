@@ -6,23 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbena.functions import web
+from verbena.functions.text import fold
 from verbena.operators.discover import relevant_links
 from verbena.session import written
 
 
-def crawl(seeds: DataFrame, fetch, names: list[str], depth: int = 2, per_host: int = 6, most_pages: int = 40) -> DataFrame:
+def crawl(seeds: DataFrame, fetch, names: list[str], depth: int = 2, per_host: int = 6, most_pages: int = 40, before: DataFrame | None = None) -> DataFrame:
     """url, key, depth, host, page columns of what is visited from seeds (url).
 
     fetch takes a DataFrame (url, key, depth, host) and returns it with title, text and links (array of url, anchor): a table of pages in
-    tests, a source over HTTP elsewhere. Each depth is one round; a page is visited once, a host at most per_host times.
+    tests, a source over HTTP elsewhere. Each depth is one round; a page is visited once, a host at most per_host times. before: pages (key, host)
+    of earlier crawls, which are not visited again and count for their hosts.
     """
     frontier = seeds.select("url").withColumn("depth", F.lit(1))
     visited: DataFrame | None = None
     for level in range(1, depth + 1):
         new = frontier.where(F.col("url").rlike("^https?://") & ~web.skip_host(F.col("url"))).withColumn("key", web.normalise_url(F.col("url"))).withColumn("host", web.host(F.col("url")))
         new = new.groupBy("key").agg(F.min("url").alias("url"), F.min("host").alias("host"), F.lit(level).alias("depth"))
-        if visited is not None:
-            new = new.join(visited.select("key"), "key", "left_anti").join(visited.groupBy("host").agg(F.count("*").alias("been")), "host", "left")
+        seen = [v.select("key", "host") for v in (before, visited) if v is not None]
+        if seen:
+            been = seen[0] if len(seen) == 1 else seen[0].union(seen[1])
+            new = new.join(been.select("key"), "key", "left_anti").join(been.groupBy("host").agg(F.count("*").alias("been")), "host", "left")
         else:
             new = new.withColumn("been", F.lit(0))
         rank = F.row_number().over(Window.partitionBy("host").orderBy("key"))
@@ -46,10 +50,8 @@ def found_files(visited: DataFrame) -> DataFrame:
 
 
 def learned_queries(facts: DataFrame, asked: DataFrame, name: str, most: int = 16) -> DataFrame:
-    """query, basis for names learned (field, value), without queries asked already (query)."""
-    from verbena.functions.text import fold
-
+    """query, basis for names learned (field, value), without queries asked already (query); of several spellings of a query the least."""
     forms = F.when(F.col("field") == "varieties", F.array(F.lit('"{x}" dictionary'), F.lit('"{x}" language documentation'), F.lit(f'"{{x}}" "{name}" corpus'))).when(F.col("field").isin("alternate_names", "exonyms"), F.array(F.lit('"{x}" language'))).when(F.col("field") == "places", F.array(F.lit(f'"{name}" "{{x}}"')))
     q = facts.select("value", F.explode(forms).alias("form")).select(F.replace("form", F.lit("{x}"), F.col("value")).alias("query"), F.lit("learned").alias("basis"))
     known = asked.select(fold(F.col("query")).alias("key")).distinct()
-    return q.withColumn("key", fold(F.col("query"))).join(known, "key", "left_anti").dropDuplicates(["key"]).orderBy("key").limit(most).select("query", "basis")
+    return q.withColumn("key", fold(F.col("query"))).join(known, "key", "left_anti").groupBy("key").agg(F.min("query").alias("query"), F.min("basis").alias("basis")).orderBy("key").limit(most).select("query", "basis")

@@ -18,7 +18,7 @@ CONTEXT_KEYS = ("query", "found_on", "page_title", "agent", "snippet")
 
 
 #: The ways in which a candidate may be found.
-METHODS = ("offline", "import", "catalogue", "agent")
+METHODS = ("offline", "import", "catalogue", "agent")  # members of archives have the method of their archive
 
 
 def checked(candidates: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verbena.operators.profile import value_key
+
 
 def latest(facts: DataFrame, *key: str, order: str = "seq") -> DataFrame:
     """The last row of each key."""
@@ -80,6 +82,31 @@ def review_items(items: DataFrame, decisions: DataFrame) -> DataFrame:
     return items.join(last, "item_id", "left").withColumn("status", F.coalesce("decision", F.lit("pending"))).drop("decision")
 
 
+def decided_values(values: DataFrame, decisions: DataFrame) -> DataFrame:
+    """values (language_id, grp, field, value_json, status, seq and more) with the status that decisions give them.
+
+    decisions: language_id, grp, field, value_json, decision, seq. The last accepted or rejected among those made after a value was
+    written counts for it; skipped changes nothing, and a value written later stands on its own. A value that is rejected is no longer preferred.
+    seq tells value rows apart.
+    """
+    slot = ["language_id", "grp", "field"]
+    d = decisions.where(F.col("decision").isin("accepted", "rejected")).select(*slot, value_key(F.col("value_json")).alias("key"), "decision", F.col("seq").alias("at"))
+    met = values.select(*slot, value_key(F.col("value_json")).alias("key"), "seq").join(d, [*slot, "key"]).where("at > seq")
+    last = met.groupBy("seq").agg(F.max_by("decision", "at").alias("decided"))
+    out = values.join(last, "seq", "left").withColumn("status", F.coalesce("decided", "status"))
+    if "preferred" in values.columns:
+        out = out.withColumn("preferred", F.col("preferred") & ~F.col("decided").eqNullSafe(F.lit("rejected")))
+    return out.select(*values.columns)
+
+
+def decided_resources(resources: DataFrame, decisions: DataFrame, confirmed_at: int = 70) -> DataFrame:
+    """resources (sha256, language_id, score and more) with status: confirmed or uncertain by their score, or what the last decision
+    (sha256, language_id, decision, seq) but skipped says: confirmed or rejected."""
+    last = decisions.where(F.col("decision").isin("accepted", "rejected")).groupBy("sha256", "language_id").agg(F.max_by("decision", "seq").alias("decided"))
+    status = F.when(F.col("decided") == "accepted", "confirmed").when(F.col("decided") == "rejected", "rejected").when(F.col("score") < confirmed_at, "uncertain").otherwise("confirmed")
+    return resources.join(last, ["sha256", "language_id"], "left").withColumn("status", status).drop("decided")
+
+
 def review_summary(items: DataFrame, languages_: DataFrame) -> DataFrame:
     """language_id, name, resources, facts, total of what is pending."""
     g = items.where("status = 'pending'").groupBy("language_id").agg(F.count_if(F.col("kind") == "resource").alias("resources"), F.count_if(F.col("kind") != "resource").alias("facts"), F.count("*").alias("total"))

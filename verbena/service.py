@@ -13,10 +13,11 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbena.functions import web
 from verbena.functions.text import fold_string
-from verbena.operators import extract, ingest, neardup, profile, registry, state
-from verbena.session import ship
-from verbena.sources import files
+from verbena.operators import discover, extract, ingest, neardup, profile, registry, search, state
+from verbena.session import ship, written
+from verbena.sources import files, http
 
 #: The tables and their columns; every one also has seq, which grows with each write and differs within it.
 TABLES = {
@@ -29,6 +30,7 @@ TABLES = {
     "item": "item_id string, language_id string, session_id string, kind string, payload string, confidence double",
     "decision": "item_id string, decision string, decided_by string",
     "sketch": "sha256 string, language_id string, sketch array<string>",
+    "taught": "session_id string, language_id string, value string, signal string, source_ref string",
     "session": "session_id string, language_id string, mode string, status string, started_at timestamp",
     "event": "session_id string, level string, message string, at timestamp",
 }
@@ -93,8 +95,8 @@ class Collection:
         self.append("value", self.spark.createDataFrame([row], TABLES["value"]))
 
     def values(self) -> DataFrame:
-        """Value rows, equal ones merged; of several that users preferred, the last is."""
-        merged = profile.merge_values(self.table("value"))
+        """Value rows as reviewers decided on them, equal ones merged; of several that users preferred, the last is."""
+        merged = profile.merge_values(state.decided_values(self.table("value"), self._field_decisions()))
         last = merged.where("preferred").groupBy("language_id", "grp", "field").agg(F.max("seq").alias("last"))
         return merged.join(last, ["language_id", "grp", "field"], "left").withColumn("preferred", F.coalesce(F.col("seq") == F.col("last"), F.lit(False))).drop("last", "key")
 
@@ -177,14 +179,15 @@ class Collection:
         self.finish(session)
         return self.table("outcome").where(F.col("session_id") == session)
 
-    def _taken(self, candidates: DataFrame, language: str, session: str) -> DataFrame:
+    def _taken(self, candidates: DataFrame, language: str, session: str, terms: DataFrame | None = None) -> DataFrame:
+        """Candidates to rows of all tables; terms: those of the language, if a search has learned more than its profile has."""
         c = candidates.withColumns({"session_id": F.lit(session), "language_id": F.lit(language), "candidate_id": F.concat(F.lit(session + ":"), "path")})
         for k in ("url", "original_path"):
             if k not in c.columns:
                 c = c.withColumn(k, F.lit(None).cast("string"))
         c = c.withColumn("seq", F.xxhash64("path"))
         before = self.table("outcome").where(F.col("session_id") == session).select("candidate_id")
-        out = ingest.outcomes(c, self._languages(), self._terms(), self.resources().select("sha256"), ingest.Limits(self.review_at, self.confirmed_at))
+        out = ingest.outcomes(ingest.checked(c), self._languages(), self._terms() if terms is None else terms, self.resources().select("sha256"), ingest.Limits(self.review_at, self.confirmed_at))
         self.append("outcome", out)
         mine = self.table("outcome").where(F.col("session_id") == session).join(before, "candidate_id", "left_anti")
         self.append("find", ingest.provenance(mine, c))
@@ -240,6 +243,74 @@ class Collection:
         c = found.join(hits.select(F.col("file_id").alias("path"), "detection_confidence", "matched_terms"), "path")
         return self.take_in(c.select("path", "content", F.lit("offline").alias("method"), F.col("detection_confidence").alias("discovery_confidence"), "matched_terms"), language, "offline")
 
+    # ------------------------------------------------------------ searching
+    def search(self, language: str, ask: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame] | None = None, download: Callable[[DataFrame], DataFrame] = http.fetch, limits: search.SearchLimits | None = None, queries: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+        """A session: queries asked and learned in rounds, files and pages about the language taken in, facts proposed for review. Its outcomes.
+
+        ask, fetch: see search.search_rounds(), search.engines() and search.pages_of(). download takes url and returns http.SCHEMA.
+        """
+        limits = limits or search.SearchLimits(review_at=self.review_at, confirmed_at=self.confirmed_at)
+        session = self.open_session(language, "agent")
+        try:
+            found = self._searched(language, ask, fetch, limits, queries, index)
+            n = self._propose(found, language, session)
+            self.append("taught", found.learned.select(F.lit(session).alias("session_id"), F.lit(language).alias("language_id"), "value", "signal", F.col("key").alias("source_ref")))
+            files_ = found.files(self._one(language), limits).where("action = 'download'")
+            bodies = download(files_.select("url")).where("error IS NULL")
+            scores = found.last_scores()
+            loaded = files_.join(bodies, "url").select(web.response_filename(F.col("url"), F.col("disposition")).alias("name"), "url", F.col("body").alias("content"), (F.col("score") / 100.0).alias("discovery_confidence"), F.lit(None).cast("string").alias("title"))
+            sure = found.pages.join(scores.where(F.col("score") >= limits.confirmed_at), "key")
+            kept = sure.select(F.concat(F.substring(F.sha2("key", 256), 1, 16), F.lit(".txt")).alias("name"), "url", F.encode(F.concat_ws("\n", "title", "text"), "UTF-8").alias("content"), (F.col("score") / 100.0).alias("discovery_confidence"), "title")
+            candidates = loaded.unionByName(kept).select(F.concat(F.substring(F.sha2("url", 256), 1, 16), F.lit("/"), "name").alias("path"), "content", "url", "title", "discovery_confidence", F.lit("agent").alias("method"))
+            self._taken(written(candidates, "search-candidates"), language, session, found.terms)
+            self.append("near", self._near(language, session))
+            self.event(session, f"search complete: {found.queries.count()} queries, {found.pages.count()} pages, {found.learned.count()} names, {n} proposals")
+        except KeyboardInterrupt:
+            self.finish(session, "interrupted")
+            raise
+        except Exception as e:
+            self.event(session, f"{type(e).__name__}: {str(e)[:300]}", "error")
+            self.finish(session, "failed")
+            raise
+        self.finish(session)
+        return self.table("outcome").where(F.col("session_id") == session)
+
+    def enrich(self, language: str, ask: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame] | None = None, index: DataFrame | None = None) -> int:
+        """A short pass that only learns: what pages say of the language is proposed for review, nothing is stored. How many proposals there are."""
+        session = self.open_session(language, "agent")
+        queries = self._queries(language).where(F.col("basis").isin("name", "code"))
+        n = self._propose(self._searched(language, ask, fetch, search.ENRICH, queries, index), language, session)
+        self.event(session, f"profile enrichment complete: {n} proposals")
+        self.finish(session)
+        return n
+
+    def _one(self, language: str) -> DataFrame:
+        return self._languages().where(F.col("language_id") == language)
+
+    def _queries(self, language: str) -> DataFrame:
+        """query, basis, rank for a language by what its profile says."""
+        one = self._one(language)
+        kinds = {"alternate_name": "alternate_name", "exonym": "exonym", "variety": "variety", "geographic": "place", "community": "community", "known_publication": "publication", "known_translation": "translation"}
+        kind = F.create_map(*(F.lit(x) for k, v in kinds.items() for x in (k, v)))
+        told = self._terms().join(one.select("language_id", "name"), "language_id").select("language_id", "name", kind[F.col("signal")].alias("kind"), "term", "seq").where("kind IS NOT NULL")
+        own = one.select("language_id", "name", F.explode(F.array(F.struct(F.lit("name").alias("kind"), F.col("name").alias("term")), F.struct(F.lit("code").alias("kind"), F.col("iso").alias("term")))).alias("t"))
+        own = own.where("t.term IS NOT NULL").select("language_id", "name", "t.kind", "t.term", F.lit(0).alias("seq"))
+        return discover.search_queries(own.unionByName(told)).select("query", "basis", "rank")
+
+    def _searched(self, language: str, ask, fetch, limits: search.SearchLimits, queries: DataFrame | None, index: DataFrame | None) -> search.Found:  # noqa: ANN001
+        q = self._queries(language) if queries is None else queries
+        return search.search_rounds(q, ask, fetch or search.pages_of(), self._one(language), self._terms().where(F.col("language_id") == language), index=index, limits=limits)
+
+    def _propose(self, found: search.Found, language: str, session: str) -> int:
+        """Facts that are new become proposed values, each with an item for review."""
+        new = written(search.proposals(found.facts, self.values(), language), "proposals")
+        at = F.lit(datetime.now(UTC).isoformat(timespec="seconds"))
+        self.append("value", new.select("language_id", "grp", "field", "value_json", F.lit("agent").alias("source_type"), "confidence", at.alias("recorded_at"), F.lit(False).alias("preferred"), F.lit("proposed").alias("status")))
+        payload = F.to_json(F.struct("grp", "field", "value_json", "quote", F.lit("agent").alias("source_type"), "source_ref"))
+        name = F.concat(F.lit(f"{session}:"), F.sha2(F.concat_ws("\n", "grp", "field", "value_json"), 256))
+        self.append("item", new.select(name.alias("item_id"), "language_id", F.lit(session).alias("session_id"), F.lit("profile_field").alias("kind"), payload.alias("payload"), "confidence"))
+        return new.count()
+
     # ------------------------------------------------------------ asking
     def resources(self) -> DataFrame:
         return state.new_resources(ingest.resources(self.table("outcome")), self.spark.createDataFrame([], "sha256 string"))
@@ -262,10 +333,20 @@ class Collection:
         return state.review_items(self.table("item"), self.table("decision"))
 
     def decide(self, item: str, decision: str, by: str = "user") -> None:
+        """Decide on an item: accepted or rejected, its value or its resource changes with it; skipped, nothing does. The last decision counts."""
         if decision not in ("accepted", "rejected", "skipped"):
             raise ValueError(f"unknown decision {decision}")
         self.append("decision", self.spark.createDataFrame([(item, decision, by)], TABLES["decision"]))
 
+    def _decisions(self, kind: str, *parts: str) -> DataFrame:
+        """language_id, parts of the payload, decision, seq of all decisions on items of a kind."""
+        items = self.table("item").where(F.col("kind") == kind).groupBy("item_id").agg(F.min_by("language_id", "seq").alias("language_id"), F.min_by("payload", "seq").alias("payload"))
+        part = [F.get_json_object("payload", f"$.{p}").alias(p) for p in parts]
+        return self.table("decision").join(items, "item_id").select("language_id", *part, "decision", "seq")
+
+    def _field_decisions(self) -> DataFrame:
+        return self._decisions("profile_field", "grp", "field", "value_json")
+
     def review_summary(self) -> DataFrame:
         return state.review_summary(self.reviews(), self.languages())
 
@@ -275,9 +356,11 @@ class Collection:
         return {"languages": row.languages, "resources": row.resources, "bytes": int(row.bytes), "pending": row.pending_resources + row.pending_facts}
 
     def listing(self, language: str) -> DataFrame:
-        """A language's resources with types, the largest score first."""
+        """A language's resources with their status, the largest score first; those that a reviewer rejected are left out."""
         best = self.table("outcome").where((F.col("language_id") == language) & F.col("status").isin("stored", "uncertain_review", "duplicate_linked")).groupBy("sha256").agg(F.max("score").alias("score"))
-        return self.resources().select("sha256", "name", "size", "format", "category").join(best, "sha256").orderBy(F.desc("score"), "sha256")
+        held = self.resources().select("sha256", "name", "size", "format", "category").join(best, "sha256").withColumn("language_id", F.lit(language))
+        decided = state.decided_resources(held, self._decisions("resource", "sha256"), self.confirmed_at)
+        return decided.where("status <> 'rejected'").drop("language_id").orderBy(F.desc("score"), "sha256")
 
     def review_sources(self) -> DataFrame:
         """What lies behind the items that a person has to decide."""
