@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbena.functions import web
 from verbena.functions.text import fold, html_links, html_title, page_text
-from verbena.operators import discover, search, state
+from verbena.operators import discover, neardup, search, state
+from verbena.operators.sketchindex import SketchIndex
 from verbena.plans.base import Register, sql_fold, table
 from verbena.plans.catalogue_queries import _TITLE, _WHOLE
+from verbena.plans.core_queries import _SKETCH
 from verbena.plans.operator_queries import _sql_addresses
+from verbena.session import shared_folder
 
 R = Register()
 
@@ -122,8 +127,8 @@ _DECISION = "CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN '
 
 
 @R.query(f"""WITH v AS (SELECT doc_id AS seq, 'L' || doc_id % 7 AS language_id, 'quality' AS field, CAST(doc_id // 7 % 11 AS VARCHAR) AS val, CASE WHEN quality = 1 THEN 'accepted' ELSE 'proposed' END AS status FROM labels),
-d AS (SELECT 'L' || user_id % 7 AS language_id, CAST(event_id % 11 AS VARCHAR) AS val, {_DECISION} AS decision, event_id // 9 AS at, event_id FROM events WHERE event_type IN ('purchase', 'error', 'view')),
-m AS (SELECT v.seq, arg_max(decision, (at, event_id)) AS decided FROM v JOIN d USING (language_id, val) WHERE at > v.seq AND decision <> 'skipped' GROUP BY v.seq)
+d AS (SELECT 'L' || user_id % 7 AS language_id, CAST(event_id % 11 AS VARCHAR) AS val, {_DECISION} AS decision, event_id // 9 AS told, event_id FROM events WHERE event_type IN ('purchase', 'error', 'view')),
+m AS (SELECT v.seq, arg_max(decision, (told, event_id)) AS decided FROM v JOIN d USING (language_id, val) WHERE told > v.seq AND decision <> 'skipped' GROUP BY v.seq)
 SELECT v.seq AS doc_id, language_id, val, coalesce(decided, status) AS status FROM v LEFT JOIN m USING (seq)""")
 def decided_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values with the decisions of reviewers on them: accepted, rejected, skipped, and changes of mind."""
@@ -145,3 +150,17 @@ def decided_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("event_type") == "purchase", "accepted").when(F.col("event_type") == "error", "rejected").otherwise("skipped")
     d = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("sha256"), F.lit("tho").alias("language_id"), said.alias("decision"), F.col("event_id").alias("seq"))
     return state.decided_resources(held, d).select("doc_id", "status")
+
+
+@R.query(rf"""WITH {_SKETCH},
+node AS (SELECT s, sha256(array_to_string(s, ',')) AS node, bool_and(doc_id % 5 = 0) AS fresh FROM (SELECT doc_id, s FROM sig) GROUP BY s),
+p AS (SELECT node, s, fresh, unnest(s[1:20]) AS h FROM node),
+pairs AS (SELECT DISTINCT a.node AS a, b.node AS b FROM p a JOIN p b ON a.h = b.h AND a.node < b.node AND (a.fresh OR b.fresh)),
+m AS (SELECT a, b, x.s AS sa, y.s AS sb, list_sort(list_distinct(list_concat(x.s, y.s)))[1:128] AS u FROM pairs JOIN node x ON x.node = a JOIN node y ON y.node = b)
+SELECT a, b, shared, size FROM (SELECT a, b, CAST(len(list_intersect(list_intersect(u, sa), sb)) AS BIGINT) AS shared, CAST(len(u) AS BIGINT) AS size FROM m) WHERE shared * 100 >= size * 85""")
+def second_intake_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kept index takes in four fifths of the documents, then the rest: near pairs of the second intake, by sketch."""
+    index = SketchIndex(spark, f"{shared_folder(spark)}/verbena-index-{uuid.uuid4().hex}")
+    sketches = neardup.signatures(table(spark, sf_dir, "documents"), "doc_id")
+    index.add(sketches.where("id % 5 <> 0"))
+    return index.add(sketches.where("id % 5 = 0")).select("a", "b", "shared", "size")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from verbena.functions import web
 from verbena.functions.text import fold_string
 from verbena.operators import discover, extract, ingest, neardup, profile, registry, search, state
+from verbena.operators.sketchindex import SketchIndex
 from verbena.session import ship, written
 from verbena.sources import files, http
 
@@ -37,6 +38,8 @@ TABLES = {
 SEQ = "decimal(38,0)"
 #: An archive in an archive in an archive is opened, one within that is not.
 ARCHIVE_DEPTH = 3
+#: Intakes that an index of sketches holds apart before they become one.
+MOST_PARTS = 32
 MODES = ("offline", "import", "catalogue", "agent", "import-member")
 
 
@@ -168,7 +171,7 @@ class Collection:
             mine = self._taken(candidates, language, session)
             if self.open_archives:
                 self._members_taken(candidates, mine, language, session)
-            self.append("near", self._near(language, session))
+            self._near(language, session)
         except KeyboardInterrupt:
             self.finish(session, "interrupted")
             raise
@@ -216,17 +219,19 @@ class Collection:
                 return
             mine = self._taken(held.withColumn("original_path", F.col("path")), language, session)
 
-    def _near(self, language: str, session: str) -> DataFrame:
-        """Pairs of the language's texts of which one at least is new: the new sketches against all, never the old against each other."""
-        held = self.table("sketch").where(F.col("language_id") == language).select(F.col("sha256").alias("id"), "sketch").dropDuplicates(["id"])
-        new = self.table("outcome").where((F.col("session_id") == session) & F.col("status").isin("stored", "uncertain_review")).select(F.col("sha256").alias("id")).distinct()
-        sketches = neardup.sketch_classes(held)
-        equal = sketches.where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-        equal = equal.join(new.select(F.col("id").alias("a"), F.lit(True).alias("na")), "a", "left").join(new.select(F.col("id").alias("b"), F.lit(True).alias("nb")), "b", "left").where("na OR nb").select("a", "b", "similarity")
-        one = sketches.join(new.withColumn("new", F.lit(True)), "id", "left").groupBy("class").agg(F.first("sketch").alias("sketch"), F.max("new").alias("new"))
-        one = one.select(F.col("class").alias("id"), "sketch", F.coalesce("new", F.lit(False)).alias("new"))
-        pairs = neardup.near_pairs(one.select("id", "sketch"), self.near_at, fresh=one.where("new").select("id")).select("a", "b", (F.col("shared") / F.col("size")).alias("similarity"))
-        return pairs.union(equal).select(F.col("a").alias("resource_id"), F.col("b").alias("other_id"), "similarity")
+    def _near(self, language: str, session: str) -> None:
+        """Pairs of the language's texts of which one at least is new, by the index of its sketches: it reads what may be near the new ones, not all that is held."""
+        new = self.table("outcome").where((F.col("session_id") == session) & F.col("status").isin("stored", "uncertain_review")).select("sha256").distinct()
+        fresh = self.table("sketch").where(F.col("language_id") == language).join(new, "sha256", "left_semi").select(F.col("sha256").alias("id"), "sketch").dropDuplicates(["id"])
+        index = SketchIndex(self.spark, f"{self.root}/_near/{language}", self.near_at)
+
+        def keep(near: DataFrame, copies: DataFrame) -> None:
+            pairs = near.select(F.least("rep_a", "rep_b").alias("resource_id"), F.greatest("rep_a", "rep_b").alias("other_id"), (F.col("shared") / F.col("size")).alias("similarity"))
+            self.append("near", pairs.unionByName(copies.select(F.col("rep").alias("resource_id"), F.col("id").alias("other_id"), F.lit(1.0).alias("similarity"))))
+
+        index.add(fresh, keep)
+        if len(index.parts()) > MOST_PARTS:
+            index.compact()
 
     def import_folder(self, root: str, language: str) -> DataFrame:
         """Everything under a folder belongs to the language: the user says so."""
@@ -263,7 +268,7 @@ class Collection:
             kept = sure.select(F.concat(F.substring(F.sha2("key", 256), 1, 16), F.lit(".txt")).alias("name"), "url", F.encode(F.concat_ws("\n", "title", "text"), "UTF-8").alias("content"), (F.col("score") / 100.0).alias("discovery_confidence"), "title")
             candidates = loaded.unionByName(kept).select(F.concat(F.substring(F.sha2("url", 256), 1, 16), F.lit("/"), "name").alias("path"), "content", "url", "title", "discovery_confidence", F.lit("agent").alias("method"))
             self._taken(written(candidates, "search-candidates"), language, session, found.terms)
-            self.append("near", self._near(language, session))
+            self._near(language, session)
             self.event(session, f"search complete: {found.queries.count()} queries, {found.pages.count()} pages, {found.learned.count()} names, {n} proposals")
         except KeyboardInterrupt:
             self.finish(session, "interrupted")
