@@ -115,3 +115,13 @@ def test_bounds_of_what_is_learned(spark, monkeypatch):
 def test_ties_go_to_the_first():
     model = langid.LanguageModel(["a", "b"], {"a": ["a1", "a2"], "b": ["b1"]}, np.zeros((2, 3), np.float32), {("a1", "a2"): np.zeros(3, np.float32)})
     assert model.predict(np.ones((2, 2), np.float32)) == [("a2", 0.25), ("a2", 0.25)]
+
+
+def test_codes_of_three_letters_and_tags_share_families(spark):
+    assert [family(x) for x in ("eng", "deu", "en-US", "zh_Hans", "cmn", "pt-BR", "FRA", "spa", "qqx")] == ["germanic", "germanic", "germanic", "sinitic", "sinitic", "romance", "romance", "romance", "qqx"]
+    tags = {"en": "eng", "de": "de-AT", "fr": "fra", "es": "spa", "xx": "qqx"}
+    data = [(k, t, tags[lang]) for k, t, lang in rows(500, seed=6)]
+    model = train_languages(spark.createDataFrame(data[:300], "doc_id long, text string, lang string"))
+    assert model.members == {"germanic": ["de-AT", "eng"], "romance": ["fra", "spa"], "qqx": ["qqx"]} and set(model.pairs) == {("de-AT", "eng"), ("fra", "spa")}
+    got = {r.doc_id: r.lang_pred for r in predict_languages(spark.createDataFrame(data[300:], "doc_id long, text string, lang string"), model).collect()}
+    assert sum(got[k] == lang for k, _, lang in data[300:]) > 190

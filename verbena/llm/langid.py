@@ -13,6 +13,7 @@ Style: free (mapInArrow; no shuffle but for counts of labels).
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -33,27 +34,29 @@ TOGETHER = 256
 SEGMENT = 1 << 20
 UNKNOWN = "und"
 
-#: Families of languages by two-letter code. A code that is not here is a family of its own.
+#: Families of languages by code, of two letters and of three. A language whose code is not here is a family of its own.
 FAMILIES = {
-    "germanic": "af da de en fy is lb nb nl nn no sv yi",
-    "romance": "ca es fr gl it la oc pt ro",
-    "slavic": "be bg bs cs hr mk pl ru sk sl sr uk",
-    "baltic": "lt lv",
-    "celtic": "br cy ga gd",
-    "indo-aryan": "bn gu hi mr ne pa sd si ur",
-    "iranian": "fa ku ps tg",
-    "dravidian": "kn ml ta te",
-    "turkic": "az kk ky tk tr tt ug uz",
-    "uralic": "et fi hu se",
-    "semitic": "am ar he mt",
-    "malayo-polynesian": "id jv mg ms su tl",
-    "sinitic": "zh",
-    "bantu": "rw sn sw xh zu",
+    "germanic": "af da de en fy is lb nb nl nn no sv yi afr dan deu dut eng fry ger gsw ice isl ltz nds nld nno nob nor swe yid",
+    "romance": "ca es fr gl it la oc pt ro ast cat fra fre glg ita lat oci por ron rum scn spa",
+    "slavic": "be bg bs cs hr mk pl ru sk sl sr uk bel bos bul ces cze hrv mac mkd pol rus slk slo slv srp ukr",
+    "baltic": "lt lv lav lit",
+    "celtic": "br cy ga gd bre cym gla gle wel",
+    "indo-aryan": "bn gu hi mr ne pa sd si ur asm ben bho guj hin mai mar nep npi ori ory pan sin snd urd",
+    "iranian": "fa ku ps tg ckb fas kmr kur per pes prs pus tgk",
+    "dravidian": "kn ml ta te kan mal tam tel",
+    "turkic": "az kk ky tk tr tt ug uz aze kaz kir tat tuk tur uig uzb",
+    "uralic": "et fi hu se est fin hun sme",
+    "semitic": "am ar he mt amh ara arb arz heb mlt tir",
+    "malayo-polynesian": "id jv mg ms su tl ceb ilo ind jav mlg may msa sun tgl zsm",
+    "sinitic": "zh chi cmn hak nan wuu yue zho",
+    "bantu": "rw sn sw xh zu kin lin nya run sna swa swh xho zul",
 }
 
 
 def family(lang: str) -> str:
-    return next((f for f, codes in FAMILIES.items() if lang in codes.split()), lang)
+    """The family of a code or of a tag that starts with one, such as en-US or zh_Hans."""
+    base = re.split("[-_]", lang.lower())[0]
+    return next((f for f, codes in FAMILIES.items() if base in codes.split()), base)
 
 
 @functools.cache
@@ -190,7 +193,7 @@ def train_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", la
 def predict_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score for each row of docs, from its text alone: "und" and 0 where it is null or has no letter.
 
-    Rows alike get alike predictions, null keys and repeated rows included. Other columns are left out, whatever their names.
+    Rows alike get alike predictions, null keys and repeated rows included. Texts may be of any length; an empty table gives an empty result. Other columns are left out, whatever their names.
     """
     ship(docs.sparkSession)
 

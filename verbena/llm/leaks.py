@@ -149,7 +149,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """key, n_words, hit_spans (merged, by word) and hit_items (distinct ids, sorted) for each row of docs.
 
     Null and empty texts have no words and no hits. An item with a null id marks words but is not listed. Repeated rows and keys
-    are judged each alone; an empty benchmark leaves every document clean. Other columns are left out. A document's spans and
+    are judged each alone; an empty benchmark leaves every document clean, and an empty table gives an empty result. Texts may be
+    of any length. Other columns are left out, whatever their names. A document's spans and
     items are gathered in one row: no more than its words, and than the benchmark's items.
     """
     with Scratch() as scratch:

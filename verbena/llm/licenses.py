@@ -146,7 +146,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     """key, n_words, places (of phrases: label and word, from 0), found (label, start, words and score of met templates) for each row.
 
     start is the first word of a block, from 0, words its size. Null and empty texts have no words and nothing in them. Rows alike in key
-    and text have the same result each; null keys are keys like others. Other columns are left out. Templates may be of any length;
+    and text have the same result each; null keys are keys like others. Texts may be of any length; an empty table gives an empty result. Other columns are left out, whatever their names. Templates may be of any length;
     block_words is even.
     """
     spark = docs.sparkSession

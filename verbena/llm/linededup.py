@@ -30,7 +30,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """key, n_lines (with a word), n_removed, text (what stays) for each row of docs.
 
     Null texts stay null, without lines; a text of one or two such lines loses them where an earlier text has just these. Null keys come first in the order.
-    Rows alike in key and text are one document: each has the same result. Lines without a word always stay. Other columns are left out.
+    Rows alike in key and text are one document: each has the same result. Lines without a word always stay. Texts and lines may be
+    of any length; an empty table gives an empty result. Other columns are left out, whatever their names.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("r"))
     hashes = F.transform(_solid(F.col("t")), lambda x: F.struct(F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit("second"), x["line"]).alias("b")))

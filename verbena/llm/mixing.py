@@ -87,7 +87,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     """key, source, size (words), rows (with this key, source and size), source_size, target, copies (of these rows in all).
 
     Null and empty texts have no words, and null keys and sources are values like others. Rows alike in key, source and size
-    are rounded as one. Reruns agree: chance comes from hashes of key and size. An empty table gives an empty result.
+    are rounded as one. Reruns agree: chance comes from hashes of key and size. Texts may be of any length. An empty table gives an empty result. Other columns are
+    left out, whatever their names.
     """
     kind = docs.schema[key].dataType.simpleString()
     unit = _UNIT.format(key=kind)

@@ -446,7 +446,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", param
     A class holds the rows with equal gram sets and those that links connect; class_id is its least key, of any type that can be ordered. Null
     keys count last, so class_id is null only if a class has no other. Rows that share a key are told apart by their texts: unrelated
     ones are in different classes, though both may be named by that key. A row without words (null, empty, marks only) is alone:
-    its class_id is its key. An empty table gives an empty result. Other columns are left out, whatever their names.
+    its class_id is its key. Texts may be of any length. An empty table gives an empty result. Other columns are left out, whatever their names.
     """
     with Scratch() as scratch:
         signed, classed = _classed(docs, key, text, params or JoinParams(), exact_links)

@@ -129,7 +129,7 @@ def quality_measures(docs: DataFrame, key: str = "doc_id", text: str = "text", r
     """key, then what measure() gives, for each row of docs.
 
     Null and empty texts have no words: they fail with "few words". Repeated rows and repeated or null keys stay as they are:
-    each row is judged alone. Other columns are left out.
+    each row is judged alone. Texts may be of any length; an empty table gives an empty result. Other columns are left out, whatever their names.
     """
     ship(docs.sparkSession)
     rules = rules or QualityRules()

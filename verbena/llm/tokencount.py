@@ -22,7 +22,8 @@ from .common import free_name, ship
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes and n_tokens for each row of docs, with the vocabulary file at path.
 
-    Null counts as empty: no bytes, no tokens. Repeated rows and keys are counted each alone. Other columns are left out.
+    Null counts as empty: no bytes, no tokens. Repeated rows and keys are counted each alone. Texts may be of any length; an empty table gives
+    an empty result. Other columns are left out, whatever their names.
     """
     ship(docs.sparkSession)
 

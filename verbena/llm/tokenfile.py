@@ -136,7 +136,8 @@ def write_token_blocks(docs: DataFrame, path: str, key: str = "doc_id", text: st
     """Encode all texts and write them; returns the written blocks, as read back, and the ids by rank.
 
     Blocks have part, block (both from 0, ascending in key order), before, n_ids, keys, lengths, control, data. Null keys come first; rows with
-    equal keys are ordered by a hash of their texts, then by their texts. A null text is empty: it has the end id alone.
+    equal keys are ordered by a hash of their texts, then by their texts. A null text is empty: it has the end id alone. Texts may be of any length, as they may go on
+    in the next block. An empty table gives no blocks. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
