@@ -20,25 +20,39 @@ class Field:
     feeds: tuple[str, ...] = ()
 
 
-#: Fields by group, with kind, whether several values add up (*), and the signals they feed
-#: (q query, r relevance, o offline, c classify).
-SCHEMA = {
-    "identity": "family:text:qr alternate_names:list*:qro exonyms:list*:qro parent:parent:qr scripts:scripts*:qrc notes:text:",
-    "orthography_location": "orthography_status:choice:c literacy:text: varieties:list*:qro region:text:qr places:places*:qro other_languages:tagged_list*:r",
-    "resources": "summary:text:q written:state:q recordings:state:q studies:state:q digital:state:q speakers:speakers:",
-    "community_status": "speakers_basis:basis: transmission:choice: age_spread:age_spread: used:list*:q displaced:choice:q community:community*:qro",
-    "translation_publication": "translation:entries*:qro publication:entries*:qro",
-}
-_SIGNALS = {"q": "query", "r": "relevance", "o": "offline", "c": "classify"}
+#: Group, field, kind, whether several values add up, the signals that it feeds.
+SCHEMA = (
+    ("identity", "family", "text", False, ("query", "relevance")),
+    ("identity", "alternate_names", "list", True, ("query", "relevance", "offline")),
+    ("identity", "exonyms", "list", True, ("query", "relevance", "offline")),
+    ("identity", "parent", "parent", False, ("query", "relevance")),
+    ("identity", "scripts", "scripts", True, ("query", "relevance", "classify")),
+    ("identity", "notes", "text", False, ()),
+    ("orthography_location", "orthography_status", "choice", False, ("classify",)),
+    ("orthography_location", "literacy", "text", False, ()),
+    ("orthography_location", "varieties", "list", True, ("query", "relevance", "offline")),
+    ("orthography_location", "region", "text", False, ("query", "relevance")),
+    ("orthography_location", "places", "places", True, ("query", "relevance", "offline")),
+    ("orthography_location", "other_languages", "tagged_list", True, ("relevance",)),
+    ("resources", "summary", "text", False, ("query",)),
+    ("resources", "written", "state", False, ("query",)),
+    ("resources", "recordings", "state", False, ("query",)),
+    ("resources", "studies", "state", False, ("query",)),
+    ("resources", "digital", "state", False, ("query",)),
+    ("resources", "speakers", "speakers", False, ()),
+    ("community_status", "speakers_basis", "basis", False, ()),
+    ("community_status", "transmission", "choice", False, ()),
+    ("community_status", "age_spread", "age_spread", False, ()),
+    ("community_status", "used", "list", True, ("query",)),
+    ("community_status", "displaced", "choice", False, ("query",)),
+    ("community_status", "community", "community", True, ("query", "relevance", "offline")),
+    ("translation_publication", "translation", "entries", True, ("query", "relevance", "offline")),
+    ("translation_publication", "publication", "entries", True, ("query", "relevance", "offline")),
+)
 
 
 def fields() -> list[Field]:
-    out = []
-    for grp, listed in SCHEMA.items():
-        for item in listed.split():
-            name, kind, feeds = item.split(":")
-            out.append(Field(grp, name, kind.rstrip("*"), kind.endswith("*"), tuple(_SIGNALS[f] for f in feeds)))
-    return out
+    return [Field(*row) for row in SCHEMA]
 
 
 def fields_feeding(signal: str) -> list[tuple[str, str]]:

@@ -55,7 +55,7 @@ def unknown_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("language_id", "grp", "field", F.get_json_object("value_json", "$[0]").alias("val"))
 
 
-_SIZES = ", ".join(f"('{g}', {sum(f.grp == g for f in profile.fields())})" for g in profile.SCHEMA)
+_SIZES = ", ".join(f"('{g}', {sum(f.grp == g for f in profile.fields())})" for g in dict.fromkeys(f.grp for f in profile.fields()))
 
 
 @R.query(f"""WITH {_VALUES}, k AS (SELECT language_id, grp, count(DISTINCT field) AS known FROM v WHERE status = 'accepted' GROUP BY ALL), g AS (SELECT * FROM (VALUES {_SIZES}) t(grp, total)), l AS (SELECT DISTINCT user_id AS language_id FROM events)
