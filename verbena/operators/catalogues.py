@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbena.functions import match, web
-from verbena.functions.text import fold, let
-from verbena.operators.relevance import scan_terms
+from verbena.functions.text import fold
+from verbena.operators.relevance import scanned
 
 
 def relevance_text(results: DataFrame) -> DataFrame:
@@ -67,9 +67,8 @@ def content_detection(texts: DataFrame, terms: DataFrame, most: int | None = 400
 
     texts: file_id, text of files whose names said nothing; terms: seq, term, kind, weight. most: characters looked at; None: all.
     """
-    names = scan_terms(terms.where("kind <> 'iso_code'"))
-    found = let(fold(F.col("text") if most is None else F.substring("text", 1, most)), lambda blob: F.filter(names, lambda t: match.has_scan_term(blob, t["folded"], t["kind"])))
-    g = texts.select("file_id", found.alias("h"))
+    blob = fold(F.col("text") if most is None else F.substring("text", 1, most))
+    g = scanned(texts, "file_id", {"held": blob}, terms.where("kind <> 'iso_code'"), lambda whole, anywhere, n, kind: whole | ((n >= 8) & anywhere))
     strong = F.filter("h", lambda t: t["kind"].isin("name", "alternate_name", "exonym", "variety", "title"))
     g = g.select("file_id", F.array_max(F.transform(strong, lambda t: t["weight"])).alias("most"), F.transform("h", lambda t: t["term"]).alias("matched_terms"))
     return g.where("most IS NOT NULL").select("file_id", F.bround(F.least(F.lit(0.9), F.col("most") * 0.75), 2).alias("detection_confidence"), "matched_terms")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from verbena.functions import match
 from verbena.functions.text import fold, let
+from verbena.operators.termscan import term_hits
 from verbena.session import written
 
 #: Signals in their order, with their weights.
@@ -146,37 +147,57 @@ def score(candidates: DataFrame, languages: DataFrame, terms: DataFrame, word_na
     return out.select(*own, "score", band(F.col("score")).alias("band"), reasons.alias("reasons"), matched.alias("matched_terms"))
 
 
-#: The terms of a profile are entered by people: more than this are refused, so they can stand in the plan as constants.
-MOST_TERMS = 10_000
+#: So many terms stand in the plan as constants and are looked for one by one; more are looked for by an automaton (termscan).
+FEW_TERMS = 200
+_SCANNED = "array<struct<seq:bigint,term:string,kind:string,weight:double,folded:string>>"
 
 
-def scan_terms(terms: DataFrame) -> Column:
-    """The terms (seq, term, kind, weight) with their folded forms as a constant array: those of three letters or more, each form once, the first."""
+def scan_terms(terms: DataFrame) -> DataFrame:
+    """The terms (seq, term, kind, weight) with their folded forms: those of three letters or more, each form once, the first."""
     t = terms.select("seq", "term", "kind", F.col("weight").cast("double").alias("weight"), fold(F.col("term")).alias("folded")).where("length(folded) >= 3")
-    t = t.withColumn("k", F.row_number().over(Window.partitionBy("folded").orderBy("seq"))).where("k = 1").drop("k")
-    rows = sorted(t.limit(MOST_TERMS + 1).collect(), key=lambda r: r.seq)
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"at most {MOST_TERMS} terms")
-    shape = "array<struct<seq:bigint,term:string,kind:string,weight:double,folded:string>>"
-    return F.array(*(F.struct(F.lit(r.seq).cast("long").alias("seq"), F.lit(r.term).alias("term"), F.lit(r.kind).alias("kind"), F.lit(r.weight).alias("weight"), F.lit(r.folded).alias("folded")) for r in rows)).cast(shape)
+    first = t.groupBy("folded").agg(F.min_by(F.struct("seq", "term", "kind", "weight"), F.struct("seq", "term")).alias("t"))
+    return first.select("t.*", "folded")
 
 
-def detection(paths: DataFrame, terms: DataFrame) -> DataFrame:
-    """Files whose name or folder names a term: file_id, detection_method, detection_confidence, matched_terms.
+def _constants(rows: list) -> Column:
+    rows = sorted(rows, key=lambda r: r.seq)
+    return F.array(*(F.struct(F.lit(r.seq).cast("long").alias("seq"), F.lit(r.term).alias("term"), F.lit(r.kind).alias("kind"), F.lit(r.weight).alias("weight"), F.lit(r.folded).alias("folded")) for r in rows)).cast(_SCANNED)
 
-    paths: file_id, name, folder. terms: seq, term, kind, weight. A hit in the folder counts 0.8 of its weight, both together 0.05 more.
+
+def scanned(texts: DataFrame, key: str, fields: dict[str, Column], terms: DataFrame, test) -> DataFrame:  # noqa: ANN001
+    """key and h: of each text the terms in it, as structs of seq, term, weight, kind and a flag for each of fields (folded texts).
+
+    test(whole, anywhere, length of the folded term, kind) says whether a term that stands in a field as a whole word, or anywhere, counts. Texts without
+    a term have no row. Keys tell texts apart.
     """
-    names = scan_terms(terms)
-    texts = F.struct(fold(F.col("name")).alias("n"), fold(F.col("folder")).alias("f"))
+    t = written(scan_terms(terms), "scan-terms")
+    rows = t.limit(FEW_TERMS + 1).collect()
+    if len(rows) <= FEW_TERMS:
+        blobs = F.struct(*(v.alias(k) for k, v in fields.items()), *(F.concat(F.lit(" "), v, F.lit(" ")).alias(f"{k}_padded") for k, v in fields.items()))
+
+        def of(v: Column) -> Column:
+            def one(x: Column) -> Column:
+                word = F.concat(F.lit(" "), x["folded"], F.lit(" "))
+                hit = lambda k: F.coalesce(test(F.contains(v[f"{k}_padded"], word), F.contains(v[k], x["folded"]), F.length(x["folded"]), x["kind"]), F.lit(False))
+                return F.struct(x["seq"].alias("seq"), x["term"].alias("term"), x["weight"].alias("weight"), x["kind"].alias("kind"), *(hit(k).alias(k) for k in fields))
 
-    def of(v: Column) -> Column:
-        def one(t: Column) -> Column:
-            by = lambda x: F.coalesce(match.has_scan_term(x, t["folded"], t["kind"]), F.lit(False))
-            return F.struct(t["seq"].alias("seq"), t["term"].alias("term"), t["weight"].alias("weight"), by(v["n"]).alias("named"), by(v["f"]).alias("placed"))
+            return F.filter(F.transform(_constants(rows), one), lambda h: F.array_contains(F.array(*(h[k] for k in fields)), True))
 
-        return F.filter(F.transform(names, one), lambda h: h["named"] | h["placed"])
+        return texts.select(key, let(blobs, of).alias("h")).where(F.size("h") > 0)
+    met = term_hits(texts.select(key, *(v.alias(k) for k, v in fields.items())), key, list(fields), t).join(t, "folded")
+    met = met.withColumn("counts", F.coalesce(test(F.col("whole"), F.lit(True), F.length("folded"), F.col("kind")), F.lit(False)))
+    flags = met.groupBy(key, "folded").agg(F.first(F.struct("seq", "term", "weight", "kind")).alias("t"), *(F.bool_or(F.col("counts") & (F.col("field") == k)).alias(k) for k in fields))
+    some = flags.where(" OR ".join(fields))
+    return some.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t.seq", "t.term", "t.weight", "t.kind", *fields))).alias("h"))
 
-    g = paths.select("file_id", let(texts, of).alias("h")).where(F.size("h") > 0)
+
+def detection(paths: DataFrame, terms: DataFrame) -> DataFrame:
+    """Files whose name or folder names a term: file_id, detection_method, detection_confidence, matched_terms.
+
+    paths: file_id, name, folder. terms: seq, term, kind, weight. A hit in the folder counts 0.8 of its weight, both together 0.05 more.
+    """
+    counts = lambda whole, anywhere, n, kind: whole | ((kind != "iso_code") & (n >= 8) & anywhere)
+    g = scanned(paths, "file_id", {"named": fold(F.col("name")), "placed": fold(F.col("folder"))}, terms, counts)
     most = F.array_max(F.transform("h", lambda h: F.when(h["named"], h["weight"]).otherwise(h["weight"] * 0.8)))
     named, placed = F.exists("h", lambda h: h["named"]), F.exists("h", lambda h: ~h["named"])
     ordered = F.array_sort(F.transform("h", lambda h: F.struct((~h["named"]).alias("later"), h["seq"].alias("seq"), h["term"].alias("term"))))

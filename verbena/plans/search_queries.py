@@ -11,6 +11,7 @@ from verbena.functions import web
 from verbena.functions.text import fold, html_links, html_title, page_text
 from verbena.operators import discover, neardup, search, state
 from verbena.operators.sketchindex import SketchIndex
+from verbena.operators.termscan import term_hits
 from verbena.plans.base import Register, sql_fold, table
 from verbena.plans.catalogue_queries import _TITLE, _WHOLE
 from verbena.plans.core_queries import _SKETCH
@@ -164,3 +165,19 @@ def second_intake_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sketches = neardup.signatures(table(spark, sf_dir, "documents"), "doc_id")
     index.add(sketches.where("id % 5 <> 0"))
     return index.add(sketches.where("id % 5 = 0")).select("a", "b", "shared", "size")
+
+
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
+
+
+@R.query(f"""WITH t AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM (SELECT {_WORDS} AS w FROM benchmark)),
+d AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT doc_id, {_WORDS} AS w FROM documents))
+SELECT doc_id, count(*) AS n, min(term) AS first_term, max(term) AS last_term FROM d JOIN t USING (term) GROUP BY doc_id""")
+def many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of neighbouring words of the benchmark as terms, looked for in whole documents."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1))))
+    terms = table(spark, sf_dir, "benchmark").select(words.alias("w")).where("size(w) > 1").select(pair.alias("folded"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("blob"))
+    hits = term_hits(texts, "doc_id", ["blob"], terms).where("whole")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("folded").alias("first_term"), F.max("folded").alias("last_term"))
