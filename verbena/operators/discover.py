@@ -106,15 +106,27 @@ def distinct_hits(hits: DataFrame, most: int = 8) -> DataFrame:
     return first.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "f.url", "f.title", "key", "rank")
 
 
-def catalogue_actions(results: DataFrame, review_at: int = 30) -> DataFrame:
-    """results (seq, provider, title, url, kind, score, n_files) with action, each result once over all providers, by falling score.
+#: Results that are ranked in one window; what lies before them is counted.
+RANKED = 4096
 
-    Links to look up stay lookups; the rest is skipped, taken as metadata only, or downloaded.
+
+def catalogue_actions(results: DataFrame, review_at: int = 30, download_at: int | None = None) -> DataFrame:
+    """results (seq, provider, title, url, kind, score, n_files) with action, each result once over all providers, and rank by falling score, then seq.
+
+    Links to look up stay lookups; the rest is skipped, taken as metadata only, or downloaded. download_at: files of records under this score, which
+    nobody chose, are left where they are and their metadata taken. seq is a whole number, another for each result.
     """
     key = F.coalesce("url", F.concat("provider", F.lit(":"), "title"))
-    first = results.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("seq"))).where("_k = 1").drop("_k")
-    action = F.when(F.col("kind") == "lookup", "lookup").when(F.col("score") < review_at, "skip").when(F.col("n_files") == 0, "metadata").otherwise("download")
-    return first.withColumn("action", action).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seq")))
+    first = results.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*results.columns), "seq").alias("r")).select("r.*")
+    gate = F.lit(False) if download_at is None else F.col("score") < download_at
+    action = F.when(F.col("kind") == "lookup", "lookup").when(F.col("score") < review_at, "skip").when((F.col("n_files") == 0) | gate, "metadata").otherwise("download")
+    # rank: those of greater score or in earlier blocks of seq are counted, only a block is sorted
+    placed = first.withColumns({"action": action, "_s": F.coalesce(-F.col("score"), F.lit(1)), "_b": F.floor(F.col("seq") / RANKED)})
+    sizes = placed.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_s", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("seq"))
+    ranked = placed.withColumn("_k", own).join(sizes.select("_s", "_b", before.alias("_before")), ["_s", "_b"])
+    return ranked.withColumn("rank", (F.col("_before") + F.col("_k")).cast("int")).drop("_s", "_b", "_k", "_before")
 
 
 def wanted_files(files: DataFrame, most_bytes: int = 500_000_000, most_files: int = 25) -> DataFrame:

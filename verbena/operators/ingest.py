@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbena.operators import classify, relevance
+from verbena.session import written
 
 #: Metadata that tells of a find's surroundings, not of the resource.
 CONTEXT_KEYS = ("query", "found_on", "page_title", "agent", "snippet")
@@ -64,9 +65,10 @@ def outcomes(candidates: DataFrame, languages: DataFrame, terms: DataFrame, stor
     c = scored.drop("matched_terms")
     c = classify.detect_format(c)
     fine = (F.col("score") >= limits.review_at) & F.col("size").isNotNull() & (F.col("size") <= limits.most_bytes)
-    # bytes belong to the first candidate that may be stored
-    owner = F.min(F.when(F.col("fine"), F.struct("seq", "candidate_id"))).over(Window.partitionBy("sha256"))
-    c = c.withColumn("fine", fine).withColumn("owner", owner)
+    # bytes belong to the first candidate that may be stored; a minimum for each hash, so neither copies nor candidates without bytes meet in one task
+    c = written(c.withColumn("fine", fine), "scored")
+    owner = c.where("fine").groupBy("sha256").agg(F.min(F.struct("seq", "candidate_id")).alias("owner"))
+    c = c.join(owner, "sha256", "left")
     if stored is not None:
         c = c.join(stored.select("sha256", F.lit(True).alias("held")).distinct(), "sha256", "left")
     else:

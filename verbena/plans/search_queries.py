@@ -1,4 +1,4 @@
-"""Searches in rounds over the table of pages as the web, and decisions of reviewers, as queries with SQL."""
+"""Searches in rounds over the table of pages as the web, decisions of reviewers, a kept index, many terms, and ingest with keyed state, with SQL."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from verbena.plans.catalogue_queries import _TITLE, _WHOLE
 from verbena.plans.core_queries import _SKETCH
 from verbena.plans.operator_queries import _sql_addresses
 from verbena.session import shared_folder
+from verbena.streaming import keyed
 
 R = Register()
 
@@ -181,3 +182,15 @@ def many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("blob"))
     hits = term_hits(texts, "doc_id", ["blob"], terms).where("whole")
     return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("folded").alias("first_term"), F.max("folded").alias("last_term"))
+
+
+@R.query("""WITH c AS (SELECT doc_id, source, sha256(text) AS sha, CASE WHEN doc_id % 5 = 0 THEN 'rejected' WHEN doc_id % 5 < 3 THEN 'uncertain_review' ELSE 'stored' END AS own FROM documents WHERE text IS NOT NULL),
+o AS (SELECT *, min(CASE WHEN own <> 'rejected' THEN doc_id END) OVER (PARTITION BY sha) AS owner FROM c)
+SELECT coalesce(source, '') AS session_id, CASE WHEN own <> 'rejected' AND owner <> doc_id THEN 'duplicate_linked' ELSE own END AS status, count(*) AS n FROM o GROUP BY ALL""")
+def keyed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream through keyed state: counters of each session, from changes alone."""
+    fields = table(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(fields).parquet(f"{sf_dir}/documents*.parquet").where("text IS NOT NULL")
+    own = keyed.own_status(F.element_at(F.array(*map(F.lit, (10, 50, 50, 90, 90))), (F.col("doc_id") % 5 + 1).cast("int")))
+    rows = stream.select(F.sha2("text", 256).alias("sha256"), F.format_string("%020d", "doc_id").alias("candidate_id"), F.coalesce("source", F.lit("")).alias("session_id"), F.col("doc_id").alias("seq"), own.alias("own"))
+    return keyed.counters(keyed.run(spark, rows, f"{shared_folder(spark)}/verbena-keyed-{uuid.uuid4().hex}"))

@@ -11,9 +11,11 @@ micro-batch meet in one task; file_stream's most_files bounds a micro-batch.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +86,8 @@ def changes(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """CHANGE rows of a stream with sha256, candidate_id, session_id, seq and own (see own_status). Rows without a hash have no bytes and are left out."""
     spark = stream.sparkSession
     ship(spark)
+    # Spark starts a worker on the driver, too, which has no files sent to executors: the processor goes to it whole
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STORE:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     rows = stream.where("sha256 IS NOT NULL").select("sha256", "candidate_id", "session_id", F.col("seq").cast("long").alias("seq"), "own")
