@@ -17,6 +17,7 @@ from verbena.plans.catalogue_queries import _TITLE, _WHOLE
 from verbena.plans.core_queries import _SKETCH
 from verbena.plans.operator_queries import _sql_addresses
 from verbena.session import shared_folder
+from verbena.sources import store
 from verbena.streaming import keyed
 
 R = Register()
@@ -194,3 +195,15 @@ def keyed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = keyed.own_status(F.element_at(F.array(*map(F.lit, (10, 50, 50, 90, 90))), (F.col("doc_id") % 5 + 1).cast("int")))
     rows = stream.select(F.sha2("text", 256).alias("sha256"), F.format_string("%020d", "doc_id").alias("candidate_id"), F.coalesce("source", F.lit("")).alias("session_id"), F.col("doc_id").alias("seq"), own.alias("own"))
     return keyed.counters(keyed.run(spark, rows, f"{shared_folder(spark)}/verbena-keyed-{uuid.uuid4().hex}"))
+
+
+@R.query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size, doc_id || '.txt' AS name FROM documents WHERE text IS NOT NULL")
+def committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as files written in two steps, and read back."""
+    store.register(spark)
+    place = f"{shared_folder(spark)}/verbena-store-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    files = d.select(F.sha2("text", 256).alias("sha256"), F.concat("doc_id", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"), F.to_json(F.struct("source", "lang")).alias("about"))
+    files.write.format(store.NAME).mode("append").save(place)
+    read = spark.read.format(store.NAME).load(place)
+    return read.select(F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("doc_id"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"), "name")
