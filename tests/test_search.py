@@ -33,6 +33,14 @@ class Web(BaseHTTPRequestHandler):
             ASKED.append(q)
             hits = ["/later", "/plain"] if "Hakhunda" in q else ["/about", "/plain", "/other"] if q == '"Thonin" language' else []
             body, kind = json.dumps({"results": [{"url": f"http://{self.headers['Host']}{h}", "title": h} for h in hits]}), "application/json"
+        elif at.path == "/api":
+            q = parse_qs(at.query)
+            host = f"http://{self.headers['Host']}"
+            pages = {
+                "1": [{"t": "Thonin wordlist", "lang": "qqx", "link": f"{host}/r/1", "kinds": ["wordlist"], "data": [{"u": f"{host}/files/thonin_words.txt", "s": "19"}, {"u": f"{host}/files/huge.bin", "s": "900000000"}]}, {"t": "Cooking", "link": f"{host}/r/2", "data": []}],
+                "2": [{"t": "Thonin grammar", "link": f"{host}/r/3", "kinds": ["grammar"], "data": []}, {"t": "A Thonin", "link": f"{host}/r/1"}, {"t": "Tales", "lang": "x", "kinds": ["grammar", "Thonin texts"], "link": f"{host}/r/4", "data": [{"u": f"{host}/files/hakhunda_songs.txt"}, {"u": f"{host}/files/gone.txt"}]}],
+            }
+            body, kind = json.dumps({"hits": {"items": pages.get(q["page"][0], []) if "language" in q["q"][0] else []}}), "application/json"
         elif at.path in PAGES:
             body, kind = PAGES[at.path], "text/html" if PAGES[at.path].startswith("<html") else "text/plain"
         else:
@@ -87,6 +95,24 @@ def test_search_learns_downloads_and_proposes(spark, site, tmp_path):
     assert c.resources().count() == before
 
 
+def test_catalogues_are_asked_scored_and_taken_in(spark, site, tmp_path):
+    c = Collection(spark, str(tmp_path))
+    language = c.open_language("Thonin", "qqx")
+    fields = {"title": "t", "language": "lang", "url": "link", "types": "kinds", "files": "data", "file_url": "u", "file_size": "s"}
+    entries = [
+        {"name": "api", "mode": "api_json", "url": f"{site}/api?q={{query}}&page={{page}}", "pages": 2, "items": "hits.items[]", "fields": fields},
+        {"name": "by_hand", "mode": "lookup", "url": f"{site}/look?q={{name}}"}, {"name": "down", "mode": "html_links", "url": f"{site}/none?q={{query}}"}, {"name": "coded", "needs_code": True, "mode": "lookup", "url": f"{site}/c/{{code}}"},
+    ]
+    out = {r.path.rpartition("/")[2]: r for r in c.search_catalogues(language, entries).collect()}
+    # the file of a good record, a record for one without files; what is too large, irrelevant or a repeated result is not there
+    assert {"thonin_words.txt", "thonin-grammar.metadata.json"} <= set(out) and not {"huge.bin", "cooking.metadata.json", "a-thonin.metadata.json"} & set(out)
+    assert out["thonin_words.txt"].status in ("stored", "uncertain_review")
+    events = {r.level: r.message for r in c.table("event").collect()}
+    assert {x["provider"] for x in json.loads(events["lookups"])} == {"by_hand", "coded"}
+    assert "lookups: 2" in events["info"] and "failed: 0" not in events["info"]
+    assert c.sessions().first().status == "finished"
+
+
 def test_rejected_resources_are_listed_no_more(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("language")
         c.add_argument("folder")
         c.add_argument("--iso")
-    for name, what in (("search", "search engines in rounds, take in what is found"), ("enrich", "read about a language and propose facts")):
+    for name, what in (("catalogues", "ask catalogues, take in what is relevant"), ("search", "search engines in rounds, take in what is found"), ("enrich", "read about a language and propose facts")):
         c = sub.add_parser(name, help=what)
         c.add_argument("language")
         c.add_argument("--iso")
@@ -97,6 +97,14 @@ def main(args: list[str] | None = None) -> int:
             language = c.open_language(a.language, a.iso)
             out = c.import_folder(a.folder, language) if a.command == "import" else c.scan_folder(a.folder, language)
             return _show(out.orderBy("path"), "status", "score", "path")
+        if a.command == "catalogues":
+            usable, _ = config.registry("catalogue", config.entries_of(os.path.join(a.root, "config.toml"), "catalogue"))
+            if not usable:
+                print("no catalogue: registry catalogue add name=... mode=... url=...", file=sys.stderr)
+                return 20
+            o = s["online"]
+            out = c.search_catalogues(c.open_language(a.language, a.iso), list(usable.values()), download_at=o["min_download_score"], most_bytes=o["max_download_mb"] * 1_000_000, most_files=o["max_files_per_record"])
+            return _show(out.orderBy("path"), "status", "score", "path")
         if a.command in ("search", "enrich"):
             usable, _ = config.registry("engine", config.entries_of(os.path.join(a.root, "config.toml"), "engine"))
             entries = [e for e in usable.values() if config.usable(e, s["agent"]["search_keys"]) is None]

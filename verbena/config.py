@@ -12,7 +12,7 @@ from typing import Any
 DEFAULTS: dict[str, Any] = {
     "relevance": {"review_at": 30, "confirmed_at": 70},
     "agent": {"max_queries": 16, "hits_per_query": 8, "max_pages": 40, "max_depth": 2, "per_host": 6, "max_rounds": 2, "max_files": 40, "search_keys": {}},
-    "online": {"max_files_per_record": 25, "max_download_mb": 500, "parallel_downloads": 3, "timeout": 30, "results_per_provider": 25},
+    "online": {"max_files_per_record": 25, "max_download_mb": 500, "parallel_downloads": 3, "timeout": 30, "results_per_provider": 25, "min_download_score": 50},
     "scan": {"max_file_size_mb": 4096, "content": False, "content_max_mb": 20},
     "dedup": {"fuzzy": True, "threshold": 0.85},
     "extraction": {"enabled": True, "max_text_mb": 50},

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from verbena.functions import web
 from verbena.functions.text import fold_string
-from verbena.operators import discover, extract, ingest, neardup, profile, registry, search, state
+from verbena.operators import discover, extract, ingest, neardup, online, profile, registry, search, state
 from verbena.operators.sketchindex import SketchIndex
 from verbena.session import ship, written
-from verbena.sources import files, http
+from verbena.sources import files, http, sinks
 
 #: The tables and their columns; every one also has seq, which grows with each write and differs within it.
 TABLES = {
@@ -289,6 +289,38 @@ class Collection:
         self.finish(session)
         return n
 
+    def search_catalogues(self, language: str, entries: list[dict], fetched: Callable[[DataFrame], DataFrame] = http.fetch, download_at: int | None = 50, most_bytes: int = 500_000_000, most_files: int = 25) -> DataFrame:
+        """A session: catalogues asked, results scored before anything is loaded, files and records taken in. Its outcomes; lookups and totals are in its events.
+
+        download_at: files of results under this score are not loaded (None: of all that are relevant).
+        """
+        session = self.open_session(language, "catalogue")
+        try:
+            one = self._one(language).first()
+            terms = self._terms().where(F.col("language_id") == language)
+            asked = online.requests(entries, self._queries(language).select("query"), one.name, one.iso)
+            found, failed = online.results(entries, asked, fetched)
+            rows = written(online.decided(found, self._one(language), terms, self.review_at, download_at), "catalogue-results")
+            told = rows.select(F.lit(session).alias("session_id"), "action", "n_files", F.lit(None).cast("string").alias("error")).unionByName(failed.select(F.lit(session).alias("session_id"), F.lit(None).cast("string").alias("action"), F.lit(0).alias("n_files"), "error"))
+            totals = state.catalogue_totals(told).first()
+            candidates = written(online.candidates(rows, fetched, most_bytes, most_files), "catalogue-candidates")
+            self._taken(candidates, language, session)
+            self._near(language, session)
+            links = rows.where("action = 'lookup'").select("provider", "title", "url", "query").withColumns({"kind": F.lit("lookup"), "session_id": F.lit(session)})
+            for r in sinks.lookup_manifest(links).collect():  # a row for this session
+                self.event(session, r.json, "lookups")
+            if totals is not None:
+                self.event(session, ", ".join(f"{k}: {v}" for k, v in totals.asDict().items() if k != "session_id"))
+        except KeyboardInterrupt:
+            self.finish(session, "interrupted")
+            raise
+        except Exception as e:
+            self.event(session, f"{type(e).__name__}: {str(e)[:300]}", "error")
+            self.finish(session, "failed")
+            raise
+        self.finish(session)
+        return self.table("outcome").where(F.col("session_id") == session)
+
     def _one(self, language: str) -> DataFrame:
         return self._languages().where(F.col("language_id") == language)
 
