@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
+from verbena.progress import Progress, StreamProgress
 from verbena.streaming import flows, keyed
 
 FIELDS = "candidate_id string, session_id string, seq long, sha256 string, score int"
@@ -39,3 +41,36 @@ def test_any_order_of_batches_gives_the_batch_result(spark, tmp_path):
         assert {(r.candidate_id, r.session_id, r.status) for r in keyed.statuses(got).collect()} == want
         counted = {(r.session_id, r.status): r.n for r in keyed.counters(got).collect()}
         assert counted == {k: sum((s, st) == k for _, s, st in want) for k in {(s, st) for _, s, st in want}}
+
+
+def test_a_listener_tells_the_batches_of_a_stream(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame(rows()[i * 40 : i * 40 + 40], FIELDS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    heard = []
+    watch = StreamProgress(Progress(heard.append, interval=0))
+    spark.streams.addListener(watch)
+    try:
+        flows.drain(flows.file_stream(spark, f"{tmp_path}/in", FIELDS, most_files=1), f"{tmp_path}/out")
+        end = time.time() + 60
+        while time.time() < end and not any(t["status"] == "done" for t in watch.progress.transfers.values()):
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(watch)
+    (transfer,) = watch.progress.transfers.values()
+    assert transfer["done"] == 120 and transfer["status"] == "done"
+    assert [n for _, _, n in watch.points][:3] == [40, 80, 120] and len(heard) >= 4
+    told = watch.rates(spark).orderBy("at").collect()
+    assert told[-1].bytes == 120 and set(told[0].asDict()) == {"transfer", "at", "bytes", "rate"}
+
+
+def test_points_are_bounded():
+    class Event:
+        def __init__(self, i):
+            self.progress = type("P", (), {"runId": "r", "numInputRows": 1, "timestamp": "2024-01-01T00:00:00.000Z", "batchDuration": i})
+
+    watch = StreamProgress()
+    watch.MOST_POINTS = 100
+    watch.progress.start("r", "r", None)
+    for i in range(1000):
+        watch.onQueryProgress(Event(i))
+    assert len(watch.points) <= 100 and watch.points[-1][2] == 1000

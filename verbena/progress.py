@@ -8,8 +8,14 @@ import time
 import traceback
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
+
+from verbena.operators.catalogues import transfer_rates
+
 
 class Progress:
     """What a run is at: a dictionary of its state, and listeners that hear of changes, but no more often than every `interval` seconds."""
@@ -53,6 +59,48 @@ class Progress:
             self._changed(True)
 
 
+class StreamProgress(StreamingQueryListener):
+    """Progress of streaming queries, as Spark tells it: each query is a transfer, its rows so far what has moved, and each micro-batch a point in time.
+
+    Add it to a session with spark.streams.addListener(). points is bounded: of the oldest half every other one goes when it is full.
+    """
+
+    MOST_POINTS = 100_000
+
+    def __init__(self, progress: Progress | None = None):
+        super().__init__()
+        self.progress = progress or Progress()
+        self.points: list[tuple[str, int, int]] = []
+        self._rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event: Any) -> None:  # noqa: N802
+        key = str(event.runId)
+        self._rows[key] = 0
+        self.progress.start(key, event.name or str(event.id), None)
+
+    def onQueryProgress(self, event: Any) -> None:  # noqa: N802
+        p = event.progress
+        key = str(p.runId)
+        self._rows[key] = self._rows.get(key, 0) + max(0, int(p.numInputRows))
+        at = int(datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")).timestamp() + p.batchDuration / 1000)
+        if len(self.points) >= self.MOST_POINTS:
+            half = len(self.points) // 2
+            self.points = self.points[:half:2] + self.points[half:]
+        self.points.append((key, at, self._rows[key]))
+        self.progress.moved(key, self._rows[key])
+
+    def onQueryIdle(self, event: Any) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:  # noqa: N802
+        self.progress.done(str(event.runId), event.exception is None, event.exception or "")
+
+    def rates(self, spark: SparkSession, seconds: int = 5) -> DataFrame:
+        """transfer (the run), at, bytes (rows so far), rate: see catalogues.transfer_rates(); of one second the last point."""
+        last = {(k, at): n for k, at, n in self.points}
+        return transfer_rates(spark.createDataFrame([(k, at, n) for (k, at), n in last.items()], "transfer string, at bigint, bytes bigint"), seconds)
+
+
 @dataclass
 class Job:
     number: int
