@@ -261,3 +261,18 @@ def test_sinks_of_catalogues(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/m").count() == 1
     bytes_ = spark.createDataFrame([(bytearray(b"x"), "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"), (bytearray(b"y"), "0")], "content binary, sha256 string")
     assert [x.intact for x in sinks.verified(bytes_).collect()] == [True, False]
+
+
+def test_small_things_for_people(spark):
+    """Rates, titles to show, folders that a scan leaves out."""
+    from verbena.functions.text import human_rate
+    from verbena.operators import catalogues
+
+    d = spark.createDataFrame([(0.0,), (None,), (10.0,), (2048.0,)], "r double").select(human_rate(F.col("r")).alias("s")).collect()
+    assert [r.s for r in d] == ["—", "—", "10 B/s", "2.0 KB/s"]
+    c = spark.createDataFrame([("T", "/a/b.txt", "u"), ("", "/a/b.txt", "u"), (None, None, "u"), (None, "", None)], "title string, path string, url string")
+    assert [r.shown for r in catalogues.display(c).collect()] == ["T", "b.txt", "u", "?"]
+    files = spark.createDataFrame([(1, "/r"), (2, "/r/a"), (3, "/r/venv/x/y"), (4, "/r/venv"), (5, "/r/a/.git/o"), (6, "/r/a/.git/p"), (7, "/r/b/Node_Modules")], "file_id int, folder string")
+    left = catalogues.skipped_folders(files, "/r/")
+    assert {r.folder for r in left.collect()} == {"venv", "a/.git", "b/Node_Modules"}
+    assert catalogues.scan_report(files, files.where("file_id = 2"), left).first().asDict() == {"files_seen": 7, "hits": 1, "dirs_skipped": 3}

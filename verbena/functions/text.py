@@ -237,6 +237,11 @@ def human_bytes(n: Column) -> Column:
     return out.otherwise(F.format_string("%.1f PB", n / float(1024**5)))
 
 
+def human_rate(bytes_a_second: Column) -> Column:
+    """Bytes a second for people; a dash if nothing is known or nothing moves."""
+    return F.when(F.coalesce(bytes_a_second, F.lit(0.0)) == 0, "—").otherwise(F.concat(human_bytes(bytes_a_second), F.lit("/s")))
+
+
 def human_time(seconds: Column) -> Column:
     s = F.floor(seconds).cast("long")
     return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))

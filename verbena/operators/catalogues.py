@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verbena.functions import match, web
 from verbena.functions.text import fold
 from verbena.operators.relevance import scanned
+from verbena.sources.files import EXCLUDED
 
 
 def relevance_text(results: DataFrame) -> DataFrame:
@@ -23,6 +24,12 @@ def candidates(results: DataFrame) -> DataFrame:
     return wanted.select("seq", F.lit("catalogue").alias("method"), "url", "title", extra.alias("metadata"), "types", F.lit("move").alias("import_method"), (F.col("action") == "metadata").alias("synthetic"))
 
 
+def display(candidates_: DataFrame) -> DataFrame:
+    """candidates (title, path, url) with shown: the title, else the file's name, else the address, else a question mark."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return candidates_.withColumn("shown", F.coalesce(some(F.col("title")), some(F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/\\]+)$", 1)), some(F.col("url")), F.lit("?")))
+
+
 def unwrapped(url: Column, parameter: str) -> Column:
     """The address inside a redirecting link, if it has one."""
     inner = F.regexp_extract(web.url_parts(url)["query"], rf"(?:^|&){parameter}=([^&]*)", 1)
@@ -74,8 +81,18 @@ def content_detection(texts: DataFrame, terms: DataFrame, most: int | None = 400
     return g.where("most IS NOT NULL").select("file_id", F.bround(F.least(F.lit(0.9), F.col("most") * 0.75), 2).alias("detection_confidence"), "matched_terms")
 
 
-def scan_report(files: DataFrame, hits: DataFrame) -> DataFrame:
-    """files_seen, hits of a scan."""
+def skipped_folders(files: DataFrame, root: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """folder: the folders that a scan of files (folder) under root leaves out, each once; what lies below one that is left out is not entered."""
+    below = F.split(F.substring(F.concat(F.rtrim(F.col("folder"), F.lit("/")), F.lit("/")), len(root.rstrip("/")) + 2, 1 << 30), "/")
+    bad = F.transform(below, lambda d: F.lower(d).isin(*excluded) | d.startswith("."))
+    at = F.array_position(bad, True).cast("int")
+    return files.select(F.when(at > 0, F.array_join(F.slice(below, 1, at), "/")).alias("folder")).where("folder IS NOT NULL").distinct()
+
+
+def scan_report(files: DataFrame, hits: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """files_seen, hits of a scan, and dirs_skipped if skipped has the folders that were left out."""
+    if skipped is not None:
+        return scan_report(files, hits).join(skipped.agg(F.count("*").alias("dirs_skipped")))
     return files.select("file_id").join(hits.select("file_id", F.lit(True).alias("hit")), "file_id", "left").agg(F.count("*").alias("files_seen"), F.count_if("hit").alias("hits"))
 
 

@@ -110,10 +110,16 @@ def field_states(values: DataFrame, languages: DataFrame, doubt: float = 0.6) ->
     return met.select(*_SLOT, "ord", state.alias("state"))
 
 
+def questions(states: DataFrame) -> DataFrame:
+    """language_id, ord, grp, field, state of the fields to ask for, in the order of the schema: missing, uncertain or contradictory ones."""
+    return states.where("state <> 'known'").select("language_id", "ord", "grp", "field", "state")
+
+
 def group_states(states: DataFrame) -> DataFrame:
-    """language_id, grp, known, total, state (done, partial, empty)."""
-    g = states.groupBy("language_id", "grp").agg(F.count_if(F.col("state") != "missing").alias("known"), F.count("*").alias("total"))
-    return g.withColumn("state", F.when(F.col("known") == F.col("total"), "done").when(F.col("known") > 0, "partial").otherwise("empty"))
+    """language_id, grp, known (fields with a value), total, state: done if there is nothing to ask for (see questions), empty if all is, else partial."""
+    asked = F.count_if(F.col("state") != "known")
+    g = states.groupBy("language_id", "grp").agg(F.count_if(F.col("state") != "missing").alias("known"), F.count("*").alias("total"), asked.alias("asked"))
+    return g.withColumn("state", F.when(F.col("asked") == 0, "done").when(F.col("asked") == F.col("total"), "empty").otherwise("partial")).drop("asked")
 
 
 def set_user_values(values: DataFrame, entered: DataFrame) -> DataFrame:

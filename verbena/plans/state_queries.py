@@ -58,7 +58,21 @@ def unknown_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIZES = ", ".join(f"('{g}', {sum(f.grp == g for f in profile.fields())})" for g in dict.fromkeys(f.grp for f in profile.fields()))
 
 
-@R.query(f"""WITH {_VALUES}, k AS (SELECT language_id, grp, count(DISTINCT field) AS known FROM v WHERE status = 'accepted' GROUP BY ALL), g AS (SELECT * FROM (VALUES {_SIZES}) t(grp, total)), l AS (SELECT DISTINCT user_id AS language_id FROM events)
+_SETTLED = f"""{_VALUES}, acc AS (SELECT * FROM v WHERE status = 'accepted'),
+a AS (SELECT language_id, grp, field, count(DISTINCT val) AS n, bool_or(preferred) AS settled FROM acc GROUP BY ALL),
+p AS (SELECT language_id, grp, field, confidence FROM (SELECT *, row_number() OVER (PARTITION BY language_id, grp, field ORDER BY preferred DESC, CASE WHEN preferred THEN seq END, confidence DESC, recorded_at DESC, seq) AS k FROM acc) WHERE k = 1),
+settled AS (SELECT language_id, grp, field FROM a JOIN p USING (language_id, grp, field) WHERE NOT (n > 1 AND NOT settled AND field = 'speakers') AND confidence >= 0.6)"""
+_FIELDS = ", ".join(f"('{f.grp}', '{f.name}', {i})" for i, f in enumerate(profile.fields()))
+
+
+@R.query(f"""WITH {_SETTLED} SELECT language_id, CAST(ord AS INTEGER) AS ord, grp, field FROM (SELECT DISTINCT user_id AS language_id FROM events) CROSS JOIN (VALUES {_FIELDS}) t(grp, field, ord) ANTI JOIN settled USING (language_id, grp, field)""")
+def profile_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields to ask for, of every language."""
+    v = _values(spark, sf_dir)
+    return profile.questions(profile.field_states(v, v.select("language_id"))).select("language_id", "ord", "grp", "field")
+
+
+@R.query(f"""WITH {_SETTLED}, k AS (SELECT language_id, grp, count(*) AS known FROM settled GROUP BY ALL), g AS (SELECT * FROM (VALUES {_SIZES}) t(grp, total)), l AS (SELECT DISTINCT user_id AS language_id FROM events)
 SELECT grp, CASE WHEN coalesce(known, 0) = total THEN 'done' WHEN coalesce(known, 0) > 0 THEN 'partial' ELSE 'empty' END AS state, count(*) AS n FROM l CROSS JOIN g LEFT JOIN k USING (language_id, grp) GROUP BY ALL""")
 def profile_group_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _values(spark, sf_dir)
