@@ -192,3 +192,20 @@ def test_command_line_for_settings(tmp_path, capsys):
     assert run("agent", "echo") == 0 and run("agent", "other") == 40 and run("agent") == 0
     assert "*\techo\tinstalled" in capsys.readouterr().out
     assert run("registry", "engine", "remove", "name=own") == 0 and run("registry", "engine", "remove", "name=own") == 10
+
+
+def test_a_tool_adds_types_and_facts(spark):
+    def tool(answer):
+        return agents.ToolAgent("t", "sh -c 'cat > /dev/null; echo \"" + answer.replace('"', '\\"') + "\"'", agents.RuleAgent())
+
+    d = spark.createDataFrame([(1, "text", "text", "Tangsa grammar", None)], "resource_id int, format string, category string, words string, hints array<string>")
+    rules = {r.type: r.confidence for r in agents.RuleAgent().classify(d).collect()}
+    more = {r.type: r.confidence for r in tool('[{"type": "corpus", "confidence": 7}, {"type": "grammar", "confidence": 0.1}, {"type": "nonsense"}, {"type": "lexicon"}]').classify(d).collect()}
+    assert more == rules | {"corpus": 1.0, "lexicon": 0.5} and more["grammar"] > 0.1
+    t = spark.createDataFrame([(1, "Tangsa is spoken in Ledo.")], "k int, text string")
+    answer = '[{"group": "identity", "field": "exonyms", "value": ["Aa", "Bb"], "quote": "q"}, {"group": "x", "field": "y", "value": "z"}, {"group": "identity", "field": "family", "value": "Fam", "confidence": 0.9}]'
+    base = {(r.field, r.value) for r in agents.RuleAgent().facts(t, "k", "Tangsa").collect()}
+    got = {(r.field, r.value, r.confidence) for r in tool(answer).facts(t, "k", "Tangsa").collect()}
+    assert {x[:2] for x in got} == base | {("exonyms", "Aa"), ("exonyms", "Bb"), ("family", "Fam")} and ("family", "Fam", 0.9) in got and ("exonyms", "Aa", 0.5) in got
+    broken = tool("no answer")
+    assert {r.type for r in broken.classify(d).collect()} == set(rules) and {(r.field, r.value) for r in broken.facts(t, "k", "Tangsa").collect()} == base

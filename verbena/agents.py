@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbena import config
-from verbena.operators import catalogues, discover, facts, relevance
+from verbena.operators import catalogues, classify, discover, facts, profile, relevance
 from verbena.session import ship
 
 #: Prompts are cut after so many characters, tools are stopped after so many seconds.
 PROMPT_CHARACTERS, TOOL_SECONDS, MOST_QUERIES = 12_000, 180, 12
+#: How many facts and types of one answer count.
+MOST_FACTS, MOST_TYPES = 20, 5
 
 
 def ask(command: str, prompt: str, seconds: int = TOOL_SECONDS) -> tuple[str | None, str | None]:
@@ -70,8 +72,13 @@ class RuleAgent:
         return relevance.score(candidates, languages, terms).select("candidate_id", "score", "reasons")
 
     def facts(self, texts: DataFrame, key: str, name: str) -> DataFrame:
+        """key, grp, field, value, confidence, quote of texts (key, text)."""
         return facts.extract_facts(texts, key, name=name)
 
+    def classify(self, resources: DataFrame, key: str = "resource_id") -> DataFrame:
+        """key, type, confidence of resources: see classify.classify()."""
+        return classify.classify(resources.sparkSession, resources, key)
+
 
 @dataclass
 class ToolAgent:
@@ -106,7 +113,26 @@ class ToolAgent:
         return both.select("candidate_id", F.col("final").alias("score"), "reasons")
 
     def facts(self, texts: DataFrame, key: str, name: str) -> DataFrame:
-        return self.rules.facts(texts, key, name)
+        """The rules' facts and the tool's, of fields that a profile has; each of the tool's is sure by 0.5 unless it says how sure it is."""
+        base = self.rules.facts(texts, key, name)
+        known = [f"{f.grp}.{f.name}" for f in profile.fields()]
+        prompt = F.concat(F.lit(f"Which facts does this text state about the language {name}? Fields: {', '.join(known)}. "), F.lit('Answer only with JSON: [{"group": "...", "field": "...", "value": ..., "confidence": 0-1, "quote": "..."}]. Text: '), F.substring("text", 1, 7000))
+        got = answers(texts.select(F.col(key).alias("key"), prompt.alias("prompt")), self.command, self.seconds)
+        said = got.select(F.col("key").alias(key), F.explode(F.slice(F.from_json("answer", "array<struct<group:string,field:string,value:string,confidence:double,quote:string>>"), 1, MOST_FACTS)).alias("f"))
+        said = said.where(F.concat_ws(".", "f.group", "f.field").isin(*known) & (F.coalesce("f.value", F.lit("")) != ""))
+        values = F.when(F.col("f.value").startswith("["), F.from_json("f.value", "array<string>")).otherwise(F.array("f.value"))
+        sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("f.confidence", F.lit(0.5))))
+        more = said.select(key, F.col("f.group").alias("grp"), "f.field", F.explode(values).alias("value"), sure.alias("confidence"), F.substring(F.coalesce("f.quote", F.lit("")), 1, facts.QUOTE).alias("quote"))
+        return base.unionByName(more.where("value <> ''"))
+
+    def classify(self, resources: DataFrame, key: str = "resource_id") -> DataFrame:
+        """The rules' types and those that the tool names, each with the greatest confidence."""
+        base = self.rules.classify(resources, key)
+        prompt = F.concat(F.lit(f"Which types of language resource is this? Types: {', '.join(classify.TYPES)}. "), F.lit('Answer only with JSON: [{"type": "...", "confidence": 0-1}]. Format: '), F.coalesce("format", F.lit("")), F.lit(". Names: "), F.substring("words", 1, 4000))
+        got = answers(resources.select(F.col(key).alias("key"), prompt.alias("prompt")), self.command, self.seconds)
+        said = got.select(F.col("key").alias(key), F.explode(F.slice(F.from_json("answer", "array<struct<type:string,confidence:double>>"), 1, MOST_TYPES)).alias("t")).where(F.col("t.type").isin(*classify.TYPES))
+        more = said.select(key, "t.type", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("t.confidence", F.lit(0.5)))).alias("confidence"))
+        return base.unionByName(more).groupBy(key, "type").agg(F.max("confidence").alias("confidence"))
 
 
 def build(settings: dict, known: dict[str, dict] | None = None) -> RuleAgent | ToolAgent:
