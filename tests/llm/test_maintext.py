@@ -77,6 +77,9 @@ def test_what_elements_say_of_themselves():
     <div class="social-share">Share</div><blockquote>Quote</blockquote><footer>By me</footer></article>
     <section class="comments"><article class="comment"><p>First!</article></section></main><div hidden>x</div><div style="display: none">y</div><footer>Imprint</footer>"""
     assert Page(html, 1).text({}).split("\n\n") == ["Title & more", "One two three four", "Five <six>", "a", "b", "Quote"]
+    marked = """<div id="page-header"><h1>Site</h1></div><div class="leftSide">More</div><div class="post"><div class="post-header"><h1>Own title</h1></div><p>Text <span class="ad">Buy</span>goes <b hidden>x</b>on</p>
+    <div class="alert">Closed today</div><div class="adBox">Buy</div><div id="toc">1 2 3</div><p class="lead">End</p><div class="reader-comments"><p>First!</p></div></div>"""
+    assert Page(marked, 1).text({}).split("\n\n") == ["Own title", "Text goes on", "End"]
     assert Page("<form><nav><ul><li>never closed<article><h1>A</h1>b</article>", 1).text({}) == "A\n\nb"
     assert Page("<body><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><p>Text with <a>a link</a>", 1).text({}) == "Text with a link"
     assert Page("no markup < at all &copy; <", 1).text({}) == "no markup < at all © <"

@@ -40,8 +40,12 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr "
     "notice notices notification notifications disclaimer newsletter subscribe subscription signup login signin paywall sidebar sidebars menu menus nav navbar navi navigation "
     "breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus reply replies respond share sharing social related "
-    "recommended recommendations popular trending widget widgets popup modal overlay search searchbox pagination pager".split()
+    "recommended recommendations popular trending widget widgets popup modal overlay search searchbox pagination pager side aside toc alert alerts announcement "
+    "discussion feedback responses adbox adslot adunit adsbygoogle".split()
 )
+#: Words that mark a block as a page's header, unless words of the second set say that it is the text's own; and those that mark even a part of a line.
+HEADERS, OWN = frozenset(["header"]), frozenset("article post entry story content main title".split())
+ADS = frozenset("ad ads advert advertisement sponsored".split())
 _TOKEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|!--(?:>|->|.*?(?:--!?>|\Z))|[!?/][^>]*+>)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -61,15 +65,19 @@ class Element:
 @functools.lru_cache(8192)
 def described(name: str, attributes: str) -> tuple[str, bool, bool]:
     """sign, noise, main: an element as a node of the style tree is told by, and what it says of itself."""
-    if not attributes or (name not in BLOCK and name not in FURNITURE):
+    block = name in BLOCK or name in FURNITURE
+    if not attributes or not (block or "class" in attributes or "hidden" in attributes):
         return name, name in FURNITURE, name in ("article", "main")
     at = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     named = f"{at.get('id', '')} {at.get('class', '')}"
     sign = f"{name} {_DIGITS.sub('#', ' '.join(sorted(named.split())))} {at.get('role', '')}"
     words = {w.lower() for w in _PARTS.findall(named)}
+    if not block:
+        return name, bool(words & ADS) or "hidden" in at, False
     main = name in ("article", "main") or at.get("role") in ("main", "article") or at.get("itemprop") == "articleBody"
     hidden = "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", "")) is not None
     marked = bool(words & MARKS) if not main else bool(words & {"comment", "comments", "reply", "replies", "related", "sponsored", "promo", "ad"})
+    marked = marked or (bool(words & HEADERS) and not words & OWN and not main and name != "header")
     noise = name in FURNITURE or hidden or at.get("role") in ROLES or (marked and name not in HEADINGS and name not in ("html", "body"))
     return sign, noise, main
 
