@@ -91,9 +91,10 @@ def decided_values(values: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     slot = ["language_id", "grp", "field"]
     d = decisions.where(F.col("decision").isin("accepted", "rejected")).select(*slot, value_key(F.col("value_json")).alias("key"), "decision", F.col("seq").alias("at"))
-    met = values.select(*slot, value_key(F.col("value_json")).alias("key"), "seq").join(d, [*slot, "key"]).where("at > seq")
-    last = met.groupBy("seq").agg(F.max_by("decision", "at").alias("decided"))
-    out = values.join(last, "seq", "left").withColumn("status", F.coalesce("decided", "status"))
+    # the last decision on a slot's value, if made after a value was written, is the last of those made after it: a row for each key, never one for each pair
+    last = d.groupBy(*slot, "key").agg(F.max("at").alias("at"), F.max_by("decision", "at").alias("said"))
+    met = values.withColumn("key", value_key(F.col("value_json"))).join(last, [*slot, "key"], "left")
+    out = met.withColumn("decided", F.when(F.col("at") > F.col("seq"), F.col("said"))).withColumn("status", F.coalesce("decided", "status"))
     if "preferred" in values.columns:
         out = out.withColumn("preferred", F.col("preferred") & ~F.col("decided").eqNullSafe(F.lit("rejected")))
     return out.select(*values.columns)
