@@ -27,3 +27,9 @@ def test_decided_values_never_pairs_values_with_decisions(spark, tmp_path):
     assert differing(spark, tmp_path, "decided_values", labels=labels, events=events) == ([], [])
     plan = catalog.QUERIES["decided_values"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.index("Join") < plan.index("Aggregate")
+
+
+def test_sizes_half_way_go_to_the_even_digit(spark, tmp_path):
+    sizes = [1023, 1024, 2304, 2432, 2305, 1280, 1331, 1332, 12_339, 700_000]
+    pages = ("page_id long, url string, html string", [(i, f"http://a.org/{i}", "x" * n) for i, n in enumerate(sizes)])
+    assert differing(spark, tmp_path, "cache_keys", pages=pages) == ([], [])
