@@ -33,3 +33,10 @@ def test_sizes_half_way_go_to_the_even_digit(spark, tmp_path):
     sizes = [1023, 1024, 2304, 2432, 2305, 1280, 1331, 1332, 12_339, 700_000]
     pages = ("page_id long, url string, html string", [(i, f"http://a.org/{i}", "x" * n) for i, n in enumerate(sizes)])
     assert differing(spark, tmp_path, "cache_keys", pages=pages) == ([], [])
+
+
+@pytest.mark.parametrize("name", ["relevance_scores", "matched_terms", "relevance_status_by_source", "ingest_outcomes"])
+def test_names_in_lists_count_as_in_sql(spark, tmp_path, name):
+    texts = ["Elle, Elle, Elle, Elle", "Erheon, Erheon, Erheon", "Elle et al", "A. Schaft, Weber", "Elle est la", "Ingand 1999", "Anthe", None, "", "tho", "Elle, Elle, Elle, Elle"]
+    documents = ("doc_id long, text string, lang string, source string, n_chars long", [(i, x, "en" if i % 4 == 0 else "fr", f"s{i % 2}", 0) for i, x in enumerate(texts)])
+    assert differing(spark, tmp_path, name, documents=documents) == ([], [])

@@ -56,7 +56,7 @@ def linguistic_type(kind: Column) -> Column:
 _HIT = "array<struct<ord:int,folded:string,term:string,weak:boolean,force:double,hit:boolean,read:boolean>>"
 
 
-def _hits(texts: Column, terms: Column, word_names: list[str]) -> Column:
+def _hits(texts: Column, terms: Column, word_names: list[str], authors: bool) -> Column:
     """Of the terms of a row, those that its texts (text, blob, inside) hit or whose contents tell of them. Costly tests run on hits alone."""
 
     def one(t: Column) -> Column:
@@ -64,7 +64,7 @@ def _hits(texts: Column, terms: Column, word_names: list[str]) -> Column:
         context = match.language_context(texts["text"], t["term"])
         plain = match.has_term(texts["blob"], t["folded"])
         named = plain | F.when(F.length(t["folded"]) < 3, context).otherwise(False)
-        by_author = F.when(t["signal"].isin("alternate_name", "exonym", "variety", "parent"), match.only_author(texts["text"], t["term"])).otherwise(False)
+        by_author = F.when(t["signal"].isin("alternate_name", "exonym", "variety", "parent"), match.only_author(texts["text"], t["term"])).otherwise(False) if authors else F.lit(False)
         by_words = F.when(match.common_words_only(t["folded"]), ~match.proper_noun(texts["text"], t["term"])).otherwise(False)
         hit = F.coalesce(F.when(is_name, named).when(plain, ~by_author & ~by_words), F.lit(False))
         read = F.coalesce(F.when(t["signal"].isin("exact_name", "alternate_name", "variety"), match.has_term(texts["inside"], t["folded"])), F.lit(False))
@@ -100,12 +100,13 @@ def _summed(hits: Column) -> Column:
     return let(F.filter(hits, counts), of)
 
 
-def score(candidates: DataFrame, languages: DataFrame, terms: DataFrame, word_names: list[str] | None = None, contents_read: int | None = CONTENTS_READ) -> DataFrame:
+def score(candidates: DataFrame, languages: DataFrame, terms: DataFrame, word_names: list[str] | None = None, contents_read: int | None = CONTENTS_READ, authors: bool = True) -> DataFrame:
     """candidates' candidate_id, language_id, then score, band, reasons (signals in order), matched_terms; extra columns of candidates stay in front.
 
     candidates: candidate_id, language_id, text and, where known, metadata_language, types, user_asserted, discovery_confidence,
     contents. languages: language_id, iso, name. word_names: folded names that are ordinary words as well (match.WORD_NAMES).
-    contents_read: how many characters of the contents are looked at; None: all.
+    contents_read: how many characters of the contents are looked at; None: all. authors: whether a name that stands in the text only as an
+    author's is no hit (match.only_author).
 
     A language's name and terms are one row, with the terms as an array, and each candidate is matched in its own row: texts never
     meet terms in a join. The table of languages is written first, so that Spark knows its size and sends it to the candidates if small.
@@ -126,7 +127,7 @@ def score(candidates: DataFrame, languages: DataFrame, terms: DataFrame, word_na
     texts = F.struct("text", fold(F.col("text")).alias("blob"), fold(F.col("contents") if contents_read is None else F.substring("contents", 1, contents_read)).alias("inside"))
     met = c.join(known, "language_id", "left")
     iso_hit = lambda blob: F.coalesce(F.array_contains(F.split(blob, " "), F.col("iso")) | F.contains(blob, F.concat(F.lit("iso "), "iso")), F.lit(False))
-    found = let(texts, lambda v: F.struct(let(_hits(v, F.coalesce("terms", none), word_names), _summed).alias("sums"), iso_hit(v["blob"]).alias("iso")))
+    found = let(texts, lambda v: F.struct(let(_hits(v, F.coalesce("terms", none), word_names, authors), _summed).alias("sums"), iso_hit(v["blob"]).alias("iso")))
     met = met.withColumn("found", found).drop("text", "contents")
 
     ml = fold(F.col("metadata_language"))
