@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from verbena.functions.text import signature, tokens
+from verbena.operators import neardup
 from verbena.plans import catalog
 
 
@@ -40,3 +45,15 @@ def test_names_in_lists_count_as_in_sql(spark, tmp_path, name):
     texts = ["Elle, Elle, Elle, Elle", "Erheon, Erheon, Erheon", "Elle et al", "A. Schaft, Weber", "Elle est la", "Ingand 1999", "Anthe", None, "", "tho", "Elle, Elle, Elle, Elle"]
     documents = ("doc_id long, text string, lang string, source string, n_chars long", [(i, x, "en" if i % 4 == 0 else "fr", f"s{i % 2}", 0) for i, x in enumerate(texts)])
     assert differing(spark, tmp_path, name, documents=documents) == ([], [])
+
+
+def test_sketches_in_batches_equal_the_expression(spark):
+    r = random.Random(3)
+    words = ["wort", "Élan", "日本", "x_1", "½", "naïve", "é", "١٢", "a", "Ω"]
+    texts = [" -,".join(r.choice(words) + str(r.randrange(n)) for _ in range(n)) for n in (1, 4, 5, 19, 20, 21, 150, 900)] + ["same " * 40, "", None, "\n\t ", "a b c d e f g h i j k l m n o p q r s t"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for k in (3, 128):
+        want = {x.id: x.s for x in d.select("id", signature(tokens(F.col("text")), k).alias("s")).where("s IS NOT NULL").collect()}
+        sketched = neardup.signatures(d, "id", k=k)
+        assert {x.id: x.sketch for x in sketched.collect()} == want and len(want) == 6
+    assert "MapInArrow" in sketched._jdf.queryExecution().executedPlan().toString()  # no md5 expression for each run of words

@@ -16,7 +16,7 @@ from verbena.plans.base import Register, sql_fold, table
 from verbena.plans.catalogue_queries import _TITLE, _WHOLE
 from verbena.plans.core_queries import _SKETCH
 from verbena.plans.operator_queries import _sql_addresses
-from verbena.session import shared_folder
+from verbena.session import shared_folder, written
 from verbena.sources import store
 from verbena.streaming import keyed
 
@@ -164,7 +164,7 @@ SELECT a, b, shared, size FROM (SELECT a, b, CAST(len(list_intersect(list_inters
 def second_intake_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A kept index takes in four fifths of the documents, then the rest: near pairs of the second intake, by sketch."""
     index = SketchIndex(spark, f"{shared_folder(spark)}/verbena-index-{uuid.uuid4().hex}")
-    sketches = neardup.signatures(table(spark, sf_dir, "documents"), "doc_id")
+    sketches = written(neardup.signatures(table(spark, sf_dir, "documents"), "doc_id"), "sketches")  # two intakes read it
     index.add(sketches.where("id % 5 <> 0"))
     return index.add(sketches.where("id % 5 = 0")).select("a", "b", "shared", "size")
 
