@@ -117,7 +117,8 @@ def catalogue_actions(results: DataFrame, review_at: int = 30, download_at: int
     nobody chose, are left where they are and their metadata taken. seq is a whole number, another for each result.
     """
     key = F.coalesce("url", F.concat("provider", F.lit(":"), "title"))
-    first = results.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*results.columns), "seq").alias("r")).select("r.*")
+    # a window, not a struct of all columns: those that nobody asks for (long descriptions, metadata) are then never shuffled or sorted
+    first = results.withColumn("_first", F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("seq")))).where("_first = 1").drop("_first")
     gate = F.lit(False) if download_at is None else F.col("score") < download_at
     action = F.when(F.col("kind") == "lookup", "lookup").when(F.col("score") < review_at, "skip").when((F.col("n_files") == 0) | gate, "metadata").otherwise("download")
     # rank: those of greater score or in earlier blocks of seq are counted, only a block is sorted
