@@ -748,7 +748,8 @@ def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a command-line tool answers to prompts, asked on the executors; the tool here repeats what it is told."""
     c = table(spark, sf_dir, "conversations")
     prompt = F.concat(F.lit('Say {this}: {"n": '), (F.col("conv_id") * 100 + F.col("turn")).cast("string"), F.lit(', "role": "'), "role", F.lit('"} now'))
-    return agents.answers(c.select(F.struct("conv_id", "turn").alias("key"), prompt.alias("prompt")), "cat").select("key.conv_id", "key.turn", "answer")
+    cores = spark.sparkContext.defaultParallelism  # a tool of one's own, so as many at a time as the cluster has cores
+    return agents.answers(c.select(F.struct("conv_id", "turn").alias("key"), prompt.alias("prompt")), "cat", parallel=cores).select("key.conv_id", "key.turn", "answer")
 
 
 @R.query(rf"""WITH e AS (SELECT lower(n_name) || CASE WHEN n_nationkey % 6 = 5 THEN '!' ELSE '' END AS name, {_sql_pick('n_nationkey', 'json', 'rss', 'soap', 'html')} AS kind, n_nationkey % 5 > 0 AS url, n_nationkey FROM nation)
