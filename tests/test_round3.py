@@ -83,3 +83,28 @@ def test_tools_are_asked_on_all_cores(spark, tmp_path, monkeypatch):
     conversations = ("conv_id long, turn long, role string, text string", [(i, i % 3, "user", "x") for i in range(9)])
     assert differing(spark, tmp_path, "tool_answers", conversations=conversations) == ([], [])
     assert asked == [spark.sparkContext.defaultParallelism]
+
+
+def test_op9_ids_need_no_python_for_each_pre_token(monkeypatch):
+    """Ids of whole texts equal the library's without a lookup in Python for each pre-token, at cuts, in long runs and with every safe character."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from verbena.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, library = bpe.Encoder(path), Tokenizer.from_file(path)
+    safe = [c for c in map(chr, range(0x20000)) if not e.odd(c)]
+    r = random.Random(7)
+    pool = [*"aZ09 _'.,\n\t 　éß中가😀", "  ", "\n\n", " the", "'ll", "'S", "don't", "<|endoftext|>", " |"]
+    texts = ["", " ", "".join(f"{c} {c}a{c}1 {c}{c}" for c in safe), *("".join(r.choice(pool) for _ in range(200)) for _ in range(200))]
+    texts += ["word, and more\n" * 20_000, "a  b\n\n c " * 30_000]  # cut into blocks
+    plain = bpe.Encoder(path)
+    monkeypatch.setattr(plain, "pieces", None)
+    for t in texts:
+        assert plain.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    # no place for a cut: as before
+    for t in (" " * 1_500_000 + "x", "^" * 200_000, "ab\t" * 100_000):
+        assert e.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    for t in ("a\x1cb", "\x1f", "ok"):
+        assert e.odd(t) == (t != "ok")
