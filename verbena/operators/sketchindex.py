@@ -75,11 +75,13 @@ class SketchIndex:
     def _bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def _write(self, replaced: list[str], **tables: DataFrame) -> None:
-        part = uuid.uuid4().hex
-        for name, t in tables.items():
-            # one file for each bucket of a part
-            t.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.place}/parts/{part}/{name}")
+    def _lay(self, part: str, name: str, rows: DataFrame) -> DataFrame:
+        """rows written as a table of a part, one file for each bucket, and read again. Nobody else reads them before the part's marker is there."""
+        place = f"{self.place}/parts/{part}/{name}"
+        rows.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(place, compression="zstd")
+        return self.spark.read.schema(rows.schema).parquet(place)
+
+    def _mark(self, part: str, replaced: list[str]) -> None:
         self._put(f"markers/{part}", json.dumps(replaced))
 
     # ------------------------------------------------------------ order
@@ -89,12 +91,19 @@ class SketchIndex:
         return self.spark.read.schema(fields).parquet(f"{self.place}/order") if self._fs.exists(self._path("order/_SUCCESS")) else self.spark.createDataFrame([], fields)
 
     def _prefixes(self, nodes: DataFrame) -> DataFrame:
-        """h, at (from 1), n, node, bucket: the first n - ceil(threshold * n) + 1 hashes of each node in the frozen order."""
-        spread = nodes.select("node", F.size("sketch").alias("n"), F.explode("sketch").alias("h")).join(self._order(), "h", "left")
-        place = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "h")))
-        length = F.col("n") - F.ceil(F.col("n") * F.lit(Decimal(str(self.threshold)))) + 1
-        first = spread.groupBy("node", "n").agg(place.alias("hs")).select("node", "n", F.posexplode(F.slice("hs", 1, length.cast("int"))).alias("at", "x"))
-        return first.select(F.col("x.h").alias("h"), (F.col("at") + 1).cast("int").alias("at"), F.col("n").cast("int").alias("n"), "node").withColumn("bucket", self._bucket("h"))
+        """h, at (from 1), n, node, bucket: the first n - ceil(threshold * n) + 1 hashes of each node in the frozen order.
+
+        nodes may have number, a short name. Hashes that are not common need no row: they come first, as they stand in the sketch; only the common ones go back to their node.
+        """
+        name = "number" if "number" in nodes.columns else "node"
+        spread = nodes.select(name, F.explode("sketch").alias("h")).join(self._order(), "h")
+        common = spread.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("often", "h")))["h"].alias("common"))
+        held = F.coalesce("common", F.array().cast("array<string>"))
+        n = F.size("sketch")
+        length = n - F.ceil(n * F.lit(Decimal(str(self.threshold)))) + 1
+        hs = F.concat(F.sort_array(F.array_except("sketch", held)), held)
+        first = nodes.join(common, name, "left").select("node", n.alias("n"), F.posexplode(F.slice(hs, 1, length.cast("int"))).alias("at", "h"))
+        return first.select("h", (F.col("at") + 1).cast("int").alias("at"), F.col("n").cast("int").alias("n"), "node").withColumn("bucket", self._bucket("h"))
 
     # ------------------------------------------------------------ intake
     def add(self, sketches: DataFrame, sink: Callable[[DataFrame, DataFrame], None] | None = None) -> DataFrame:
@@ -102,19 +111,24 @@ class SketchIndex:
 
         An id that is held already stays with the node that it had. Null sketches have no node. rep is a node's first text. sink gets the
         pairs and the new texts of nodes (id, rep) before the part counts: if it fails, or what comes after it, the same sketches may be added again.
+        sketches is read several times, so it has to be a table on disk (see written()), not one that is costly to work out.
         """
-        given = written(sketches.where("sketch IS NOT NULL").select(F.col("id").cast("string").alias("id"), "sketch", F.sha2(F.array_join("sketch", ","), 256).alias("node")), "sketches")
-        if not self.parts() and not self._fs.exists(self._path("order/_SUCCESS")):
-            one = given.groupBy("node").agg(F.first("sketch").alias("sketch")).select(F.explode("sketch").alias("h"))
-            one.groupBy("h").agg(F.count("*").alias("often")).where(F.col("often") >= COMMON).write.mode("overwrite").parquet(f"{self.place}/order")
+        given = sketches.where("sketch IS NOT NULL").select(F.col("id").cast("string").alias("id"), "sketch", F.sha2(F.array_join("sketch", ","), 256).alias("node"))
+        part = uuid.uuid4().hex
         members = given.groupBy("id").agg(F.min("node").alias("node")).withColumn("bucket", self._bucket("id"))
         held = self.read("members", self._hit(members)).select("id")
-        members = written(members.join(held, "id", "left_anti"), "members")
-        nodes = given.join(members.select("id", "node"), ["id", "node"], "left_semi").groupBy("node").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")).withColumn("bucket", self._bucket("node"))
-        touched = nodes
-        known = self.read("nodes", self._hit(nodes)).select("node")
-        nodes = written(nodes.join(known, "node", "left_anti"), "nodes")
-        prefixes = written(self._prefixes(nodes), "prefixes")
+        members = self._lay(part, "members", members.join(held, "id", "left_anti"))
+        # a node is the hash of its sketch, so the sketch of any row will do: sketches are shuffled once, and copies are one row by then
+        touched = members.groupBy("node").agg(F.min("id").alias("rep")).withColumn("bucket", self._bucket("node"))
+        known = self.read("nodes", self._hit(touched)).select("node")
+        sketch = given.groupBy("node").agg(F.first("sketch").alias("sketch"))
+        nodes = touched.join(known, "node", "left_anti").join(sketch, "node").select("node", "rep", "sketch", "bucket", F.monotonically_increasing_id().alias("number"))
+        numbered = self._lay(part, "nodes", nodes)
+        nodes = numbered.drop("number")
+        if not self.parts() and not self._fs.exists(self._path("order/_SUCCESS")):
+            often = nodes.select(F.explode("sketch").alias("h")).groupBy("h").agg(F.count("*").alias("often"))
+            often.where(F.col("often") >= COMMON).write.mode("overwrite").parquet(f"{self.place}/order")
+        prefixes = self._lay(part, "prefixes", self._prefixes(numbered))
         old = self.read("prefixes", self._hit(prefixes))
         pairs = written(self._pairs(prefixes, old).unionByName(self._pairs(prefixes, prefixes)).distinct(), "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("bucket", self._bucket("node"))
@@ -123,7 +137,7 @@ class SketchIndex:
         if sink is not None:
             reps = self.read("nodes", self._hit(touched)).unionByName(nodes).select("node", "rep")
             sink(near, members.join(reps, "node").where("id <> rep").select("id", "rep"))
-        self._write([], nodes=nodes, prefixes=prefixes, members=members)
+        self._mark(part, [])
         return near
 
     def _hit(self, rows: DataFrame) -> list[int]:
@@ -151,4 +165,7 @@ class SketchIndex:
         """All parts as one. Readers see the old ones until its marker is there, and the new one from then on."""
         old = self.parts()
         if len(old) > 1:
-            self._write(old, **{name: self.read(name) for name in FIELDS})
+            part = uuid.uuid4().hex
+            for name in FIELDS:
+                self._lay(part, name, self.read(name))
+            self._mark(part, old)

@@ -30,7 +30,7 @@ TABLES = {
     "near": "resource_id string, other_id string, similarity double",
     "item": "item_id string, language_id string, session_id string, kind string, payload string, confidence double",
     "decision": "item_id string, decision string, decided_by string",
-    "sketch": "sha256 string, language_id string, sketch array<string>",
+    "sketch": "sha256 string, language_id string, sketch array<string>, session_id string",
     "taught": "session_id string, language_id string, value string, signal string, source_ref string",
     "session": "session_id string, language_id string, mode string, status string, started_at timestamp",
     "event": "session_id string, level string, message string, at timestamp",
@@ -68,13 +68,15 @@ class Collection:
         schema = f"{TABLES[name]}, seq {SEQ}"
         return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.root}/{name}") if files_.exists(path) else self.spark.createDataFrame([], schema)
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows; their seq is the time of the write, then a number that no other row of the write has. Each write is a folder of its own, so
+    def append(self, name: str, rows: DataFrame) -> str:
+        """Add rows, and the folder that has them; their seq is the time of the write, then a number that no other row of the write has. Each write is a folder of its own, so
         that several may go on at once."""
         base = Decimal(int(datetime.now(UTC).timestamp() * 1_000_000) << 63)
         columns = [c.split()[0] for c in TABLES[name].split(", ")]
         number = F.monotonically_increasing_id().cast("decimal(20,0)")
-        rows.select(*columns, (F.lit(base).cast(SEQ) + number).cast(SEQ).alias("seq")).write.parquet(f"{self.root}/{name}/{uuid.uuid4().hex}")
+        place = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        rows.select(*columns, (F.lit(base).cast(SEQ) + number).cast(SEQ).alias("seq")).write.parquet(place, compression="zstd")  # sketches are hex digits, half of which snappy leaves
+        return place
 
     # ------------------------------------------------------------ languages and profiles
     def open_language(self, name: str, iso: str | None = None) -> str:
@@ -198,9 +200,9 @@ class Collection:
         fresh = mine.where(F.col("status").isin("stored", "uncertain_review"))
         bodies = c.select("candidate_id", "content").join(fresh.select("candidate_id", "sha256", "format", "category"), "candidate_id")
         texts = extract.extract_texts(bodies.select("sha256", "content", "format", "category"), "sha256").where("text <> ''")
-        self.append("text", texts.withColumn("language_id", F.lit(language)))
-        texts = self.table("text").where(F.col("language_id") == language).join(fresh.select("sha256"), "sha256", "left_semi").dropDuplicates(["sha256"])
-        self.append("sketch", neardup.signatures(texts, "sha256").select(F.col("id").alias("sha256"), F.lit(language).alias("language_id"), "sketch"))
+        place = self.append("text", texts.withColumn("language_id", F.lit(language)))
+        texts = self.spark.read.schema(f"{TABLES['text']}, seq {SEQ}").parquet(place)  # those of fresh and no others, so nothing is joined; the index takes a sketch that is there twice once
+        self.append("sketch", neardup.signatures(texts, "sha256").select(F.col("id").alias("sha256"), F.lit(language).alias("language_id"), "sketch", F.lit(session).alias("session_id")))
         if self.on_outcome:
             self.on_outcome(mine)
         return mine
@@ -221,8 +223,7 @@ class Collection:
 
     def _near(self, language: str, session: str) -> None:
         """Pairs of the language's texts of which one at least is new, by the index of its sketches: it reads what may be near the new ones, not all that is held."""
-        new = self.table("outcome").where((F.col("session_id") == session) & F.col("status").isin("stored", "uncertain_review")).select("sha256").distinct()
-        fresh = self.table("sketch").where(F.col("language_id") == language).join(new, "sha256", "left_semi").select(F.col("sha256").alias("id"), "sketch").dropDuplicates(["id"])
+        fresh = self.table("sketch").where((F.col("language_id") == language) & (F.col("session_id") == session)).select(F.col("sha256").alias("id"), "sketch")
         index = SketchIndex(self.spark, f"{self.root}/_near/{language}", self.near_at)
 
         def keep(near: DataFrame, copies: DataFrame) -> None:
