@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbena.functions import web
@@ -16,7 +16,7 @@ from verbena.plans.base import Register, sql_fold, table
 from verbena.plans.catalogue_queries import _TITLE, _WHOLE
 from verbena.plans.core_queries import _SKETCH
 from verbena.plans.operator_queries import _sql_addresses
-from verbena.session import shared_folder, written
+from verbena.session import release, shared_folder, written
 from verbena.sources import store
 from verbena.streaming import keyed
 
@@ -28,28 +28,49 @@ ALTERNATES = ("Attion", "Retion", "Thanea", "Eriner")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", "url", web.normalise_url(F.col("url")).alias("key"), F.substring(html_title(F.col("html")), 1, 300).alias("title"), page_text(F.col("html"), most=None).alias("text"), html_links(F.col("html")).alias("links"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
-def _engine(pages: DataFrame):  # noqa: ANN202
+def _title(html: Column) -> Column:
+    return F.substring(html_title(html), 1, 300)
+
+
+def _index(pages: DataFrame) -> DataFrame:
+    """page_id, url, key, title, blob (the folded text, a blank at each end) of all pages: each is parsed once, whatever asks for it later."""
+    blob = F.concat(F.lit(" "), fold(page_text(F.col("html"), most=None)), F.lit(" "))
+    return written(pages.select("page_id", "url", web.normalise_url(F.col("url")).alias("key"), _title(F.col("html")).alias("title"), blob.alias("blob")), "search-index")
+
+
+def _engine(index: DataFrame):  # noqa: ANN202
     """A search engine over pages: the quoted words of a query, as whole words in a page's text, the least page first."""
-    texts = pages.select("page_id", "url", "title", fold(F.col("text")).alias("blob"))
 
     def ask(asked: DataFrame) -> DataFrame:
-        quoted = asked.select("query_id", fold(F.regexp_extract("query", '"([^"]+)"', 1)).alias("phrase")).where("phrase <> ''")
-        met = texts.join(F.broadcast(quoted), F.contains(F.concat(F.lit(" "), "blob", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" "))))  # SearchLimits.queries bounds them
+        quoted = asked.select("query_id", F.concat(F.lit(" "), fold(F.regexp_extract("query", '"([^"]+)"', 1)), F.lit(" ")).alias("phrase")).where("phrase <> '  '")
+        met = index.join(F.broadcast(quoted), F.contains("blob", "phrase"))  # SearchLimits.queries bounds them
         return met.select("query_id", F.col("page_id").alias("n"), "url", "title")
 
     return ask
 
 
-def _teacher(pages: DataFrame):  # noqa: ANN202
+def _reader(pages: DataFrame, index: DataFrame):  # noqa: ANN202
+    """Pages by their key, of several the least page: found in the index, and only those that are asked for are parsed."""
+
+    def fetch(asked: DataFrame) -> DataFrame:
+        first = index.select("key", "page_id").join(F.broadcast(asked.select("key")), "key").groupBy("key").agg(F.min("page_id").alias("page_id"))  # SearchLimits.pages bounds them
+        html = pages.select("page_id", "html", web.normalise_url(F.col("url")).alias("key")).join(F.broadcast(first), ["page_id", "key"])
+        one = html.groupBy("key").agg(F.first("html").alias("html"))
+        return asked.join(one.select("key", _title(F.col("html")).alias("title"), page_text(F.col("html"), most=None).alias("text"), html_links(F.col("html")).alias("links")), "key")
+
+    return fetch
+
+
+def _teacher(index: DataFrame):  # noqa: ANN202
     """Facts from pages: the first long word of a title is an alternate name."""
-    titles = pages.groupBy("key").agg(F.min_by("title", "page_id").alias("title"))
 
     def learn(about: DataFrame) -> DataFrame:
         word = F.regexp_extract("title", "[A-Za-z]{8,}", 0)
+        few = F.broadcast(about.select("key").distinct())
+        titles = index.select("key", "page_id", "title").join(few, "key").groupBy("key").agg(F.min_by("title", "page_id").alias("title"))
         t = about.select("key").join(titles, "key").select("key", F.lit("identity").alias("grp"), F.lit("alternate_names").alias("field"), word.alias("value"), F.lit(0.55).alias("confidence"), F.col("title").alias("quote"))
         return t.where("value <> ''")
 
@@ -58,11 +79,13 @@ def _teacher(pages: DataFrame):  # noqa: ANN202
 
 def found(spark: SparkSession, sf_dir: str, limits: search.SearchLimits | None = None) -> search.Found:
     pages = _pages(spark, sf_dir)
+    index = _index(pages)
     languages = spark.createDataFrame(LANGUAGE, "language_id string, iso string, name string")
     terms = spark.createDataFrame([("tho", "alternate_name", i, t, False) for i, t in enumerate(ALTERNATES)], "language_id string, signal string, seq int, term string, weak boolean")
     named = spark.createDataFrame([("tho", "Thtion", "name", "Thtion", 0), *(("tho", "Thtion", "alternate_name", t, i) for i, t in enumerate(ALTERNATES))], "language_id string, name string, kind string, term string, seq int")
-    web_ = pages.groupBy("key").agg(F.min_by(F.struct("title", "text", "links"), "page_id").alias("p")).select("key", "p.*")
-    return search.search_rounds(discover.search_queries(named), _engine(pages), lambda asked: asked.join(web_, "key"), languages, terms, learn=_teacher(pages), limits=limits or search.SearchLimits(depth=1))
+    out = search.search_rounds(discover.search_queries(named), _engine(index), _reader(pages, index), languages, terms, learn=_teacher(index), limits=limits or search.SearchLimits(depth=1))
+    release(index)  # what a search found is written: nothing reads the index any more
+    return out
 
 
 def _sql_hit(text: str, f: str) -> str:
