@@ -50,3 +50,23 @@ def test_a_task_that_fails_half_way_leaves_nothing(spark, tmp_path):
     assert first.listed != second.listed
     w.commit([second, None])
     assert spark.read.format(store.NAME).load(place).count() == 3
+
+
+def test_a_task_that_outlives_an_abort_leaves_nothing(spark, tmp_path):
+    place = str(tmp_path / "s")
+    few = rows(spark, 6).withColumn("name", F.concat(F.lit("in/"), "name")).collect()
+    for stop in range(7):
+        w = store.StoreWriter(place)
+
+        def still_running(w=w, stop=stop):
+            for i, row in enumerate([*few, None]):
+                if i == stop:
+                    w.abort([])
+                if row is not None:
+                    yield row
+
+        with pytest.raises(OSError):
+            w.write(still_running())
+        assert sum(len(f) for _, _, f in os.walk(place)) == 0
+    assert os.listdir(f"{place}/files") == []
+    w.abort([])  # again

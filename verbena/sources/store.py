@@ -4,8 +4,9 @@
     spark.read.format("verbena_store").load(place)
 
 Each task writes its files, their sidecars and a list of them into a folder of its own below the job's, which nobody reads yet. The commit writes one small
-file that names the lists of the tasks that won; from then on all files of the job are there, before it none is. An abort removes the
-job's folder; what a lost driver leaves is never named, and sweep() removes it. Tasks that run twice have folders of their own. The driver gets
+file that names the lists of the tasks that won; from then on all files of the job are there, before it none is. The driver makes the job's folder and an
+abort takes it away; a task makes no folder above its own, so one that still runs then fails and leaves nothing. What a lost driver leaves is never named,
+and sweep() removes it. Tasks that run twice have folders of their own. The driver gets
 the path of one list from each task, and rows are read back a list to a partition, so nothing of the files goes through it.
 """
 
@@ -30,8 +31,16 @@ def _system(place: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(place if "://" in place or place.startswith("file:") else f"file://{place}")
 
 
-def _put(system: fs.FileSystem, path: str, data: bytes) -> None:
-    system.create_dir(posixpath.dirname(path), recursive=True)
+def _put(system: fs.FileSystem, path: str, data: bytes, below: str | None = None) -> None:
+    """below: a folder above the file that must be there; those between are made one by one, as making all at once would bring it back."""
+    folder = posixpath.dirname(path)
+    if below is None:
+        system.create_dir(folder, recursive=True)
+    else:
+        at = below
+        for part in posixpath.relpath(folder, below).split("/"):
+            at = f"{at}/{part}"
+            system.create_dir(at, recursive=False)
     with system.open_output_stream(path) as out:
         out.write(data)
 
@@ -55,20 +64,23 @@ class Written(WriterCommitMessage):
 class StoreWriter(DataSourceWriter):
     def __init__(self, place: str):
         self.place, self.job = place, uuid.uuid4().hex
+        system, root = _system(place)
+        system.create_dir(f"{root}/files/{self.job}", recursive=True)
 
     def write(self, iterator: Iterator) -> Written:
         system, root = _system(self.place)
+        job = f"{root}/files/{self.job}"
         own = f"files/{self.job}/{uuid.uuid4().hex}"
         listed = []
         for row in iterator:
             at = f"{own}/{row.sha256[:2]}/{row.sha256[:12]}-{row.name}"
-            _put(system, f"{root}/{at}", bytes(row.content))
+            _put(system, f"{root}/{at}", bytes(row.content), below=job)
             if row.about is not None:
-                _put(system, f"{root}/{at}.json", row.about.encode())
+                _put(system, f"{root}/{at}.json", row.about.encode(), below=job)
             listed.append({"sha256": row.sha256, "name": row.name, "path": at, "size": len(row.content)})
         if not listed:
             return Written(None)
-        _put(system, f"{root}/{own}/list.jsonl", "\n".join(map(json.dumps, listed)).encode())
+        _put(system, f"{root}/{own}/list.jsonl", "\n".join(map(json.dumps, listed)).encode(), below=job)
         return Written(f"{own}/list.jsonl")
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -80,8 +92,15 @@ class StoreWriter(DataSourceWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         system, root = _system(self.place)
-        if system.get_file_info(f"{root}/files/{self.job}").type != fs.FileType.NotFound:
-            system.delete_dir(f"{root}/files/{self.job}")
+        own = f"{root}/files/{self.job}"
+        if system.get_file_info(own).type == fs.FileType.NotFound:
+            return
+        gone = f"{own}-aborted"  # no task knows this name, so nothing comes in while it is removed
+        try:
+            system.move(own, gone)
+        except OSError:  # a store of objects has no folders to move
+            gone = own
+        system.delete_dir(gone)
 
 
 class StoreReader(DataSourceReader):
